@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lodeweave.llm.dart_minhash import op7_dart_minhash
 from lodeweave.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_dart_minhash": op7_dart_minhash,
 }
 ORACLES: dict[str, str] = {}
