@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from lodeweave.llm import decontaminate
 from lodeweave.llm.dart_minhash import op7_dart_minhash
 from lodeweave.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_dart_minhash": op7_dart_minhash,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE,
 }
-ORACLES: dict[str, str] = {}
