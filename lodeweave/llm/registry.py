@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import decontaminate
+from lodeweave.llm import decontaminate, line_frequency
 from lodeweave.llm.dart_minhash import op7_dart_minhash
 from lodeweave.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_line_frequency": line_frequency.op5_line_frequency,
     "op7_dart_minhash": op7_dart_minhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op5_line_frequency": line_frequency.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

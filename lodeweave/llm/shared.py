@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,39 @@ def word_count(text: Column) -> Column:
 def with_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's spark.checkpoint.dir, or, where it is unset (tests), a folder of our own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+class Scratch:
+    """Tables written to the shared folder that spark.checkpoint.dir names, to cut lineage.
+
+    A written table is computed once (checkpoint() computes its last stage twice) and survives lost executors. Where
+    the setting is unset, as in tests, a folder of our own serves. What is no longer read can be dropped.
+    """
+
+    def __init__(self, spark: SparkSession):
+        sc = spark.sparkContext
+        self.spark, have = spark, sc._jsc.sc().getCheckpointDir()
+        if not have.isDefined():
+            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+            have = sc._jsc.sc().getCheckpointDir()
+        self.root, self.n, self.paths = f"{have.get()}/tables-{uuid.uuid4().hex}", 0, {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete saved tables; nothing may read them any more."""
+        for df in frames:
+            path, _ = self.paths.pop(id(df))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_volume(docs: DataFrame, text: str = "text") -> int:
