@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import decontaminate, line_frequency
+from lodeweave.llm import decontaminate, line_frequency, mixing, sharding
 from lodeweave.llm.dart_minhash import op7_dart_minhash
 from lodeweave.llm.substring_dedup import op1_substring_dedup
 
@@ -10,9 +10,12 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_line_frequency": line_frequency.op5_line_frequency,
     "op7_dart_minhash": op7_dart_minhash,
+    "op8_mixing": mixing.op8_mixing,
+    "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op5_line_frequency": line_frequency.ORACLE,
+    "op8_mixing": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
