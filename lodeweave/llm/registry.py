@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import decontaminate, line_frequency, mixing, sharding
+from lodeweave.llm import decontaminate, language, line_frequency, mixing, sharding, toxicity
 from lodeweave.llm.dart_minhash import op7_dart_minhash
 from lodeweave.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_language": language.op4_language,
     "op5_line_frequency": line_frequency.op5_line_frequency,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_mixing": mixing.op8_mixing,

@@ -73,3 +73,13 @@ def text_volume(docs: DataFrame, text: str = "text") -> int:
 def groups_for(docs: DataFrame, text: str = "text", chars: int = 6_000_000) -> int:
     """How many groups of about ``chars`` characters the texts make: more input makes more groups, not larger ones."""
     return max(8, -(-text_volume(docs, text) // chars))
+
+
+def hash_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``: all of them, or those whose hash ``key`` is low. The same rows on every run."""
+    kept, share, out = df.count(), 1.0, df
+    while kept > most:
+        share *= 0.97 * most / kept
+        out = df.filter(F.pmod(key, F.lit(1 << 31)) < F.lit(int(share * (1 << 31))))
+        kept = out.count()
+    return out

@@ -19,6 +19,8 @@ _BYTE_BASE, _WORD_BASE, _SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything of ASCII but letters and digits, for words without punctuation.
+NOT_ALNUM = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -56,14 +58,14 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 class Scan:
     """Words of consecutive texts: byte ranges, 64-bit hashes, and the range of words of each text."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _IS_SPACE):
         raw = raw[offsets[0] : offsets[-1]]
         self.offsets = offsets - offsets[0]
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         self.raw = raw
         n = len(raw)
-        word = ~_IS_SPACE[raw]
+        word = ~separators[raw]
         cut = np.zeros(n + 1, bool)  # a text starts here
         cut[self.offsets] = True
         before = np.zeros(n, bool)
@@ -107,7 +109,7 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def scans(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES, lower: bool = False) -> Iterator[tuple[int, int, Scan]]:
+def scans(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES, lower: bool = False, separators: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, int, Scan]]:
     """(first row, row after the last, Scan) for chunks of whole texts."""
     base = 0
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
@@ -116,6 +118,6 @@ def scans(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES, lo
         while at < len(part):
             to = int(np.searchsorted(offsets, offsets[at] + chunk_bytes, "right")) - 1
             to = min(max(to, at + 1), len(part))
-            yield base + at, base + to, Scan(raw, offsets[at : to + 1], lower)
+            yield base + at, base + to, Scan(raw, offsets[at : to + 1], lower, separators)
             at = to
         base += len(part)
