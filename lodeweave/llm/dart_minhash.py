@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import table, with_checkpoints
+from lodeweave.llm.shared import Scratch, table
 from lodeweave.llm.textscan import Scan, mix, scans
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -167,72 +167,79 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str,
     return both.mapInArrow(lambda it: _similarities(it, size), f"a {kind}, b {kind}, d double").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """id, label: the least id of each connected component of ``edges`` (a, b). Labels spread to neighbours and jump to
     their label's label, so long chains take few rounds."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    both = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).withColumn("label", F.least("id", "label")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         hop = labels.select(F.col("id").alias("label"), F.col("label").alias("jump"))
-        new = (
-            labels.join(near, "id")
-            .join(hop, "label", "left")
-            .select("id", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved"))
-            .checkpoint()
-        )
-        labels = new.drop("moved")
-        if not new.filter("moved").limit(1).count():
-            return labels
+        step = labels.join(near, "id").join(hop, "label")
+        new = scratch.save(step.select("id", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved")))
+        moved = new.filter("moved").limit(1).count()
+        scratch.drop(labels)
+        labels = new
+        if not moved:
+            scratch.drop(both)
+            return labels.select("id", "label")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, exact_after: int = 4
 ) -> DataFrame:
     """Class of near-duplicates of each row of ``docs``: the id, n_words, class_id, kept.
 
     Documents of a class are connected by links of at least ``similarity``; class_id is the least id of the class and
-    kept is true for one row of it. Texts whose words are equal are of one class. A text without words, a null text
-    and a row without an id are linked to nothing: class_id is the row's own id, kept is true. Repeated rows of one
-    id are one class, and all of them are kept; different texts of one id are one node.
+    kept is true for the rows of that id. Texts whose words are equal are of one class. A text without words, a null
+    text and a row without an id are linked to nothing: class_id is the row's own id, kept is true. Different texts
+    of one id are one node. ``exact_after``: while the pairs left open are more than so many times the bands' members,
+    further pivots are tried first; it sets the order of the work and not its result.
     """
-    with_checkpoints(docs.sparkSession)
-    signed = signatures(docs, id_col, text_col, shingle, bands, rows).checkpoint()
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.save(signatures(docs, id_col, text_col, shingle, bands, rows))
     linkable = signed.filter((F.col("n_words") > 0) & F.col("id").isNotNull())
-    content = linkable.groupBy("content").agg(F.min("id").alias("id"))
-    nodes = content.join(linkable, ["content", "id"]).dropDuplicates(["id", "content"])
+    content = linkable.groupBy("content").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
+    nodes = scratch.save(content)
     # A band's members, where it has two: its first pivot is the least id, found by partial sums, not by gathering.
     member = nodes.select("id", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("band", "first")
-    member = member.join(shared, "band").distinct().checkpoint()
+    member = scratch.save(member.join(shared, "band").distinct())
     limit = 1.0 - similarity + 1e-9
 
     pairs = member.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    tested = _verified(docs, pairs, nodes, id_col, text_col, shingle).checkpoint()
-    links = tested.filter(F.col("d") <= limit).select("a", "b")
-    label = components(links)
-    done = tested.select("a", "b")
+    tested = scratch.save(_verified(docs, pairs, nodes, id_col, text_col, shingle))
+    label = components(scratch, tested.filter(F.col("d") <= limit))
     # Distances to the first pivot of each band, for the triangle bound; the pivot's own is 0.
-    placed = member.join(tested.withColumnsRenamed({"a": "id", "b": "first"}), ["id", "first"], "left").withColumn("d", F.when(F.col("id") == F.col("first"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))).checkpoint()
+    known = tested.withColumnsRenamed({"a": "id", "b": "first"})
+    placed = member.join(known, ["id", "first"], "left").withColumn("d", F.when(F.col("id") == F.col("first"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
+    placed = scratch.save(placed)
+    tests = tested.select("a", "b")
 
-    def open_bands() -> DataFrame:
-        """Members, with labels, of the bands that still hold more than one component and more than their pivot and one."""
+    def open_bands() -> tuple[DataFrame, int, int]:
+        """Members, with labels, of the bands where two components besides the pivot are left; how many pairs and members."""
         at = placed.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        split = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi and n > 2").select("band")
-        return at.join(split, "band")
-
-    def resolve(found: DataFrame) -> int:
-        nonlocal links, label, done
+        sizes = at.groupBy("band", "label").agg(F.count_if(F.col("d") > 0).alias("n"))
+        left = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("labels"))
+        left = scratch.save(left.filter("labels > 1 and n > 1").select("band", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).filter("pairs > 0"))
+        total = left.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        return at.join(left.select("band"), "band"), int(total["p"]), int(total["n"])
+
+    def resolve(found: DataFrame) -> None:
+        nonlocal label, tests
         fresh = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        old = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = fresh.join(old, ["a", "b"], "left_anti").checkpoint()
-        if not fresh.limit(1).count():
-            return 0
-        got = _verified(docs, fresh, nodes, id_col, text_col, shingle).checkpoint()
-        done = done.unionByName(got.select("a", "b"))
-        links = links.unionByName(got.filter(F.col("d") <= limit).select("a", "b"))
-        label = components(links)
-        return 1
+        old = tests.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = scratch.save(fresh.join(old, ["a", "b"], "left_anti"))
+        got = scratch.save(_verified(docs, fresh, nodes, id_col, text_col, shingle))
+        tests = tests.unionByName(got.select("a", "b"))
+        of = lambda side: label.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+        new = got.filter(F.col("d") <= limit).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        new = new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+        new = scratch.save(new)
+        if new.limit(1).count():
+            moved = components(scratch, new)
+            whole = label.unionByName(moved.select("id", F.col("id").alias("label")).join(label.select("id"), "id", "left_anti"))
+            label = scratch.save(whole.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
 
     def cross(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of a band whose components differ and whose distances to the first pivot allow a link."""
@@ -240,26 +247,26 @@ def near_duplicates(
         x = left.select("band", F.col("id").alias("x"), F.col("label").alias("label_x"), F.col("d").alias("dx"))
         return x.join(y, "band").filter((F.col("label_x") != F.col("label_y")) & (F.abs(F.col("dx") - F.col("dy")) <= limit)).select("x", "y")
 
+    still, n_pairs, n_members = open_bands()
     for turn in range(1, PIVOTS):
-        still = open_bands().checkpoint()
-        if not still.limit(1).count():
+        if n_pairs <= exact_after * n_members:
             break
-        pivot = still.groupBy("band").agg(F.min_by(F.struct("id", "label", "d"), F.xxhash64("id", F.lit(turn))).alias("p")).select("band", "p.*")
-        resolve(cross(still.filter(F.col("d") > 0), pivot.filter(F.col("d") > 0)))
-    still = open_bands().checkpoint()
-    if still.limit(1).count():
-        # What is left, exactly: first against the component of the first pivot, then among the others.
+        pivot = still.filter("d > 0").groupBy("band").agg(F.min_by(F.struct("id", "label", "d"), F.xxhash64("id", F.lit(turn))).alias("p")).select("band", "p.*")
+        resolve(cross(still.filter("d > 0"), pivot))
+        still, n_pairs, n_members = open_bands()
+    if n_pairs > exact_after * n_members:
+        # Many are open: first against the component of the first pivot, which may connect them all.
         home = still.filter("id = first").select("band", F.col("label").alias("home"))
-        near = still.join(home, "band").filter(F.col("d") > 0)
+        near = still.join(home, "band").filter("d > 0")
         resolve(cross(near.filter("label <> home"), near.filter("label = home")))
-        still = open_bands().filter(F.col("d") > 0).checkpoint()
-        resolve(cross(still, still).filter("x < y"))
-    by_content = content.join(label, "id", "left").select("content", F.coalesce("label", "id").alias("class_id"))
-    out = linkable.join(by_content, "content").select("id", "n_words", "class_id", "content")
-    out = out.unionByName(signed.filter((F.col("n_words") == 0) | F.col("id").isNull()).select("id", "n_words", F.col("id").alias("class_id"), "content"))
-    first = out.filter((F.col("n_words") > 0) & F.col("id").isNotNull()).groupBy("class_id").agg(F.min("id").alias("keep"))
-    out = out.join(first, "class_id", "left").withColumn("kept", F.coalesce((F.col("id") == F.col("keep")) | (F.col("n_words") == 0), F.lit(True)))
-    return out.select(F.col("id").alias(id_col), "n_words", "class_id", "kept")
+        still, n_pairs, n_members = open_bands()
+    if n_pairs:
+        rest = still.filter("d > 0")
+        resolve(cross(rest, rest).filter("x < y"))
+    by_content = nodes.select("content", "id").join(label, "id", "left").select("content", F.coalesce("label", "id").alias("class_id"))
+    linked = linkable.join(by_content, "content").select("id", "n_words", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    alone = signed.filter((F.col("n_words") == 0) | F.col("id").isNull()).select("id", "n_words", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_words", "class_id", "kept")
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

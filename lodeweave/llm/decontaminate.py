@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import table, with_checkpoints
+from lodeweave.llm.shared import Scratch, table
 
 WINDOW = 10
 MAX_SET = 100_000
@@ -100,8 +100,8 @@ def find_contamination(
     Null and blank texts have no words and no hits; items without words have no windows, repeated items count once.
     An empty benchmark leaves every document clean.
     """
-    with_checkpoints(docs.sparkSession)
-    grams = benchmark_grams(items, item_id, item_text, window).checkpoint()
+    scratch = Scratch(docs.sparkSession)
+    grams = scratch.save(benchmark_grams(items, item_id, item_text, window))
     distinct = grams.select("len", "gram", "h").distinct()
     own = docs.drop("bench_words", "bench_spans", "bench_items")
     known = distinct.limit(max_set + 1).collect()
@@ -118,7 +118,7 @@ def find_contamination(
     scanned = scanned.withColumn("bench_spans", _spans(F.col("_hits")))
     # Which items a text hits follows from its set of windows: looked up once for each such set, and not by id.
     scanned = scanned.withColumn("_windows", F.array_sort(F.array_distinct(F.transform("_hits", lambda x: F.struct(x["len"].alias("len"), x["h"].alias("h")))))).drop("_hits")
-    scanned = scanned.withColumn("_set", F.when(F.size("_windows") > 0, F.md5(F.to_json("_windows")))).checkpoint()
+    scanned = scratch.save(scanned.withColumn("_set", F.when(F.size("_windows") > 0, F.md5(F.to_json("_windows")))))
     sets = scanned.filter(F.col("_set").isNotNull()).groupBy("_set").agg(F.first("_windows").alias("w")).select("_set", F.explode("w").alias("w"))
     items_of = sets.select("_set", "w.len", "w.h").join(grams.select("len", "h", "item").distinct(), ["len", "h"]).groupBy("_set").agg(F.array_sort(F.collect_set("item")).alias("bench_items"))
     clean = scanned.filter(F.col("_set").isNull()).withColumn("bench_items", F.array().cast("array<string>"))
