@@ -87,10 +87,13 @@ def edge_colour(kind: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """Bytes in the largest unit that gives 1 or more, with two decimals."""
+    """Bytes in the largest unit that gives 1 or more, with two decimals, rounded half up in whole numbers."""
     out = F.when(size.isNull() | (size <= 0), "0 B")
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
-        out = out.when(size >= 1024**power, F.concat(F.format_string("%.2f", size / float(1024**power)), F.lit(f" {unit}")))
+        step = 1024**power
+        hundredths = F.floor((size % step * 100 + step // 2) / step)
+        whole = F.floor(size / step) + F.floor(hundredths / 100)
+        out = out.when(size >= step, F.concat(whole.cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {unit}")))
     return out.otherwise(F.concat(size.cast("string"), F.lit(" B")))
 
 

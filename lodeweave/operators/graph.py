@@ -86,3 +86,68 @@ def layered_edges(spark, nodes: int, layers: int) -> DataFrame:
     hop = n.select("layer", "i", F.explode(F.array(F.col("i"), F.pmod(F.col("i") + 1, F.lit(per)))).alias("j")).distinct()
     name = lambda layer, i: F.concat(F.lit("L"), layer.cast("string"), F.lit(".T.c"), i.cast("string"))
     return hop.select(name(F.col("layer"), F.col("i")).alias("src"), name(F.col("layer") + 1, F.col("j")).alias("tgt"))
+
+
+def touching(edges: DataFrame, database: str) -> DataFrame:
+    """Edges with an end in the database. The name is a whole name: no wildcards."""
+    return edges.filter(F.col("source_dataset").startswith(f"{database}.") | F.col("target_dataset").startswith(f"{database}."))
+
+
+def of_databases(edges: DataFrame, databases: list[str]) -> DataFrame:
+    """Edges that start in one of the databases; an empty list keeps all."""
+    return edges.filter(database_of(F.col("source_dataset")).isin(*databases)) if databases else edges
+
+
+def catalog_nodes(datasets: DataFrame, fields: DataFrame) -> DataFrame:
+    """node, field_type, nullable, source_type of the registered columns."""
+    f = fields.join(datasets.select("dataset_id", "name", "source_type"), "dataset_id")
+    return f.select(F.concat_ws(".", "name", "field_name").alias("node"), "name", "field_type", F.coalesce(F.col("nullable") == "Y", F.lit(False)).alias("nullable"), F.coalesce("source_type", F.lit("TABLE")).alias("source_type"))
+
+
+def database_nodes(edges: DataFrame, datasets: DataFrame, fields: DataFrame, database: str) -> DataFrame:
+    """node, field_type, nullable, source_type, own: all columns of the database, and the outer ends of its edges with the
+    type that the catalog has for them, in one join instead of a lookup for each."""
+    known = catalog_nodes(datasets, fields)
+    prefix = f"{database}."
+    own = known.filter(F.col("name").startswith(prefix)).drop("name").withColumn("own", F.lit(True))
+    outer = nodes_of(touching(edges, database)).filter(~F.col("dataset").startswith(prefix)).select("node", "dataset").distinct()
+    kinds = datasets.select(F.col("name").alias("dataset"), F.col("source_type").alias("kind"))
+    found = outer.join(known.drop("name", "source_type"), "node", "left").join(kinds, "dataset", "left")
+    return own.unionByName(found.select("node", "field_type", F.coalesce("nullable", F.lit(False)).alias("nullable"), F.coalesce("kind", F.lit("TABLE")).alias("source_type"), F.lit(False).alias("own")))
+
+
+def expand_database(edges: DataFrame, database: str, *, direction: str = "both", max_depth: int = 3) -> DataFrame:
+    """lineage_id, depth of the edges within max_depth steps of the database's columns. Both directions are one list of
+    directed steps, so each level is an equi-join."""
+    ways = []
+    if direction in ("both", "downstream"):
+        ways.append(edges.select(F.col("src").alias("at"), F.col("tgt").alias("node"), "lineage_id"))
+    if direction in ("both", "upstream"):
+        ways.append(edges.select(F.col("tgt").alias("at"), F.col("src").alias("node"), "lineage_id"))
+    steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    level, n = cut(nodes_of(edges).filter(F.col("dataset").startswith(f"{database}.")).select("node").distinct())
+    seen, out = level, None
+    for depth in range(1, max_depth + 1):
+        if n == 0:
+            break
+        found = steps.join(level.withColumnRenamed("node", "at"), "at").select("lineage_id", "node", F.lit(depth).alias("depth"))
+        out = found if out is None else out.unionByName(found)
+        if depth < max_depth:
+            level, n = cut(found.select("node").distinct().join(seen, "node", "left_anti"))
+            seen = seen.unionByName(level)
+    return edges.sparkSession.createDataFrame([], "lineage_id string, depth int") if out is None else out.groupBy("lineage_id").agg(F.min("depth").alias("depth"))
+
+
+def page_by_tables(edges: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
+    """Edges of one page of source tables, with total_tables, total_pages and has_next. Tables are distinct first, so the
+    sort is over names and not over edges."""
+    names = edges.select("source_dataset").distinct()
+    total = names.count()
+    wanted = names.orderBy("source_dataset").offset((page - 1) * size).limit(size)
+    out = edges.join(F.broadcast(wanted), "source_dataset", "left_semi")  # at most `size` names
+    return out.select("lineage_id", "src", "tgt", F.lit(total).cast("long").alias("total_tables"), F.lit(-(-total // size)).cast("long").alias("total_pages"), F.lit(total > page * size).alias("has_next"))
+
+
+def orphans(edges: DataFrame, known: DataFrame, end: str) -> DataFrame:
+    """lineage_id and the end of the edges whose end the catalog lacks."""
+    return edges.join(known.select(F.col("node").alias(end)), end, "left_anti").select("lineage_id", end)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodeweave.plans import lineage
+from lodeweave.plans import catalog, etl, extraction, graph, lineage, scalars
 
-MODULES = (lineage,)
+MODULES = (lineage, catalog, graph, scalars, etl, extraction)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -90,22 +90,25 @@ class Frames:
 
     @property
     def log(self) -> DataFrame:
-        """Logged statements of the events: header (query_id, proc_id, statement_type, start_time, ...) and text in one row."""
-        e = self.table("events")
-        kind = F.when(F.col("event_type") == "click", "Insert").when(F.col("event_type") == "view", "Create View").when(F.col("event_type") == "purchase", "Merge Into").when(F.col("event_type") == "signup", "Update").otherwise("Select")
-        u = F.concat(F.lit(""), (F.col("user_id") % 50).cast("string"))
-        sql = (
-            F.when(F.col("event_id") % 97 == 0, F.lit(None))
-            .when(F.col("event_type") == "click", F.concat(F.lit("INSERT INTO stg.t"), u, F.lit(" (id, full_name, total)  SELECT s.id, s.first || ' ' || s.last AS full_name, SUM(o.amount) FROM src.c"), u, F.lit(" s JOIN src.o"), u, F.lit(" o ON s.id = o.id GROUP BY s.id;")))
-            .when(F.col("event_type") == "view", F.concat(F.lit("CREATE VIEW rpt.v"), u, F.lit(" AS SELECT a.k AS k, a.v AS v FROM dim.d"), u, F.lit(" a")))
-            .when(F.col("event_type") == "purchase", F.concat(F.lit("MERGE INTO dim.m"), u, F.lit(" USING stg.t"), u, F.lit(" s ON s.id = m.id WHEN MATCHED THEN UPDATE SET total = s.total")))
-            .when(F.col("event_type") == "signup", F.concat(F.lit("UPDATE dim.m"), u, F.lit(" FROM stg.t"), u, F.lit(" s SET name = s.full_name")))
-            .otherwise("SELECT 1")
-        )
-        return e.select(
-            F.col("event_id").alias("query_id"), F.lit(1).alias("proc_id"), kind.alias("statement_type"), F.col("ts").alias("start_time"), F.lit("stg").alias("default_database"),
-            F.when(F.col("event_id") % 10 == 0, 3807).otherwise(0).alias("error_code"), F.when(F.col("event_id") % 13 == 0, 2).otherwise(1).alias("sql_row_no"), sql.alias("sql_text"),
-        )
+        return log_of(self.table("events"))
+
+
+def log_of(e: DataFrame) -> DataFrame:
+    """Logged statements of the events, a batch or a stream: header (query_id, proc_id, statement_type, start_time, ...) and text in one row."""
+    kind = F.when(F.col("event_type") == "click", "Insert").when(F.col("event_type") == "view", "Create View").when(F.col("event_type") == "purchase", "Merge Into").when(F.col("event_type") == "signup", "Update").otherwise("Select")
+    u = F.concat(F.lit(""), (F.col("user_id") % 50).cast("string"))
+    sql = (
+        F.when(F.col("event_id") % 97 == 0, F.lit(None))
+        .when(F.col("event_type") == "click", F.concat(F.lit("INSERT INTO stg.t"), u, F.lit(" (id, full_name, total)  SELECT s.id, s.first || ' ' || s.last AS full_name, SUM(o.amount) FROM src.c"), u, F.lit(" s JOIN src.o"), u, F.lit(" o ON s.id = o.id GROUP BY s.id;")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("CREATE VIEW rpt.v"), u, F.lit(" AS SELECT a.k AS k, a.v AS v FROM dim.d"), u, F.lit(" a")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("MERGE INTO dim.m"), u, F.lit(" USING stg.t"), u, F.lit(" s ON s.id = m.id WHEN MATCHED THEN UPDATE SET total = s.total")))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("UPDATE dim.m"), u, F.lit(" FROM stg.t"), u, F.lit(" s SET name = s.full_name")))
+        .otherwise("SELECT 1")
+    )
+    return e.select(
+        F.col("event_id").alias("query_id"), F.lit(1).alias("proc_id"), kind.alias("statement_type"), F.col("ts").alias("start_time"), F.lit("stg").alias("default_database"),
+        F.when(F.col("event_id") % 10 == 0, 3807).otherwise(0).alias("error_code"), F.when(F.col("event_id") % 13 == 0, 2).otherwise(1).alias("sql_row_no"), sql.alias("sql_text"),
+    )
 
 
 _CODES_SQL = ", ".join("NULL" if c is None else f"'{c}'" for c in CODES)

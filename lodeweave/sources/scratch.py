@@ -5,12 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a level that may pass through the driver as a literal relation; more are written.
 LOCAL_ROWS = 4_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: of spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> tuple[DataFrame, int | None]:
     """The rows of ``df`` without its plan, and their number if it is at most LOCAL_ROWS.
 
@@ -18,12 +26,9 @@ def cut(df: DataFrame) -> tuple[DataFrame, int | None]:
     spark.checkpoint.dir names (a temporary folder where it is unset, as in tests) and read again.
     """
     spark = df.sparkSession
-    few = df.limit(LOCAL_ROWS + 1).collect()
-    if len(few) <= LOCAL_ROWS:
-        return spark.createDataFrame(few, df.schema), len(few)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/levels-{uuid.uuid4().hex}"
+    few = df.limit(LOCAL_ROWS + 1).toArrow()
+    if few.num_rows <= LOCAL_ROWS:
+        return spark.createDataFrame(few, df.schema), few.num_rows
+    path = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), None
