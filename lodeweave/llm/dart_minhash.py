@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.shared import Scratch, table
-from lodeweave.llm.textscan import Scan, mix, scans
+from lodeweave.llm.textscan import CHUNK_BYTES, Scan, buffers, mix, scans
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
@@ -128,9 +128,19 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _sign(it, shingle, bands, rows), f"id {kind}, content binary, n_words long, bands array<long>")
 
 
+def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about CHUNK_BYTES of text: a row or more each."""
+    ends = np.cumsum(sum(np.diff(buffers(batch.column(c))[1]) for c in columns))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _similarities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """a, b, distance of each row (a, b, content_a, content_b, text_a, text_b); rows with another's text go."""
-    for batch in batches:
+    for batch in (x for b in batches for x in _slices(b, ("text_a", "text_b"))):
         sides = []
         for c in ("text_a", "text_b"):
             own = []
@@ -145,8 +155,8 @@ def _similarities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(n)
                 distance.append(1.0 - both / max(1, len(x) + len(y) - both))
-        rows = batch.take(pa.array(keep, pa.int64()))
-        yield pa.record_batch([rows.column("a"), rows.column("b"), pa.array(distance, pa.float64())], ["a", "b", "d"])
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at), pa.array(distance, pa.float64())], ["a", "b", "d"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
