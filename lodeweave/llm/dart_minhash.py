@@ -180,13 +180,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str,
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """id, label: the least id of each connected component of ``edges`` (a, b). Labels spread to neighbours and jump to
     their label's label, so long chains take few rounds."""
-    both = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).withColumn("label", F.least("id", "label")))
+    both = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), narrow=True)
+    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).withColumn("label", F.least("id", "label")), narrow=True)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         hop = labels.select(F.col("id").alias("label"), F.col("label").alias("jump"))
         step = labels.join(near, "id").join(hop, "label")
-        new = scratch.save(step.select("id", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved")))
+        new = scratch.save(step.select("id", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved")), narrow=True)
         moved = new.filter("moved").limit(1).count()
         scratch.drop(labels)
         labels = new
@@ -231,7 +231,7 @@ def near_duplicates(
         at = placed.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         sizes = at.groupBy("band", "label").agg(F.count_if(F.col("d") > 0).alias("n"))
         left = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("labels"))
-        left = scratch.save(left.filter("labels > 1 and n > 1").select("band", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).filter("pairs > 0"))
+        left = scratch.save(left.filter("labels > 1 and n > 1").select("band", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).filter("pairs > 0"), narrow=True)
         total = left.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         return at.join(left.select("band"), "band"), int(total["p"]), int(total["n"])
 
@@ -239,17 +239,17 @@ def near_duplicates(
         nonlocal label, tests
         fresh = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         old = tests.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = scratch.save(fresh.join(old, ["a", "b"], "left_anti"))
-        got = scratch.save(_verified(docs, fresh, nodes, id_col, text_col, shingle))
+        fresh = scratch.save(fresh.join(old, ["a", "b"], "left_anti"), narrow=True)
+        got = scratch.save(_verified(docs, fresh, nodes, id_col, text_col, shingle), narrow=True)
         tests = tests.unionByName(got.select("a", "b"))
         of = lambda side: label.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
         new = got.filter(F.col("d") <= limit).join(of("a"), "a", "left").join(of("b"), "b", "left")
         new = new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
-        new = scratch.save(new)
+        new = scratch.save(new, narrow=True)
         if new.limit(1).count():
             moved = components(scratch, new)
             whole = label.unionByName(moved.select("id", F.col("id").alias("label")).join(label.select("id"), "id", "left_anti"))
-            label = scratch.save(whole.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+            label = scratch.save(whole.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), narrow=True)
 
     def cross(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of a band whose components differ and whose distances to the first pivot allow a link."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import hash_sample, table
+from lodeweave.llm.shared import free_name, hash_sample, table
 from lodeweave.llm.textscan import mix
 
 SAMPLE = 12_000  # labelled texts to learn from, at most: those of least hash
@@ -194,7 +194,7 @@ def _predict(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.Re
             k, s = model.predict(w)
             lang += names[k].tolist()
             score += s.tolist()
-        yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "_lang", "_score"])
+        yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -205,10 +205,12 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """
     packed = pickle.dumps((model.langs, model.words, model.grams))
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # of bounded size: MOST_WORDS and MOST_GRAMS
-    own = docs.drop("lang_pred", "lang_score").withColumn("_text", F.col(text_col))
+    own = docs.drop("lang_pred", "lang_score")
+    scanned = free_name(own, "_text")
+    own = own.withColumn(scanned, F.col(text_col))
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    out = own.mapInArrow(lambda it: _predict(it, shared.value), f"{spec}, _lang string, _score double")
-    return out.drop("_text").withColumnsRenamed({"_lang": "lang_pred", "_score": "lang_score"})
+    out = own.mapInArrow(lambda it: _predict(it, shared.value), f"{spec}, lang_pred string, lang_score double")
+    return out.drop(scanned)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,13 @@ class Scratch:
             have = sc._jsc.sc().getCheckpointDir()
         self.root, self.n, self.paths = f"{have.get()}/tables-{uuid.uuid4().hex}", 0, {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *, narrow: bool = False) -> DataFrame:
+        """``narrow``: rows of a few numbers, for which a partition or two for each core of the cluster is enough. Without
+        it a small table is written as one file for each shuffle partition."""
         self.n += 1
         path = f"{self.root}/{self.n}"
+        if narrow:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
@@ -65,6 +69,14 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added while ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_volume(docs: DataFrame, text: str = "text") -> int:
     """Characters of all texts: what group counts are sized by."""
     return int(docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from lodeweave.llm.shared import hash_sample, table
+from lodeweave.llm.shared import free_name, hash_sample, table
 from lodeweave.llm.textscan import NOT_ALNUM, scans
 
 SAMPLE = 10_000  # labelled rows to train on, at most: those of least hash
@@ -116,7 +116,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([pickle.dumps(packed)], pa.binary())], ["model"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], chain: list[tuple[np.ndarray, np.ndarray, float]], categories: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], chain: list[tuple[np.ndarray, np.ndarray, float]], categories: int, name: str) -> Iterator[pa.RecordBatch]:
     known = np.zeros(1 << FEATURE_BITS, bool)
     for w, _, _ in chain:
         known |= w != 0
@@ -130,7 +130,7 @@ def _score(batches: Iterator[pa.RecordBatch], chain: list[tuple[np.ndarray, np.n
             parts.append(p)
         p = np.concatenate(parts) if parts else np.zeros((0, categories))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), categories).cast(pa.list_(pa.float64()))
-        yield pa.record_batch([*batch.columns, lists], [*batch.schema.names, "_p"])
+        yield pa.record_batch([*batch.columns, lists], [*batch.schema.names, name])
 
 
 def toxicity(
@@ -155,11 +155,13 @@ def toxicity(
         chain.append((whole, d, b))
     n = len(names)
     # The text is last: the scorer reads it there and passes the other columns through.
-    own = docs.drop("toxic", *[f"tox_{c}" for c in names]).withColumn("_text", F.col(text_col))
-    schema = StructType([*own.schema.fields, StructField("_p", ArrayType(DoubleType()))])
-    out = own.mapInArrow(lambda it: _score(it, chain, n), schema).drop("_text")
-    out = out.withColumns({f"tox_{c}": F.col("_p")[k] for k, c in enumerate(names)}).drop("_p")
-    return out.withColumn("toxic", F.col(f"tox_{names[-1]}") > threshold)
+    own = docs.drop("toxic", *[f"tox_{c}" for c in names])
+    scanned, p = free_name(own, "_text"), free_name(own, "_p")
+    own = own.withColumn(scanned, F.col(text_col))
+    schema = StructType([*own.schema.fields, StructField(p, ArrayType(DoubleType()))])
+    out = own.mapInArrow(lambda it: _score(it, chain, n, p), schema).drop(scanned)
+    out = out.withColumns({f"tox_{c}": F.col(p)[k] for k, c in enumerate(names)}).drop(p)
+    return out.withColumn("toxic", (F.col(f"tox_{names[-1]}") > threshold) & F.lit(bool(chain)))
 
 
 def label_categories() -> dict[str, Column]:
