@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import table
+from lodeweave.llm.shared import free_name, table
 
 SIGMA, REGION_SHARE = 1.0, 0.9
 
@@ -182,8 +182,10 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     Null and empty pages give an empty text, and so do pages of menus and the like alone. White space in a block becomes
     one space, character references are decoded, unclosed and unmatched tags are borne. Pages are parsed whole.
     """
-    own = pages.drop("main_text").withColumn("_html", F.col(html_col)).drop(html_col)
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop("_html").schema.fields)
+    own = pages.drop("main_text")
+    scanned = free_name(own, "_html")
+    own = own.withColumn(scanned, F.col(html_col)).drop(html_col)
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop(scanned).schema.fields)
     return own.mapInArrow(_extract, f"{spec}{', ' if spec else ''}main_text string")
 
 

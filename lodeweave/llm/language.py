@@ -181,6 +181,9 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     counts = hash_sample(rows, F.col("key"), sample).select("text", "lang").mapInArrow(_count, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     counts = counts.filter(F.col("n") >= MIN_COUNT)
     found = counts.repartition(1).mapInArrow(_build, "model binary").first()
+    if found is None:  # nothing to learn from
+        none = np.zeros(0, np.int64)
+        return Model([], *(lambda t: (t, [t] * LONGEST))(Table(none.view(np.uint64), none, none, 0, MOST_WORDS)))
     langs, tables = pickle.loads(found["model"])
     return Model(langs, tables[0], tables[1:])
 

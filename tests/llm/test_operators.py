@@ -136,6 +136,7 @@ def test_language_of_odd_rows(spark, odd):
     got = language.identify(odd, model).collect()
     assert len(got) == 9
     assert {r["lang_pred"] for r in got if not re.search(r"[^\W\d_]", r["text"] or "")} == {"und"}
+    assert {r["_text"] for r in got} == {"mine"}
     empty = odd.limit(0)
     assert language.identify(empty, language.train(empty)).count() == 0
     assert {r["lang_pred"] for r in language.identify(odd, language.train(empty)).collect()} == {"und"}
