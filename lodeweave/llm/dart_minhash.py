@@ -9,9 +9,10 @@ yields about ``k ln k`` of them whatever the number of shingles, and further whe
 
 *Joining.* Texts with equal words are one node. Coordinates make bands; nodes that share a band are candidates.
 Each shared band tests its members against one pivot only, never against each other. Members that stay apart are
-tested against further pivots, then exactly: all members of different components of a band whose distances to the
-first pivot allow a link (1 - weighted Jaccard is a metric). So no link among the candidates is lost, while tight
-groups of any size cost one test a member.
+tested against further pivots, then exactly. In small bands these are the pairs of different components whose
+distances to the first pivot allow a link (1 - weighted Jaccard is a metric). In large ones, blocks of texts are
+compared by products of sparse matrices, and a block returns a forest of links, so pairs are never rows. So no link
+among the candidates is lost, while tight groups of any size cost one test a member.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 PIVOTS = 4
 SALT_ROWS = 256
+SMALL_BAND = 32  # members still apart of a band whose pairs are listed; those of larger bands are compared in blocks
+BLOCK_TEXTS, BLOCK_WORDS, COLUMNS = 512, 200_000, 4096
 
 
 def shingles(s: Scan, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +180,79 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str,
     return both.mapInArrow(lambda it: _similarities(it, size), f"a {kind}, b {kind}, d double").distinct()
 
 
+def _shared_weights(of: np.ndarray, regions: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Regions that text left[i] and text right[j] share: a product of matrices, built for COLUMNS regions at a time."""
+    order = np.argsort(regions, kind="stable")
+    of, regions = of[order], regions[order]
+    column = np.cumsum(np.diff(regions, prepend=regions[:1]) != 0)
+    often = np.bincount(column) > 1  # a region of one text adds nothing
+    keep = often[column]
+    of, column = of[keep], (np.cumsum(often) - 1)[column[keep]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    total = int(column[-1]) + 1 if len(column) else 0
+    cuts = np.searchsorted(column, np.arange(0, total + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[of[a:b], column[a:b] - k * COLUMNS] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def _linked_labels(block: pa.Table, size: int, limit: float) -> pa.Table:
+    """a, b: links between the labels of a block's texts, as a spanning forest: no more rows than texts."""
+    i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+    of, regions, have = [], [], []
+    content = block.column("content").to_pylist()
+    for at, to, s in scans(block.column("text")):
+        o, r = unit_regions(*shingles(s, size))
+        of.append(o + at)
+        regions.append(r)
+        have += content_keys(s)
+    whose, shape = np.concatenate(of), np.array([x == y for x, y in zip(have, content)])
+    weight = np.bincount(whose, minlength=len(content))
+    own = block.column("own").to_numpy()
+    left, right = np.flatnonzero(shape & (own == i)), np.flatnonzero(shape & (own == j))
+    coded = block.column("label").combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy()
+    both = _shared_weights(whose, np.concatenate(regions), len(content), left, right)
+    distance = 1.0 - both / np.maximum(1, weight[left][:, None] + weight[right][None] - both.astype(np.float64))
+    x, y = np.nonzero((distance <= limit) & (code[left][:, None] != code[right][None]))
+    x, y, root = code[left[x]], code[right[y]], np.arange(len(coded.dictionary))
+    while True:
+        low = np.minimum(root[x], root[y])
+        if (root[x] == low).all() and (root[y] == low).all():
+            break
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": coded.dictionary.take(pa.array(moved)), "b": coded.dictionary.take(pa.array(root[moved]))})
+
+
+def _block_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, limit: float) -> DataFrame:
+    """Links (a, b) between labels of the ``members`` (band, id, label, home) of large bands, each block of texts against
+    each other block. Members with the band's most frequent label are linked already: their blocks meet the blocks of
+    the others only. Blocks have a bound of texts and words, so a task's memory does not grow with the band, and what a
+    block returns is a forest, not its pairs."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = members.select("band", "id", "label", (F.col("label") == F.col("home")).alias("at_home")).join(nodes.select("id", "content", "n_words"), "id")
+    parts = own.groupBy("band").agg(
+        *[
+            F.ceil(F.greatest(F.count_if(c) / BLOCK_TEXTS, F.sum(F.when(c, F.col("n_words")).otherwise(0)) / BLOCK_WORDS)).cast("int").alias(name)
+            for name, c in (("others", ~F.col("at_home")), ("homes", F.col("at_home")))
+        ]
+    )
+    own = own.join(parts, "band")
+    hashed = F.xxhash64("id", F.lit("block"))
+    own = own.withColumn("own", F.when(F.col("at_home"), F.col("others") + F.pmod(hashed, F.col("homes"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+    other = F.sequence(F.lit(0), F.when(F.col("at_home"), F.col("others")).otherwise(F.col("others") + F.col("homes")) - 1)
+    meet = own.withColumn("other", F.explode(other)).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "content"
+    )
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return meet.join(texts, "id").groupBy("band", "i", "j").applyInArrow(lambda t: _linked_labels(t, size, limit), f"a {kind}, b {kind}")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """id, label: the least id of each connected component of ``edges`` (a, b). Labels spread to neighbours and jump to
     their label's label, so long chains take few rounds."""
@@ -209,7 +285,7 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession)
     signed = scratch.save(signatures(docs, id_col, text_col, shingle, bands, rows))
     linkable = signed.filter((F.col("n_words") > 0) & F.col("id").isNotNull())
-    content = linkable.groupBy("content").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
+    content = linkable.groupBy("content").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.max("n_words").alias("n_words"))
     nodes = scratch.save(content)
     # A band's members, where it has two: its first pivot is the least id, found by partial sums, not by gathering.
     member = nodes.select("id", F.explode("bands").alias("band"))
@@ -227,16 +303,28 @@ def near_duplicates(
     tests = tested.select("a", "b")
 
     def open_bands() -> tuple[DataFrame, int, int]:
-        """Members, with labels, of the bands where two components besides the pivot are left; how many pairs and members."""
+        """Members, with labels, of the bands where two components besides the pivot are left; how many pairs and members.
+        ``many`` says whether a band has more than SMALL_BAND of them, ``home`` is its most frequent label."""
         at = placed.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         sizes = at.groupBy("band", "label").agg(F.count_if(F.col("d") > 0).alias("n"))
-        left = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("labels"))
-        left = scratch.save(left.filter("labels > 1 and n > 1").select("band", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).filter("pairs > 0"), narrow=True)
+        left = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("home"))
+        left = left.filter("labels > 1 and n > 1").select("band", "home", (F.col("n") > SMALL_BAND).alias("many"), "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
+        left = scratch.save(left.filter("pairs > 0"), narrow=True)
         total = left.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        return at.join(left.select("band"), "band"), int(total["p"]), int(total["n"])
+        return at.join(left.select("band", "home", "many"), "band"), int(total["p"]), int(total["n"])
+
+    def merge(links: DataFrame) -> None:
+        """Join the components whose labels are linked (a, b)."""
+        nonlocal label
+        new = scratch.save(links.filter("a <> b").distinct(), narrow=True)
+        if new.limit(1).count():
+            moved = components(scratch, new)
+            whole = label.unionByName(moved.select("id", F.col("id").alias("label")).join(label.select("id"), "id", "left_anti"))
+            label = scratch.save(whole.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), narrow=True)
 
-    def resolve(found: DataFrame) -> None:
-        nonlocal label, tests
+    def tested_links(found: DataFrame) -> DataFrame:
+        """Links between labels of those pairs (x, y) that were not tested before."""
+        nonlocal tests
         fresh = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         old = tests.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = scratch.save(fresh.join(old, ["a", "b"], "left_anti"), narrow=True)
@@ -244,12 +332,7 @@ def near_duplicates(
         tests = tests.unionByName(got.select("a", "b"))
         of = lambda side: label.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
         new = got.filter(F.col("d") <= limit).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        new = new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
-        new = scratch.save(new, narrow=True)
-        if new.limit(1).count():
-            moved = components(scratch, new)
-            whole = label.unionByName(moved.select("id", F.col("id").alias("label")).join(label.select("id"), "id", "left_anti"))
-            label = scratch.save(whole.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), narrow=True)
+        return new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
 
     def cross(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of a band whose components differ and whose distances to the first pivot allow a link."""
@@ -261,18 +344,16 @@ def near_duplicates(
     for turn in range(1, PIVOTS):
         if n_pairs <= exact_after * n_members:
             break
-        pivot = still.filter("d > 0").groupBy("band").agg(F.min_by(F.struct("id", "label", "d"), F.xxhash64("id", F.lit(turn))).alias("p")).select("band", "p.*")
-        resolve(cross(still.filter("d > 0"), pivot))
-        still, n_pairs, n_members = open_bands()
-    if n_pairs > exact_after * n_members:
-        # Many are open: first against the component of the first pivot, which may connect them all.
-        home = still.filter("id = first").select("band", F.col("label").alias("home"))
-        near = still.join(home, "band").filter("d > 0")
-        resolve(cross(near.filter("label <> home"), near.filter("label = home")))
+        before = n_pairs
+        pivot = still.filter("many and d > 0").groupBy("band").agg(F.min_by(F.struct("id", "label", "d"), F.xxhash64("id", F.lit(turn))).alias("p")).select("band", "p.*")
+        merge(tested_links(cross(still.filter("many and d > 0"), pivot)))
         still, n_pairs, n_members = open_bands()
+        if n_pairs > 0.75 * before:
+            break  # these are apart, and further pivots would not bring them together
     if n_pairs:
         rest = still.filter("d > 0")
-        resolve(cross(rest, rest).filter("x < y"))
+        small = rest.filter("not many")
+        merge(tested_links(cross(small, small).filter("x < y")).unionByName(_block_links(docs, rest.filter("many"), nodes, id_col, text_col, shingle, limit)))
     by_content = nodes.select("content", "id").join(label, "id", "left").select("content", F.coalesce("label", "id").alias("class_id"))
     linked = linkable.join(by_content, "content").select("id", "n_words", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
     alone = signed.filter((F.col("n_words") == 0) | F.col("id").isNull()).select("id", "n_words", F.col("id").alias("class_id"), F.lit(True).alias("kept"))

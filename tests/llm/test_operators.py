@@ -269,6 +269,25 @@ def test_near_duplicates_of_a_chain_and_of_open_bands(spark):
         assert got == brute_classes(texts)
 
 
+@pytest.mark.parametrize("after", [0, 4])
+def test_near_duplicates_in_blocks_equal_brute_force(spark, texts, monkeypatch, after):
+    """Near copies of one text that lie near the limit from each other, some of them apart, in blocks of a few texts."""
+    monkeypatch.setattr(dart_minhash, "SMALL_BAND", 1)
+    monkeypatch.setattr(dart_minhash, "BLOCK_TEXTS", 7)
+    base, rows = [f"t{i}" for i in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for k in range(1 + i % 5):
+            w[(i * 37 + k * 41) % 200] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(df, exact_after=after).collect()}
+    assert got == brute_classes(dict(rows))
+    assert len(set(got.values())) > 20
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.op7_dart_minhash(spark, SF_DIR).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = dart_minhash.near_duplicates(odd).collect()
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (5, 5), (6, 5), (7, 7)]
