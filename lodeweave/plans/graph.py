@@ -112,6 +112,12 @@ def edge_table_sorted(spark, d):
     return tables.ordered(_edge_table(spark, d), "confidence_score", descending=True).limit(100)
 
 
+@query(_EDGE_TABLE + " SELECT * FROM t ORDER BY coalesce(confidence_score, -1) DESC, lineage_id")
+def edge_table_sorted_all(spark, d):
+    """The whole table in order; edge_table_sorted is its first 100 rows, as its SQL says."""
+    return tables.ordered(_edge_table(spark, d), "confidence_score", descending=True)
+
+
 @query(_EDGE_TABLE + " SELECT * FROM t ORDER BY source_table, lineage_id LIMIT 25 OFFSET 50")
 def edge_table_page(spark, d):
     return tables.ordered(_edge_table(spark, d), "source_table").offset(50).limit(25)

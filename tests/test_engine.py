@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from harness import SF_DIR
 from pyspark.sql import functions as F
 
 from lodeweave.operators import extract, graph, serve, traverse
 from lodeweave.operators.numbering import numbered
+from lodeweave.plans import registry
 from lodeweave.sources import fixtures
 
 
@@ -91,3 +93,10 @@ def test_serving_helpers(spark):
 def test_database_expansion_by_direction(spark, patterns):
     assert {w: graph.expand_database(patterns, "demo", direction=w, max_depth=1).count() for w in ("both", "upstream")} == {"both": patterns.count(), "upstream": patterns.count()}
     assert graph.expand_database(patterns, "dem_", max_depth=2).count() == 0
+
+
+def test_sorted_edge_table_keeps_all_edges_in_order(spark):
+    every = [tuple(r) for r in registry.QUERIES["edge_table"](spark, SF_DIR).collect()]
+    got = [tuple(r) for r in registry.QUERIES["edge_table_sorted_all"](spark, SF_DIR).collect()]
+    assert len(every) > 100
+    assert got == sorted(every, key=lambda r: (1 if r[-1] is None else -r[-1], r[0]))
