@@ -2,7 +2,9 @@
 
 Lines are normalised and hashed; for each host the number of documents that hold a line is counted (each document
 once), lines above the host's limit are removed, and documents that keep too few of their words are rejected. The
-within-text measures are computed in the document's own row: only line hashes and counts are shuffled.
+within-text measures are computed in the document's own row. Only line hashes and counts are shuffled: the hashes of
+the frequent lines, up to ``MAX_SET`` of them, become a set inside the plan, and each row drops its own lines. More of
+them are joined to the lines, and the numbers of removed lines to the texts, which are shuffled then.
 """
 
 from __future__ import annotations
@@ -10,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import SPACES, WORD_SPLIT, Scratch, table, words_of
+from lodeweave.llm.shared import SPACES, WORD_SPLIT, Scratch, table, word_count, words_of
 
 MIN_DOCS, DOC_SHARE = 10, 0.005  # a line is boilerplate in more documents of a host than both allow
 MIN_KEPT = 0.5  # a document needs this share of its words on other lines
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 NGRAM = 3
+MAX_SET = 100_000  # frequent lines that the plan holds; more are joined
 
 
 def _let(value: Column, body) -> Column:
@@ -43,10 +46,12 @@ def normal_line(line: Column) -> Column:
 
 
 def line_quality(
-    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE, min_kept: float = MIN_KEPT, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED
+    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE, min_kept: float = MIN_KEPT, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, max_set: int = MAX_SET
 ) -> DataFrame:
-    """``docs``, without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line_words (words on lines that are too
-    frequent in the host), base_failed and kept added; added names replace columns of the same name.
+    """``docs``, its text without the lines that are too frequent in the host, with n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, line_words (words on the removed lines), base_failed and kept added; added names replace columns of
+    the same name. The other measures are of the text as given. The other lines stay as they are, blank ones too; a
+    rejected document's text is cleaned as well.
 
     A line is too frequent if more than max(min_docs, doc_share * documents of the host) documents of its host hold it;
     repeated rows are documents of their own. base_failed: fewer than ``min_words`` words, or more than
@@ -56,22 +61,32 @@ def line_quality(
     scratch = Scratch(docs.sparkSession)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_words", "base_failed", "kept"]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, SPACES, " ")) != "")
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    lines = F.filter(numbered, lambda x: F.trim(F.translate(x["line"], SPACES, " ")) != "")
     blank = F.translate(text, SPACES, "")
     own = docs.drop(*added).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")))
     own = own.withColumn("_words", _let(words_of(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))))
-    own = own.withColumn("_lines", _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.transform(x, lambda y: F.struct(F.xxhash64(normal_line(y)).alias("h"), F.size(words_of(y)).alias("n"))).alias("each"))))
+    own = own.withColumn("_lines", _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(F.transform(x, lambda y: y["line"])))).cast("long").alias("dup"), F.transform(x, lambda y: F.struct(F.xxhash64("_host", normal_line(y["line"])).alias("h"), y["i"].alias("i"))).alias("each"))))
     own = own.withColumn("word_chars", F.length(blank).cast("long")).withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
     own = own.withColumn("n_words", F.col("_words.n")).withColumn("n_repeat_words", F.col("_words.r")).withColumn("n_dup_lines", F.col("_lines.dup")).withColumn("_lines", F.col("_lines.each")).drop("_words")
     own = own.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words")))
     # Row numbers are fixed by writing them: ids may be null or repeated.
-    rows = scratch.save(own.drop(text_col).withColumn("_row", F.monotonically_increasing_id()))
+    rows = scratch.save(own.withColumn("_row", F.monotonically_increasing_id()))
     held = rows.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h")).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n"))
     hosts = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("docs"))
     frequent = held.filter(F.col("n") > min_docs).join(hosts, "_host").filter(F.col("n") > doc_share * F.col("docs")).select("_host", "h")
-    lines = rows.select("_row", "_host", F.explode("_lines").alias("x")).select("_row", "_host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    removed = lines.join(frequent, ["_host", "h"]).groupBy("_row").agg(F.sum("n").alias("line_words"))
-    out = rows.drop("_lines", "_host").join(removed, "_row", "left").drop("_row").withColumn("line_words", F.coalesce("line_words", F.lit(0).cast("long")))
+    frequent = scratch.save(frequent, narrow=True)
+    hashes = [r["h"] for r in frequent.select("h").limit(max_set + 1).collect()]
+    if len(hashes) <= max_set:
+        gone = F.transform(F.filter("_lines", lambda x: x["h"].isin(hashes)), lambda x: x["i"])
+        out = rows.withColumn("_gone", gone).withColumn("_gone", F.when(F.size("_gone") > 0, F.col("_gone"))).drop("_lines", "_host", "_row")
+    else:
+        lines = rows.select("_row", "_host", F.explode("_lines").alias("x")).select("_row", "_host", F.col("x.h").alias("h"), F.col("x.i").alias("i"))
+        removed = lines.join(frequent, ["_host", "h"]).groupBy("_row").agg(F.collect_list("i").alias("_gone"))
+        out = rows.drop("_lines", "_host").join(removed, "_row", "left").drop("_row")
+    rest = _let(F.split(F.col(text_col), "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
+    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest))
+    out = out.withColumn("line_words", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_words") - word_count(F.col(text_col)))).drop("_gone")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("line_words") >= min_kept * F.col("n_words")))
 
 

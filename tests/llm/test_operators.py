@@ -158,6 +158,16 @@ def test_frequent_lines_are_counted_by_host(spark):
     assert got == {i: 5 if i < 12 else 0 for i in range(20)}
 
 
+@pytest.mark.parametrize("most", [line_frequency.MAX_SET, 1])
+def test_frequent_lines_are_removed_from_the_text(spark, most):
+    body = " ".join(f"x{i}" for i in range(60))
+    rows = [(i, f"Menu\n\n{body} {i}\n \nShared  LINE of the host\nmenu\n", "en", "a" if i < 12 else "b", 1) for i in range(20)]
+    rows += [(20, "Menu\nshared line of the host", "en", "a", 1), (21, None, "en", "a", 1)]
+    got = {r["doc_id"]: (r["text"], r["line_words"], r["kept"]) for r in line_frequency.line_quality(spark.createDataFrame(rows, DOC), max_set=most).collect()}
+    want = {i: (f"\n{body} {i}\n \n", 7, True) if i < 12 else (rows[i][1], 0, True) for i in range(20)}
+    assert got == want | {20: ("", 6, False), 21: (None, 0, False)}
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = mixing.op8_mixing(spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
     for s in {r["source"] for r in rows}:
