@@ -3,8 +3,10 @@
 The standard library's streaming parser turns a page into lines, one for each block of text, with the number of tags
 that each line took and the containers it lies in. The ratio of text to tags of each line is smoothed with a Gaussian
 over its neighbours; two-means clustering of the smoothed ratios gives the threshold of content lines. The content
-region is the smallest container that holds nearly all text of those lines; all its lines are the main text, short
-paragraphs and headings too. Lines in containers that HTML itself marks as something else never count.
+region is the smallest container that holds nearly all text of those lines and outside of which there are only links and
+lines of containers that HTML itself marks as something else; an article or main element that holds nearly all
+may leave other text outside, but not that of another one. All lines of the region are the main text, short paragraphs and
+headings too. Lines in marked containers never count.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int]] = []
+        self.plain: list[bool] = []  # whether a line has letters or digits outside of links
+        self.unlinked, self.link = False, 0  # link: number of open containers at the start of the open link
         self.parents, self.tags, self.boiler = [-1], ["#page"], [False]
         self.open: list[int] = [0]
         self.never: list[str] = []
@@ -50,7 +54,9 @@ class _Page(HTMLParser):
         if text:
             at = self.open[-1]
             self.lines.append((text, self.n_tags, self.boiler[at], at))
+            self.plain.append(self.unlinked)
             self.n_tags = 0
+        self.unlinked = False
 
     def _hinted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in BOILERPLATE:
@@ -81,6 +87,8 @@ class _Page(HTMLParser):
             self._end_line()
         elif tag == "br":
             self.parts.append(" ")
+        elif tag == "a":
+            self.link = len(self.open) if any(name == "href" for name, _ in attrs) else 0
         if tag in CONTAINERS or tag in BLOCKS and tag not in ("hr", "p") and self._hinted(tag, attrs):
             self.parents.append(self.open[-1])
             self.tags.append(tag)
@@ -103,14 +111,19 @@ class _Page(HTMLParser):
             return
         if tag in BLOCKS:
             self._end_line()
+        elif tag == "a":
+            self.link = 0
         for k in range(len(self.open) - 1, 0, -1):
             if self.tags[self.open[k]] == tag:
                 del self.open[k:]
+                if self.link > k:  # a link ends with the container it began in
+                    self.link = 0
                 break
 
     def handle_data(self, data):
         if not self.never:
             self.parts.append(data)
+            self.unlinked = self.unlinked or not self.link and any(c.isalnum() for c in data)
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -147,21 +160,31 @@ def main_text(html: str | None) -> str:
     soft = smoothed(ratios)
     cut = threshold(soft)
     n = len(page.parents)
-    weight, home = np.zeros(n), np.zeros(n)
-    for (text, _, boiler, at), s in zip(lines, soft):
+    weight, home, plain = np.zeros(n), np.zeros(n), np.zeros(n)
+    for (text, _, boiler, at), s, unlinked in zip(lines, soft, page.plain):
         if not boiler:
             home[at] += len(text)
             weight[at] += len(text) * (s > cut)
+            plain[at] += unlinked
     if not weight.any():
         weight = home
     for i in range(n - 1, 0, -1):  # a container comes after its parent
         weight[page.parents[i]] += weight[i]
+        plain[page.parents[i]] += plain[i]
+    own_weight, own_plain = (np.where([t in HOME for t in page.tags], x, 0.0) for x in (weight, plain))  # in article and main
+    for i in range(n - 1, 0, -1):
+        if page.tags[page.parents[i]] not in HOME:
+            own_weight[page.parents[i]] += own_weight[i]
+            own_plain[page.parents[i]] += own_plain[i]
     region = 0
     while page.tags[region] not in HOME:
         inner = [i for i in range(region + 1, n) if page.parents[i] == region]
         best = max(inner, key=lambda i: weight[i], default=None)
         if best is None or weight[best] < REGION_SHARE * weight[region] or page.tags[best] in ("ul", "ol", "dl", "table", "blockquote", "figure"):
             break
+        marked = own_weight[best] >= REGION_SHARE * weight[region] and own_plain[best] == own_plain[region]
+        if not marked and plain[best] < plain[region]:  # text would be lost
+            break
         region = best
     inside = np.zeros(n, bool)
     inside[region] = True

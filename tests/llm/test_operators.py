@@ -228,6 +228,18 @@ def test_main_text_of_a_page():
     assert html_text.main_text(None) == html_text.main_text("") == ""
 
 
+def test_main_text_split_over_plain_divs():
+    long = [f"Paragraph {i} " + "of the article says something of use to its readers. " * 8 for i in range(10)]
+    short = [f"A short paragraph {i} that belongs to the same article too." for i in range(3)]
+    text, more = ("".join(f"<p>{x}</p>" for x in part) for part in (long, short))
+    links = "<div class='x'><a href='/a'>One</a> | <a href='/b'>Two</a></div>"
+    want = "\n\n".join(x.strip() for x in long + short)
+    assert html_text.main_text(f"<body>{links}<div id='content'><div class='text'>{text}</div><div class='more'>{more}</div></div><footer>Copyright</footer></body>") == want
+    assert html_text.main_text(f"<body>{links}<div><div>{text}</div></div><div><div>{more}</div></div></body>").endswith(want)
+    assert html_text.main_text(f"<body><article>{text}</article><article>{more}</article></body>") == want
+    assert html_text.main_text(f"<body><div>Slogan</div><div><article>{text}{more}</article></div></body>") == want
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, "u", None), (None, None, "<p>open <b>tags"), (3, "u", ""), (3, "u", "<" * 5000), (4, "u", "<div>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("main_text", F.lit("mine")).withColumn("text", F.lit("mine"))
