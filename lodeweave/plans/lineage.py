@@ -245,7 +245,7 @@ def impact_by_database(spark, d):
 comp AS (SELECT n AS root, n AS node FROM """ + _BOTH_ROOT + """ AS t(n) UNION SELECT c.root, b.tgt FROM comp c JOIN both_ways b ON b.src = c.node) SELECT count(*) AS nodes, min(node) AS first_node, max(node) AS last_node FROM comp""")
 def weak_component(spark, d):
     e = traverse.active(Frames(spark, d).edges)
-    return graph.weak_component(e, _hub(e), 200).agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    return graph.weak_component(e, _hub(e)).agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
 
 @query("""SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT tgt) AS targets, min(src) AS first_source FROM (

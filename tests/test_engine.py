@@ -100,3 +100,9 @@ def test_sorted_edge_table_keeps_all_edges_in_order(spark):
     got = [tuple(r) for r in registry.QUERIES["edge_table_sorted_all"](spark, SF_DIR).collect()]
     assert len(every) > 100
     assert got == sorted(every, key=lambda r: (1 if r[-1] is None else -r[-1], r[0]))
+
+
+def test_weak_component_has_no_bound(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") if i % 2 else (f"n{i + 1}", f"n{i}") for i in range(56)] + [("n3", "n5"), ("x", "y")], "src string, tgt string")
+    got = graph.weak_component(e, spark.createDataFrame([("n0",), ("x",)], "root string")).collect()
+    assert sorted(map(tuple, got)) == sorted([("n0", f"n{i}") for i in range(57)] + [("x", "x"), ("x", "y")])
