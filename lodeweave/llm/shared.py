@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,27 +28,23 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir, or, where it is unset (tests), a folder of our own."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 class Scratch:
-    """Tables written to the shared folder that spark.checkpoint.dir names, to cut lineage.
+    """Tables written to the shared folder that spark.checkpoint.dir names, to cut a plan where it would be computed again.
 
     A written table is computed once (checkpoint() computes its last stage twice) and survives lost executors. Where
-    the setting is unset, as in tests, a folder of our own serves. What is no longer read can be dropped.
+    the setting is unset, a local session, whose executors are this machine, gets a folder of its own; a cluster is
+    asked for the setting. What is no longer read can be dropped.
     """
 
     def __init__(self, spark: SparkSession):
         sc = spark.sparkContext
         self.spark, have = spark, sc._jsc.sc().getCheckpointDir()
-        if not have.isDefined():
-            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-            have = sc._jsc.sc().getCheckpointDir()
-        self.root, self.n, self.paths = f"{have.get()}/tables-{uuid.uuid4().hex}", 0, {}
+        folder = have.get() if have.isDefined() else sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        self.root, self.n, self.paths = f"{folder}/tables-{uuid.uuid4().hex}", 0, {}
 
     def save(self, df: DataFrame, *, narrow: bool = False) -> DataFrame:
         """``narrow``: rows of a few numbers, for which a partition or two for each core of the cluster is enough. Without
@@ -77,6 +74,95 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def located(scratch: Scratch, docs: DataFrame, name: str, *, stored: bool) -> DataFrame:
+    """``docs`` with a column ``name`` (file, row) that tells all its rows apart and is the same whenever they are read.
+
+    ``stored``: ``docs`` is a table of files with at most columns chosen and rows filtered, so that a row's file and its
+    place there name it. Other rows, and those in memory, are written once and read back.
+    """
+
+    def with_place(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")))
+
+    if stored:
+        try:
+            return with_place(docs)
+        except AnalysisException:  # rows in memory have no files
+            pass
+    return with_place(scratch.save(docs))
+
+
+def lookup(side: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table as the side of a join: broadcast if it has at most ``most`` rows, else left to a shuffled join."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str, *, hot: int = 1000, share: int = 20_000) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, a written table of one row for each key with ``n``, about how many of ``rows`` have it.
+
+    A key of over ``hot`` rows and over one row in ``share`` is not sent to one task: there are fewer than ``share`` such
+    keys, which are broadcast. Rows of the others are shuffled by key. n is dropped.
+    """
+    total = side.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("n") > max(hot, total // share)
+    large = F.broadcast(side.filter(often).drop("n"))
+    rest = rows.join(F.broadcast(side.filter(often).select(key)), key, "left_anti")
+    return rows.join(large, key).unionByName(rest.join(side.filter(~often).drop("n"), key))
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Which column of ``df`` has the name, as Spark compares names."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def text_volume(docs: DataFrame, text: str = "text") -> int:
+    """Characters of all texts: what group counts are sized by."""
+    return int(docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0)
+
+
+def located(scratch: Scratch, docs: DataFrame, name: str, *, stored: bool) -> DataFrame:
+    """``docs`` with a column ``name`` (file, row) that tells all its rows apart and is the same whenever they are read.
+
+    ``stored``: ``docs`` is a table of files with at most columns chosen and rows filtered, so that a row's file and its
+    place there name it. Other rows, and those in memory, are written once and read back.
+    """
+
+    def with_place(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")))
+
+    if stored:
+        try:
+            return with_place(docs)
+        except AnalysisException:  # rows in memory have no files
+            pass
+    return with_place(scratch.save(docs))
+
+
+def lookup(side: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table as the side of a join: broadcast if it has at most ``most`` rows, else left to a shuffled join."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str, *, hot: int = 1000, share: int = 20_000) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, a written table of one row for each key with ``n``, about how many of ``rows`` have it.
+
+    A key of over ``hot`` rows and over one row in ``share`` is not sent to one task: there are fewer than ``share`` such
+    keys, which are broadcast. Rows of the others are shuffled by key. n is dropped.
+    """
+    total = side.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("n") > max(hot, total // share)
+    large = F.broadcast(side.filter(often).drop("n"))
+    rest = rows.join(F.broadcast(side.filter(often).select(key)), key, "left_anti")
+    return rows.join(large, key).unionByName(rest.join(side.filter(~often).drop("n"), key))
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Which column of ``df`` has the name, as Spark compares names."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def text_volume(docs: DataFrame, text: str = "text") -> int:
     """Characters of all texts: what group counts are sized by."""
     return int(docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0)
@@ -88,10 +174,15 @@ def groups_for(docs: DataFrame, text: str = "text", chars: int = 6_000_000) -> i
 
 
 def hash_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """At most ``most`` rows of ``df``: all of them, or those whose hash ``key`` is low. The same rows on every run."""
-    kept, share, out = df.count(), 1.0, df
+    """At most ``most`` rows of ``df``, all of them or those of least hash ``key``; the same rows on every run.
+
+    Where very many rows have one key, so that a cut by key would leave them all or none, places in a sort by key
+    decide among them.
+    """
+    kept, share, out, before = df.count(), 1.0, df, None
     while kept > most:
-        share *= 0.97 * most / kept
+        before, share = out, share * 0.97 * most / kept
         out = df.filter(F.pmod(key, F.lit(1 << 31)) < F.lit(int(share * (1 << 31))))
         kept = out.count()
-    return out
+    # A cut that leaves less than half of what was asked for fell into ties: the least rows before it, by a bounded sort.
+    return before.orderBy(F.pmod(key, F.lit(1 << 31)), key).limit(most) if before is not None and kept < most // 2 else out

@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import exchange
-from lodeweave.llm.shared import groups_for, table
+from lodeweave.llm.shared import Scratch, free_name, located, table, text_volume
 from lodeweave.llm.textscan import Scan, scans
 
 WINDOW = 35
+GROUP_CHARS, BUCKET_CHARS = 6_000_000, 12_000_000
 _KEY_BITS = 30
 _OUT = "{id} {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
 
@@ -180,31 +181,38 @@ def _cut(docs: pa.Table, repeats: pa.Table, text: str, window: int, schema: pa.S
     return pa.table([docs.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, schema.field(3).type), pa.array(kept, pa.string())], schema=schema)
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, groups: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, groups: int | None = None, stored: bool = False) -> DataFrame:
     """Cut every word that lies in a window of ``window`` words whose words also start elsewhere.
 
     Returns one row for each row of ``docs``: the id, n_words, n_removed, removed (spans of word numbers, end
     exclusive: the maximal exact repeats) and kept_text (the other words, joined by one space). Null and blank texts
     have no words; texts shorter than the window keep all. Repeated rows and equal texts count as occurrences of each
-    other, so both are cut whole. Other columns of ``docs`` are ignored; an empty table gives an empty result.
-    Words are compared by hash: 95 bits decide.
+    other, so both are cut whole. Other columns of ``docs`` are ignored; an empty table gives an empty result. Rows are
+    dealt to groups by their place in the table, so neither repeated rows nor ids that are null or equal gather in one
+    group. Words are compared by hash: 95 bits decide. ``stored`` is that of ``located``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if window < 2:
         raise ValueError("window must be at least 2 words")
     block = (window + 1) // 2
-    groups = groups or groups_for(docs, text_col)
+    scratch, at = Scratch(docs.sparkSession), free_name(docs, "_at")
+    docs = located(scratch, docs.select(id_col, text_col), at, stored=stored)
+    volume = text_volume(docs, text_col) if groups is None else 0
+    # A group holds a few MB of texts. A bucket holds the hashes of as much again, whatever the number of groups is.
+    buckets = groups or max(8, -(-volume // BUCKET_CHARS))
+    groups = groups or max(8, -(-volume // GROUP_CHARS))
     spec = _OUT.format(id=f"`{id_col}`", kind=docs.schema[id_col].dataType.simpleString())
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], spec).schema)
-    rows = docs.select(F.col(id_col), F.col(text_col), F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int").alias("g"))
+    rows = docs.select(F.col(id_col), F.col(text_col), F.pmod(F.xxhash64(at), F.lit(groups)).cast("int").alias("g"))
     by_group = rows.groupBy("g")
-    hits = by_group.applyInArrow(lambda t: _probes(t, text_col, window, block, groups), exchange.PACKED).groupBy("bucket").applyInArrow(_hits, exchange.PACKED)
-    windows = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda d, h: _extend(d, h, text_col, window, block, groups), exchange.PACKED)
+    hits = by_group.applyInArrow(lambda t: _probes(t, text_col, window, block, buckets), exchange.PACKED).groupBy("bucket").applyInArrow(_hits, exchange.PACKED)
+    windows = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda d, h: _extend(d, h, text_col, window, block, buckets), exchange.PACKED)
     repeats = windows.groupBy("bucket").applyInArrow(_repeats, exchange.PACKED)
     return by_group.cogroup(repeats.groupBy("g")).applyInArrow(lambda d, r: _cut(d, r, text_col, window, schema), spec)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    """doc_id, n_words, n_removed, kept_sha256 and n_spans of every document."""
+    out = dedup_substrings(table(spark, sf_dir, "documents"), stored=True)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_spans"))
