@@ -3,7 +3,7 @@
 The normalised n-grams of the benchmark, at most ``MAX_SET`` of them, become a hash set inside the plan (an IN
 predicate over literals, which Spark evaluates as a set lookup). Each document is scanned in its own row: the
 hash of each window is looked up, a hit is verified by its words, and hits become spans. Nothing is exploded or
-shuffled but the few hits. A larger benchmark takes a shuffled join of distinct texts' windows instead.
+shuffled but the few hits. A larger benchmark takes a shuffled join of the hashes of distinct texts' windows instead.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import Scratch, table
+from lodeweave.llm.shared import Scratch, free_name, join_counted, table
 
 WINDOW = 10
 MAX_SET = 100_000
@@ -80,15 +80,18 @@ def _spans(hits: Column) -> Column:
 
 
 def _joined_hits(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
-    """content, hits of each distinct text with hits, by a shuffled join: for benchmarks beyond MAX_SET."""
-    texts = docs.select(F.sha2(text_col, 256).alias("content"), F.col(text_col).alias("t")).groupBy("content").agg(F.first("t").alias("t"))
+    """content, hits of each distinct text with hits, by a shuffled join: for benchmarks beyond MAX_SET. Windows are shuffled as
+    hashes; what meets a window of the benchmark is compared by its words, which stay with the text."""
+    texts = docs.select(F.unhex(F.sha2(text_col, 256)).alias("content"), F.col(text_col).alias("t")).groupBy("content").agg(F.first("t").alias("t"))
     words = texts.select("content", normal_words(F.col("t")).alias("w"))
     sizes = grams.select("len").distinct()
     at = words.crossJoin(F.broadcast(sizes)).filter(F.size("w") >= F.col("len"))  # at most `window` lengths, one row each
-    at = at.select("content", "len", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.slice("w", i + 1, F.col("len")))).alias("start", "cut"))
-    at = at.select("content", "len", "start", F.xxhash64("cut").alias("h"), F.array_join("cut", " ").alias("gram"))
-    hit = at.join(grams.select("len", "gram", "h").distinct(), ["len", "gram", "h"])
-    return hit.groupBy("content").agg(F.collect_list(F.struct("start", F.col("len").cast("int").alias("len"), "h")).alias("hits"))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.xxhash64(F.slice("w", i + 1, F.col("len"))))
+    at = at.select("content", "len", F.posexplode(hashes).alias("start", "h"))
+    found = at.join(grams, ["len", "h"]).groupBy("content").agg(F.collect_list(F.struct("start", F.col("len").cast("int").alias("len"), "h", "gram")).alias("found"))
+    same = F.filter("found", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["len"]), " ") == x["gram"])
+    hits = F.transform(same, lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), x["h"].alias("h")))
+    return words.join(found, "content").select("content", hits.alias("hits"))
 
 
 def find_contamination(
@@ -97,33 +100,40 @@ def find_contamination(
     """``docs`` with bench_words (long), bench_spans (covered word ranges, end exclusive) and bench_items (sorted ids of the
     items with a window in the text, as strings) added; added names replace columns of the same name.
 
-    Null and blank texts have no words and no hits; items without words have no windows, repeated items count once.
-    An empty benchmark leaves every document clean.
+    Null and blank texts have no words and no hits; items without words have no windows, repeated items count once. Items
+    without an id count as one, which is null in bench_items, at its end. Repeated rows are judged alike. An empty
+    benchmark leaves every document clean; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     grams = scratch.save(benchmark_grams(items, item_id, item_text, window))
     distinct = grams.select("len", "gram", "h").distinct()
     own = docs.drop("bench_words", "bench_spans", "bench_items")
+    scan, hits, windows, group = (free_name(own, c) for c in ("_scan", "_hits", "_windows", "_set"))
     known = distinct.limit(max_set + 1).collect()
     if len(known) <= max_set:
         by_len: dict[int, list[tuple[str, int]]] = {}
         for r in known:
             by_len.setdefault(r["len"], []).append((r["gram"], r["h"]))
-        scanned = own.withColumn("_scan", _let(normal_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _scan(w, by_len).alias("hits"))))
-        scanned = scanned.withColumn("bench_words", F.col("_scan.n")).withColumn("_hits", F.col("_scan.hits")).drop("_scan")
+        scanned = own.withColumn(scan, _let(normal_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _scan(w, by_len).alias("hits"))))
+        scanned = scanned.withColumn("bench_words", F.col(f"{scan}.n")).withColumn(hits, F.col(f"{scan}.hits")).drop(scan)
     else:
-        hits = _joined_hits(docs, distinct, text_col).withColumnRenamed("hits", "_found").withColumnRenamed("content", "_content")
-        scanned = own.withColumn("_content", F.sha2(text_col, 256)).join(hits, "_content", "left")
-        scanned = scanned.withColumn("bench_words", F.size(normal_words(F.col(text_col))).cast("long")).withColumn("_hits", F.coalesce("_found", F.array().cast(_HITS))).drop("_content", "_found")
-    scanned = scanned.withColumn("bench_spans", _spans(F.col("_hits")))
+        found = _joined_hits(docs, distinct, text_col).select(F.col("content").alias(scan), F.col("hits").alias(hits))
+        scanned = own.withColumn(scan, F.unhex(F.sha2(text_col, 256))).join(found, scan, "left").drop(scan)
+        scanned = scanned.withColumn("bench_words", F.size(normal_words(F.col(text_col))).cast("long")).withColumn(hits, F.coalesce(hits, F.array().cast(_HITS)))
+    scanned = scanned.withColumn("bench_spans", _spans(F.col(hits)))
     # Which items a text hits follows from its set of windows: looked up once for each such set, and not by id.
-    scanned = scanned.withColumn("_windows", F.array_sort(F.array_distinct(F.transform("_hits", lambda x: F.struct(x["len"].alias("len"), x["h"].alias("h")))))).drop("_hits")
-    scanned = scratch.save(scanned.withColumn("_set", F.when(F.size("_windows") > 0, F.md5(F.to_json("_windows")))))
-    sets = scanned.filter(F.col("_set").isNotNull()).groupBy("_set").agg(F.first("_windows").alias("w")).select("_set", F.explode("w").alias("w"))
-    items_of = sets.select("_set", "w.len", "w.h").join(grams.select("len", "h", "item").distinct(), ["len", "h"]).groupBy("_set").agg(F.array_sort(F.collect_set("item")).alias("bench_items"))
-    clean = scanned.filter(F.col("_set").isNull()).withColumn("bench_items", F.array().cast("array<string>"))
-    dirty = scanned.filter(F.col("_set").isNotNull()).join(items_of, "_set")
-    return dirty.unionByName(clean).drop("_set", "_windows")
+    scanned = scanned.withColumn(windows, F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.struct(x["len"].alias("len"), x["h"].alias("h")))))).drop(hits)
+    scanned = scratch.save(scanned.withColumn(group, F.when(F.size(windows) > 0, F.md5(F.to_json(windows)))))
+    sets = scanned.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("set")).agg(F.first(windows).alias("w"), F.count(F.lit(1)).alias("n"))
+    sets = scratch.save(sets, narrow=True)
+    each = sets.select("set", "n", F.explode("w").alias("w")).select("set", "n", "w.len", "w.h").join(grams.select("len", "h", "item").distinct(), ["len", "h"])
+    # In a struct, an item without an id is collected too.
+    items_of = each.groupBy("set", "n").agg(F.array_sort(F.transform(F.collect_set(F.struct("item")), lambda x: x["item"])).alias("bench_items"))
+    items_of = scratch.save(items_of.withColumnRenamed("set", group), narrow=True)
+    clean = scanned.filter(F.col(group).isNull()).withColumn("bench_items", F.array().cast("array<string>"))
+    # A passage may be on very many rows: their set is not sent to one task then.
+    dirty = join_counted(scanned.filter(F.col(group).isNotNull()), items_of, group)
+    return dirty.unionByName(clean).drop(group, windows)
 
 
 def hit_words(spans: Column) -> Column:
@@ -131,6 +141,7 @@ def hit_words(spans: Column) -> Column:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     out = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hits = hit_words(F.col("bench_spans"))
     return out.select(

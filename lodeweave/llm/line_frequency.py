@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import SPACES, WORD_SPLIT, Scratch, table, word_count, words_of
+from lodeweave.llm.shared import SPACES, WORD_SPLIT, Scratch, free_name, join_counted, table, word_count, words_of
 
 MIN_DOCS, DOC_SHARE = 10, 0.005  # a line is boilerplate in more documents of a host than both allow
 MIN_KEPT = 0.5  # a document needs this share of its words on other lines
@@ -56,41 +56,45 @@ def line_quality(
     A line is too frequent if more than max(min_docs, doc_share * documents of the host) documents of its host hold it;
     repeated rows are documents of their own. base_failed: fewer than ``min_words`` words, or more than
     ``max_repeated`` percent of them in repeated windows. kept: not base_failed, and at least ``min_kept`` of the words
-    are on other lines. Null and blank texts have no words and fail; a null host is a host of its own.
+    are on other lines. Null and blank texts have no words and fail; a null host is a host of its own. An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession)
+    host, words, lines_, row, gone = (free_name(docs, c) for c in ("_host", "_words", "_lines", "_row", "_gone"))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_words", "base_failed", "kept"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
     lines = F.filter(numbered, lambda x: F.trim(F.translate(x["line"], SPACES, " ")) != "")
     blank = F.translate(text, SPACES, "")
-    own = docs.drop(*added).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")))
-    own = own.withColumn("_words", _let(words_of(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))))
-    own = own.withColumn("_lines", _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(F.transform(x, lambda y: y["line"])))).cast("long").alias("dup"), F.transform(x, lambda y: F.struct(F.xxhash64("_host", normal_line(y["line"])).alias("h"), y["i"].alias("i"))).alias("each"))))
+    own = docs.drop(*added).withColumn(host, F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")))
+    own = own.withColumn(words, _let(words_of(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))))
+    own = own.withColumn(lines_, _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(F.transform(x, lambda y: y["line"])))).cast("long").alias("dup"), F.transform(x, lambda y: F.struct(F.xxhash64(host, normal_line(y["line"])).alias("h"), y["i"].alias("i"))).alias("each"))))
     own = own.withColumn("word_chars", F.length(blank).cast("long")).withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-    own = own.withColumn("n_words", F.col("_words.n")).withColumn("n_repeat_words", F.col("_words.r")).withColumn("n_dup_lines", F.col("_lines.dup")).withColumn("_lines", F.col("_lines.each")).drop("_words")
+    own = own.withColumn("n_words", F.col(f"{words}.n")).withColumn("n_repeat_words", F.col(f"{words}.r")).withColumn("n_dup_lines", F.col(f"{lines_}.dup")).withColumn(lines_, F.col(f"{lines_}.each")).drop(words)
     own = own.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words")))
     # Row numbers are fixed by writing them: ids may be null or repeated.
-    rows = scratch.save(own.withColumn("_row", F.monotonically_increasing_id()))
-    held = rows.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h")).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n"))
-    hosts = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("docs"))
-    frequent = held.filter(F.col("n") > min_docs).join(hosts, "_host").filter(F.col("n") > doc_share * F.col("docs")).select("_host", "h")
+    rows = scratch.save(own.withColumn(row, F.monotonically_increasing_id()))
+    # The hash of a line is of its host too, so it stands for both.
+    held = rows.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(lines_, lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    hosts = rows.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"))
+    frequent = held.filter(F.col("n") > min_docs).join(hosts, "host").filter(F.col("n") > doc_share * F.col("docs")).groupBy("h").agg(F.sum("n").alias("n"))
     frequent = scratch.save(frequent, narrow=True)
     hashes = [r["h"] for r in frequent.select("h").limit(max_set + 1).collect()]
     if len(hashes) <= max_set:
-        gone = F.transform(F.filter("_lines", lambda x: x["h"].isin(hashes)), lambda x: x["i"])
-        out = rows.withColumn("_gone", gone).withColumn("_gone", F.when(F.size("_gone") > 0, F.col("_gone"))).drop("_lines", "_host", "_row")
+        found = F.transform(F.filter(lines_, lambda x: x["h"].isin(hashes)), lambda x: x["i"])
+        out = rows.withColumn(gone, found).withColumn(gone, F.when(F.size(gone) > 0, F.col(gone))).drop(lines_, host, row)
     else:
-        lines = rows.select("_row", "_host", F.explode("_lines").alias("x")).select("_row", "_host", F.col("x.h").alias("h"), F.col("x.i").alias("i"))
-        removed = lines.join(frequent, ["_host", "h"]).groupBy("_row").agg(F.collect_list("i").alias("_gone"))
-        out = rows.drop("_lines", "_host").join(removed, "_row", "left").drop("_row")
-    rest = _let(F.split(F.col(text_col), "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
-    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest))
-    out = out.withColumn("line_words", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_words") - word_count(F.col(text_col)))).drop("_gone")
+        lines = rows.select(F.col(row).alias("row"), F.explode(lines_).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.i").alias("i"))
+        removed = join_counted(lines, frequent, "h").groupBy("row").agg(F.collect_list("i").alias("lines")).select(F.col("row").alias(row), F.col("lines").alias(gone))
+        out = rows.drop(lines_, host).join(removed, row, "left").drop(row)
+    rest = _let(F.split(F.col(text_col), "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"))
+    out = out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
+    out = out.withColumn("line_words", F.when(F.col(gone).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_words") - word_count(F.col(text_col)))).drop(gone)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("line_words") >= min_kept * F.col("n_words")))
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, line_words."""
     out = line_quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_words")
 
