@@ -153,6 +153,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests, read back from the formatted text, of every conversation and of conversation -7."""
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))

@@ -2,7 +2,7 @@
 
 A word that the training texts have often is scored by its log frequency in each language. An unseen word backs off
 to its character n-grams, longest first: the n-grams of the longest length of which any is known score it, by the
-mean of their log frequencies. A text is scored by the mean over its words; the softmax of the sums gives the score.
+mean of their log frequencies. A text is scored by the sum over its words; the softmax of the sums gives the score.
 
 The model is counted over a bounded sample of labelled texts; words and n-grams are kept by count up to a fixed
 number for each length, so the tables that tasks get do not grow with the input.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import free_name, hash_sample, table
+from lodeweave.llm.shared import hash_sample, place_of, table
 from lodeweave.llm.textscan import mix
 
 SAMPLE = 12_000  # labelled texts to learn from, at most: those of least hash
@@ -91,14 +91,15 @@ class Table:
 
     def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int, most: int):
         known, at = np.unique(keys, return_inverse=True)
-        by = np.zeros((len(known), n_langs))
-        np.add.at(by, (at, langs), counts)
-        total = by.sum(1)
+        total = np.bincount(at, counts, len(known))
         keep = np.flatnonzero(total >= MIN_COUNT)
         keep = np.sort(keep[np.lexsort((known[keep], -total[keep]))[:most]])
         self.keys = known[keep]
-        self.logs = np.log((by[keep] + 0.5) / (by.sum(0) + 0.5 * (len(keep) + 1)))
-        self.logs = self.logs.astype(np.float32)
+        place = np.full(len(known), -1)
+        place[keep] = np.arange(len(keep))
+        by, kept = np.zeros((len(keep), n_langs)), place[at] >= 0  # of the kept keys alone, however many languages there are
+        np.add.at(by, (place[at[kept]], langs[kept]), counts[kept])
+        self.logs = np.log((by + 0.5) / (np.bincount(langs, counts, n_langs) + 0.5 * (len(keep) + 1))).astype(np.float32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is known, and its row."""
@@ -188,11 +189,11 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     return Model(langs, tables[0], tables[1:])
 
 
-def _predict(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], packed: bytes, at: int) -> Iterator[pa.RecordBatch]:
     langs, words, grams = pickle.loads(packed)
     model, names = Model(langs, words, grams), np.array([*langs, UNKNOWN], object)
     for batch in batches:
-        column, lang, score = batch.column(batch.num_columns - 1), [], []
+        column, lang, score = batch.column(at), [], []
         for _, _, w in _chunks(column):
             k, s = model.predict(w)
             lang += names[k].tolist()
@@ -209,14 +210,14 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     packed = pickle.dumps((model.langs, model.words, model.grams))
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # of bounded size: MOST_WORDS and MOST_GRAMS
     own = docs.drop("lang_pred", "lang_score")
-    scanned = free_name(own, "_text")
-    own = own.withColumn(scanned, F.col(text_col))
+    at = place_of(own, text_col)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    out = own.mapInArrow(lambda it: _predict(it, shared.value), f"{spec}, lang_pred string, lang_score double")
-    return out.drop(scanned)
+    out = own.mapInArrow(lambda it: _predict(it, shared.value, at), f"{spec}, lang_pred string, lang_score double")
+    return out
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     model = train(docs.filter(~held_out), key=F.xxhash64("doc_id"))

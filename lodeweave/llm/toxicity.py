@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from lodeweave.llm.shared import free_name, hash_sample, table
+from lodeweave.llm.shared import free_name, hash_sample, place_of, table
 from lodeweave.llm.textscan import NOT_ALNUM, scans
 
 SAMPLE = 10_000  # labelled rows to train on, at most: those of least hash
@@ -116,12 +116,12 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([pickle.dumps(packed)], pa.binary())], ["model"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], chain: list[tuple[np.ndarray, np.ndarray, float]], categories: int, name: str) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], chain: list[tuple[np.ndarray, np.ndarray, float]], categories: int, at: int, name: str) -> Iterator[pa.RecordBatch]:
     known = np.zeros(1 << FEATURE_BITS, bool)
     for w, _, _ in chain:
         known |= w != 0
     for batch in batches:
-        column, parts = batch.column(batch.num_columns - 1), []
+        column, parts = batch.column(at), []
         for n, of, ids in _features(column, known):
             p = np.full((n, categories), 0.5)
             for c, (w, d, b) in enumerate(chain):
@@ -154,12 +154,10 @@ def toxicity(
         whole[at] = w
         chain.append((whole, d, b))
     n = len(names)
-    # The text is last: the scorer reads it there and passes the other columns through.
     own = docs.drop("toxic", *[f"tox_{c}" for c in names])
-    scanned, p = free_name(own, "_text"), free_name(own, "_p")
-    own = own.withColumn(scanned, F.col(text_col))
+    at, p = place_of(own, text_col), free_name(own, "_p")
     schema = StructType([*own.schema.fields, StructField(p, ArrayType(DoubleType()))])
-    out = own.mapInArrow(lambda it: _score(it, chain, n, p), schema).drop(scanned)
+    out = own.mapInArrow(lambda it: _score(it, chain, n, at, p), schema)
     out = out.withColumns({f"tox_{c}": F.col(p)[k] for k, c in enumerate(names)}).drop(p)
     return out.withColumn("toxic", (F.col(f"tox_{names[-1]}") > threshold) & F.lit(bool(chain)))
 
@@ -169,13 +167,18 @@ def label_categories() -> dict[str, Column]:
     return {"low_quality": F.col("_quality") == 0, "toxic": F.col("_toxic") == 1}
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents: _doc, text, _quality, _toxic. A document's repeated labels count once, the worse of them."""
+def with_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Labelled documents: _doc, text, _quality, _toxic. A document's repeated labels count once, the worse of them.
+
+    At most ``sample`` labelled ids of ``docs``, those of least hash, are chosen from narrow rows and only then meet
+    their texts, broadcast; repeated rows of an id all come along."""
     one = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
-    return docs.select(F.col("doc_id").alias("_doc"), "text").join(one, "_doc")
+    ids = hash_sample(one.join(docs.select(F.col("doc_id").alias("_doc")), "_doc", "left_semi"), F.xxhash64("_doc"), sample)
+    return docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(ids), "_doc")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic and toxic of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity(docs, with_labels(docs, table(spark, sf_dir, "labels")), label_categories(), key=F.xxhash64("_doc"))
     return out.select("doc_id", F.round("tox_low_quality", 6).alias("p_low_quality"), F.round("tox_toxic", 6).alias("p_toxic"), "toxic")
