@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import Scratch, table
+from lodeweave.llm.shared import Scratch, free_name, join_counted, located, table
 from lodeweave.llm.textscan import CHUNK_BYTES, Scan, buffers, mix, scans
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -114,21 +114,23 @@ def content_keys(s: Scan) -> list[bytes]:
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, s in scans(batch.column(1)):
+        for i, j, s in scans(batch.column(2)):
             of, regions = unit_regions(*shingles(s, size))
             keys = band_keys(dart_signatures(of, regions, j - i, bands * rows), bands)
-            content = content_keys(s)
             offsets = pa.array(np.arange(j - i + 1, dtype=np.int32) * bands)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
             yield pa.record_batch(
-                [batch.column(0).slice(i, j - i), pa.array(content, pa.binary()), pa.array(s.counts.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                ["id", "content", "n_words", "bands"],
+                [*(batch.column(k).slice(i, j - i) for k in range(2)), pa.array(content_keys(s), pa.binary()), pa.array(s.counts.astype(np.int64)), lists], ["id", "at", "content", "n_words", "bands"]
             )
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, content (a key of the words), n_words and bands (a hash for each band) of each row of ``docs``."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _sign(it, shingle, bands, rows), f"id {kind}, content binary, n_words long, bands array<long>")
+def signatures(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, at (the place of the row, see ``located``), content (a key of the words), n_words and bands (a hash for each band)
+    of each row of ``docs``."""
+    kinds = ", ".join(f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in (("id", id_col), ("at", at)))
+    return docs.select(F.col(id_col).alias("id"), F.col(at).alias("at"), F.col(text_col).alias("text")).mapInArrow(
+        lambda it: _sign(it, shingle, bands, rows), f"{kinds}, content binary, n_words long, bands array<long>"
+    )
 
 
 def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -142,42 +144,34 @@ def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.Reco
 
 
 def _similarities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """a, b, distance of each row (a, b, content_a, content_b, text_a, text_b); rows with another's text go."""
+    """a, b, distance of each row (a, b, text_a, text_b)."""
     for batch in (x for b in batches for x in _slices(b, ("text_a", "text_b"))):
         sides = []
         for c in ("text_a", "text_b"):
             own = []
             for i, j, s in scans(batch.column(c)):
                 of, regions = unit_regions(*shingles(s, size))
-                cuts = np.searchsorted(of, np.arange(1, j - i))
-                own += list(zip(content_keys(s), np.split(regions, cuts)))
+                own += np.split(regions, np.searchsorted(of, np.arange(1, j - i)))
             sides.append(own)
-        keep, distance = [], []
-        for n, ((ka, x), (kb, y), ca, cb) in enumerate(zip(*sides, batch.column("content_a").to_pylist(), batch.column("content_b").to_pylist())):
-            if ka == ca and kb == cb:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(n)
-                distance.append(1.0 - both / max(1, len(x) + len(y) - both))
-        at = pa.array(keep, pa.int64())
-        yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at), pa.array(distance, pa.float64())], ["a", "b", "d"])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """a, b, d for each of the distinct ``pairs`` (a, b). b may be in many pairs: its text is copied to one place for each
-    SALT_ROWS of them, so that no task gets all pairs of a pivot."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keys = nodes.select("id", "content")
-    a = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(keys.withColumnsRenamed({"id": "a", "content": "content_a"}), "a")
-    uses = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("uses"))
-    b = (
-        uses.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-        .join(keys.withColumnsRenamed({"id": "b", "content": "content_b"}), "b")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor(F.col("uses") / SALT_ROWS).cast("int"))))
-    )
-    a = a.join(uses, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.floor(F.col("uses") / SALT_ROWS) + 1).cast("int")).drop("uses")
-    both = a.join(b.drop("uses"), ["b", "salt"]).select("a", "b", "content_a", "content_b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _similarities(it, size), f"a {kind}, b {kind}, d double").distinct()
+        distance = []
+        for x, y in zip(*sides):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            distance.append(1.0 - both / max(1, len(x) + len(y) - both))
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(distance, pa.float64())], ["a", "b", "d"])
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, places: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """a, b, d for each of the distinct ``pairs`` (a, b), a written table of node numbers. ``places``: node, at; ``texts``: at, text.
+
+    b may be in many pairs: its text is copied to one place for each SALT_ROWS of them, so that no task gets all pairs
+    of a pivot."""
+    uses = scratch.save(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.floor(F.col("n") / SALT_ROWS) + 1), narrow=True)
+    salted = join_counted(pairs, uses, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).drop("salts")
+    a = salted.join(places.withColumnRenamed("node", "a"), "a").join(texts.withColumnRenamed("text", "text_a"), "at").drop("at")
+    b = uses.drop("n").join(places.withColumnRenamed("node", "b"), "b").join(texts.withColumnRenamed("text", "text_b"), "at").drop("at")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    both = a.join(b, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(lambda it: _similarities(it, size), "a long, b long, d double")
 
 
 def _shared_weights(of: np.ndarray, regions: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -201,20 +195,18 @@ def _shared_weights(of: np.ndarray, regions: np.ndarray, n: int, left: np.ndarra
 def _linked_labels(block: pa.Table, size: int, limit: float) -> pa.Table:
     """a, b: links between the labels of a block's texts, as a spanning forest: no more rows than texts."""
     i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
-    of, regions, have = [], [], []
-    content = block.column("content").to_pylist()
-    for at, to, s in scans(block.column("text")):
+    of, regions = [], []
+    for at, _, s in scans(block.column("text")):
         o, r = unit_regions(*shingles(s, size))
         of.append(o + at)
         regions.append(r)
-        have += content_keys(s)
-    whose, shape = np.concatenate(of), np.array([x == y for x, y in zip(have, content)])
-    weight = np.bincount(whose, minlength=len(content))
+    whose, n = np.concatenate(of), block.num_rows
+    weight = np.bincount(whose, minlength=n)
     own = block.column("own").to_numpy()
-    left, right = np.flatnonzero(shape & (own == i)), np.flatnonzero(shape & (own == j))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     coded = block.column("label").combine_chunks().dictionary_encode()
     code = coded.indices.to_numpy()
-    both = _shared_weights(whose, np.concatenate(regions), len(content), left, right)
+    both = _shared_weights(whose, np.concatenate(regions), n, left, right)
     distance = 1.0 - both / np.maximum(1, weight[left][:, None] + weight[right][None] - both.astype(np.float64))
     x, y = np.nonzero((distance <= limit) & (code[left][:, None] != code[right][None]))
     x, y, root = code[left[x]], code[right[y]], np.arange(len(coded.dictionary))
@@ -229,13 +221,12 @@ def _linked_labels(block: pa.Table, size: int, limit: float) -> pa.Table:
     return pa.table({"a": coded.dictionary.take(pa.array(moved)), "b": coded.dictionary.take(pa.array(root[moved]))})
 
 
-def _block_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, limit: float) -> DataFrame:
-    """Links (a, b) between labels of the ``members`` (band, id, label, home) of large bands, each block of texts against
+def _block_links(members: DataFrame, places: DataFrame, texts: DataFrame, size: int, limit: float) -> DataFrame:
+    """Links (a, b) between labels of the ``members`` (band, node, label, home) of large bands, each block of texts against
     each other block. Members with the band's most frequent label are linked already: their blocks meet the blocks of
     the others only. Blocks have a bound of texts and words, so a task's memory does not grow with the band, and what a
-    block returns is a forest, not its pairs."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = members.select("band", "id", "label", (F.col("label") == F.col("home")).alias("at_home")).join(nodes.select("id", "content", "n_words"), "id")
+    block returns is a forest, not its pairs. ``places``: node, at, n_words; ``texts``: at, text."""
+    own = members.select("band", "node", "label", (F.col("label") == F.col("home")).alias("at_home")).join(places, "node")
     parts = own.groupBy("band").agg(
         *[
             F.ceil(F.greatest(F.count_if(c) / BLOCK_TEXTS, F.sum(F.when(c, F.col("n_words")).otherwise(0)) / BLOCK_WORDS)).cast("int").alias(name)
@@ -243,75 +234,91 @@ def _block_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col:
         ]
     )
     own = own.join(parts, "band")
-    hashed = F.xxhash64("id", F.lit("block"))
+    hashed = F.xxhash64("node", F.lit("block"))
     own = own.withColumn("own", F.when(F.col("at_home"), F.col("others") + F.pmod(hashed, F.col("homes"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
     other = F.sequence(F.lit(0), F.when(F.col("at_home"), F.col("others")).otherwise(F.col("others") + F.col("homes")) - 1)
-    meet = own.withColumn("other", F.explode(other)).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "content"
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return meet.join(texts, "id").groupBy("band", "i", "j").applyInArrow(lambda t: _linked_labels(t, size, limit), f"a {kind}, b {kind}")
+    meet = own.withColumn("other", F.explode(other)).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "at", "label")
+    return meet.join(texts, "at").drop("at").groupBy("band", "i", "j").applyInArrow(lambda t: _linked_labels(t, size, limit), "a long, b long")
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """id, label: the least id of each connected component of ``edges`` (a, b). Labels spread to neighbours and jump to
+    """node, label: the least node of each connected component of ``edges`` (a, b). Labels spread to neighbours and jump to
     their label's label, so long chains take few rounds."""
     both = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), narrow=True)
-    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).withColumn("label", F.least("id", "label")), narrow=True)
+    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), narrow=True)
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("id").alias("label"), F.col("label").alias("jump"))
-        step = labels.join(near, "id").join(hop, "label")
-        new = scratch.save(step.select("id", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved")), narrow=True)
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+        step = labels.join(near, "node").join(hop, "label")
+        new = scratch.save(step.select("node", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved")), narrow=True)
         moved = new.filter("moved").limit(1).count()
         scratch.drop(labels)
         labels = new
         if not moved:
             scratch.drop(both)
-            return labels.select("id", "label")
+            return labels.select("node", "label")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, exact_after: int = 4
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    exact_after: int = 4,
+    stored: bool = False,
 ) -> DataFrame:
-    """Class of near-duplicates of each row of ``docs``: the id, n_words, class_id, kept.
+    """Class of near-duplicates of each row of ``docs``: the id, n_words, class_id, kept, and at, the row's place (see ``located``).
 
     Documents of a class are connected by links of at least ``similarity``; class_id is the least id of the class and
-    kept is true for the rows of that id. Texts whose words are equal are of one class. A text without words, a null
-    text and a row without an id are linked to nothing: class_id is the row's own id, kept is true. Different texts
-    of one id are one node. ``exact_after``: while the pairs left open are more than so many times the bands' members,
-    further pivots are tried first; it sets the order of the work and not its result.
+    kept is true for one row of the class, the first by place of those with that id. Texts whose words are equal are of one
+    class; different texts of one id are different documents. A text without words, a null text and a row without an
+    id are linked to nothing: class_id is the row's own id, kept is true. Other columns of ``docs`` are ignored; an empty
+    table gives an empty result. ``exact_after``: while the pairs left open are more than so many times the bands'
+    members, further pivots are tried first; it sets the order of the work and not its result.
     """
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.save(signatures(docs, id_col, text_col, shingle, bands, rows))
+    place = free_name(docs, "_at")
+    docs = located(scratch, docs, place, stored=stored)
+    texts = docs.select(F.col(place).alias("at"), F.col(text_col).alias("text"))
+    signed = scratch.save(signatures(docs, place, id_col, text_col, shingle, bands, rows))
     linkable = signed.filter((F.col("n_words") > 0) & F.col("id").isNotNull())
-    content = linkable.groupBy("content").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.max("n_words").alias("n_words"))
-    nodes = scratch.save(content)
-    # A band's members, where it has two: its first pivot is the least id, found by partial sums, not by gathering.
-    member = nodes.select("id", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("band", "first")
-    member = scratch.save(member.join(shared, "band").distinct())
+    # Rows with equal words are one node, the number of which is fixed by writing it.
+    content = linkable.groupBy("content").agg(F.min(F.struct("id", "at")).alias("head"), F.first("bands").alias("bands"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
+    nodes = scratch.save(content.withColumn("node", F.monotonically_increasing_id()))
+    places = nodes.select("node", F.col("head.at").alias("at"))
+    # A band's members, where it has two: its first pivot is the least node, found by partial sums, not by gathering.
+    member = nodes.select("node", F.explode(F.array_distinct("bands")).alias("band"))
+    shared = scratch.save(member.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), narrow=True)
+    member = scratch.save(join_counted(member, shared, "band"), narrow=True)
     limit = 1.0 - similarity + 1e-9
 
-    pairs = member.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    tested = scratch.save(_verified(docs, pairs, nodes, id_col, text_col, shingle))
+    pairs = scratch.save(member.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), narrow=True)
+    tested = scratch.save(_verified(scratch, pairs, places, texts, shingle), narrow=True)
     label = components(scratch, tested.filter(F.col("d") <= limit))
     # Distances to the first pivot of each band, for the triangle bound; the pivot's own is 0.
-    known = tested.withColumnsRenamed({"a": "id", "b": "first"})
-    placed = member.join(known, ["id", "first"], "left").withColumn("d", F.when(F.col("id") == F.col("first"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-    placed = scratch.save(placed)
+    known = tested.withColumnsRenamed({"a": "node", "b": "first"})
+    placed = member.join(known, ["node", "first"], "left").withColumn("d", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
+    placed = scratch.save(placed, narrow=True)
+    scratch.drop(pairs, shared, member)
     tests = tested.select("a", "b")
 
     def open_bands() -> tuple[DataFrame, int, int]:
         """Members, with labels, of the bands where two components besides the pivot are left; how many pairs and members.
         ``many`` says whether a band has more than SMALL_BAND of them, ``home`` is its most frequent label."""
-        at = placed.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        sizes = at.groupBy("band", "label").agg(F.count_if(F.col("d") > 0).alias("n"))
+        named = placed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = named.groupBy("band", "label").agg(F.count_if(F.col("d") > 0).alias("n"))
         left = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("home"))
         left = left.filter("labels > 1 and n > 1").select("band", "home", (F.col("n") > SMALL_BAND).alias("many"), "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
         left = scratch.save(left.filter("pairs > 0"), narrow=True)
         total = left.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        return at.join(left.select("band", "home", "many"), "band"), int(total["p"]), int(total["n"])
+        if not total["p"]:
+            return left, 0, 0
+        members = join_counted(placed.filter("d > 0"), left.drop("pairs"), "band").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return scratch.save(members, narrow=True), int(total["p"]), int(total["n"])
 
     def merge(links: DataFrame) -> None:
         """Join the components whose labels are linked (a, b)."""
@@ -319,8 +326,9 @@ def near_duplicates(
         new = scratch.save(links.filter("a <> b").distinct(), narrow=True)
         if new.limit(1).count():
             moved = components(scratch, new)
-            whole = label.unionByName(moved.select("id", F.col("id").alias("label")).join(label.select("id"), "id", "left_anti"))
-            label = scratch.save(whole.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), narrow=True)
+            whole = label.unionByName(moved.select(F.col("node"), F.col("node").alias("label")).join(label.select("node"), "node", "left_anti"))
+            label = scratch.save(whole.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), narrow=True)
+        scratch.drop(new)
 
     def tested_links(found: DataFrame) -> DataFrame:
         """Links between labels of those pairs (x, y) that were not tested before."""
@@ -328,37 +336,50 @@ def near_duplicates(
         fresh = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         old = tests.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = scratch.save(fresh.join(old, ["a", "b"], "left_anti"), narrow=True)
-        got = scratch.save(_verified(docs, fresh, nodes, id_col, text_col, shingle), narrow=True)
+        got = scratch.save(_verified(scratch, fresh, places, texts, shingle), narrow=True)
         tests = tests.unionByName(got.select("a", "b"))
-        of = lambda side: label.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+        of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
         new = got.filter(F.col("d") <= limit).join(of("a"), "a", "left").join(of("b"), "b", "left")
         return new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
 
-    def cross(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of a band whose components differ and whose distances to the first pivot allow a link."""
-        y = right.select("band", F.col("id").alias("y"), F.col("label").alias("label_y"), F.col("d").alias("dy"))
-        x = left.select("band", F.col("id").alias("x"), F.col("label").alias("label_x"), F.col("d").alias("dx"))
-        return x.join(y, "band").filter((F.col("label_x") != F.col("label_y")) & (F.abs(F.col("dx") - F.col("dy")) <= limit)).select("x", "y")
-
+    apart = (F.col("label_x") != F.col("label_y")) & (F.abs(F.col("dx") - F.col("dy")) <= limit)  # a link is possible
+    x_side, y_side = ({"node": side, "label": f"label_{side}", "d": f"d{side}"} for side in ("x", "y"))
     still, n_pairs, n_members = open_bands()
     for turn in range(1, PIVOTS):
         if n_pairs <= exact_after * n_members:
             break
-        before = n_pairs
-        pivot = still.filter("many and d > 0").groupBy("band").agg(F.min_by(F.struct("id", "label", "d"), F.xxhash64("id", F.lit(turn))).alias("p")).select("band", "p.*")
-        merge(tested_links(cross(still.filter("many and d > 0"), pivot)))
+        before, large = n_pairs, still.filter("many")
+        pivot = large.groupBy("band").agg(F.min_by(F.struct("node", "label", "d"), F.xxhash64("node", F.lit(turn))).alias("p"), F.count(F.lit(1)).alias("n"))
+        pivot = scratch.save(pivot.select("band", "n", "p.*").withColumnsRenamed(y_side), narrow=True)
+        merge(tested_links(join_counted(large.select("band", *x_side).withColumnsRenamed(x_side), pivot, "band").filter(apart).select("x", "y")))
         still, n_pairs, n_members = open_bands()
         if n_pairs > 0.75 * before:
             break  # these are apart, and further pivots would not bring them together
     if n_pairs:
-        rest = still.filter("d > 0")
-        small = rest.filter("not many")
-        merge(tested_links(cross(small, small).filter("x < y")).unionByName(_block_links(docs, rest.filter("many"), nodes, id_col, text_col, shingle, limit)))
-    by_content = nodes.select("content", "id").join(label, "id", "left").select("content", F.coalesce("label", "id").alias("class_id"))
-    linked = linkable.join(by_content, "content").select("id", "n_words", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
-    alone = signed.filter((F.col("n_words") == 0) | F.col("id").isNull()).select("id", "n_words", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_words", "class_id", "kept")
+        small = still.filter("not many").select("band", *x_side)
+        met = small.withColumnsRenamed(x_side).join(small.withColumnsRenamed(y_side), "band").filter(apart & (F.col("x") < F.col("y")))
+        blocks = _block_links(still.filter("many"), nodes.select("node", F.col("head.at").alias("at"), "n_words"), texts, shingle, limit)
+        merge(tested_links(met.select("x", "y")).unionByName(blocks))
+    linked = label.join(nodes.select("node", "head"), "node")
+    tops = scratch.save(linked.groupBy("label").agg(F.min("head").alias("top"), F.count(F.lit(1)).alias("n")), narrow=True)
+    of_node = join_counted(linked.select("node", "label"), tops, "label").select("node", "top")
+    of_content = scratch.save(nodes.join(of_node, "node", "left").select("content", F.coalesce("top", "head").alias("top"), "n"))
+    scratch.drop(nodes, tested, placed, tops)
+    found = join_counted(linkable, of_content, "content")
+    found = found.select("id", "n_words", F.col("top.id").alias("class_id"), (F.col("at") == F.col("top.at")).alias("kept"), "at")
+    alone = signed.filter((F.col("n_words") == 0) | F.col("id").isNull()).select("id", "n_words", F.col("id").alias("class_id"), F.lit(True).alias("kept"), "at")
+    return found.unionByName(alone).select(F.col("id").alias(id_col), "n_words", "class_id", "kept", "at")
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """One row of each class of near-duplicates, with all columns of ``docs``: that which ``near_duplicates`` keeps. Rows without an id
+    or without words stay, and so does each text of an id with several."""
+    scratch, place = Scratch(docs.sparkSession), free_name(docs, "_at")
+    docs = located(scratch, docs, place, stored=stored)
+    gone = near_duplicates(docs.drop(place), id_col=id_col, text_col=text_col, stored=True).filter(~F.col("kept")).select(F.col("at").alias(place))
+    return docs.join(gone, place, "left_anti").drop(place)
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """doc_id, n_words, class_id (least id of the class of near-duplicates) and kept of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"), stored=True).drop("at")
