@@ -8,26 +8,21 @@ source takes its share of long and short documents, so the words taken come near
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.ranking import ranked
-from lodeweave.llm.shared import Scratch, table, word_count
+from lodeweave.llm.shared import Scratch, free_name, located, lookup, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
 SEED = 17
+BUCKET_ROWS = 20_000
 
 
-def _fraction(text: Column) -> Column:
-    """A number in [0, 1) from the md5 of a text."""
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
-
-
-def _number(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+def _digits(code: Column) -> Column:
+    """The first seven hexadecimal digits of a code as a number below 2**28."""
+    return F.conv(F.substring(code, 1, 7), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -51,38 +46,65 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> Data
 
 
 def mix(
-    docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most_copies: float = MOST_COPIES, seed: int = SEED
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    source_col: str = "source",
+    id_col: str = "doc_id",
+    weights: tuple[float, ...] = WEIGHTS,
+    most_copies: float = MOST_COPIES,
+    seed: int = SEED,
+    stored: bool = False,
 ) -> DataFrame:
-    """``docs`` with mix_size (words), mix_source_size, mix_target and mix_copies (how often the mix takes the row) added.
+    """``docs`` with mix_size (words), mix_source_size, mix_target and mix_copies (how often the mix takes the row) added; added
+    names replace columns of the same name.
 
     Every row is returned, those with no copies too; ``take`` repeats them. Null texts have size 0; a source whose
-    documents have no words has target 0 and no copies. Order and offset follow from the seed, the ids and sizes alone, so
-    reruns agree; repeated rows share their copies in any order. A null source is a source of its own, the last.
+    documents have no words has target 0 and no copies. A null source is a source of its own, the last. Order and offset
+    follow from the seed, the ids, sizes and texts, so reruns agree, null and repeated ids included; only rows that are
+    repeated as a whole share their copies in any order. An empty table gives an empty mix.
+
+    Narrow rows are ranked; a text is read for its size and again for the result, and moved once, to meet its copies.
+    ``stored`` is that of ``located``: rows of a table of files are not written again.
     """
     scratch = Scratch(docs.sparkSession)
     own = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    sized = scratch.save(own.withColumn("mix_size", word_count(F.col(text_col))))
-    totals = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size"))
-    goal = targets(totals, weights, most_copies).withColumnsRenamed({"source": "_s", "source_size": "mix_source_size", "target": "mix_target"})
-    # Size classes, a quarter of a power of two wide, keep the order by size without sorting a source in one task.
-    rows = sized.withColumn("_class", F.floor(4 * F.log2(F.col("mix_size") + 1)))
+    at = free_name(own, "_at")
+    own = located(scratch, own, at, stored=stored)
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rank = ranked(rows, "_class", _number(name), [F.col("mix_size"), F.md5(name)], within=source_col)
-    out = rank.join(goal, rank[source_col].eqNullSafe(F.col("_s")))
-    each = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    offset = _fraction(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(source_col), F.lit(""))))
-    copies = F.floor(each * (F.col("_rank") + 1) + offset) - F.floor(each * F.col("_rank") + offset)
-    return out.withColumn("mix_copies", copies.cast("long")).drop("_class", "_rank", "_s")
+    rows = own.select(F.col(at).alias("at"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(name).alias("code"), F.xxhash64(text_col).alias("text_hash"))
+    # Size classes, a quarter of a power of two wide; in each, documents of up to BUCKET_ROWS by size, bucket after bucket.
+    rows = scratch.save(rows.withColumn("class", F.floor(4 * F.log2(F.col("size") + 1))))
+    cells = rows.groupBy(F.col("source").alias("of"), F.col("class").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("buckets"))
+    cells = lookup(scratch.save(cells, narrow=True))
+    placed = rows.join(cells, rows["source"].eqNullSafe(cells["of"]) & (rows["class"] == cells["cell"])).drop("of", "cell")
+    placed = scratch.save(placed.withColumn("bucket", F.pmod(_digits(F.col("code")), F.col("buckets"))).drop("buckets"))
+    scratch.drop(rows)
+    order = [F.col(c) for c in ("source", "class", "bucket", "size", "code", "text_hash", "at.file", "at.row")]
+    rank = ranked(scratch, placed, order)
+    scratch.drop(placed)
+    sources = scratch.save(rank.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("rank").alias("first")), narrow=True)
+    goal = sources.select(F.col("source").alias("of"), "first").join(targets(sources.drop("first"), weights, most_copies), F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    goal = lookup(scratch.save(goal, narrow=True))
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    offset = _digits(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit(""))))).cast("double") / F.lit(float(1 << 28))
+    place = F.col("rank") - F.col("first")
+    copies = F.floor(each * (place + 1) + offset) - F.floor(each * place + offset)
+    found = rank.join(goal, F.col("source").eqNullSafe(F.col("of")))
+    found = found.select(F.col("at").alias(at), F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.cast("long").alias("mix_copies"))
+    return own.join(found, at).drop(at)
 
 
 def take(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as mix_copies says, with the columns that the documents had."""
     own = [c for c in mixed.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
-    return mixed.filter("mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*own)
+    copy = free_name(mixed, "_copy")
+    return mixed.filter("mix_copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in own])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) of every document."""
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), stored=True)
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 

@@ -1,8 +1,7 @@
-"""Ranks over a whole table without a global sort in one task.
+"""Ranks over a whole table without a sort in one task.
 
-Rows fall into ordered cells of bounded meaning (a source and a size class, a piece of a curve). A cell with many
-rows is split by a hash into as many buckets as its size asks for. Counts of buckets are summed up in order, which
-gives each bucket its first rank; within a bucket a window numbers the rows. No window holds more than a bucket.
+Rows are dealt to ranges of the order, sorted there and numbered; the counts of the ranges, one number for each task, add
+up to each range's first rank. The order ends in what tells all rows apart, so no range grows with ties.
 """
 
 from __future__ import annotations
@@ -10,24 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 20_000
+from lodeweave.llm.shared import Scratch
 
+RANGE_ROWS = 1_000_000
+_IN_RANGE = 33  # bits of monotonically_increasing_id() that number the rows of a task
 
-def ranked(df: DataFrame, cell: str, spread: Column, order: list[Column], *, within: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with _rank (0-based, gapless in each value of ``within``, else in the table): by cell, then by bucket of ``spread``, then by ``order``.
 
-    ``df`` is read twice, so it should be a written table or cheap. ``spread`` tells the rows of a cell apart.
+def ranked(scratch: Scratch, rows: DataFrame, order: list[Column], *, weight: str | None = None) -> DataFrame:
+    """``rows``, a written table, with rank added: how many rows come before in ``order``, or the sum of their ``weight``.
+
+    ``order`` should be total; rows that it leaves equal get ranks next to each other in any order.
     """
-    scope = [within] if within else []
-    key = [*scope, cell]
-    cells = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / bucket_rows)).drop("_n")
-    joined = df.join(cells.withColumnsRenamed({k: f"_k_{k}" for k in key}), [df[k].eqNullSafe(F.col(f"_k_{k}")) for k in key]).drop(*[f"_k_{k}" for k in key])
-    placed = joined.withColumn("_bucket", F.pmod(spread, F.col("_parts"))).drop("_parts")
-    counts = placed.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    total = Window.partitionBy(*(scope or [F.lit(0)])).orderBy(cell, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(total), F.lit(0))).drop("_n")
-    names = [*key, "_bucket"]
-    starts = starts.withColumnsRenamed({k: f"_k_{k}" for k in names})
-    numbered = placed.withColumn("_in", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
-    out = numbered.join(starts, [numbered[k].eqNullSafe(F.col(f"_k_{k}")) for k in names])
-    return out.withColumn("_rank", F.col("_first") + F.col("_in") - 1).drop("_first", "_in", "_bucket", *[f"_k_{k}" for k in names])
+    parts = max(scratch.spark.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    dealt = scratch.save(dealt.withColumn("range", F.shiftright("_n", _IN_RANGE)).withColumn("before", F.col("_n").bitwiseAND((1 << _IN_RANGE) - 1)).drop("_n"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("range").agg(size.alias("size")).select("range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("first"))
+    if weight is not None:
+        above = Window.partitionBy("range").orderBy("before").rowsBetween(Window.unboundedPreceding, -1)
+        dealt = dealt.withColumn("before", F.coalesce(F.sum(weight).over(above), F.lit(0)))
+    # One row for each range: as many as the sort has tasks.
+    return dealt.join(F.broadcast(first), "range").withColumn("rank", F.col("first") + F.col("before")).drop("range", "before", "first")
