@@ -15,7 +15,7 @@ query, QUERIES, ORACLES = R.query, R.queries, R.oracles
 
 
 @query(
-    """SELECT o_orderkey, substr(md5('db.t' || o_orderkey || '.a->db.t' || o_custkey || '.b'), 1, 24) AS lineage_id, substr(md5('db.t' || o_orderkey || '.a->db.t' || o_custkey || '.b'), 1, 16) AS legacy_id,
+    """SELECT o_orderkey, substr(md5('db.t' || o_orderkey || '.a->db.t' || o_custkey || '.b'), 1, 24) AS provenance_id, substr(md5('db.t' || o_orderkey || '.a->db.t' || o_custkey || '.b'), 1, 16) AS legacy_id,
 'ns/db.t' || o_orderkey AS dataset_id, 'ns/db.t' || o_orderkey || '/a' AS field_id, 'db.t' || o_orderkey || '.a' AS node_id, 'db.t' || o_orderkey || '.a->db.t' || o_custkey || '.b' AS edge_id FROM orders""",
     views=False,
 )
@@ -24,7 +24,7 @@ def scalar_ids(spark, d):
     name = lambda c: F.concat(F.lit("db.t"), F.col(c).cast("string"))
     s, t = ids.node_id(name("o_orderkey"), F.lit("a")), ids.node_id(name("o_custkey"), F.lit("b"))
     ds = ids.dataset_id(F.lit("ns"), name("o_orderkey"))
-    return o.select("o_orderkey", ids.lineage_id(s, t).alias("lineage_id"), ids.lineage_id(s, t, 16).alias("legacy_id"), ds.alias("dataset_id"), ids.field_id(ds, F.lit("a")).alias("field_id"), s.alias("node_id"), ids.edge_id(s, t).alias("edge_id"))
+    return o.select("o_orderkey", ids.provenance_id(s, t).alias("provenance_id"), ids.provenance_id(s, t, 16).alias("legacy_id"), ds.alias("dataset_id"), ids.field_id(ds, F.lit("a")).alias("field_id"), s.alias("node_id"), ids.edge_id(s, t).alias("edge_id"))
 
 
 @query(
@@ -80,7 +80,7 @@ def scalar_format_bytes(spark, d):
 
 
 @query(
-    """SELECT l_partkey AS k, CASE WHEN s < 60 THEN CAST(floor(s) AS BIGINT) || 's' ELSE CAST(floor(s) // 60 AS BIGINT) || 'm ' || CAST(floor(s) % 60 AS BIGINT) || 's' END AS duration,
+    """SELECT l_partkey AS k, CASE WHEN s < 60 THEN CAST(floor(s) AS BIGINT) || 's' ELSE CAST(floor(s) AS BIGINT) // 60 || 'm ' || CAST(floor(s) AS BIGINT) % 60 || 's' END AS duration,
 CASE WHEN pr >= 10 THEN round(s / (pr / 100.0) - s, 2) END AS seconds_left FROM (SELECT DISTINCT l_partkey, (l_partkey % 500) / 4.0 AS s, l_partkey % 101 AS pr FROM lineitem)""",
     views=False,
 )
@@ -117,7 +117,7 @@ def scalar_clean_sql(spark, d):
 
 
 @query(fixtures.MAPPING_SQL, views=False)
-def fixture_lineage(spark, d):
+def fixture_provenance(spark, d):
     """The source-to-report mappings, with their paths split and ids."""
     return fixtures.mappings(spark, "demo")
 
