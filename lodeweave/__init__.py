@@ -1 +1 @@
-"""Column-level data lineage and training-data preparation as Spark jobs."""
+"""Column-level data provenance and training-data preparation as Spark jobs."""

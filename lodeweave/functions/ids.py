@@ -1,4 +1,4 @@
-"""Identifiers of the lineage catalog as Column expressions."""
+"""Identifiers of the provenance catalog as Column expressions."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ def namespace_id(uri: Column) -> Column:
     return F.substring(F.md5(uri), 1, 16)
 
 
-def lineage_id(source: Column, target: Column, size: int = 24) -> Column:
+def provenance_id(source: Column, target: Column, size: int = 24) -> Column:
     """Of the paths database.table.column of both ends; the legacy form has 16 characters."""
     return F.substring(F.md5(F.concat(source, F.lit("->"), target)), 1, size)
 

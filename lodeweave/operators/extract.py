@@ -1,9 +1,10 @@
-"""Column lineage of logged statements, as expressions over the statement's text.
+"""Column provenance of logged statements, as expressions over the statement's text.
 
 A statement's parts (target, column list, select lists, assignments, tables with aliases) are cut out with regular
 expressions and array functions, so extraction is a projection that Spark distributes like any other; no parser runs
-beside it. Nested brackets are respected by counting them. What has a target and tables but no column edges gives
-table edges (* to *) with low confidence; what has neither is reported with its status, never raised.
+beside it. Nested brackets are respected by counting them. What has a target and tables but no column edges (a
+subquery in FROM, a WITH list) gives table edges (* to *) with low confidence; what has neither is reported with its
+status, never raised. Logs repeat their statements: ``extract_log`` reads each distinct text once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ _MERGE = rf"(?is)^MERGE\s+INTO\s+{_NAME}(?:\s+(?:AS\s+)?(?!USING\b)(\w+))?\s+USI
 _UPDATE = rf"(?is)^UPDATE\s+{_NAME}(?:\s+(?:AS\s+)?(?!SET\b|FROM\b)(\w+))?\s+(?:FROM\s+(.*?)\s+)?SET\s+(.*?)(?:\s+FROM\s+(.*?))?(?:\s+WHERE\b.*)?$"
 _ANY_TARGET = rf"(?is)^(?:INSERT\s+INTO|MERGE\s+INTO|UPDATE|CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:MULTISET|SET|VOLATILE)\s+)*(?:TABLE|VIEW))\s+{_NAME}"
 _TABLE = rf"(?i)\b(?:FROM|JOIN|USING)\s+{_NAME}(?:\s+(?:AS\s+)?(?!(?:{_ALIAS_STOP})\b)(\w+))?"
+_WITH = r'(?i)(?:\bWITH|,)\s+(?:RECURSIVE\s+)?"?(\w+)"?\s*(?:\([^()]*\))?\s+AS\s*\(\s*SEL(?:ECT)?\b'
+_SETS = r"(?i)\s+(?:UNION|MINUS|EXCEPT|INTERSECT)(?:\s+ALL|\s+DISTINCT)?\s+"
+# Words that may stand before a column in an expression, so that what follows them is no alias.
+_BEFORE = "AND|OR|NOT|IS|IN|LIKE|BETWEEN|THEN|ELSE|WHEN|CASE|BY|FROM|OVER|AS|DISTINCT|MOD|INTERVAL|ESCAPE|ANY|ALL|DATE|TIME|TIMESTAMP"
+_ALIAS = rf'(?i)^(.*(?<!\b(?:{_BEFORE}))(?<![-+*/|<>=,(\s]))\s+"?(?!(?:END|NULL|ASC|DESC|FIRST|LAST|DAY|MONTH|YEAR|HOUR|MINUTE|SECOND)\b)([A-Za-z_]\w*)"?$'
 _REF = r"(?<![\w.$])([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)(?!\s*\(|[\w.$])"
 # Words of expressions that are no columns.
 _WORDS = "CASE WHEN THEN ELSE END AND OR NOT NULL IS IN LIKE BETWEEN AS DISTINCT OVER PARTITION BY ORDER ASC DESC ROWS RANGE UNBOUNDED PRECEDING FOLLOWING CURRENT ROW DATE TIME TIMESTAMP INTERVAL DAY MONTH YEAR DECIMAL NUMERIC VARCHAR CHAR INTEGER INT BIGINT SMALLINT FLOAT DOUBLE CURRENT_DATE CURRENT_TIMESTAMP TRUE FALSE FROM".split()
@@ -31,10 +37,18 @@ _EDGE = "array<struct<source:string,source_column:string,target_column:string,ki
 
 
 def plain_text(sql: Column) -> Column:
-    """A statement without comments, its literals empty, white space as single spaces, no semicolon at the end."""
-    text = F.regexp_replace(sql, r"'(?:[^']|'')*+'", "''")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
-    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"[; ]+$", "")
+    """A statement without comments, its literals empty, white space as single spaces, no semicolon at the end.
+
+    Literals, quoted names and comments are met in one pass, so an apostrophe in a comment opens no literal and two
+    hyphens in a literal open no comment. FROM within the brackets of EXTRACT, TRIM and SUBSTRING, which names no table, goes.
+    """
+    text = F.regexp_replace(sql, r"""(?s)('(?:[^']|'')*+'|"[^"]*+")|/\*.*?\*/|--[^\n]*+""", " $1 ")
+    text = F.regexp_replace(text, r"'(?:[^']|'')*+'", "''")
+    text = F.regexp_replace(F.regexp_replace(text, r'\s*\.\s*(")|(")\s*\.\s*', "$2.$1"), r"\s+", " ")
+    text = F.regexp_replace(text, r"(?i)\bEXTRACT\s*\(\s*\w+\s+FROM\s+", "EXTRACT(")
+    text = F.regexp_replace(text, r"(?i)\bTRIM\s*\(\s*(?:BOTH|LEADING|TRAILING)\b", "TRIM(")
+    text = F.regexp_replace(text, r"(?i)\b(TRIM|SUBSTRING)\s*\((?!\s*SEL)([^()]*?)\s*\bFROM\s+", "$1($2 || ")
+    return F.regexp_replace(F.trim(text), r"[; ]+$", "")
 
 
 def _let(value: Column, body) -> Column:
@@ -72,8 +86,10 @@ def _full(name: Column, database: Column) -> Column:
 def tables_of(text: Column, database: Column) -> Column:
     """array<struct<key,name>> of the tables after FROM, JOIN and USING: the alias, or the table's own name, in lower case, and database.table."""
     names, aliases = F.regexp_extract_all(text, F.lit(_TABLE), 1), F.regexp_extract_all(text, F.lit(_TABLE), 2)
+    shadowed = F.transform(F.regexp_extract_all(text, F.lit(_WITH), 1), F.lower)  # names of a WITH list are no tables
     both = F.zip_with(names, aliases, lambda n, a: F.struct(F.lower(F.when(a == "", _last(_bare(n))).otherwise(a)).alias("key"), _full(_bare(n), database).alias("name")))
-    return F.array_distinct(both)
+    plain = F.zip_with(names, both, lambda n, x: F.when(~F.array_contains(shadowed, F.lower(_bare(n))), x))
+    return F.array_distinct(F.filter(plain, lambda x: x.isNotNull()))
 
 
 def _refs(expr: Column) -> Column:
@@ -110,8 +126,9 @@ def _select_edges(branch: Column, columns: Column, database: Column) -> Column:
         items = F.transform(split_top(F.get(parts, 0), ",", ","), F.trim)
 
         def item(x: Column, k: Column) -> Column:
-            alias = F.regexp_extract(x, r'(?i)[\s)]AS\s+"?(\w+)"?$', 1)
-            expr = F.regexp_replace(x, r'(?i)([\s)])AS\s+"?\w+"?$', "$1")
+            named = F.regexp_replace(x, r'(?i)([\s)])AS\s+("?\w+"?)$', "$1 $2")
+            alias = F.translate(F.regexp_extract(named, _ALIAS, 2), '"', "")
+            expr = F.when(alias != "", F.trim(F.regexp_extract(named, _ALIAS, 1))).otherwise(named)
             own = F.when(alias != "", alias).otherwise(_last(_bare(x)))
             return F.struct(F.coalesce(F.get(columns, k), own).alias("target"), expr.alias("expr"))
 
@@ -136,7 +153,7 @@ def extract(log: DataFrame, *, text_col: str = "sql_text", database_col: str = "
     listed = lambda text: F.when(text != "", F.transform(F.split(text, ","), _bare)).otherwise(F.array().cast("array<string>"))
 
     def selects(pattern: str) -> Column:
-        branches = split_top(part(pattern, 3), r"(?i)\s+UNION(?:\s+ALL)?\s+", " UNION ")
+        branches = split_top(part(pattern, 3), _SETS, " UNION ")
         return _let(listed(part(pattern, 2)), lambda cols: F.flatten(F.transform(branches, lambda b: _select_edges(b, cols, db))))
 
     def merged() -> Column:
@@ -165,21 +182,41 @@ def extract(log: DataFrame, *, text_col: str = "sql_text", database_col: str = "
     return t.withColumn("status", status).drop("_t", "_all")
 
 
+def extract_log(log: DataFrame, *, text_col: str = "sql_text", database_col: str = "default_database") -> DataFrame:
+    """``extract`` of a batch: each distinct text of a database is read once and joined back by its digest."""
+    key = F.md5(F.concat_ws("\n", F.coalesce(F.col(database_col), F.lit("")), F.col(text_col)))
+    keyed = log.withColumn("_text", F.when(F.col(text_col).isNotNull(), key))
+    texts = keyed.filter("_text is not null").groupBy("_text").agg(F.first(text_col).alias(text_col), F.first(database_col).alias(database_col))
+    found = extract(texts, text_col=text_col, database_col=database_col).drop(text_col, database_col)
+    out = keyed.join(found, "_text", "left").drop("_text")
+    none = {"edges": F.col("edges"), "n_unresolved": F.coalesce("n_unresolved", F.lit(0)), "status": F.coalesce("status", F.lit("skipped"))}
+    return out.withColumns(none)
+
+
+def expand_stars(edges: DataFrame, fields: DataFrame) -> DataFrame:
+    """``edges`` (source, source_column, target, target_column) whose source_column is * as one edge for each column that the
+    catalog has for the source; sources that it lacks keep the *. ``fields``: name (database.table), field_name."""
+    known = fields.select(F.col("name").alias("source"), F.col("field_name").alias("_field"))
+    star = edges.filter("source_column = '*'").join(known, "source", "left")
+    named = star.withColumn("source_column", F.coalesce("_field", "source_column")).withColumn("target_column", F.when(F.col("target_column") == "*", F.coalesce("_field", F.lit("*"))).otherwise(F.col("target_column")))
+    return edges.filter("source_column <> '*'").unionByName(named.drop("_field").select(*edges.columns))
+
+
 def edge_rows(extracted: DataFrame) -> DataFrame:
-    """One row for each edge: source and target columns, kind, type, subtype, confidence and lineage_id."""
+    """One row for each edge: source and target columns, kind, type, subtype, confidence and provenance_id."""
     keep = ["query_id", "start_time", "target"]
     cols = extracted.filter("status = 'ok'").select(*keep, F.explode("edges").alias("e")).select(*keep, F.col("e.source").alias("source"), "e.source_column", "e.target_column", "e.kind")
     whole = extracted.filter("status = 'fallback'").select(*keep, F.explode("sources").alias("source"), F.lit("*").alias("source_column"), F.lit("*").alias("target_column"), F.lit("UNKNOWN").alias("kind"))
     out = cols.unionByName(whole)
     kind, sub, conf = transformation(F.col("kind"))
     s, t = ids.node_id(F.col("source"), F.col("source_column")), ids.node_id(F.col("target"), F.col("target_column"))
-    return out.select(ids.lineage_id(s, t).alias("lineage_id"), s.alias("src"), t.alias("tgt"), "kind", kind.alias("transformation_type"), sub.alias("transformation_subtype"), conf.alias("confidence_score"), "query_id", "start_time")
+    return out.select(ids.provenance_id(s, t).alias("provenance_id"), s.alias("src"), t.alias("tgt"), "kind", kind.alias("transformation_type"), sub.alias("transformation_subtype"), conf.alias("confidence_score"), "query_id", "start_time")
 
 
 def first_of_each(edges: DataFrame) -> DataFrame:
-    """One row for each lineage_id, of the earliest statement: partial aggregates, no sort of a key's rows."""
-    rest = [c for c in edges.columns if c != "lineage_id"]
-    return edges.groupBy("lineage_id").agg(F.min_by(F.struct(*rest), F.struct("start_time", "query_id", "kind")).alias("r")).select("lineage_id", "r.*")
+    """One row for each provenance_id, of the earliest statement: partial aggregates, no sort of a key's rows."""
+    rest = [c for c in edges.columns if c != "provenance_id"]
+    return edges.groupBy("provenance_id").agg(F.min_by(F.struct(*rest), F.struct("start_time", "query_id", "kind")).alias("r")).select("provenance_id", "r.*")
 
 
 def eligible(log: DataFrame, since: str | None = None, statements: tuple[str, ...] = STATEMENTS) -> DataFrame:

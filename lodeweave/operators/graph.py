@@ -1,4 +1,4 @@
-"""Summaries of the lineage graph: degrees, flags, adjacency, clusters, layers, components, highlights, impact."""
+"""Summaries of the provenance graph: degrees, flags, adjacency, clusters, layers, components, highlights, impact."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
-def lineage_flags(edges: DataFrame) -> DataFrame:
+def provenance_flags(edges: DataFrame) -> DataFrame:
     d = degrees(edges)
     return d.select("node", (F.col("in_degree") > 0).alias("has_upstream"), (F.col("out_degree") > 0).alias("has_downstream"))
 
@@ -63,10 +63,10 @@ def layer_rank(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataF
     """node, layer of the nodes downstream of the roots: the longest path to a node that a level-by-level relaxation finds
     within max_depth levels. On a graph without cycles this is the layered drawing's rank."""
     step = edges.select(F.col("src").alias("at"), F.col("tgt").alias("node")).distinct()
-    level, _ = cut(roots.select(F.col("root").alias("node")).distinct())
+    level, n = cut(roots.select(F.col("root").alias("node")).distinct())
     out = level.withColumn("layer", F.lit(0))
     for k in range(1, max_depth + 1):
-        level, n = cut(step.join(level.withColumnRenamed("node", "at"), "at").select("node").distinct())
+        level, n = cut(step.join(level.withColumnRenamed("node", "at"), "at").select("node").distinct(), after=n)
         if n == 0:
             break
         out = out.unionByName(level.withColumn("layer", F.lit(k)))
@@ -82,7 +82,7 @@ def weak_component(edges: DataFrame, roots: DataFrame) -> DataFrame:
     while n != 0:
         found = step.join(level.withColumnRenamed("node", "at"), "at").select("root", "node").distinct()
         last, before = before.unionByName(level), level
-        level, n = cut(found.join(last, ["root", "node"], "left_anti"))
+        level, n = cut(found.join(last, ["root", "node"], "left_anti"), after=n)
         out, rounds = out.unionByName(level), rounds + 1
         if rounds % 20 == 0:
             out, _ = cut(out)
@@ -127,37 +127,37 @@ def database_nodes(edges: DataFrame, datasets: DataFrame, fields: DataFrame, dat
 
 
 def expand_database(edges: DataFrame, database: str, *, direction: str = "both", max_depth: int = 3) -> DataFrame:
-    """lineage_id, depth of the edges within max_depth steps of the database's columns. Both directions are one list of
+    """provenance_id, depth of the edges within max_depth steps of the database's columns. Both directions are one list of
     directed steps, so each level is an equi-join."""
     ways = []
     if direction in ("both", "downstream"):
-        ways.append(edges.select(F.col("src").alias("at"), F.col("tgt").alias("node"), "lineage_id"))
+        ways.append(edges.select(F.col("src").alias("at"), F.col("tgt").alias("node"), "provenance_id"))
     if direction in ("both", "upstream"):
-        ways.append(edges.select(F.col("tgt").alias("at"), F.col("src").alias("node"), "lineage_id"))
+        ways.append(edges.select(F.col("tgt").alias("at"), F.col("src").alias("node"), "provenance_id"))
     steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
     level, n = cut(nodes_of(edges).filter(F.col("dataset").startswith(f"{database}.")).select("node").distinct())
     seen, out = level, None
     for depth in range(1, max_depth + 1):
         if n == 0:
             break
-        found = steps.join(level.withColumnRenamed("node", "at"), "at").select("lineage_id", "node", F.lit(depth).alias("depth"))
+        found = steps.join(level.withColumnRenamed("node", "at"), "at").select("provenance_id", "node", F.lit(depth).alias("depth"))
         out = found if out is None else out.unionByName(found)
         if depth < max_depth:
-            level, n = cut(found.select("node").distinct().join(seen, "node", "left_anti"))
+            level, n = cut(found.select("node").distinct().join(seen, "node", "left_anti"), after=n)
             seen = seen.unionByName(level)
-    return edges.sparkSession.createDataFrame([], "lineage_id string, depth int") if out is None else out.groupBy("lineage_id").agg(F.min("depth").alias("depth"))
+    return edges.sparkSession.createDataFrame([], "provenance_id string, depth int") if out is None else out.groupBy("provenance_id").agg(F.min("depth").alias("depth"))
 
 
 def page_by_tables(edges: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     """Edges of one page of source tables, with total_tables, total_pages and has_next. Tables are distinct first, so the
     sort is over names and not over edges."""
     names = edges.select("source_dataset").distinct()
-    total = names.count()
+    total = names.agg(F.count(F.lit(1))).scalar()  # a column of the plan, not a job of its own
     wanted = names.orderBy("source_dataset").offset((page - 1) * size).limit(size)
-    out = edges.join(F.broadcast(wanted), "source_dataset", "left_semi")  # at most `size` names
-    return out.select("lineage_id", "src", "tgt", F.lit(total).cast("long").alias("total_tables"), F.lit(-(-total // size)).cast("long").alias("total_pages"), F.lit(total > page * size).alias("has_next"))
+    out = edges.join(F.broadcast(wanted), "source_dataset", "left_semi").withColumn("total_tables", total)  # at most `size` names
+    return out.select("provenance_id", "src", "tgt", "total_tables", F.ceil(F.col("total_tables") / size).cast("long").alias("total_pages"), (F.col("total_tables") > page * size).alias("has_next"))
 
 
 def orphans(edges: DataFrame, known: DataFrame, end: str) -> DataFrame:
-    """lineage_id and the end of the edges whose end the catalog lacks."""
-    return edges.join(known.select(F.col("node").alias(end)), end, "left_anti").select("lineage_id", end)
+    """provenance_id and the end of the edges whose end the catalog lacks."""
+    return edges.join(known.select(F.col("node").alias(end)), end, "left_anti").select("provenance_id", end)

@@ -9,14 +9,15 @@ CELL = 65_536
 
 
 def numbered(df: DataFrame, name: str, key: str, then: list[str | Column] | None = None, cell: int = CELL) -> DataFrame:
-    """``df`` with ``name``: 1, 2, 3, ... by the whole number ``key``, then by ``then``.
+    """``df`` with ``name``: 1, 2, 3, ... by the whole number ``key``, null first, then by ``then``.
 
-    Keys fall into ordered cells of ``cell`` values. The rows of a cell are numbered by a window; the first number of a cell is a
-    running sum over the cells' counts, one row for each cell. Repeated keys keep to one cell.
+    Keys fall into ordered cells of ``cell`` values, null into one of its own. The rows of a cell are numbered by a window; the first
+    number of a cell is a running sum over the cells' counts, one row for each cell. Repeated keys keep to one cell.
     """
     place = df.withColumn("_cell", F.floor(F.col(key) / cell))
     counts = place.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    starts = counts.select(F.col("_cell").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     own = F.row_number().over(Window.partitionBy("_cell").orderBy(key, *(then or [])))
-    return place.withColumn("_own", own).join(starts, "_cell").withColumn(name, F.col("_first") + F.col("_own")).drop("_cell", "_own", "_first")
+    numbered = place.withColumn("_own", own).join(starts, F.col("_cell").eqNullSafe(F.col("_of")))
+    return numbered.withColumn(name, F.col("_first") + F.col("_own")).drop("_cell", "_of", "_own", "_first")

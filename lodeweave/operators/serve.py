@@ -26,6 +26,11 @@ def add_missing(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return known.unionByName(new.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti"))
 
 
+def upsert(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``new``, and those of ``known`` whose keys it lacks. Keys are distinct in each; null keys are equal to none."""
+    return known.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
 def own_table(name: Column, *, compat: bool = False) -> Column:
     """The catalog's own tables, OL_ and LIN_. ``compat`` reads the underscore as any character, so OLD_X and LINEITEM match."""
     return (name.like("OL_%") | name.like("LIN_%")) if compat else name.rlike("^(LIN|OL)_")
@@ -46,7 +51,7 @@ def namespaces(ns: DataFrame) -> DataFrame:
 def dataset_page(datasets: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page by name, with the number of all datasets. Sorting is a top-k: tasks keep offset + limit rows at most."""
     page = datasets.orderBy("name", "dataset_id").offset(offset).limit(limit)
-    return page.select("dataset_id", "name", F.coalesce(F.trim("description"), F.lit("")).alias("description"), "source_type", F.lit(datasets.count()).cast("long").alias("total"))
+    return page.select("dataset_id", "name", F.coalesce(F.trim("description"), F.lit("")).alias("description"), "source_type", datasets.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 def page_of(offset: int, limit: int, total: int) -> tuple[int, int, int]:

@@ -1,4 +1,4 @@
-"""The lineage graph as tables: columns by table, edges with the names of their tables, filters, order."""
+"""The provenance graph as tables: columns by table, edges with the names of their tables, filters, order."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def edge_table(edges: DataFrame, datasets: DataFrame) -> DataFrame:
     """One row for each edge with the registered names of both tables; unregistered tables keep the edge's own name."""
     names = datasets.select("name")
     out = edges.join(names.withColumnRenamed("name", "s_name"), F.col("source_dataset") == F.col("s_name"), "left").join(names.withColumnRenamed("name", "t_name"), F.col("target_dataset") == F.col("t_name"), "left")
-    return out.select("lineage_id", F.coalesce("s_name", "source_dataset").alias("source_table"), "source_field", F.coalesce("t_name", "target_dataset").alias("target_table"), "target_field", "transformation_type", "confidence_score")
+    return out.select("provenance_id", F.coalesce("s_name", "source_dataset").alias("source_table"), "source_field", F.coalesce("t_name", "target_dataset").alias("target_table"), "target_field", "transformation_type", "confidence_score")
 
 
 def matching(table: DataFrame, text: str) -> DataFrame:
@@ -46,7 +46,7 @@ def matching(table: DataFrame, text: str) -> DataFrame:
 def ordered(table: DataFrame, key: str, descending: bool = False) -> DataFrame:
     """By a chosen column, then by id; a missing confidence counts as -1."""
     k = F.coalesce(F.col(key), F.lit(-1)) if key == "confidence_score" else F.col(key)
-    return table.orderBy(k.desc() if descending else k.asc(), "lineage_id")
+    return table.orderBy(k.desc() if descending else k.asc(), "provenance_id")
 
 
 def between_types(table: DataFrame, datasets: DataFrame, types: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Traversals of the column-lineage graph: path-exact walks and reachability.
+"""Traversals of the column-provenance graph: path-exact walks and reachability.
 
 ``walk`` enumerates simple paths level by level, with the node rule (a path never meets a node again) or the edge rule
 (never uses an edge again, so the edge that closes a cycle counts). ``reach`` finds nodes with their least depth by a
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.sources.scratch import cut
 
-EDGE = ["lineage_id", "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "confidence_score", "src", "tgt"]
+EDGE = ["provenance_id", "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "confidence_score", "src", "tgt"]
 
 
 def active(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def walk(edges: DataFrame, roots: DataFrame, *, direction: str = "downstream", m
     near, far = ("src", "tgt") if direction == "downstream" else ("tgt", "src")
     cols = [c for c in EDGE if c in edges.columns]
     step = edges.select(*cols)
-    start = F.array(near, far) if rule == "node" else F.array("lineage_id")
+    start = F.array(near, far) if rule == "node" else F.array("provenance_id")
     roots, _ = cut(roots)
     level, n = cut(step.join(roots, F.col(near) == F.col("root")).select("root", *cols, F.lit(1).alias("depth"), start.alias("path")))
     out = level
@@ -38,9 +38,9 @@ def walk(edges: DataFrame, roots: DataFrame, *, direction: str = "downstream", m
         if n == 0:
             break
         front = level.select("root", F.col(far).alias("at"), F.col("path").alias("before"))
-        new = F.col(far) if rule == "node" else F.col("lineage_id")
+        new = F.col(far) if rule == "node" else F.col("provenance_id")
         found = step.join(front, F.col(near) == F.col("at")).filter(~F.array_contains("before", new))
-        level, n = cut(found.select("root", *cols, F.lit(depth).alias("depth"), F.array_append("before", new).alias("path")))
+        level, n = cut(found.select("root", *cols, F.lit(depth).alias("depth"), F.array_append("before", new).alias("path")), after=n)
         out = out.unionByName(level)
     return out
 
@@ -62,13 +62,13 @@ def reach(edges: DataFrame, roots: DataFrame, *, direction: str = "downstream",
             break
         front = level.select("root", F.col("node").alias("at"))
         found = step.join(front, "at").select("root", "node").distinct()
-        level, n = cut(found.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        level, n = cut(found.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), after=n)
         seen = seen.unionByName(level)
     return seen.filter("depth > 0")
 
 
-def field_lineage(edges: DataFrame, dataset: str | Column, field: str | Column, direction: str = "both", max_depth: int = 5) -> DataFrame:
-    """direction, root and distinct edges with depth of a field's lineage; the field's name in any case of letters."""
+def field_provenance(edges: DataFrame, dataset: str | Column, field: str | Column, direction: str = "both", max_depth: int = 5) -> DataFrame:
+    """direction, root and distinct edges with depth of a field's provenance; the field's name in any case of letters."""
     e = active(edges)
     out = None
     for way in ("upstream", "downstream") if direction == "both" else (direction,):

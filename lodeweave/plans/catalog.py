@@ -12,7 +12,7 @@ from lodeweave.sources.catalog_views import Frames
 R = Registry()
 query, QUERIES, ORACLES = R.query, R.queries, R.oracles
 
-ASIA = "teradata://asia:1025"
+ASIA = "warehouse://asia:1025"
 _ASIA_ID = f"substr(md5('{ASIA}'), 1, 16)"
 _ISO_SQL = "strftime(created_at, '%Y-%m-%dT%H:%M:%S')"
 
@@ -76,10 +76,10 @@ def catalog_fields(spark, d):
 
 
 @query(""" SELECT 'OL_NAMESPACE' AS table_name, count(*) AS row_count FROM ol_namespace UNION ALL SELECT 'OL_DATASET', count(*) FROM ol_dataset
-UNION ALL SELECT 'OL_DATASET_FIELD', count(*) FROM ol_dataset_field UNION ALL SELECT 'OL_COLUMN_LINEAGE', count(*) FROM ol_column_lineage""")
+UNION ALL SELECT 'OL_DATASET_FIELD', count(*) FROM ol_dataset_field UNION ALL SELECT 'OL_COLUMN_PROVENANCE', count(*) FROM ol_column_provenance""")
 def catalog_counts(spark, d):
     c = Frames(spark, d)
-    return serve.row_counts({"OL_NAMESPACE": c.namespace, "OL_DATASET": c.dataset, "OL_DATASET_FIELD": c.field, "OL_COLUMN_LINEAGE": c.edges})
+    return serve.row_counts({"OL_NAMESPACE": c.namespace, "OL_DATASET": c.dataset, "OL_DATASET_FIELD": c.field, "OL_COLUMN_PROVENANCE": c.edges})
 
 
 # ---- serving

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeweave.operators import extract
-from lodeweave.operators.serve import add_missing
+from lodeweave.operators.serve import add_missing, upsert
 from lodeweave.plans.base import Registry
 from lodeweave.sources.catalog_views import Frames
 from lodeweave.streaming import log_stream
@@ -25,8 +26,8 @@ _EDGES = (
   UNION ALL SELECT query_id, start_time, 'dim.d' || u || '.' || c, 'rpt.v' || u || '.' || c, 'DIRECT' FROM elig, (VALUES ('k'), ('v')) AS v(c) WHERE event_type = 'view' AND NOT no_text
   UNION ALL SELECT query_id, start_time, 'stg.t' || u || '.total', 'dim.m' || u || '.total', 'DIRECT' FROM elig WHERE event_type = 'purchase' AND NOT no_text
   UNION ALL SELECT query_id, start_time, 'stg.t' || u || '.full_name', 'dim.m' || u || '.name', 'DIRECT' FROM elig WHERE event_type = 'signup' AND NOT no_text),
-y AS (SELECT substr(md5(src || '->' || tgt), 1, 24) AS lineage_id, * FROM x),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lineage_id ORDER BY start_time, query_id) AS r FROM y) WHERE r = 1)"""
+y AS (SELECT substr(md5(src || '->' || tgt), 1, 24) AS provenance_id, * FROM x),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provenance_id ORDER BY start_time, query_id) AS r FROM y) WHERE r = 1)"""
 )
 _CONF = "CAST(CASE kind WHEN 'DIRECT' THEN 0.95 WHEN 'CALCULATION' THEN 0.85 WHEN 'AGGREGATION' THEN 0.90 ELSE 0.60 END AS DECIMAL(3, 2))"
 
@@ -36,7 +37,7 @@ def _log(spark, d):
 
 
 def _edges(spark, d):
-    return extract.edge_rows(extract.extract(_log(spark, d)))
+    return extract.edge_rows(extract.extract_log(_log(spark, d)))
 
 
 @query(_OK + f" SELECT query_id, statement_type, start_time FROM elig WHERE start_time > TIMESTAMP '{SINCE}'")
@@ -62,38 +63,38 @@ def log_validate(spark, d):
     return _log(spark, d).agg(n.alias("statements"), missing.alias("without_text"), F.round(missing * 100.0 / n, 4).alias("without_text_pct"), F.count_if(F.length("sql_text") < 20).alias("short_texts"))
 
 
-@query(_EDGES + f" SELECT lineage_id, src, tgt, kind, {_CONF} AS confidence_score, query_id FROM firsts")
+@query(_EDGES + f" SELECT provenance_id, src, tgt, kind, {_CONF} AS confidence_score, query_id FROM firsts")
 def extract_edges(spark, d):
     """Column edges of the log, each from its earliest statement."""
-    return extract.first_of_each(_edges(spark, d)).select("lineage_id", "src", "tgt", "kind", "confidence_score", "query_id")
+    return extract.first_of_each(_edges(spark, d)).select("provenance_id", "src", "tgt", "kind", "confidence_score", "query_id")
 
 
 @query(_EDGES + " SELECT CASE WHEN no_text THEN 'skipped' ELSE 'ok' END AS status, count(*) AS statements, CAST(sum(CASE WHEN no_text THEN 0 WHEN event_type = 'click' THEN 4 WHEN event_type = 'view' THEN 2 ELSE 1 END) AS BIGINT) AS records FROM elig GROUP BY 1")
 def extract_stats(spark, d):
     """Statements by outcome, and the records they gave before any are merged."""
-    x = extract.extract(_log(spark, d))
+    x = extract.extract_log(_log(spark, d))
     return x.groupBy("status").agg(F.count(F.lit(1)).alias("statements"), F.sum(F.coalesce(F.size("edges"), F.lit(0)).cast("long")).alias("records"))
 
 
 @query(_OK + " SELECT query_id, 'no statement text' AS message FROM elig WHERE no_text ORDER BY query_id LIMIT 1000")
 def extract_errors(spark, d):
     """The first thousand statements without edges, with the reason."""
-    x = extract.extract(_log(spark, d)).filter(F.col("status").isin("failed", "skipped"))
+    x = extract.extract_log(_log(spark, d)).filter(F.col("status").isin("failed", "skipped"))
     message = F.when(F.col("status") == "skipped", "no statement text").otherwise(F.substring(F.concat(F.lit("no target or tables in: "), "sql_text"), 1, 200))
     return x.select("query_id", message.alias("message")).orderBy("query_id").limit(1000)
 
 
-@query(_EDGES + " SELECT lineage_id, CASE WHEN substr(lineage_id, 1, 1) < '8' THEN 'known' ELSE 'new' END AS state FROM firsts")
-def lineage_sink_dedup(spark, d):
+@query(_EDGES + " SELECT provenance_id, CASE WHEN substr(provenance_id, 1, 1) < '8' THEN 'known' ELSE 'new' END AS state FROM firsts")
+def provenance_sink_dedup(spark, d):
     """The sink after a run: edges that it has stay, the others are added once."""
     found = extract.first_of_each(_edges(spark, d))
-    known = found.filter(F.substring("lineage_id", 1, 1) < "8").select("lineage_id", F.lit("known").alias("state"))
-    return add_missing(known, found.select("lineage_id", F.lit("new").alias("state")), ["lineage_id"])
+    known = found.filter(F.substring("provenance_id", 1, 1) < "8").select("provenance_id", F.lit("known").alias("state"))
+    return add_missing(known, found.select("provenance_id", F.lit("new").alias("state")), ["provenance_id"])
 
 
 @query(_EDGES + """, p AS (SELECT regexp_extract(src, '^(.*)\\.[^.]*$', 1) AS source_table, regexp_extract(tgt, '^(.*)\\.[^.]*$', 1) AS target_table, start_time, query_id FROM y)
-SELECT substr(md5(source_table || '->' || target_table), 1, 16) AS lineage_id, source_table, target_table, min(start_time) AS first_seen, max(start_time) AS last_seen, count(DISTINCT query_id) AS query_count FROM p GROUP BY ALL""")
-def table_lineage_rollup(spark, d):
+SELECT substr(md5(source_table || '->' || target_table), 1, 16) AS provenance_id, source_table, target_table, min(start_time) AS first_seen, max(start_time) AS last_seen, count(DISTINCT query_id) AS query_count FROM p GROUP BY ALL""")
+def table_provenance_rollup(spark, d):
     """Table edges with when they were seen and in how many statements."""
     return log_stream.table_rollup(_edges(spark, d))
 
@@ -101,19 +102,101 @@ def table_lineage_rollup(spark, d):
 @query(_OK + ", p AS (SELECT CASE event_type WHEN 'click' THEN 'src.c' || u WHEN 'view' THEN 'dim.d' || u ELSE 'stg.t' || u END AS source, CASE event_type WHEN 'click' THEN 'stg.t' || u WHEN 'view' THEN 'rpt.v' || u ELSE 'dim.m' || u END AS target FROM elig WHERE NOT no_text UNION ALL SELECT 'src.o' || u, 'stg.t' || u FROM elig WHERE event_type = 'click' AND NOT no_text) SELECT source, target, count(*) AS statements FROM p GROUP BY ALL")
 def pattern_fallback_edges(spark, d):
     """Table edges from the texts' patterns alone, as for statements without column edges."""
-    x = extract.extract(_log(spark, d)).filter(F.col("target").isNotNull())
+    x = extract.extract_log(_log(spark, d)).filter(F.col("target").isNotNull())
     return x.select(F.explode("sources").alias("source"), "target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("statements"))
 
 
 @query(_OK + " SELECT query_id, CASE event_type WHEN 'click' THEN 'stg.t' || u WHEN 'view' THEN 'rpt.v' || u ELSE 'dim.m' || u END AS target FROM elig WHERE NOT no_text")
 def scalar_target_table(spark, d):
-    return extract.extract(_log(spark, d)).filter("target is not null").select("query_id", "target")
-
-
-@query(_EDGES + " SELECT DISTINCT lineage_id, src, tgt FROM y")
+    return extract.extract_log(_log(spark, d)).filter("target is not null").select("query_id", "target")
+
+
+# Statement shapes and the column edges that each must give, written by hand: (text, status, edges "source > target").
+SHAPES = [
+    ("INSERT INTO t (a, b) SELECT s.x, s.y FROM src s", "ok", "db.src.x > db.t.a; db.src.y > db.t.b"),
+    ("INSERT INTO t SELECT a.x nm FROM u a", "ok", "db.u.x > db.t.nm"),
+    ("INSERT INTO t SELECT a.x AS nm, a.y + a.z total FROM u a", "ok", "db.u.x > db.t.nm; db.u.y > db.t.total; db.u.z > db.t.total"),
+    ("INSERT INTO t /* it's raw */ (k) SELECT 'k' || u.c FROM u -- don't", "ok", "db.u.c > db.t.k"),
+    ("INSERT INTO t (n) SELECT u.c || '-- no comment /* here */' FROM u", "ok", "db.u.c > db.t.n"),
+    ("INSERT INTO t (y) SELECT EXTRACT(YEAR FROM d) FROM u", "ok", "db.u.d > db.t.y"),
+    ("INSERT INTO t (n) SELECT TRIM(BOTH ' ' FROM u.n) FROM u", "ok", "db.u.n > db.t.n"),
+    ("INSERT INTO t (n) SELECT SUBSTRING(u.n FROM 1) FROM u", "ok", "db.u.n > db.t.n"),
+    ("INSERT INTO t (a) SELECT x FROM u MINUS SELECT y FROM v", "ok", "db.u.x > db.t.a; db.v.y > db.t.a"),
+    ("INSERT INTO t (a) SELECT x FROM u UNION ALL SELECT y FROM v", "ok", "db.u.x > db.t.a; db.v.y > db.t.a"),
+    ("INSERT INTO t (a) SELECT x FROM u INTERSECT SELECT y FROM v", "ok", "db.u.x > db.t.a; db.v.y > db.t.a"),
+    ("INSERT INTO t (a) SEL x FROM u", "ok", "db.u.x > db.t.a"),
+    ("INSERT INTO t (a) SELECT DISTINCT x FROM other.u", "ok", "other.u.x > db.t.a"),
+    ("INSERT INTO t (a, b) SELECT MAX(u.x), CASE WHEN v.y > 0 THEN v.z ELSE 0 END FROM u JOIN v ON u.k = v.k GROUP BY v.z", "ok", "db.u.x > db.t.a; db.v.y > db.t.b; db.v.z > db.t.b"),
+    ("INSERT INTO t (a) SELECT u.x AND NOT u.y FROM u", "ok", "db.u.x > db.t.a; db.u.y > db.t.a"),
+    ("INSERT INTO t (a) SELECT COALESCE(u.x, u.y) AS \"A\" FROM u", "ok", "db.u.x > db.t.a; db.u.y > db.t.a"),
+    ('INSERT INTO "D"."T" ("a") SELECT "u"."x" FROM "D"."U" "u"', "ok", "D.U.x > D.T.a"),
+    ("INSERT INTO t (a, b) SELECT u.x, v.y FROM u, v WHERE u.k = v.k", "ok", "db.u.x > db.t.a; db.v.y > db.t.b"),
+    ("CREATE TABLE t AS (SELECT u.x, u.y AS z FROM u) WITH DATA", "ok", "db.u.x > db.t.x; db.u.y > db.t.z"),
+    ("CREATE VIEW w (p, q) AS SELECT u.x, u.y FROM u", "ok", "db.u.x > db.w.p; db.u.y > db.w.q"),
+    ("CREATE VOLATILE TABLE t AS (SELECT u.x FROM u) WITH NO DATA", "ok", "db.u.x > db.t.x"),
+    ("MERGE INTO t USING s ON t.id = s.id WHEN MATCHED THEN UPDATE SET a = s.b", "ok", "db.s.b > db.t.a"),
+    ("MERGE INTO t USING s ON t.id = s.id WHEN NOT MATCHED THEN INSERT (a, b) VALUES (s.x, s.y)", "ok", "db.s.x > db.t.a; db.s.y > db.t.b"),
+    ("UPDATE t FROM s SET a = s.b WHERE t.id = s.id", "ok", "db.s.b > db.t.a"),
+    ("UPDATE t SET a = b", "ok", "db.t.b > db.t.a"),
+    ("INSERT INTO t (a) SELECT q.x FROM (SELECT u.x FROM u) q", "fallback", "db.u.* > db.t.*"),
+    ("INSERT INTO t (a) WITH c AS (SELECT x FROM u) SELECT c.x FROM c", "fallback", "db.u.* > db.t.*"),
+    ("INSERT INTO t SELECT * FROM u", "fallback", "db.u.* > db.t.*"),
+    ("INSERT INTO t VALUES (1, 2)", "failed", ""),
+    ("DELETE FROM t", "failed", ""),
+]
+
+
+def _shape_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {q(status)}, {q(edges)})" for k, (_, status, edges) in enumerate(SHAPES))
+    return f"SELECT CAST(k AS BIGINT) AS shape, status, edges FROM (VALUES {rows}) AS v(k, status, edges)"
+
+
+@query(_shape_sql(), views=False)
+def extract_statement_shapes(spark, d):
+    """Status and edges of statements of many shapes, against edges written by hand."""
+    log = spark.createDataFrame([(k, text, "db") for k, (text, _, _) in enumerate(SHAPES)], "query_id long, sql_text string, default_database string")
+    x = extract.extract_log(log.withColumn("start_time", F.lit(None).cast("timestamp")))
+    edge = F.concat("src", F.lit(" > "), "tgt")
+    edges = extract.edge_rows(x).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(edge)), "; ").alias("edges"))
+    return x.select("query_id", "status").join(edges, "query_id", "left").select(F.col("query_id").alias("shape"), "status", F.coalesce("edges", F.lit("")).alias("edges"))
+
+
+@query(_OK + """, s AS (SELECT name, rank() OVER (ORDER BY name) AS r FROM ol_dataset), e AS (SELECT name AS source, CASE WHEN r % 3 = 0 THEN 'x' ELSE '*' END AS source_column FROM s UNION ALL SELECT 'none.t', '*')
+SELECT source, coalesce(field_name, source_column) AS source_column, 'db.copy' AS target, coalesce(field_name, source_column) AS target_column
+FROM e LEFT JOIN (SELECT name, field_name FROM ol_dataset JOIN ol_dataset_field USING (dataset_id)) f ON f.name = e.source AND e.source_column = '*'""")
+def extract_star_expansion(spark, d):
+    """Copies of tables by SELECT *: one edge for each column that the catalog has for the source."""
+    c = Frames(spark, d)
+    place = F.rank().over(Window.partitionBy(F.lit(0)).orderBy("name"))  # names of tables only
+    e = c.dataset.select(F.col("name").alias("source"), F.when(place % 3 == 0, "x").otherwise("*").alias("source_column"))
+    e = e.unionByName(spark.createDataFrame([("none.t", "*")], "source string, source_column string"))
+    e = e.select("source", "source_column", F.lit("db.copy").alias("target"), F.col("source_column").alias("target_column"))
+    return extract.expand_stars(e, c.field.join(c.dataset.select("dataset_id", "name"), "dataset_id"))
+
+
+@query(_OK + " SELECT query_id, statement_type, start_time, no_text FROM elig")
+def log_statements_joined(spark, d):
+    """Headers of the log with their texts, two tables joined by query and process, in order of their start."""
+    log = _log(spark, d)
+    header, text = log.select("query_id", "proc_id", "statement_type", "start_time"), log.select("query_id", "proc_id", "sql_text")
+    return header.join(text, ["query_id", "proc_id"]).select("query_id", "statement_type", "start_time", F.col("sql_text").isNull().alias("no_text")).orderBy("start_time", "query_id")
+
+
+@query(_OK + f""", w AS (SELECT statement_type, max(start_time) FILTER (WHERE start_time <= TIMESTAMP '{SINCE}') AS old, max(start_time) FILTER (WHERE start_time > TIMESTAMP '{SINCE}') AS new FROM elig GROUP BY 1)
+SELECT statement_type AS source_name, coalesce(new, old) AS watermark FROM w""")
+def log_watermark_upsert(spark, d):
+    """The store of watermarks by source after an incremental run: what was read since replaces what was known."""
+    log = _log(spark, d)
+    of = lambda x: x.groupBy(F.col("statement_type").alias("source_name")).agg(F.max("start_time").alias("watermark"))
+    since = F.lit(SINCE).cast("timestamp")
+    return upsert(of(log.filter(F.col("start_time") <= since)), of(log.filter(F.col("start_time") > since)), ["source_name"])
+
+
+@query(_EDGES + " SELECT DISTINCT provenance_id, src, tgt FROM y")
 def stream_extract_edges(spark, d):
     """The same edges by a stream over the log's files, until it has read all that is there."""
-    return log_stream.run_available(spark, d).select("lineage_id", "src", "tgt")
+    return log_stream.run_available(spark, d).select("provenance_id", "src", "tgt")
 
 
 @query(_OK + " SELECT date_trunc('hour', start_time) AS hour, count(*) AS statements FROM elig GROUP BY 1")

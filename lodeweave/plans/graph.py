@@ -1,4 +1,4 @@
-"""Queries over the whole lineage graph: degrees, tables of edges, database lineage, integrity."""
+"""Queries over the whole provenance graph: degrees, tables of edges, database provenance, integrity."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from lodeweave.sources.catalog_views import Frames
 R = Registry()
 query, QUERIES, ORACLES = R.query, R.queries, R.oracles
 
-_ACT = ", act AS (SELECT * FROM ol_column_lineage WHERE is_active = 'Y')"
+_ACT = ", act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y')"
 _DB = "split_part({}, '.', 1)"
 
 
@@ -29,8 +29,8 @@ def column_degrees(spark, d):
 
 
 @query(_ACT + """, n AS (SELECT src AS node FROM act UNION SELECT tgt FROM act) SELECT node, node IN (SELECT tgt FROM act) AS has_upstream, node IN (SELECT src FROM act) AS has_downstream FROM n""")
-def column_lineage_flags(spark, d):
-    return graph.lineage_flags(_act(spark, d))
+def column_provenance_flags(spark, d):
+    return graph.provenance_flags(_act(spark, d))
 
 
 @query(_ACT + " SELECT src, string_agg(DISTINCT tgt, ',' ORDER BY tgt) AS targets FROM act GROUP BY src")
@@ -89,7 +89,7 @@ def large_graph_flag(spark, d):
 
 # ---- edges as a table
 
-_EDGE_TABLE = _ACT + """, t AS (SELECT e.lineage_id, coalesce(s.name, source_dataset) AS source_table, source_field, coalesce(t.name, target_dataset) AS target_table, target_field, transformation_type, confidence_score
+_EDGE_TABLE = _ACT + """, t AS (SELECT e.provenance_id, coalesce(s.name, source_dataset) AS source_table, source_field, coalesce(t.name, target_dataset) AS target_table, target_field, transformation_type, confidence_score
 FROM act e LEFT JOIN ol_dataset s ON s.name = source_dataset LEFT JOIN ol_dataset t ON t.name = target_dataset)"""
 
 
@@ -107,18 +107,18 @@ def edge_table_filter(spark, d):
     return tables.matching(_edge_table(spark, d), "China")
 
 
-@query(_EDGE_TABLE + " SELECT * FROM t ORDER BY coalesce(confidence_score, -1) DESC, lineage_id LIMIT 100")
+@query(_EDGE_TABLE + " SELECT * FROM t ORDER BY coalesce(confidence_score, -1) DESC, provenance_id LIMIT 100")
 def edge_table_sorted(spark, d):
     return tables.ordered(_edge_table(spark, d), "confidence_score", descending=True).limit(100)
 
 
-@query(_EDGE_TABLE + " SELECT * FROM t ORDER BY coalesce(confidence_score, -1) DESC, lineage_id")
+@query(_EDGE_TABLE + " SELECT * FROM t ORDER BY coalesce(confidence_score, -1) DESC, provenance_id")
 def edge_table_sorted_all(spark, d):
     """The whole table in order; edge_table_sorted is its first 100 rows, as its SQL says."""
     return tables.ordered(_edge_table(spark, d), "confidence_score", descending=True)
 
 
-@query(_EDGE_TABLE + " SELECT * FROM t ORDER BY source_table, lineage_id LIMIT 25 OFFSET 50")
+@query(_EDGE_TABLE + " SELECT * FROM t ORDER BY source_table, provenance_id LIMIT 25 OFFSET 50")
 def edge_table_page(spark, d):
     return tables.ordered(_edge_table(spark, d), "source_table").offset(50).limit(25)
 
@@ -133,7 +133,7 @@ _PCT = "CAST(round(confidence_score * 100) AS INTEGER)"
 
 
 @query(f""" SELECT confidence_score, count(*) AS edges, {_PCT} AS pct, CASE WHEN {_PCT} >= 90 THEN 'high' WHEN {_PCT} >= 70 THEN 'medium' WHEN {_PCT} >= 50 THEN 'low' ELSE 'very_low' END AS band,
-CAST(CASE WHEN {_PCT} >= 90 THEN 1.0 WHEN {_PCT} >= 70 THEN 0.9 WHEN {_PCT} >= 50 THEN 0.8 ELSE 0.7 END AS DOUBLE) AS opacity FROM ol_column_lineage GROUP BY confidence_score""")
+CAST(CASE WHEN {_PCT} >= 90 THEN 1.0 WHEN {_PCT} >= 70 THEN 0.9 WHEN {_PCT} >= 50 THEN 0.8 ELSE 0.7 END AS DOUBLE) AS opacity FROM ol_column_provenance GROUP BY confidence_score""")
 def confidence_bands(spark, d):
     n = Frames(spark, d).edges.groupBy("confidence_score").agg(F.count(F.lit(1)).alias("edges"))
     c = F.col("confidence_score")
@@ -143,36 +143,36 @@ def confidence_bands(spark, d):
 _COLOURS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.EDGE_COLOURS.items())
 
 
-@query(f" SELECT transformation_type, upper(substr(transformation_type, 1, 1)) || lower(substr(transformation_type, 2)) AS label, CASE lower(transformation_type) {_COLOURS} ELSE '{S.OTHER_COLOUR}' END AS colour, count(*) AS edges FROM ol_column_lineage GROUP BY transformation_type")
+@query(f" SELECT transformation_type, upper(substr(transformation_type, 1, 1)) || lower(substr(transformation_type, 2)) AS label, CASE lower(transformation_type) {_COLOURS} ELSE '{S.OTHER_COLOUR}' END AS colour, count(*) AS edges FROM ol_column_provenance GROUP BY transformation_type")
 def edge_styles(spark, d):
     n = Frames(spark, d).edges.groupBy("transformation_type").agg(F.count(F.lit(1)).alias("edges"))
     return n.withColumns({"label": F.initcap(F.lower("transformation_type")), "colour": S.edge_colour(F.col("transformation_type"))})
 
 
-@query(" SELECT min(confidence_score) AS least, max(confidence_score) AS greatest, count(*) FILTER (WHERE confidence_score NOT BETWEEN 0 AND 1) AS outside FROM ol_column_lineage")
+@query(" SELECT min(confidence_score) AS least, max(confidence_score) AS greatest, count(*) FILTER (WHERE confidence_score NOT BETWEEN 0 AND 1) AS outside FROM ol_column_provenance")
 def confidence_range(spark, d):
     return Frames(spark, d).edges.agg(F.min("confidence_score").alias("least"), F.max("confidence_score").alias("greatest"), F.count_if(~F.col("confidence_score").between(0, 1)).alias("outside"))
 
 
-@query(" SELECT count(*) AS row_count, count(*) FILTER (WHERE is_active = 'Y') AS active_rows, count(*) FILTER (WHERE contains(source_dataset, 'CHINA')) AS test_rows FROM ol_column_lineage")
-def lineage_table_stats(spark, d):
+@query(" SELECT count(*) AS row_count, count(*) FILTER (WHERE is_active = 'Y') AS active_rows, count(*) FILTER (WHERE contains(source_dataset, 'CHINA')) AS test_rows FROM ol_column_provenance")
+def provenance_table_stats(spark, d):
     return Frames(spark, d).edges.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("is_active") == "Y").alias("active_rows"), F.count_if(F.col("source_dataset").contains("CHINA")).alias("test_rows"))
 
 
 @query(_ACT + " SELECT DISTINCT source_dataset, target_dataset FROM act")
-def table_lineage(spark, d):
+def table_provenance(spark, d):
     return _act(spark, d).select("source_dataset", "target_dataset").distinct()
 
 
-# ---- database lineage
+# ---- database provenance
 
 _IN = "(starts_with(source_dataset, 'CHINA.') OR starts_with(target_dataset, 'CHINA.'))"
 
 
-@query(_ACT + f" SELECT lineage_id, src, tgt, transformation_type, 1 AS depth FROM act WHERE {_IN}")
-def database_lineage(spark, d):
+@query(_ACT + f" SELECT provenance_id, src, tgt, transformation_type, 1 AS depth FROM act WHERE {_IN}")
+def database_provenance(spark, d):
     """Edges with an end in the database: what a recursion that is never entered returns."""
-    return graph.touching(_act(spark, d), "CHINA").select("lineage_id", "src", "tgt", "transformation_type", F.lit(1).alias("depth"))
+    return graph.touching(_act(spark, d), "CHINA").select("provenance_id", "src", "tgt", "transformation_type", F.lit(1).alias("depth"))
 
 
 @query(_ACT + f""", n AS (SELECT s.name || '.' || field_name AS node, field_type, coalesce(nullable = 'Y', false) AS nullable, coalesce(source_type, 'TABLE') AS source_type, true AS own
@@ -186,28 +186,28 @@ def database_nodes(spark, d):
     return graph.database_nodes(traverse.active(c.edges), c.dataset, c.field, "CHINA")
 
 
-@query(_ACT + """, sides AS (SELECT src AS here, tgt AS nxt, lineage_id FROM act UNION ALL SELECT tgt, src, lineage_id FROM act),
+@query(_ACT + """, sides AS (SELECT src AS here, tgt AS nxt, provenance_id FROM act UNION ALL SELECT tgt, src, provenance_id FROM act),
 grow AS (SELECT DISTINCT node, 0 AS depth FROM (SELECT src AS node FROM act WHERE starts_with(source_dataset, 'CHINA.') UNION ALL SELECT tgt FROM act WHERE starts_with(target_dataset, 'CHINA.'))
   UNION SELECT s.nxt, g.depth + 1 FROM grow g JOIN sides s ON s.here = g.node WHERE g.depth < 3),
 near AS (SELECT node, min(depth) AS depth FROM grow GROUP BY node)
-SELECT lineage_id, CAST(min(depth) + 1 AS INTEGER) AS depth FROM near JOIN sides ON here = node WHERE depth < 3 GROUP BY lineage_id""")
-def database_lineage_expanded(spark, d):
+SELECT provenance_id, CAST(min(depth) + 1 AS INTEGER) AS depth FROM near JOIN sides ON here = node WHERE depth < 3 GROUP BY provenance_id""")
+def database_provenance_expanded(spark, d):
     """Edges within three steps of the database, in both directions."""
     return graph.expand_database(_act(spark, d), "CHINA", direction="both", max_depth=3)
 
 
 _PAGE = """, ranked AS (SELECT *, dense_rank() OVER (ORDER BY source_dataset) AS r FROM act {where}), total AS (SELECT count(DISTINCT source_dataset) AS n FROM act {where})
-SELECT lineage_id, src, tgt, n AS total_tables, CAST(ceil(n / {size}.0) AS BIGINT) AS total_pages, n > {page} * {size} AS has_next FROM ranked, total WHERE r > ({page} - 1) * {size} AND r <= {page} * {size}"""
+SELECT provenance_id, src, tgt, n AS total_tables, CAST(ceil(n / {size}.0) AS BIGINT) AS total_pages, n > {page} * {size} AS has_next FROM ranked, total WHERE r > ({page} - 1) * {size} AND r <= {page} * {size}"""
 
 
 @query(_ACT + _PAGE.format(where="WHERE starts_with(source_dataset, 'CHINA.')", page=1, size=2))
-def database_lineage_page(spark, d):
+def database_provenance_page(spark, d):
     """A page of tables of a database, with their edges."""
     return graph.page_by_tables(_act(spark, d).filter(F.col("source_dataset").startswith("CHINA.")), page=1, size=2)
 
 
 @query(_ACT + _PAGE.format(where="WHERE split_part(source_dataset, '.', 1) IN ('CHINA', 'INDIA', 'JAPAN')", page=2, size=3))
-def all_db_lineage_filtered(spark, d):
+def all_db_provenance_filtered(spark, d):
     """A page of tables of the chosen databases; no choice means all."""
     return graph.page_by_tables(graph.of_databases(_act(spark, d), ["CHINA", "INDIA", "JAPAN"]), page=2, size=3)
 
@@ -239,8 +239,8 @@ def _known(c: Frames):
     return graph.catalog_nodes(c.dataset, c.field.filter("ordinal_position % 10 <> 0"))
 
 
-_integrity("orphan_sources", _ENDS + " SELECT lineage_id, src FROM ol_column_lineage WHERE src NOT IN (SELECT node FROM known)", lambda c: graph.orphans(c.edges, _known(c), "src"))
-_integrity("orphan_targets", _ENDS + " SELECT lineage_id, tgt FROM ol_column_lineage WHERE tgt NOT IN (SELECT node FROM known)", lambda c: graph.orphans(c.edges, _known(c), "tgt"))
+_integrity("orphan_sources", _ENDS + " SELECT provenance_id, src FROM ol_column_provenance WHERE src NOT IN (SELECT node FROM known)", lambda c: graph.orphans(c.edges, _known(c), "src"))
+_integrity("orphan_targets", _ENDS + " SELECT provenance_id, tgt FROM ol_column_provenance WHERE tgt NOT IN (SELECT node FROM known)", lambda c: graph.orphans(c.edges, _known(c), "tgt"))
 _integrity(
     "orphan_fields",
     " SELECT field_id FROM ol_dataset_field WHERE dataset_id NOT IN (SELECT dataset_id FROM ol_dataset WHERE suppkey % 6 <> 0)",
@@ -253,12 +253,12 @@ _integrity(
 )
 _integrity(
     "dup_ids",
-    " SELECT substr(lineage_id, 1, 4) AS short_id, count(*) AS n FROM ol_column_lineage GROUP BY 1 HAVING count(*) > 1",
-    lambda c: serve.repeated(c.edges.select(F.substring("lineage_id", 1, 4).alias("short_id")), ["short_id"]),
+    " SELECT substr(provenance_id, 1, 4) AS short_id, count(*) AS n FROM ol_column_provenance GROUP BY 1 HAVING count(*) > 1",
+    lambda c: serve.repeated(c.edges.select(F.substring("provenance_id", 1, 4).alias("short_id")), ["short_id"]),
 )
-_integrity("active_flags", " SELECT is_active, count(*) AS n, is_active IN ('Y', 'N') AS valid FROM ol_column_lineage GROUP BY is_active", lambda c: c.edges.groupBy("is_active").agg(F.count(F.lit(1)).alias("n")).withColumn("valid", F.col("is_active").isin("Y", "N")))
+_integrity("active_flags", " SELECT is_active, count(*) AS n, is_active IN ('Y', 'N') AS valid FROM ol_column_provenance GROUP BY is_active", lambda c: c.edges.groupBy("is_active").agg(F.count(F.lit(1)).alias("n")).withColumn("valid", F.col("is_active").isin("Y", "N")))
 _integrity(
     "transformation_types",
-    " SELECT transformation_type, count(*) AS n FROM ol_column_lineage WHERE transformation_type NOT IN ('DIRECT', 'CALCULATION') GROUP BY 1",
+    " SELECT transformation_type, count(*) AS n FROM ol_column_provenance WHERE transformation_type NOT IN ('DIRECT', 'CALCULATION') GROUP BY 1",
     lambda c: c.edges.filter(~F.col("transformation_type").isin("DIRECT", "CALCULATION")).groupBy("transformation_type").agg(F.count(F.lit(1)).alias("n")),
 )

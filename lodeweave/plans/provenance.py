@@ -1,4 +1,4 @@
-"""Lineage queries over the sample catalog, and the SQL that checks them."""
+"""Provenance queries over the sample catalog, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -37,10 +37,10 @@ def busiest(edges: DataFrame, end: str) -> DataFrame:
 
 def _walk_sql(way: str, rule: str = "node", depth: int = DEPTH, anchor: str | None = None) -> str:
     near, far = ("src", "tgt") if way == "downstream" else ("tgt", "src")
-    new = f"e.{far}" if rule == "node" else "e.lineage_id"
-    path = f"[e.{near}, e.{far}]" if rule == "node" else "[e.lineage_id]"
+    new = f"e.{far}" if rule == "node" else "e.provenance_id"
+    path = f"[e.{near}, e.{far}]" if rule == "node" else "[e.provenance_id]"
     anchor = anchor or f"(SELECT {near} FROM act GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
-    return f"""act AS (SELECT * FROM ol_column_lineage WHERE is_active = 'Y'),
+    return f"""act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y'),
 walk_{way} AS (
   SELECT e.{near} AS root, e.*, 1 AS depth, {path} AS path FROM act e WHERE e.{near} IN {anchor}
   UNION ALL
@@ -57,12 +57,12 @@ def _edge_set(spark: SparkSession, d: str, way: str, rule: str = "node") -> Data
 
 
 @query(f", {_walk_sql('downstream')} SELECT {_EDGES}, min(depth) AS depth FROM walk_downstream GROUP BY ALL")
-def lineage_field_downstream(spark, d):
+def provenance_field_downstream(spark, d):
     return _edge_set(spark, d, "downstream")
 
 
 @query(f", {_walk_sql('upstream')} SELECT {_EDGES}, min(depth) AS depth FROM walk_upstream GROUP BY ALL")
-def lineage_field_upstream(spark, d):
+def provenance_field_upstream(spark, d):
     return _edge_set(spark, d, "upstream")
 
 
@@ -82,14 +82,14 @@ def _both(spark, d):
 
 
 @query(_BOTH + f""" SELECT DISTINCT {_EDGES}, 'downstream' AS direction FROM walk_downstream UNION ALL SELECT DISTINCT {_EDGES}, 'upstream' FROM walk_upstream""")
-def lineage_field_both(spark, d):
+def provenance_field_both(spark, d):
     _, found = _both(spark, d)
     cols = ["root", "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type"]
     return found["downstream"].select(*cols, F.lit("downstream").alias("direction")).union(found["upstream"].select(*cols, F.lit("upstream").alias("direction")))
 
 
 @query(_BOTH + f""" SELECT DISTINCT node FROM (SELECT unnest([src, tgt]) AS node FROM walk_downstream UNION ALL SELECT unnest([src, tgt]) FROM walk_upstream UNION ALL SELECT * FROM {_BOTH_ROOT})""")
-def lineage_nodes(spark, d):
+def provenance_nodes(spark, d):
     """The root is a node even without edges."""
     root, found = _both(spark, d)
     return found["downstream"].select("src", "tgt").union(found["upstream"].select("src", "tgt")).select(F.explode(F.array("src", "tgt")).alias("node")).union(root).distinct()
@@ -99,7 +99,7 @@ _TABLE = "(SELECT source_dataset FROM act GROUP BY 1 ORDER BY count(*) DESC, 1 L
 
 
 @query(f", {_walk_sql('downstream', depth=3, anchor='(SELECT src FROM act WHERE source_dataset = ' + _TABLE + ')')} SELECT {_EDGES}, min(depth) AS depth FROM walk_downstream GROUP BY ALL")
-def lineage_table(spark, d):
+def provenance_table(spark, d):
     """All fields of the table with most edges in one traversal: each path carries its root."""
     e = traverse.active(Frames(spark, d).edges)
     top = e.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_dataset").limit(1)
@@ -108,31 +108,31 @@ def lineage_table(spark, d):
     return found.select("root", "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "depth")
 
 
-@query(f", {_walk_sql('downstream', rule='edge')} SELECT count(DISTINCT lineage_id) AS edges, count(*) AS row_count, max(depth) AS max_depth, count(DISTINCT tgt) AS targets FROM walk_downstream")
+@query(f", {_walk_sql('downstream', rule='edge')} SELECT count(DISTINCT provenance_id) AS edges, count(*) AS row_count, max(depth) AS max_depth, count(DISTINCT tgt) AS targets FROM walk_downstream")
 def pattern_counts(spark, d):
     e = traverse.active(Frames(spark, d).edges)
     w = traverse.walk(e, busiest(e, "src"), rule="edge", max_depth=DEPTH)
-    return w.agg(F.count_distinct("lineage_id").alias("edges"), F.count(F.lit(1)).alias("row_count"), F.max("depth").alias("max_depth"), F.count_distinct("tgt").alias("targets"))
+    return w.agg(F.count_distinct("provenance_id").alias("edges"), F.count(F.lit(1)).alias("row_count"), F.max("depth").alias("max_depth"), F.count_distinct("tgt").alias("targets"))
 
 
-@query(_BOTH.replace("NOT list_contains(w.path, e.tgt)", "NOT list_contains(w.path, e.lineage_id)").replace("NOT list_contains(w.path, e.src)", "NOT list_contains(w.path, e.lineage_id)").replace("list_append(w.path, e.tgt)", "list_append(w.path, e.lineage_id)").replace("list_append(w.path, e.src)", "list_append(w.path, e.lineage_id)").replace("[e.src, e.tgt]", "[e.lineage_id]").replace("[e.tgt, e.src]", "[e.lineage_id]") + " SELECT DISTINCT lineage_id FROM (SELECT lineage_id FROM walk_downstream UNION SELECT lineage_id FROM walk_upstream)")
+@query(_BOTH.replace("NOT list_contains(w.path, e.tgt)", "NOT list_contains(w.path, e.provenance_id)").replace("NOT list_contains(w.path, e.src)", "NOT list_contains(w.path, e.provenance_id)").replace("list_append(w.path, e.tgt)", "list_append(w.path, e.provenance_id)").replace("list_append(w.path, e.src)", "list_append(w.path, e.provenance_id)").replace("[e.src, e.tgt]", "[e.provenance_id]").replace("[e.tgt, e.src]", "[e.provenance_id]") + " SELECT DISTINCT provenance_id FROM (SELECT provenance_id FROM walk_downstream UNION SELECT provenance_id FROM walk_upstream)")
 def pattern_bidirectional(spark, d):
     e = traverse.active(Frames(spark, d).edges)
     root = _hub(e)
-    ways = [traverse.walk(e, root, direction=w, rule="edge", max_depth=DEPTH).select("lineage_id") for w in ("upstream", "downstream")]
+    ways = [traverse.walk(e, root, direction=w, rule="edge", max_depth=DEPTH).select("provenance_id") for w in ("upstream", "downstream")]
     return ways[0].union(ways[1]).distinct()
 
 
-@query(", " + _walk_sql("downstream", depth=3, anchor="(SELECT src FROM act)") + " SELECT depth, count(*) AS paths, count(DISTINCT lineage_id) AS edges FROM walk_downstream GROUP BY depth")
+@query(", " + _walk_sql("downstream", depth=3, anchor="(SELECT src FROM act)") + " SELECT depth, count(*) AS paths, count(DISTINCT provenance_id) AS edges FROM walk_downstream GROUP BY depth")
 def closure_max_depth(spark, d):
     """Every edge is an anchor: the closure to depth 3, summed by depth."""
     e = traverse.active(Frames(spark, d).edges)
     w = traverse.walk(e, e.select(F.col("src").alias("root")).distinct(), max_depth=3)
-    return w.groupBy("depth").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("lineage_id").alias("edges"))
+    return w.groupBy("depth").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("provenance_id").alias("edges"))
 
 
 @query(", " + _walk_sql("downstream", anchor="('NOWHERE.T0.P0')") + f" SELECT {_EDGES}, depth FROM walk_downstream")
-def lineage_missing_root(spark, d):
+def provenance_missing_root(spark, d):
     e = traverse.active(Frames(spark, d).edges)
     roots = spark.createDataFrame([("NOWHERE.T0.P0",)], "root string")
     return traverse.edges_of(traverse.walk(e, roots)).select("root", "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "depth")
@@ -155,7 +155,7 @@ for _w in ("downstream", "upstream"):
     for _n in (5, 10):
         _bench(_w, _n)
 
-_REACH = """act AS (SELECT * FROM ol_column_lineage WHERE is_active = 'Y'),
+_REACH = """act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y'),
 reach_{way} AS (
   SELECT {near} AS root, {far} AS node, 1 AS depth FROM act WHERE {near} = {root}
   UNION
@@ -200,10 +200,10 @@ def highlight_nodes(spark, d):
     return graph.highlight(e, _hub(e))
 
 
-@query(_HIGH + " SELECT lineage_id, src, tgt FROM act WHERE src IN (SELECT node FROM high) AND tgt IN (SELECT node FROM high)")
+@query(_HIGH + " SELECT provenance_id, src, tgt FROM act WHERE src IN (SELECT node FROM high) AND tgt IN (SELECT node FROM high)")
 def highlight_edges(spark, d):
     e = traverse.active(Frames(spark, d).edges)
-    return graph.induced(e, graph.highlight(e, _hub(e))).select("lineage_id", "src", "tgt")
+    return graph.induced(e, graph.highlight(e, _hub(e))).select("provenance_id", "src", "tgt")
 
 
 @query(_HIGH + " SELECT DISTINCT regexp_extract(node, '^(.*)\\.[^.]*$', 1) AS dataset FROM high")
@@ -241,7 +241,7 @@ def impact_by_database(spark, d):
     return _impact(spark, d).groupBy("database").agg(F.count(F.lit(1)).alias("assets"))
 
 
-@query(""", act AS (SELECT * FROM ol_column_lineage WHERE is_active = 'Y'), both_ways AS (SELECT src, tgt FROM act UNION SELECT tgt, src FROM act),
+@query(""", act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y'), both_ways AS (SELECT src, tgt FROM act UNION SELECT tgt, src FROM act),
 comp AS (SELECT n AS root, n AS node FROM """ + _BOTH_ROOT + """ AS t(n) UNION SELECT c.root, b.tgt FROM comp c JOIN both_ways b ON b.src = c.node) SELECT count(*) AS nodes, min(node) AS first_node, max(node) AS last_node FROM comp""")
 def weak_component(spark, d):
     e = traverse.active(Frames(spark, d).edges)
@@ -258,9 +258,17 @@ def gen_layered_graph(spark, d):
 ORACLES["gen_layered_graph"] = ORACLES["gen_layered_graph"].split(SQL.strip())[1]
 
 
-@query(", " + """act AS (SELECT * FROM ol_column_lineage WHERE is_active = 'Y'),
+@query(", " + """act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y'),
 lay AS (SELECT n AS node, 0 AS layer FROM (SELECT src AS n FROM act GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) UNION SELECT e.tgt, l.layer + 1 FROM lay l JOIN act e ON e.src = l.node WHERE l.layer < 6)
 SELECT node, max(layer) AS layer FROM lay GROUP BY node""")
 def layer_rank(spark, d):
     e = traverse.active(Frames(spark, d).edges)
     return graph.layer_rank(e, busiest(e, "src"), 6)
+
+
+@query(f""", {_walk_sql('downstream')} SELECT source_dataset AS source_table, source_field, target_dataset AS target_table, target_field, transformation_type, min(depth) AS depth FROM walk_downstream GROUP BY ALL""")
+def edge_table_depth(spark, d):
+    """The table of the edges that a column feeds, each with its depth."""
+    e = traverse.active(Frames(spark, d).edges)
+    found = traverse.edges_of(traverse.walk(e, busiest(e, TOP["downstream"][0]), max_depth=DEPTH).drop("root"))
+    return found.select(F.col("source_dataset").alias("source_table"), "source_field", F.col("target_dataset").alias("target_table"), "target_field", "transformation_type", "depth")

@@ -1,4 +1,4 @@
-"""The lineage catalog over the sample star schema: namespaces, datasets, fields, column edges and a query log.
+"""The provenance catalog over the sample star schema: namespaces, datasets, fields, column edges and a query log.
 
 ``frames`` builds each table with DataFrame operations. ``SQL`` holds the same definitions as common table
 expressions for the checks.
@@ -28,7 +28,7 @@ class Frames:
     @property
     def namespace(self) -> DataFrame:
         r = self.table("region")
-        uri = F.concat(F.lit("teradata://"), F.lower("r_name"), F.lit(":1025"))
+        uri = F.concat(F.lit("warehouse://"), F.lower("r_name"), F.lit(":1025"))
         return r.select(
             ids.namespace_id(uri).alias("namespace_id"), uri.alias("namespace_uri"), F.lit(None).cast("string").alias("description"),
             F.when(F.col("r_regionkey") > 0, "2-0-2").alias("spec_version"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.col("r_regionkey"))).alias("created_at"),
@@ -69,7 +69,7 @@ class Frames:
 
     @property
     def edges(self) -> DataFrame:
-        """Column lineage: consecutive line items of an order. Kept by Spark's cache, as each traversal level reads it."""
+        """Column provenance: consecutive line items of an order. Kept by Spark's cache, as each traversal level reads it."""
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
         cols = ["l_suppkey", "l_partkey"]
         li = self.table("lineitem").select("l_orderkey", "l_linenumber", *cols, "l_returnflag", "l_linestatus", "l_discount")
@@ -85,7 +85,7 @@ class Frames:
         out = out.withColumn("source_field", F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).withColumn("target_field", F.concat(F.lit("P"), F.col("next_l_partkey").cast("string")))
         out = out.withColumn("src", ids.node_id(F.col("source_dataset"), F.col("source_field"))).withColumn("tgt", ids.node_id(F.col("target_dataset"), F.col("target_field")))
         return out.select(
-            ids.lineage_id(F.col("src"), F.col("tgt")).alias("lineage_id"), "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "confidence_score", "is_active", "src", "tgt",
+            ids.provenance_id(F.col("src"), F.col("tgt")).alias("provenance_id"), "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "confidence_score", "is_active", "src", "tgt",
         ).cache()
 
     @property
@@ -115,7 +115,7 @@ _CODES_SQL = ", ".join("NULL" if c is None else f"'{c}'" for c in CODES)
 _NAMES_SQL = ", ".join(f"('{k}', '{v}')" for k, v in TYPE_NAMES.items())
 SQL = f"""
 ol_namespace AS (
-  SELECT substr(md5('teradata://' || lower(r_name) || ':1025'), 1, 16) AS namespace_id, 'teradata://' || lower(r_name) || ':1025' AS namespace_uri, CAST(NULL AS VARCHAR) AS description,
+  SELECT substr(md5('warehouse://' || lower(r_name) || ':1025'), 1, 16) AS namespace_id, 'warehouse://' || lower(r_name) || ':1025' AS namespace_uri, CAST(NULL AS VARCHAR) AS description,
          CASE WHEN r_regionkey > 0 THEN '2-0-2' END AS spec_version, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(r_regionkey AS INTEGER)) AS created_at, r_regionkey AS regionkey FROM region),
 ol_dataset AS (
   SELECT namespace_id || '/' || n_name || '.T' || s_suppkey AS dataset_id, namespace_id, n_name || '.T' || s_suppkey AS name, CASE WHEN s_suppkey % 5 <> 0 THEN 'Supplier feed ' || s_name END AS description,
@@ -139,8 +139,8 @@ line_pairs AS (
          CASE l_returnflag WHEN 'A' THEN 'DIRECT' WHEN 'N' THEN 'CALCULATION' ELSE 'AGGREGATION' END AS kind, CAST(round(1 - l_discount, 2) AS DECIMAL(3, 2)) AS conf,
          CASE WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN 'N' ELSE 'Y' END AS active
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
-ol_column_lineage AS (
-  SELECT substr(md5(s.name || '.P' || p1 || '->' || t.name || '.P' || p2), 1, 24) AS lineage_id, s.name AS source_dataset, 'P' || p1 AS source_field, t.name AS target_dataset, 'P' || p2 AS target_field,
+ol_column_provenance AS (
+  SELECT substr(md5(s.name || '.P' || p1 || '->' || t.name || '.P' || p2), 1, 24) AS provenance_id, s.name AS source_dataset, 'P' || p1 AS source_field, t.name AS target_dataset, 'P' || p2 AS target_field,
          min(kind) AS transformation_type, min(conf) AS confidence_score, min(active) AS is_active, s.name || '.P' || p1 AS src, t.name || '.P' || p2 AS tgt
   FROM line_pairs JOIN ol_dataset s ON s.suppkey = s1 JOIN ol_dataset t ON t.suppkey = s2 WHERE s2 IS NOT NULL GROUP BY s.name, p1, t.name, p2),
 query_log AS (

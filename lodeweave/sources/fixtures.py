@@ -89,15 +89,15 @@ MAPPINGS = [
 
 
 def mappings(spark: SparkSession, database: str) -> DataFrame:
-    """source_path, target_path, transformation_type, confidence_score, lineage_id of each mapping in ``database``."""
+    """source_path, target_path, transformation_type, confidence_score, provenance_id of each mapping in ``database``."""
     rows = spark.createDataFrame(MAPPINGS, "source string, target string, transformation_type string")
     path = lambda side: F.concat_ws(".", F.lit(database), side)
     m = rows.select(path("source").alias("source_path"), path("target").alias("target_path"), "transformation_type", F.lit(1).cast("decimal(3,2)").alias("confidence_score"))
-    return m.withColumn("lineage_id", ids.lineage_id(F.col("source_path"), F.col("target_path")))
+    return m.withColumn("provenance_id", ids.provenance_id(F.col("source_path"), F.col("target_path")))
 
 
 MAPPING_SQL = (
-    "SELECT *, substr(md5(source_path || '->' || target_path), 1, 24) AS lineage_id FROM (SELECT 'demo.' || s AS source_path, 'demo.' || t AS target_path, kind AS transformation_type, CAST(1 AS DECIMAL(3, 2)) AS confidence_score FROM (VALUES "
+    "SELECT *, substr(md5(source_path || '->' || target_path), 1, 24) AS provenance_id FROM (SELECT 'demo.' || s AS source_path, 'demo.' || t AS target_path, kind AS transformation_type, CAST(1 AS DECIMAL(3, 2)) AS confidence_score FROM (VALUES "
     + ", ".join(str(r) for r in MAPPINGS)
     + ") AS v(s, t, kind))"
 )
@@ -122,5 +122,5 @@ PATTERNS = {
 def pattern_edges(spark: SparkSession) -> DataFrame:
     """All patterns as active edges in the shape that the traversals take; each pattern is a table of its own."""
     rows = [(f"{t}:{e}", f"demo.{t}", e[0], f"demo.{t}", e[1], "DIRECT", "Y") for t, (edges, _) in PATTERNS.items() for e in edges.split()]
-    df = spark.createDataFrame(rows, "lineage_id string, source_dataset string, source_field string, target_dataset string, target_field string, transformation_type string, is_active string")
+    df = spark.createDataFrame(rows, "provenance_id string, source_dataset string, source_field string, target_dataset string, target_field string, transformation_type string, is_active string")
     return df.withColumns({"src": ids.node_id(F.col("source_dataset"), F.col("source_field")), "tgt": ids.node_id(F.col("target_dataset"), F.col("target_field"))})

@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the plan of iterative jobs."""
 
 from __future__ import annotations
 
@@ -12,23 +12,30 @@ LOCAL_ROWS = 4_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: of spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder that all executors share: of spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster
+    is asked for the setting."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> tuple[DataFrame, int | None]:
+def cut(df: DataFrame, *, after: int | None = 0) -> tuple[DataFrame, int | None]:
     """The rows of ``df`` without its plan, and their number if it is at most LOCAL_ROWS.
 
-    A few rows become a literal relation, which Spark broadcasts. More are written to the shared folder that
-    spark.checkpoint.dir names (a temporary folder where it is unset, as in tests) and read again.
+    A few rows become a literal relation, which Spark broadcasts. More are written to the shared folder and read again.
+    ``after``: the number that the cut before gave; where that was not a few, rows are written at once and counted then.
     """
     spark = df.sparkSession
-    few = df.limit(LOCAL_ROWS + 1).toArrow()
-    if few.num_rows <= LOCAL_ROWS:
-        return spark.createDataFrame(few, df.schema), few.num_rows
+    large = after is None or after > LOCAL_ROWS
+    if not large:
+        few = df.limit(LOCAL_ROWS + 1).toArrow()
+        if few.num_rows <= LOCAL_ROWS:
+            return spark.createDataFrame(few, df.schema), few.num_rows
     path = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), None
+    out = spark.read.schema(df.schema).parquet(path)
+    return out, (out.count() if large else None)

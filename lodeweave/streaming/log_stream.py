@@ -23,13 +23,17 @@ def log_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) ->
 
 
 def edge_stream(log: DataFrame) -> DataFrame:
-    """Edges of a stream of statements, each id once: the state holds an id for each distinct edge."""
-    return extract.edge_rows(extract.extract(extract.eligible(log))).dropDuplicates(["lineage_id"])
+    """Edges of a stream of statements. An id that comes again within LATE is dropped; ids seen longer ago have left the state, so
+    the sink, which keeps each id once, drops those."""
+    edges = extract.edge_rows(extract.extract(extract.eligible(log)))
+    kind = edges.schema["start_time"].dataType.simpleString()  # event time must have a zone; the result goes back to its own type
+    timed = edges.withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", LATE)
+    return timed.dropDuplicatesWithinWatermark(["provenance_id"]).withColumn("start_time", F.col("start_time").cast(kind))
 
 
 def throughput(log: DataFrame, size: str = "1 hour") -> DataFrame:
-    """Statements by event-time window; a window is closed, and its state dropped, LATE after it."""
-    kind = log.schema["start_time"].dataType.simpleString()  # event time must have a zone; the result goes back to its own type
+    """Statements by event-time window; a window is closed, and its state dropped, LATE after it (append and update mode)."""
+    kind = log.schema["start_time"].dataType.simpleString()
     w = extract.eligible(log).withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", LATE).groupBy(F.window("start_time", size))
     return w.agg(F.count(F.lit(1)).alias("statements")).select(F.col("window.start").cast(kind).alias("hour"), "statements")
 
@@ -38,7 +42,7 @@ def table_rollup(edges: DataFrame) -> DataFrame:
     """Table edges with first and last time and the number of statements."""
     t = edges.select(F.regexp_extract("src", r"^(.*)\.[^.]*$", 1).alias("source_table"), F.regexp_extract("tgt", r"^(.*)\.[^.]*$", 1).alias("target_table"), "start_time", "query_id")
     one = t.groupBy("source_table", "target_table").agg(F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen"), F.count_distinct("query_id").alias("query_count"))
-    return one.select(ids.lineage_id(F.col("source_table"), F.col("target_table"), 16).alias("lineage_id"), *one.columns)
+    return one.select(ids.provenance_id(F.col("source_table"), F.col("target_table"), 16).alias("provenance_id"), *one.columns)
 
 
 def run_to_folder(stream: DataFrame, folder: str, *, checkpoint: str) -> None:
@@ -50,16 +54,17 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = edge_stream(log_stream(spark, sf_dir))
     run_to_folder(stream, f"{root}/edges", checkpoint=f"{root}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{root}/edges")
+    return spark.read.schema(stream.schema).parquet(f"{root}/edges").dropDuplicates(["provenance_id"])
 
 
 def throughput_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts are written anew with each batch (complete mode); the last is the result."""
+    """Each batch writes the windows that it changed (update mode, so old windows leave the state) to a folder of its own, which a
+    repeated batch writes anew. Counts only grow: a window's greatest is its last."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = throughput(log_stream(spark, sf_dir))
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/hours")
+        batch.write.mode("overwrite").parquet(f"{root}/hours/batch={n}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/hours")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/hours").groupBy("hour").agg(F.max("statements").alias("statements"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from harness import SF_DIR
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ def test_patterns(spark, patterns, table):
     start, way, depth, edges, paths, by_node = fixtures.PATTERNS[table][1]
     root = spark.createDataFrame([(f"demo.{table}.{start}",)], "root string")
     w = traverse.walk(patterns, root, direction=way, max_depth=depth, rule="edge")
-    assert (w.select("lineage_id").distinct().count(), w.count()) == (edges, paths)
-    assert traverse.walk(patterns, root, direction=way, max_depth=depth).select("lineage_id").distinct().count() == by_node
+    assert (w.select("provenance_id").distinct().count(), w.count()) == (edges, paths)
+    assert traverse.walk(patterns, root, direction=way, max_depth=depth).select("provenance_id").distinct().count() == by_node
 
 
 def test_reach_has_least_depths(spark, patterns):
@@ -33,13 +35,13 @@ def test_reach_has_least_depths(spark, patterns):
     assert traverse.reach(patterns, root, max_depth=1).count() == 2 and traverse.reach(patterns, root.limit(0)).count() == 0
 
 
-def test_field_lineage_in_any_case(spark, patterns):
-    one, other = (traverse.field_lineage(patterns, "demo.DIAMOND", f, "downstream").count() for f in ("a", "A"))
+def test_field_provenance_in_any_case(spark, patterns):
+    one, other = (traverse.field_provenance(patterns, "demo.DIAMOND", f, "downstream").count() for f in ("a", "A"))
     assert one == other == 4
 
 
 def test_impact_marks_direct_and_critical(spark):
-    e = spark.createDataFrame([("x", "db.STG_A.c", "db.FACT_B.c"), ("y", "db.FACT_B.c", "db.RPT_C.c")], "lineage_id string, src string, tgt string")
+    e = spark.createDataFrame([("x", "db.STG_A.c", "db.FACT_B.c"), ("y", "db.FACT_B.c", "db.RPT_C.c")], "provenance_id string, src string, tgt string")
     got = sorted((r["node"], r["impact_type"], r["critical"]) for r in graph.impact(e, spark.createDataFrame([("db.STG_A.c",)], "root string")).collect())
     assert got == [("db.FACT_B.c", "direct", True), ("db.RPT_C.c", "indirect", True)]
 
@@ -106,3 +108,30 @@ def test_weak_component_has_no_bound(spark):
     e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") if i % 2 else (f"n{i + 1}", f"n{i}") for i in range(56)] + [("n3", "n5"), ("x", "y")], "src string, tgt string")
     got = graph.weak_component(e, spark.createDataFrame([("n0",), ("x",)], "root string")).collect()
     assert sorted(map(tuple, got)) == sorted([("n0", f"n{i}") for i in range(57)] + [("x", "x"), ("x", "y")])
+
+
+def test_numbers_start_with_null_keys_and_lose_no_row(spark):
+    df = spark.createDataFrame([(None, "a"), (5, "b"), (5, "c"), (70_000, "d")], "k long, v string")
+    got = [(r["v"], r["n"]) for r in numbered(df, "n", "k", ["v"]).orderBy("n").collect()]
+    assert got == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+
+
+def test_upsert_replaces_known_keys(spark):
+    known, new = (spark.createDataFrame(rows, "k string, v long") for rows in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)]))
+    assert sorted(map(tuple, serve.upsert(known, new, ["k"]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_statement_texts_are_read_once_and_like_the_stream_reads_them(spark):
+    rows = [(1, "INSERT INTO t (a) SELECT x FROM u", "db"), (2, "INSERT INTO t (a) SELECT x FROM u", "other"), (3, None, "db"), (4, "", "db"), (5, "INSERT INTO t (a) SELECT x FROM u", None)]
+    log = spark.createDataFrame(rows, "query_id long, sql_text string, default_database string")
+    cols = ["query_id", "target", "edges", "n_unresolved", "sources", "status"]
+    once, each = ({r["query_id"]: tuple(r) for r in f(log).select(*cols).collect()} for f in (extract.extract_log, extract.extract))
+    assert once == each and once[3][-1] == "skipped" and once[1] != once[2]
+
+
+def test_entry_imports_without_the_training_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['lodeweave.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

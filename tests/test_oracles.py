@@ -1,4 +1,4 @@
-"""Each query of the lineage engine against its SQL."""
+"""Each query of the provenance engine against its SQL."""
 
 from __future__ import annotations
 
