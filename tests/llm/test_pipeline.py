@@ -53,3 +53,26 @@ def test_mix_and_shards(stages):
     shards = stages["sharding"][1]
     sizes = [r["count"] for r in shards.groupBy("shard").count().collect()]
     assert shards.count() == after.count() and max(sizes) - min(sizes) <= 1
+
+
+def test_texts_of_one_id_are_judged_on_their_own(spark):
+    rows = [(1, "w one two"), (2, "w one two"), (2, "u three"), (3, "v four"), (3, "x five"), (3, "x five"), (None, "w one two"), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()]
+    assert sorted(got, key=str) == sorted([(1, "w one two"), (2, "u three"), (3, "v four"), (3, "x five"), (None, "w one two"), (4, None), (4, None)], key=str)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_odd_and_of_no_documents(spark, tmp_path, name, stage):
+    """Nulls in any column, empty texts, repeated rows and ids, and columns of other names."""
+    rows = [(1, None, None, None, None), (None, "no id here", "en", "a", 3), (2, "", "en", "a", 0), (5, "same words", "en", "a", 1), (5, "same words", "en", "a", 1), (5, "other words", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("_at", "at", "n", "rank", "toxic", "kept", "shard", "_copy", "size"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        out = stage(spark, given, SF_DIR)
+        n = {"near_duplicates": 5}.get(name, 6)
+        assert name == "mixing" or out.count() == n
+        assert name == "sharding" or tuple(out.columns) == corpus_pipeline.COLUMNS
+        assert stage(spark, given.limit(0), SF_DIR).count() == 0
