@@ -221,19 +221,20 @@ def _linked_labels(block: pa.Table, size: int, limit: float) -> pa.Table:
     return pa.table({"a": coded.dictionary.take(pa.array(moved)), "b": coded.dictionary.take(pa.array(root[moved]))})
 
 
-def _block_links(members: DataFrame, places: DataFrame, texts: DataFrame, size: int, limit: float) -> DataFrame:
+def _block_links(scratch: Scratch, members: DataFrame, places: DataFrame, texts: DataFrame, size: int, limit: float) -> DataFrame:
     """Links (a, b) between labels of the ``members`` (band, node, label, home) of large bands, each block of texts against
     each other block. Members with the band's most frequent label are linked already: their blocks meet the blocks of
     the others only. Blocks have a bound of texts and words, so a task's memory does not grow with the band, and what a
     block returns is a forest, not its pairs. ``places``: node, at, n_words; ``texts``: at, text."""
-    own = members.select("band", "node", "label", (F.col("label") == F.col("home")).alias("at_home")).join(places, "node")
+    own = scratch.save(members.select("band", "node", "label", (F.col("label") == F.col("home")).alias("at_home")).join(places, "node"), narrow=True)
     parts = own.groupBy("band").agg(
         *[
             F.ceil(F.greatest(F.count_if(c) / BLOCK_TEXTS, F.sum(F.when(c, F.col("n_words")).otherwise(0)) / BLOCK_WORDS)).cast("int").alias(name)
             for name, c in (("others", ~F.col("at_home")), ("homes", F.col("at_home")))
-        ]
+        ],
+        F.count(F.lit(1)).alias("n"),
     )
-    own = own.join(parts, "band")
+    own = join_counted(own, scratch.save(parts, narrow=True), "band")
     hashed = F.xxhash64("node", F.lit("block"))
     own = own.withColumn("own", F.when(F.col("at_home"), F.col("others") + F.pmod(hashed, F.col("homes"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
     other = F.sequence(F.lit(0), F.when(F.col("at_home"), F.col("others")).otherwise(F.col("others") + F.col("homes")) - 1)
@@ -358,7 +359,7 @@ def near_duplicates(
     if n_pairs:
         small = still.filter("not many").select("band", *x_side)
         met = small.withColumnsRenamed(x_side).join(small.withColumnsRenamed(y_side), "band").filter(apart & (F.col("x") < F.col("y")))
-        blocks = _block_links(still.filter("many"), nodes.select("node", F.col("head.at").alias("at"), "n_words"), texts, shingle, limit)
+        blocks = _block_links(scratch, still.filter("many"), nodes.select("node", F.col("head.at").alias("at"), "n_words"), texts, shingle, limit)
         merge(tested_links(met.select("x", "y")).unionByName(blocks))
     linked = label.join(nodes.select("node", "head"), "node")
     tops = scratch.save(linked.groupBy("label").agg(F.min("head").alias("top"), F.count(F.lit(1)).alias("n")), narrow=True)
