@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions.scalars import database_of, table_of
@@ -98,6 +101,61 @@ def layered_edges(spark, nodes: int, layers: int) -> DataFrame:
     return hop.select(name(F.col("layer"), F.col("i")).alias("src"), name(F.col("layer") + 1, F.col("j")).alias("tgt"))
 
 
+# Transformation types of generated edges, by the place of the source in its layer or the number of its table.
+CROSS_TYPES = ("DIRECT", "DERIVED", "AGGREGATED", "JOINED")
+TABLE_TYPES = ("DIRECT", "DERIVED", "AGGREGATED")
+
+
+def _cycled(types: tuple[str, ...], k: Column) -> Column:
+    return F.get(F.array(*[F.lit(t) for t in types]), k % len(types))
+
+
+def _layer_edges(node: DataFrame, name: Callable[[Column, Column, Column], Column], per: int, width: Column, second: Column, second_type: str) -> DataFrame:
+    """Edges of ``node`` (layer, i) into the next layer of ``width`` columns: to column i, and to column i + 1 where ``second`` says so.
+
+    Every node finds its targets by arithmetic, so layers are neither listed nor joined. Columns of a narrower layer are met modulo its width."""
+    hops = F.filter(
+        F.array(F.struct((F.col("i") % width).alias("j"), _cycled(CROSS_TYPES, F.col("i")).alias("kind")), F.when(second, F.struct(((F.col("i") + 1) % width).alias("j"), F.lit(second_type).alias("kind")))),
+        lambda x: x.isNotNull(),
+    )
+    out = node.filter(width > 0).select("layer", "i", F.explode(hops).alias("hop"))
+    number = lambda layer, i: layer * per + i
+    src = name(number(F.col("layer"), F.col("i")), F.col("layer"), F.col("i"))
+    tgt = name(number(F.col("layer") + 1, F.col("hop.j")), F.col("layer") + 1, F.col("hop.j"))
+    return out.select(src.alias("src"), tgt.alias("tgt"), F.col("hop.kind").alias("transformation_type"))
+
+
+def _named(database: str, table: str) -> Callable[[Column, Column, Column], Column]:
+    return lambda k, layer, i: F.format_string(f"{database}.{table}_%d.col_%d_%d", k, layer, i)
+
+
+def square_edges(spark: SparkSession, nodes: int) -> DataFrame:
+    """src, tgt, transformation_type of a graph of ``nodes`` columns, one to a table, in about sqrt(nodes) layers: each feeds its
+    counterpart in the next layer, and every third one its neighbour too. The last layer may be narrower."""
+    layers = max(2, math.isqrt(nodes))
+    per = max(1, -(-nodes // layers))
+    node = spark.range(nodes).select(F.expr(f"id div {per}").alias("layer"), (F.col("id") % per).alias("i"))
+    width = F.least(F.lit(per), F.lit(nodes) - (F.col("layer") + 1) * per)
+    return _layer_edges(node, _named("benchmark_db", "TABLE"), per, width, (F.col("i") % 3 == 0) & (width > 1), "DERIVED")
+
+
+def depth_breadth_edges(spark: SparkSession, depth: int, breadth: int) -> DataFrame:
+    """The same columns for a graph of ``depth`` layers of ``breadth`` columns: each feeds its counterpart, every second one but the
+    first its neighbour too."""
+    node = spark.range(max(0, depth - 1) * breadth).select(F.expr(f"id div {max(1, breadth)}").alias("layer"), (F.col("id") % max(1, breadth)).alias("i"))
+    return _layer_edges(node, _named("layered_db", "TBL"), breadth, F.lit(breadth), (F.col("i") > 0) & (F.col("i") % 2 == 0), "JOINED")
+
+
+def single_database_edges(spark: SparkSession, nodes: int, columns: int = 5) -> DataFrame:
+    """The same columns for a chain of tables of one database, each of ``columns`` columns: the first column of a table feeds that of
+    the next table, and the second of its own."""
+    t = spark.range(max(0, -(-nodes // columns) - 1)).withColumnRenamed("id", "t")
+    name = lambda table, k: F.format_string("single_db.FACT_%d.field_%d", table, F.lit(k))
+    onward = F.struct(name(F.col("t") + 1, 0).alias("tgt"), _cycled(TABLE_TYPES, F.col("t")).alias("kind"))
+    within = [F.struct(name(F.col("t"), 1).alias("tgt"), F.lit("DERIVED").alias("kind"))] if columns > 1 else []
+    return t.select(name(F.col("t"), 0).alias("src"), F.explode(F.array(onward, *within)).alias("e")).select("src", "e.tgt", F.col("e.kind").alias("transformation_type"))
+
+
 def touching(edges: DataFrame, database: str) -> DataFrame:
     """Edges with an end in the database. The name is a whole name: no wildcards."""
     return edges.filter(F.col("source_dataset").startswith(f"{database}.") | F.col("target_dataset").startswith(f"{database}."))

@@ -1,14 +1,18 @@
-"""Exports, joins of the catalog's tables, and the integrity of runs."""
+"""Exports, joins of the catalog's tables, the integrity of runs, and loading a stored catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.operators import exports, traverse
+from lodeweave.operators import exports, ingest, traverse
 from lodeweave.plans.base import Registry
 from lodeweave.plans.catalog import _FIRST, _first
 from lodeweave.sources.catalog_views import Frames
+from lodeweave.sources.scratch import shared_folder
 
 R = Registry()
 query, QUERIES, ORACLES = R.query, R.queries, R.oracles
@@ -92,3 +96,25 @@ def _run_parts(name: str, parity: int) -> None:
 
 _run_parts("integrity_orphan_run_inputs", 1)
 _run_parts("integrity_orphan_run_outputs", 0)
+
+
+def _tables(c: Frames) -> dict:
+    return {"column_provenance": c.edges, "dataset_field": c.field, "dataset": c.dataset}
+
+
+@query(""", n AS (SELECT 'column_provenance' AS table_name, count(*) AS n, count(*) FILTER (WHERE provenance_id < '8') AS half FROM ol_column_provenance UNION ALL SELECT 'dataset_field', count(*), NULL FROM ol_dataset_field UNION ALL SELECT 'dataset', count(*), NULL FROM ol_dataset),
+s AS (SELECT 'dry run' AS step, table_name, n AS row_count FROM n UNION ALL SELECT 'half of the edges', table_name, coalesce(half, n) FROM n UNION ALL SELECT 'the rest', table_name, n - coalesce(half, n) FROM n
+  UNION ALL SELECT 'again', table_name, 0 FROM n UNION ALL SELECT 'edges cleared', table_name, CASE table_name WHEN 'column_provenance' THEN 0 ELSE n END FROM n UNION ALL SELECT 'edges only', table_name, n FROM n WHERE table_name = 'column_provenance')
+SELECT step, table_name, CAST(row_count AS BIGINT) AS row_count FROM s""")
+def populate_modes(spark, d):
+    """Rows that runs in each mode load into one stored catalog, one after the other: a dry run, half of the edges, all of them without
+    clearing, the same again, the edges cleared, the edges alone."""
+    c, folder = Frames(spark, d), f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    every = _tables(c)
+    half = every | {"column_provenance": every["column_provenance"].filter("provenance_id < '8'")}
+    steps = [("dry run", ingest.populate(spark, folder, every, dry_run=True)), ("half of the edges", ingest.populate(spark, folder, half))]
+    steps += [(name, ingest.populate(spark, folder, every, skip_clear=True)) for name in ("the rest", "again")]
+    ingest.clear(spark, folder, provenance_only=True)
+    left = spark.createDataFrame([(t, ingest.stored(spark, folder, t).count()) for t in ingest.KEYS], "table_name string, row_count long")
+    steps += [("edges cleared", left), ("edges only", ingest.populate(spark, folder, every, provenance_only=True))]
+    return reduce(DataFrame.unionByName, [f.select(F.lit(name).alias("step"), "table_name", "row_count") for name, f in steps])

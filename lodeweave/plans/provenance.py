@@ -258,6 +258,37 @@ def gen_layered_graph(spark, d):
 ORACLES["gen_layered_graph"] = ORACLES["gen_layered_graph"].split(SQL.strip())[1]
 
 
+def _layers_sql(node: str, width: str, second: str, second_type: str, per: int, name: str) -> str:
+    """Edges of the nodes (layer, i): one for each of two hops, the second under a condition."""
+    full = f"'{name}_' || (({{0}}) * {per} + {{1}}) || '.col_' || ({{0}}) || '_' || {{1}}"
+    kind = "CASE i % 4 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'DERIVED' WHEN 2 THEN 'AGGREGATED' ELSE 'JOINED' END"
+    return f"""WITH n AS ({node}), w AS (SELECT *, {width} AS width FROM n), h AS (SELECT layer, i, i % width AS j, {kind} AS transformation_type FROM w WHERE width > 0
+UNION ALL SELECT layer, i, (i + 1) % width, '{second_type}' FROM w WHERE width > 0 AND {second})
+SELECT {full.format('layer', 'i')} AS src, {full.format('layer + 1', 'j')} AS tgt, transformation_type FROM h"""
+
+
+def gen_square_graph(spark, d):
+    """A thousand columns in about as many layers as columns in a layer."""
+    return graph.square_edges(spark, 1000)
+
+
+def gen_depth_breadth_graph(spark, d):
+    return graph.depth_breadth_edges(spark, 20, 15)
+
+
+def gen_single_database_graph(spark, d):
+    return graph.single_database_edges(spark, 498)
+
+
+QUERIES |= {f.__name__: f for f in (gen_square_graph, gen_depth_breadth_graph, gen_single_database_graph)}
+ORACLES |= {
+    "gen_square_graph": _layers_sql("SELECT r // 33 AS layer, r % 33 AS i FROM range(0, 1000) t(r)", "least(33, 1000 - (layer + 1) * 33)", "i % 3 = 0 AND width > 1", "DERIVED", 33, "benchmark_db.TABLE"),
+    "gen_depth_breadth_graph": _layers_sql("SELECT r // 15 AS layer, r % 15 AS i FROM range(0, 285) t(r)", "15", "i > 0 AND i % 2 = 0", "JOINED", 15, "layered_db.TBL"),
+    "gen_single_database_graph": """SELECT 'single_db.FACT_' || t || '.field_0' AS src, 'single_db.FACT_' || (t + 1) || '.field_0' AS tgt, CASE t % 3 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'DERIVED' ELSE 'AGGREGATED' END AS transformation_type FROM range(0, 99) r(t)
+UNION ALL SELECT 'single_db.FACT_' || t || '.field_0', 'single_db.FACT_' || t || '.field_1', 'DERIVED' FROM range(0, 99) r(t)""",
+}
+
+
 @query(", " + """act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y'),
 lay AS (SELECT n AS node, 0 AS layer FROM (SELECT src AS n FROM act GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) UNION SELECT e.tgt, l.layer + 1 FROM lay l JOIN act e ON e.src = l.node WHERE l.layer < 6)
 SELECT node, max(layer) AS layer FROM lay GROUP BY node""")

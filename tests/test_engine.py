@@ -8,10 +8,12 @@ import pytest
 from harness import SF_DIR
 from pyspark.sql import functions as F
 
-from lodeweave.operators import extract, graph, serve, traverse
+from lodeweave import api
+from lodeweave.operators import extract, graph, ingest, serve, traverse
 from lodeweave.operators.numbering import numbered
 from lodeweave.plans import registry
 from lodeweave.sources import fixtures
+from lodeweave.sources.catalog_views import Frames
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +137,66 @@ def test_entry_imports_without_the_training_operators():
 
     code = "import sys; sys.modules['lodeweave.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_generated_graphs_by_loops(spark):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for nodes in (0, 1, 2, 3, 10, 30):
+        layers = max(2, int(nodes**0.5))
+        per = max(1, -(-nodes // layers))
+        levels = [list(range(k, min(k + per, nodes))) for k in range(0, nodes, per)]
+        name = lambda x, per=per: f"benchmark_db.TABLE_{x}.col_{x // per}_{x % per}"
+        want = []
+        for here, there in zip(levels, levels[1:]):
+            for k, x in enumerate(here):
+                want.append((name(x), name(there[k % len(there)]), graph.CROSS_TYPES[k % 4]))
+                if k % 3 == 0 and len(there) > 1:
+                    want.append((name(x), name(there[(k + 1) % len(there)]), "DERIVED"))
+        assert rows(graph.square_edges(spark, nodes)) == sorted(want)
+    assert [graph.depth_breadth_edges(spark, d, b).count() for d, b in ((0, 3), (1, 3), (3, 0), (3, 1), (3, 3))] == [0, 0, 0, 2, 8]
+    assert rows(graph.single_database_edges(spark, 6)) == [("single_db.FACT_0.field_0", "single_db.FACT_0.field_1", "DERIVED"), ("single_db.FACT_0.field_0", "single_db.FACT_1.field_0", "DIRECT")]
+    assert graph.single_database_edges(spark, 6, columns=1).count() == 5 and graph.single_database_edges(spark, 5).count() == 0
+
+
+def test_access_and_modes_of_loading(spark, tmp_path):
+    ok, message = ingest.accessible(spark, str(tmp_path / "none"))
+    assert not ok and "fixture mappings" in message
+    folder, frame = str(tmp_path / "catalog"), lambda rows: spark.createDataFrame(rows, "provenance_id string, v long")
+    tables = {"column_provenance": frame([("a", 1), ("a", 1), ("b", 2)])}
+    load = lambda rows, **how: [tuple(r) for r in ingest.populate(spark, folder, {"column_provenance": frame(rows)}, provenance_only=True, **how).collect()]
+    assert ingest.clear(spark, folder) == [] and load([("a", 1)], dry_run=True) == [("column_provenance", 1)] and ingest.stored(spark, folder, "column_provenance") is None
+    assert [tuple(r) for r in ingest.populate(spark, folder, tables, provenance_only=True).collect()] == [("column_provenance", 2)]
+    assert load([("b", 9), ("c", 3)], skip_clear=True, dry_run=True) == load([("b", 9), ("c", 3)], skip_clear=True) == [("column_provenance", 1)]
+    assert sorted(map(tuple, ingest.stored(spark, folder, "column_provenance").collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    assert load([("z", 0)]) == [("column_provenance", 1)] and ingest.clear(spark, folder) == ["column_provenance"]
+    assert ingest.stored(spark, folder, "column_provenance").columns == ["provenance_id", "v"] and ingest.stored(spark, folder, "column_provenance").count() == 0
+    assert ingest.accessible(spark, f"{folder}/column_provenance") == (True, "access confirmed")
+
+
+def test_calls_of_the_catalog(spark):
+    tables = Frames(spark, SF_DIR)
+    catalog, search, paths = api.Catalog(tables), api.Search(tables), api.Provenance(tables)
+    ns = catalog.namespaces().first()["namespace_id"]
+    assert catalog.namespace(ns).count() == 1 and catalog.namespace("none").count() == 0
+    assert catalog.datasets(ns, limit=3).count() == min(3, tables.dataset.filter(F.col("namespace_id") == ns).count())
+    one = tables.field.join(tables.dataset, "dataset_id").select("dataset_id", "name").orderBy("name").first()
+    by_id, by_name = (catalog.dataset(x).collect() for x in one)
+    assert by_id == by_name and [r["ordinal_position"] for r in by_id] == sorted(r["ordinal_position"] for r in by_id)
+    assert catalog.ddl(one["name"]).first()["ddl"].startswith("CREATE ") and catalog.ddl("none").count() == 0
+    stats = spark.createDataFrame([(one["dataset_id"], 5, 7), (one["dataset_id"], 9, 1)], "dataset_id string, row_count long, perm long")
+    assert catalog.statistics(one["name"], stats).first()["row_count"] == 9
+    assert search.datasets("t1", 2).count() == 2
+    found = search.unified("t1", 2).collect()
+    assert sum(r["matches"] for r in found if r["kind"] == "database") == search.datasets("t1", 10**6).count()
+    assert {r["asset_type"] for r in search.assets("p1", ("column",)).collect()} == {"column"}
+    with pytest.raises(ValueError):
+        search.assets("p")
+    edge = traverse.active(tables.edges).orderBy("provenance_id").first()
+    down = {r["node"] for r in paths.downstream(edge["src"], 2).collect()}
+    assert edge["tgt"] in down and edge["src"] in {r["node"] for r in paths.upstream(edge["tgt"], 1).collect()}
+    assert {r["node"] for r in paths.impact(edge["src"], 2).collect()} == down
+    field = {(r["direction"], r["provenance_id"]) for r in paths.field(edge["source_dataset"], edge["source_field"], max_depth=2).collect()}
+    table = {(r["direction"], r["provenance_id"]) for r in paths.table(edge["source_dataset"], max_depth=2).collect()}
+    assert ("downstream", edge["provenance_id"]) in field and field <= table
+    assert edge["provenance_id"] in {r["provenance_id"] for r in paths.database(edge["source_dataset"].split(".")[0]).collect()}
+    assert [(r["src"], r["tgt"]) for r in api.statement_edges(spark, "INSERT INTO t (a) SELECT x FROM u", "db").collect()] == [("db.u.x", "db.t.a")]
