@@ -54,7 +54,7 @@ def edges_of(paths: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame, *, direction: str = "downstream", max_depth: int = 10) -> DataFrame:
     """root, node, depth (the least) of every node other than the root that can be reached within max_depth edges."""
     near, far = ("src", "tgt") if direction == "downstream" else ("tgt", "src")
-    step = edges.select(F.col(near).alias("at"), F.col(far).alias("node")).distinct()
+    step = edges.select(F.col(near).alias("at"), F.col(far).alias("node"))  # made distinct after each join, when few are left
     level, n = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     seen = level
     for depth in range(1, max_depth + 1):

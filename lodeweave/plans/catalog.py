@@ -69,10 +69,9 @@ def catalog_datasets(spark, d):
 AND f.ordinal_position % 3 <> 0""")
 def catalog_fields(spark, d):
     c = Frames(spark, d)
-    tables = _dictionary(c).filter(F.col("kind").isin("T", "V", "O")).select("dataset_id")
-    field = c.field
+    field = c.fields_of(_dictionary(c).filter(F.col("kind").isin("T", "V", "O")))
     known = field.filter(F.col("ordinal_position") % 3 == 0).select("field_id")
-    return field.join(tables, "dataset_id", "left_semi").join(known, "field_id", "left_anti").select("field_id", "field_type", "ordinal_position")
+    return field.join(known, "field_id", "left_anti").select("field_id", "field_type", "ordinal_position")
 
 
 @query(""" SELECT 'OL_NAMESPACE' AS table_name, count(*) AS row_count FROM ol_namespace UNION ALL SELECT 'OL_DATASET', count(*) FROM ol_dataset

@@ -48,8 +48,11 @@ class Frames:
 
     @property
     def columns(self) -> DataFrame:
+        return self._columns(self.table("lineitem").select("l_suppkey", "l_partkey"))
+
+    def _columns(self, items: DataFrame) -> DataFrame:
         """Dictionary rows: one for each distinct supplier and part of the line items."""
-        pairs = self.table("lineitem").select("l_suppkey", "l_partkey").distinct()
+        pairs = items.distinct()
         p = self.table("part").select("p_partkey", "p_size")
         codes = F.array(*[F.lit(c) for c in CODES])
         place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_partkey"))
@@ -61,7 +64,16 @@ class Frames:
 
     @property
     def field(self) -> DataFrame:
-        c = self.columns.join(self.dataset.select("suppkey", "dataset_id"), "suppkey")
+        return self._fields(self.columns, self.dataset)
+
+    def fields_of(self, datasets: DataFrame) -> DataFrame:
+        """The fields of some datasets (suppkey, dataset_id): line items of others go before anything is sorted."""
+        own = F.col("l_suppkey") == F.col("suppkey")
+        items = self.table("lineitem").select("l_suppkey", "l_partkey").join(datasets.select("suppkey"), own, "left_semi")
+        return self._fields(self._columns(items), datasets)
+
+    def _fields(self, columns: DataFrame, datasets: DataFrame) -> DataFrame:
+        c = columns.join(datasets.select("suppkey", "dataset_id"), "suppkey")
         return c.select(
             ids.field_id(F.col("dataset_id"), F.col("column_name")).alias("field_id"), "dataset_id", F.col("column_name").alias("field_name"),
             type_name(F.col("column_type"), F.col("column_length"), F.col("digits"), F.col("fraction")).alias("field_type"), F.col("column_id").alias("ordinal_position"), "nullable",
@@ -69,7 +81,8 @@ class Frames:
 
     @property
     def edges(self) -> DataFrame:
-        """Column provenance: consecutive line items of an order. Kept by Spark's cache, as each traversal level reads it."""
+        """Column provenance: consecutive line items of an order. Kept by Spark's cache, as each traversal level reads it; dealt by id
+        into spark.sql.shuffle.partitions parts, since the kept plan's last exchange may have been merged into a few."""
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
         cols = ["l_suppkey", "l_partkey"]
         li = self.table("lineitem").select("l_orderkey", "l_linenumber", *cols, "l_returnflag", "l_linestatus", "l_discount")
@@ -86,7 +99,7 @@ class Frames:
         out = out.withColumn("src", ids.node_id(F.col("source_dataset"), F.col("source_field"))).withColumn("tgt", ids.node_id(F.col("target_dataset"), F.col("target_field")))
         return out.select(
             ids.provenance_id(F.col("src"), F.col("tgt")).alias("provenance_id"), "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "confidence_score", "is_active", "src", "tgt",
-        ).cache()
+        ).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "provenance_id").cache()
 
     @property
     def log(self) -> DataFrame:
