@@ -121,53 +121,6 @@ def text_volume(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0)
 
 
-def located(scratch: Scratch, docs: DataFrame, name: str, *, stored: bool) -> DataFrame:
-    """``docs`` with a column ``name`` (file, row) that tells all its rows apart and is the same whenever they are read.
-
-    ``stored``: ``docs`` is a table of files with at most columns chosen and rows filtered, so that a row's file and its
-    place there name it. Other rows, and those in memory, are written once and read back.
-    """
-
-    def with_place(df: DataFrame) -> DataFrame:
-        at = df.metadataColumn("_metadata")
-        return df.withColumn(name, F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")))
-
-    if stored:
-        try:
-            return with_place(docs)
-        except AnalysisException:  # rows in memory have no files
-            pass
-    return with_place(scratch.save(docs))
-
-
-def lookup(side: DataFrame, most: int = 100_000) -> DataFrame:
-    """A written table as the side of a join: broadcast if it has at most ``most`` rows, else left to a shuffled join."""
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
-
-
-def join_counted(rows: DataFrame, side: DataFrame, key: str, *, hot: int = 1000, share: int = 20_000) -> DataFrame:
-    """Inner join of ``rows`` with ``side``, a written table of one row for each key with ``n``, about how many of ``rows`` have it.
-
-    A key of over ``hot`` rows and over one row in ``share`` is not sent to one task: there are fewer than ``share`` such
-    keys, which are broadcast. Rows of the others are shuffled by key. n is dropped.
-    """
-    total = side.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    often = F.col("n") > max(hot, total // share)
-    large = F.broadcast(side.filter(often).drop("n"))
-    rest = rows.join(F.broadcast(side.filter(often).select(key)), key, "left_anti")
-    return rows.join(large, key).unionByName(rest.join(side.filter(~often).drop("n"), key))
-
-
-def place_of(df: DataFrame, name: str) -> int:
-    """Which column of ``df`` has the name, as Spark compares names."""
-    return [c.lower() for c in df.columns].index(name.lower())
-
-
-def text_volume(docs: DataFrame, text: str = "text") -> int:
-    """Characters of all texts: what group counts are sized by."""
-    return int(docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0)
-
-
 def groups_for(docs: DataFrame, text: str = "text", chars: int = 6_000_000) -> int:
     """How many groups of about ``chars`` characters the texts make: more input makes more groups, not larger ones."""
     return max(8, -(-text_volume(docs, text) // chars))
