@@ -27,19 +27,24 @@ def _dealt(df: DataFrame, order: list[str | Column], parts: int) -> DataFrame:
     return rows.withColumn("_cell", F.shiftright("_at", _PLACE)).withColumn("_own", own).drop("_at")
 
 
-def numbered(df: DataFrame, name: str, key: str, then: list[str | Column] | None = None, cell: int = CELL, most: int = MOST_ROWS) -> DataFrame:
+def numbered(df: DataFrame, name: str, key: str, then: list[str | Column] | None = None, *, unique: bool = False, cell: int = CELL, most: int = MOST_ROWS) -> DataFrame:
     """``df`` with ``name``: 1, 2, 3, ... by the whole number ``key``, null first, then by ``then``.
 
     Keys fall into ordered cells of ``cell`` values, null into one of its own. The rows of a cell are numbered by a window; the first
     number of a cell is a running sum over the cells' counts, one row for each cell. Where a cell has over ``most`` rows, as
     a key or null is repeated very often, the rows are dealt to ranges of key and ``then`` instead, written, and numbered
     there. Rows equal in both are numbered in any order.
+
+    ``unique``: the key is known to be that of the rows, or nearly, so that a cell has about ``cell`` rows at most. All is one
+    plan then, without a count before it; a key that repeats after all gives the same numbers, in larger tasks.
     """
     then = then or []
     place = df.withColumn("_cell", F.floor(F.col(key) / cell))
-    counts, _ = cut(place.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")))
-    size = counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
-    if (size["most"] or 0) > most:
+    counts, size = place.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")), None
+    if not unique:
+        counts, _ = cut(counts)
+        size = counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+    if size is not None and (size["most"] or 0) > most:
         place = _dealt(df, [key, *then], max(df.sparkSession.sparkContext.defaultParallelism, -(-size["all"] // most)))
         counts = place.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     else:

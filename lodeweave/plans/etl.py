@@ -63,7 +63,7 @@ def etl_stg_customer(spark, d):
     c = Frames(spark, d).table("customer").select("c_custkey", "c_name", "c_mktsegment")
     name = F.split("c_name", "#")
     part = lambda k: F.trim(F.coalesce(F.get(name, k), F.lit("")))
-    return numbered(c, "customer_key", "c_custkey").select(
+    return numbered(c, "customer_key", "c_custkey", unique=True).select(
         "customer_key", F.col("c_custkey").alias("customer_id"), F.concat(part(0), F.lit(" "), part(1)).alias("full_name"), F.concat(F.lower(F.trim("c_name")), F.lit("@example.com")).alias("email_address"),
         F.col("c_mktsegment").alias("segment"), F.lit(LOADED).cast("timestamp").alias("etl_timestamp"),
     )
@@ -74,7 +74,7 @@ def etl_stg_product(spark, d):
     p = Frames(spark, d).table("part").select("p_partkey", "p_name", "p_type", "p_retailprice")
     price, cost = F.col("p_retailprice"), F.round(F.col("p_retailprice") * 0.6, 2)
     margin = F.when(price > 0, (price - cost) / price * 100).otherwise(0)
-    return numbered(p, "product_key", "p_partkey").select(
+    return numbered(p, "product_key", "p_partkey", unique=True).select(
         "product_key", F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("category_name"),
         price.cast(MONEY).alias("unit_price"), cost.cast(MONEY).alias("cost_price"), F.round(margin, 2).alias("profit_margin"),
     )
@@ -93,7 +93,7 @@ def _src_sales(spark, d) -> DataFrame:
 @query("stg_sales")
 def etl_stg_sales(spark, d):
     rest = ["product_id", "store_id", "quantity", "sale_amount", "discount_amount", "sale_date"]
-    return numbered(_src_sales(spark, d), "sales_key", "transaction_id", rest).select(
+    return numbered(_src_sales(spark, d), "sales_key", "transaction_id", rest, unique=True).select(
         "sales_key", "transaction_id", "customer_id", "product_id", "store_id", "quantity", F.col("sale_amount").alias("gross_amount"), "discount_amount",
         (F.col("sale_amount") - F.col("discount_amount")).cast(MONEY).alias("net_amount"), "sale_date",
     )
@@ -119,7 +119,7 @@ def etl_dim_store(spark, d):
     c = Frames(spark, d)
     s = c.table("supplier").join(c.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(c.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = s.select(F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name"), F.col("r_name").alias("region"), F.col("n_name").alias("state"))
-    return numbered(s, "store_sk", "store_id").select("store_sk", "store_id", "store_name", "region", "state")
+    return numbered(s, "store_sk", "store_id", unique=True).select("store_sk", "store_id", "store_name", "region", "state")
 
 
 @query("dim_date")

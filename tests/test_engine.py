@@ -118,16 +118,16 @@ def test_numbers_start_with_null_keys_and_lose_no_row(spark):
     assert got == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
 
 
-@pytest.mark.parametrize("most", [3, 1000])
-def test_numbers_of_often_repeated_keys(spark, most):
+@pytest.mark.parametrize("most, unique", [(3, False), (1000, False), (3, True)])
+def test_numbers_of_often_repeated_keys(spark, most, unique):
     rows = [(None, k % 7) for k in range(20)] + [(9, k % 5) for k in range(30)] + [(4, 1), (-70_000, 2), (80_000, 0)]
     df = spark.createDataFrame(rows, "k long, v long").repartition(5)
-    got = numbered(df, "n", "k", ["v"], most=most)
+    got = numbered(df, "n", "k", ["v"], most=most, unique=unique)
     assert got.columns == ["k", "v", "n"]
     got = sorted((r["n"], r["k"], r["v"]) for r in got.collect())
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert got == [(i + 1, *r) for i, r in enumerate(want)]
-    assert numbered(df.limit(0), "n", "k", most=most).count() == 0
+    assert numbered(df.limit(0), "n", "k", most=most, unique=unique).count() == 0
 
 
 def test_upsert_replaces_known_keys(spark):
