@@ -200,9 +200,9 @@ WITH RECURSIVE bits AS (
   UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
 keys AS (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
 crc AS (
-  SELECT key, 0 AS at, CAST(4294967295 AS BIGINT) AS c FROM keys
-  UNION ALL SELECT key, at + 1, xor(c >> 8, v) FROM crc JOIN bits ON k = 8 AND b = xor(c, CAST(ascii(key[at + 1]) AS BIGINT)) & 255 WHERE at < length(key)),
-chosen AS (SELECT key, xor(c, 4294967295) % 20 AS fault FROM crc WHERE at = length(key)),
+  SELECT key, 0 AS pos, CAST(4294967295 AS BIGINT) AS c FROM keys
+  UNION ALL SELECT key, pos + 1, xor(c >> 8, v) FROM crc JOIN bits ON k = 8 AND b = xor(c, CAST(ascii(key[pos + 1]) AS BIGINT)) & 255 WHERE pos < length(key)),
+chosen AS (SELECT key, xor(c, 4294967295) % 20 AS fault FROM crc WHERE pos = length(key)),
 dealt AS (
   SELECT c.conv_id, c.turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, fault,
          CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
