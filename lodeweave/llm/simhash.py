@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.dart_minhash import components
-from lodeweave.llm.shared import Scratch, join_counted, table
+from lodeweave.llm.shared import Scratch, join_counted, lookup, table
 
 SHINGLE, DISTANCE, BITS, SEED = 4, 4, 64, 42
 PIECE = 1 << 20  # bytes of a text that are read at a time
@@ -80,11 +80,20 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _signed(it, shingle), f"id {kind}, fp long")
 
 
+def _masks(segments: int) -> list[list[int]]:
+    """For each segment, its bits without one, for each of them."""
+    cuts = [BITS * k // segments for k in range(segments + 1)]
+    return [[sum(1 << b for b in range(lo, hi) if b != out) for out in range(lo, hi)] for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _kept(fp: Column, mask: int) -> Column:
+    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+
 def _variants(fp: Column, segments: int) -> Column:
     """Array of (place, rest): the segment of each place without the bit there. A place belongs to one segment."""
-    cuts = [BITS * k // segments for k in range(segments + 1)]
-    masks = [sum(1 << b for b in range(lo, hi) if b != bit) for lo, hi in zip(cuts, cuts[1:]) for bit in range(lo, hi)]
-    return F.array(*[F.struct(F.lit(bit).alias("place"), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("rest")) for bit, m in enumerate(masks)])
+    masks = [m for own in _masks(segments) for m in own]
+    return F.array(*[F.struct(F.lit(place).alias("place"), _kept(fp, m).alias("rest")) for place, m in enumerate(masks)])
 
 
 def _forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -183,15 +192,35 @@ def _one_bit(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     return scratch.save(shared.filter("a <> b").select("a", "b"), narrow=True)
 
 
+def _crowded(scratch: Scratch, nodes: DataFrame, member: DataFrame, segments: int, block: int) -> DataFrame | None:
+    """v, n: variants of more than ``block`` nodes, None if there are none. Such a variant is of a segment's value that over half as many
+    nodes have, so values are counted, which are far fewer than variants, and only their variants after them."""
+    whole = F.array(*[F.struct(F.lit(k).alias("segment"), _kept(F.col("fp"), own[0] | own[-1]).alias("value")) for k, own in enumerate(_masks(segments))])
+    values = nodes.select(F.explode(whole).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block // 2)
+    values = scratch.save(values, narrow=True)
+    if not values.limit(1).count():
+        return None
+    first = 0
+    of_value = []
+    for k, own in enumerate(_masks(segments)):
+        each = F.array(*[F.struct(F.lit(first + i).alias("place"), _kept(F.col("s.value"), m).alias("rest")) for i, m in enumerate(own)])
+        of_value.append(F.when(F.col("s.segment") == k, each))
+        first += len(own)
+    may = scratch.save(values.select(F.explode(F.coalesce(*of_value)).alias("v")).distinct(), narrow=True)
+    large = member.join(lookup(may), "v").groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    large = scratch.save(large, narrow=True)
+    return large if large.limit(1).count() else None
+
+
 def links(scratch: Scratch, nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """a, b: links between distinct fingerprints (``nodes``: fp) that connect what is connected at ``distance`` or fewer bits."""
-    member = nodes.select("fp", F.explode(_variants(F.col("fp"), distance // 2 + 1)).alias("v"))
-    counts = scratch.save(member.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), narrow=True)
-    large = counts.filter(F.col("n") > block)
-    hot = large.limit(1).count() > 0
-    shared = join_counted(member, counts.filter(F.col("n") <= block), "v")
-    whole = shared.select("v.place", "v.rest", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "fp")
-    if not hot:
+    """a, b: links between distinct fingerprints (``nodes``, a written table: fp) that connect what is connected at ``distance`` or
+    fewer bits."""
+    segments = distance // 2 + 1
+    member = nodes.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("v"))
+    large = _crowded(scratch, nodes, member, segments, block)
+    few = member if large is None else member.join(lookup(large.select("v")), "v", "left_anti")
+    whole = few.select("v.place", "v.rest", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "fp")
+    if large is None:
         return scratch.save(_meet(whole, distance), narrow=True)
     # Variants of very many nodes: blocks of what single bits leave apart meet each other and the blocks of the largest component.
     crowded = scratch.save(join_counted(member, large, "v"), narrow=True)
@@ -222,7 +251,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result. Texts are read whole, piece by piece.
     """
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), narrow=True)
+    signed = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     nodes = scratch.save(signed.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), narrow=True)
     label = components(scratch, links(scratch, nodes.select("fp"), distance, block))
     linked = scratch.save(nodes.join(label.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("label", F.coalesce("label", "fp")), narrow=True)
