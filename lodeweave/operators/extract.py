@@ -1,10 +1,7 @@
-"""Column provenance of logged statements, as expressions over the statement's text.
+"""Column provenance of logged statements: clean texts, edges as rows, first of each, eligible statements.
 
-A statement's parts (target, column list, select lists, assignments, tables with aliases) are cut out with regular
-expressions and array functions, so extraction is a projection that Spark distributes like any other; no parser runs
-beside it. Nested brackets are respected by counting them. What has a target and tables but no column edges (a
-subquery in FROM, a WITH list) gives table edges (* to *) with low confidence; what has neither is reported with its
-status, never raised. Logs repeat their statements: ``extract_log`` reads each distinct text once.
+The edges of a text come from ``scopes``, as DataFrame operations; no parser runs beside them. What has a target and tables
+but no column edges gives table edges (* to *) with low confidence; what has neither is reported with its status, never raised.
 """
 
 from __future__ import annotations
@@ -14,26 +11,9 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import ids
 from lodeweave.functions.scalars import transformation
+from lodeweave.operators import scopes
 
 STATEMENTS = ("Insert", "Merge Into", "Create Table", "Create View", "Update")
-_NAME = r'("?[\w$]+"?(?:\."?[\w$]+"?)*)'
-_ALIAS_STOP = "ON|WHERE|GROUP|ORDER|HAVING|INNER|LEFT|RIGHT|FULL|CROSS|JOIN|UNION|QUALIFY|SET|WHEN|USING|FROM|AS"
-_INSERT = rf"(?is)^INSERT\s+INTO\s+{_NAME}\s*(?:\(([^()]*)\))?\s*\(?\s*(SEL(?:ECT)?\b.*)$"
-_CREATE = rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:MULTISET|SET|VOLATILE)\s+)*(?:TABLE|VIEW)\s+{_NAME}\s*(?:\(([^()]*)\))?\s*AS\s*\(?\s*(SEL(?:ECT)?\b.*?)\)?\s*(?:WITH\s+(?:NO\s+)?DATA\b.*)?$"
-_MERGE = rf"(?is)^MERGE\s+INTO\s+{_NAME}(?:\s+(?:AS\s+)?(?!USING\b)(\w+))?\s+USING\s+(.*?)\s+ON\b(.*)$"
-_UPDATE = rf"(?is)^UPDATE\s+{_NAME}(?:\s+(?:AS\s+)?(?!SET\b|FROM\b)(\w+))?\s+(?:FROM\s+(.*?)\s+)?SET\s+(.*?)(?:\s+FROM\s+(.*?))?(?:\s+WHERE\b.*)?$"
-_ANY_TARGET = rf"(?is)^(?:INSERT\s+INTO|MERGE\s+INTO|UPDATE|CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:MULTISET|SET|VOLATILE)\s+)*(?:TABLE|VIEW))\s+{_NAME}"
-_TABLE = rf"(?i)\b(?:FROM|JOIN|USING)\s+{_NAME}(?:\s+(?:AS\s+)?(?!(?:{_ALIAS_STOP})\b)(\w+))?"
-_WITH = r'(?i)(?:\bWITH|,)\s+(?:RECURSIVE\s+)?"?(\w+)"?\s*(?:\([^()]*\))?\s+AS\s*\(\s*SEL(?:ECT)?\b'
-_SETS = r"(?i)\s+(?:UNION|MINUS|EXCEPT|INTERSECT)(?:\s+ALL|\s+DISTINCT)?\s+"
-# Words that may stand before a column in an expression, so that what follows them is no alias.
-_BEFORE = "AND|OR|NOT|IS|IN|LIKE|BETWEEN|THEN|ELSE|WHEN|CASE|BY|FROM|OVER|AS|DISTINCT|MOD|INTERVAL|ESCAPE|ANY|ALL|DATE|TIME|TIMESTAMP"
-_ALIAS = rf'(?i)^(.*(?<!\b(?:{_BEFORE}))(?<![-+*/|<>=,(\s]))\s+"?(?!(?:END|NULL|ASC|DESC|FIRST|LAST|DAY|MONTH|YEAR|HOUR|MINUTE|SECOND)\b)([A-Za-z_]\w*)"?$'
-_REF = r"(?<![\w.$])([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)(?!\s*\(|[\w.$])"
-# Words of expressions that are no columns.
-_WORDS = "CASE WHEN THEN ELSE END AND OR NOT NULL IS IN LIKE BETWEEN AS DISTINCT OVER PARTITION BY ORDER ASC DESC ROWS RANGE UNBOUNDED PRECEDING FOLLOWING CURRENT ROW DATE TIME TIMESTAMP INTERVAL DAY MONTH YEAR DECIMAL NUMERIC VARCHAR CHAR INTEGER INT BIGINT SMALLINT FLOAT DOUBLE CURRENT_DATE CURRENT_TIMESTAMP TRUE FALSE FROM".split()
-_AGGREGATE = r"(?i)\b(?:SUM|COUNT|AVG|MIN|MAX)\s*\("
-_EDGE = "array<struct<source:string,source_column:string,target_column:string,kind:string>>"
 
 
 def plain_text(sql: Column) -> Column:
@@ -51,146 +31,27 @@ def plain_text(sql: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"[; ]+$", "")
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+def extract_log(log: DataFrame, *, text_col: str = "sql_text", database_col: str = "default_database", fields: DataFrame | None = None) -> DataFrame:
+    """``log`` with target (database.table), edges, conditions, n_unresolved, sources (tables, for the fallback) and status added.
 
-
-def _open(text: Column) -> Column:
-    """Brackets that the text opens and does not close."""
-    return F.coalesce(F.length(F.translate(text, ")", "")) - F.length(F.translate(text, "(", "")), F.lit(0))
-
-
-def split_top(text: Column, separator: str, joined: str) -> Column:
-    """Pieces of ``text`` between separators (a regular expression) outside brackets; ``joined`` is put back inside them."""
-
-    def add(acc: Column, piece: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.lit(joined), piece)))
-        return F.when(_open(last) > 0, longer).otherwise(F.concat(acc, F.array(piece)))
-
-    return F.aggregate(F.split(text, separator), F.array().cast("array<string>"), add)
-
-
-def _bare(name: Column) -> Column:
-    return F.translate(F.trim(name), '"', "")
-
-
-def _last(name: Column) -> Column:
-    return F.substring_index(name, ".", -1)
-
-
-def _full(name: Column, database: Column) -> Column:
-    return F.when(F.instr(name, ".") > 0, name).otherwise(F.concat_ws(".", database, name))
-
-
-def tables_of(text: Column, database: Column) -> Column:
-    """array<struct<key,name>> of the tables after FROM, JOIN and USING: the alias, or the table's own name, in lower case, and database.table."""
-    names, aliases = F.regexp_extract_all(text, F.lit(_TABLE), 1), F.regexp_extract_all(text, F.lit(_TABLE), 2)
-    shadowed = F.transform(F.regexp_extract_all(text, F.lit(_WITH), 1), F.lower)  # names of a WITH list are no tables
-    both = F.zip_with(names, aliases, lambda n, a: F.struct(F.lower(F.when(a == "", _last(_bare(n))).otherwise(a)).alias("key"), _full(_bare(n), database).alias("name")))
-    plain = F.zip_with(names, both, lambda n, x: F.when(~F.array_contains(shadowed, F.lower(_bare(n))), x))
-    return F.array_distinct(F.filter(plain, lambda x: x.isNotNull()))
-
-
-def _refs(expr: Column) -> Column:
-    """Distinct column references of an expression."""
-    found = F.regexp_extract_all(F.translate(expr, '"', ""), F.lit(_REF), 1)
-    return F.array_distinct(F.filter(found, lambda x: ~F.upper(x).isin(*_WORDS)))
-
-
-def _resolve(ref: Column, tables: Column) -> Column:
-    """database.table of a reference: by its alias, by its own database and table, or the only table; else null."""
-    qualifier = F.substring_index(ref, ".", -2)
-    key = F.lower(F.substring_index(qualifier, ".", 1))
-    parts = F.size(F.split(ref, r"\."))
-    by_alias = F.get(F.filter(tables, lambda t: t["key"] == key), 0)["name"]
-    return F.when(parts == 1, F.when(F.size(F.array_distinct(F.transform(tables, lambda t: t["name"]))) == 1, F.get(tables, 0)["name"])).when(parts == 2, by_alias).otherwise(F.substring_index(ref, ".", 2))
-
-
-def _kind(expr: Column) -> Column:
-    return F.when(F.trim(F.translate(expr, '"', "")).rlike(r"^[A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*$"), "DIRECT").when(expr.rlike(_AGGREGATE), "AGGREGATION").otherwise("CALCULATION")
-
-
-def _edges(items: Column, tables: Column) -> Column:
-    """Edges of items (struct<target,expr>) over tables; unresolved references have a null source."""
-    each = lambda i: F.transform(_refs(i["expr"]), lambda r: F.struct(_resolve(r, tables).alias("source"), _last(r).alias("source_column"), i["target"].alias("target_column"), _kind(i["expr"]).alias("kind")))
-    return F.flatten(F.transform(items, each))
-
-
-def _select_edges(branch: Column, columns: Column, database: Column) -> Column:
-    """Edges of one SELECT: its list is aligned with the target's columns by position."""
-    body = F.regexp_replace(branch, r"(?i)^\s*\(?\s*SEL(?:ECT)?\s+(?:DISTINCT\s+|TOP\s+\d+\s+)?", "")
-
-    def edges(parts: Column) -> Column:
-        rest = F.regexp_replace(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " FROM "), r"(?i)\s(?:WHERE|GROUP|ORDER|HAVING|QUALIFY)\b.*$", "")
-        items = F.transform(split_top(F.get(parts, 0), ",", ","), F.trim)
-
-        def item(x: Column, k: Column) -> Column:
-            named = F.regexp_replace(x, r'(?i)([\s)])AS\s+("?\w+"?)$', "$1 $2")
-            alias = F.translate(F.regexp_extract(named, _ALIAS, 2), '"', "")
-            expr = F.when(alias != "", F.trim(F.regexp_extract(named, _ALIAS, 1))).otherwise(named)
-            own = F.when(alias != "", alias).otherwise(_last(_bare(x)))
-            return F.struct(F.coalesce(F.get(columns, k), own).alias("target"), expr.alias("expr"))
-
-        return _let(tables_of(F.concat(F.lit("FROM "), F.regexp_replace(rest, r"\s*,\s*", " JOIN ")), database), lambda t: _edges(F.transform(items, item), t))
-
-    return _let(split_top(body, r"(?i)\s+FROM\s+", " FROM "), edges)
-
-
-def _assignments(text: Column) -> Column:
-    return F.transform(split_top(text, ",", ","), lambda x: F.struct(_last(_bare(F.substring_index(x, "=", 1))).alias("target"), F.trim(F.substr(x, F.instr(x, "=") + F.lit(1))).alias("expr")))
-
-
-def extract(log: DataFrame, *, text_col: str = "sql_text", database_col: str = "default_database") -> DataFrame:
-    """``log`` with target (database.table), edges, sources (tables, for the fallback) and status added.
-
-    status: ok (column edges), fallback (tables only), failed (no target or no tables), skipped (no text). A null text is
-    skipped; unresolved columns have no edge and are counted in n_unresolved.
+    status: ok (column edges), fallback (tables only), failed (no target or no tables), skipped (no text). A null text is skipped.
+    conditions are the columns that ON, WHERE and MERGE conditions read. Unresolved columns have no edge and are counted in n_unresolved. ``fields``:
+    the catalog's columns (name, field_name, ordinal_position), for stars and for columns without qualifier. Logs repeat their
+    statements: each distinct text of a database is read once and joined back by its digest.
     """
-    db = F.col(database_col)
-    t = log.withColumn("_t", plain_text(F.col(text_col)))
-    part = lambda pattern, k: F.regexp_extract("_t", pattern, k)
-    listed = lambda text: F.when(text != "", F.transform(F.split(text, ","), _bare)).otherwise(F.array().cast("array<string>"))
-
-    def selects(pattern: str) -> Column:
-        branches = split_top(part(pattern, 3), _SETS, " UNION ")
-        return _let(listed(part(pattern, 2)), lambda cols: F.flatten(F.transform(branches, lambda b: _select_edges(b, cols, db))))
-
-    def merged() -> Column:
-        own = F.struct(F.lower(F.when(part(_MERGE, 2) != "", part(_MERGE, 2)).otherwise(_last(_bare(part(_MERGE, 1))))).alias("key"), _full(_bare(part(_MERGE, 1)), db).alias("name"))
-        tables = F.concat(tables_of(F.concat(F.lit("USING "), part(_MERGE, 3)), db), F.array(own))
-        sets = F.regexp_extract(part(_MERGE, 4), r"(?i)\bUPDATE\s+SET\s+(.*?)(?:\s+WHEN\s+NOT\s+MATCHED\b.*)?$", 1)
-        into, values = (F.regexp_extract(part(_MERGE, 4), r"(?i)\bINSERT\s*\(([^()]*)\)\s*VALUES\s*\((.*)\)$", k) for k in (1, 2))
-        inserts = F.zip_with(listed(into), split_top(values, ",", ","), lambda c, v: F.struct(c.alias("target"), F.trim(v).alias("expr")))
-        none = F.array().cast("array<struct<target:string,expr:string>>")
-        items = F.concat(F.when(sets != "", _assignments(sets)).otherwise(none), F.when(into != "", inserts).otherwise(none))
-        return _let(tables, lambda x: _edges(items, x))
-
-    def updated() -> Column:
-        own = F.struct(F.lower(F.when(part(_UPDATE, 2) != "", part(_UPDATE, 2)).otherwise(_last(_bare(part(_UPDATE, 1))))).alias("key"), _full(_bare(part(_UPDATE, 1)), db).alias("name"))
-        sources = F.concat(part(_UPDATE, 3), part(_UPDATE, 5))
-        tables = F.concat(tables_of(F.concat(F.lit("FROM "), F.regexp_replace(sources, r"\s*,\s*", " JOIN ")), db), F.array(own))
-        return _let(tables, lambda x: _edges(_assignments(part(_UPDATE, 4)), x))
-
-    found = F.when(F.col("_t").rlike(_INSERT), selects(_INSERT)).when(F.col("_t").rlike(_CREATE), selects(_CREATE)).when(F.col("_t").rlike(_MERGE), merged()).when(F.col("_t").rlike(_UPDATE), updated()).otherwise(F.array().cast(_EDGE))
-    target = F.regexp_extract("_t", _ANY_TARGET, 1)
-    t = t.withColumn("target", F.when(target != "", _full(_bare(target), db)))
-    t = t.withColumn("_all", F.when(F.col("_t").isNotNull(), found))
-    t = t.withColumn("edges", F.array_distinct(F.filter("_all", lambda e: e["source"].isNotNull()))).withColumn("n_unresolved", F.size(F.filter(F.coalesce("_all", F.array().cast(_EDGE)), lambda e: e["source"].isNull())))
-    t = t.withColumn("sources", F.array_distinct(F.transform(tables_of(F.regexp_replace("_t", r"\s*,\s*", " , "), db), lambda x: x["name"])))
-    status = F.when(F.col("_t").isNull(), "skipped").when(F.size("edges") > 0, "ok").when(F.col("target").isNotNull() & (F.size("sources") > 0), "fallback").otherwise("failed")
-    return t.withColumn("status", status).drop("_t", "_all")
-
-
-def extract_log(log: DataFrame, *, text_col: str = "sql_text", database_col: str = "default_database") -> DataFrame:
-    """``extract`` of a batch: each distinct text of a database is read once and joined back by its digest."""
     key = F.md5(F.concat_ws("\n", F.coalesce(F.col(database_col), F.lit("")), F.col(text_col)))
     keyed = log.withColumn("_text", F.when(F.col(text_col).isNotNull(), key))
-    texts = keyed.filter("_text is not null").groupBy("_text").agg(F.first(text_col).alias(text_col), F.first(database_col).alias(database_col))
-    found = extract(texts, text_col=text_col, database_col=database_col).drop(text_col, database_col)
-    out = keyed.join(found, "_text", "left").drop("_text")
-    none = {"edges": F.col("edges"), "n_unresolved": F.coalesce("n_unresolved", F.lit(0)), "status": F.coalesce("status", F.lit("skipped"))}
-    return out.withColumns(none)
+    texts = keyed.filter("_text is not null").groupBy(F.col("_text").alias("key")).agg(F.first(text_col).alias("sql"), F.first(database_col).alias("db"))
+    found = scopes.provenance(texts, plain_text(F.col("sql")), fields).withColumnRenamed("key", "_text")
+    out = keyed.join(found, "_text", "left")
+    none = found.schema["edges"].dataType.simpleString()
+    status = F.when(F.col("_text").isNull(), "skipped").when(F.size("edges") > 0, "ok").when(F.col("target").isNotNull() & (F.size("sources") > 0), "fallback").otherwise("failed")
+    lists = {c: F.coalesce(c, F.array().cast(none)) for c in ("edges", "conditions")}
+    return out.withColumns(lists | {"n_unresolved": F.coalesce("n_unresolved", F.lit(0)), "status": status}).drop("_text")
+
+
+#: A log of unlike statements is read in the same way.
+extract = extract_log
 
 
 def expand_stars(edges: DataFrame, fields: DataFrame) -> DataFrame:
@@ -213,6 +74,14 @@ def edge_rows(extracted: DataFrame) -> DataFrame:
     return out.select(ids.provenance_id(s, t).alias("provenance_id"), s.alias("src"), t.alias("tgt"), "kind", kind.alias("transformation_type"), sub.alias("transformation_subtype"), conf.alias("confidence_score"), "query_id", "start_time")
 
 
+def condition_rows(extracted: DataFrame) -> DataFrame:
+    """One row for each column that a condition reads, as an indirect edge to all of the target (*): the columns of ``edge_rows``."""
+    e = extracted.select("query_id", "start_time", "target", F.explode("conditions").alias("e"))
+    kind, sub, conf = transformation(F.col("e.kind"))
+    s, t = ids.node_id(F.col("e.source"), F.col("e.source_column")), ids.node_id(F.col("target"), F.col("e.target_column"))
+    return e.select(ids.provenance_id(s, t).alias("provenance_id"), s.alias("src"), t.alias("tgt"), F.col("e.kind").alias("kind"), kind.alias("transformation_type"), sub.alias("transformation_subtype"), conf.alias("confidence_score"), "query_id", "start_time")
+
+
 def first_of_each(edges: DataFrame) -> DataFrame:
     """One row for each provenance_id, of the earliest statement: partial aggregates, no sort of a key's rows."""
     rest = [c for c in edges.columns if c != "provenance_id"]

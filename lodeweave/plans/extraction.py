@@ -9,6 +9,7 @@ from lodeweave.operators import extract
 from lodeweave.operators.serve import add_missing, upsert
 from lodeweave.plans.base import Registry
 from lodeweave.sources.catalog_views import Frames
+from lodeweave.sources.statement_shapes import CONDITIONS, SHAPES as LOGGED, UNRESOLVED, edge_values, parts, status
 from lodeweave.streaming import log_stream
 
 R = Registry()
@@ -16,8 +17,21 @@ query, QUERIES, ORACLES = R.query, R.queries, R.oracles
 
 SINCE = "2024-01-15 00:00:00"
 _OK = ", elig AS (SELECT * FROM query_log WHERE statement_type IN ('Insert', 'Merge Into', 'Create Table', 'Create View', 'Update') AND error_code = 0 AND sql_row_no = 1)"
+
+
+def _values(rows: list[tuple]) -> str:
+    """SQL: rows of numbers and texts."""
+    q = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "VALUES " + ", ".join(f"({', '.join(map(q, r))})" for r in rows)
+
+
+# The hand-written results of the log's statements with nested queries.
+_SHAPED = f""", shape_edges(shape, s, t, kind) AS ({_values(edge_values())}),
+shape_tables(shape, source, target) AS ({_values([(k, x, s[2]) for k, s in enumerate(LOGGED) for x in parts(s[4])])}),
+shape_results(shape, target, status, edges, text) AS ({_values([(k, s[2], status(s), len(parts(s[3])), s[1]) for k, s in enumerate(LOGGED)])})"""
 _EDGES = (
     _OK
+    + _SHAPED
     + """, x AS (
   SELECT query_id, start_time, 'src.c' || u || '.id' AS src, 'stg.t' || u || '.id' AS tgt, 'DIRECT' AS kind FROM elig WHERE event_type = 'click' AND NOT no_text
   UNION ALL SELECT query_id, start_time, 'src.c' || u || '.first', 'stg.t' || u || '.full_name', 'CALCULATION' FROM elig WHERE event_type = 'click' AND NOT no_text
@@ -25,7 +39,8 @@ _EDGES = (
   UNION ALL SELECT query_id, start_time, 'src.o' || u || '.amount', 'stg.t' || u || '.total', 'AGGREGATION' FROM elig WHERE event_type = 'click' AND NOT no_text
   UNION ALL SELECT query_id, start_time, 'dim.d' || u || '.' || c, 'rpt.v' || u || '.' || c, 'DIRECT' FROM elig, (VALUES ('k'), ('v')) AS v(c) WHERE event_type = 'view' AND NOT no_text
   UNION ALL SELECT query_id, start_time, 'stg.t' || u || '.total', 'dim.m' || u || '.total', 'DIRECT' FROM elig WHERE event_type = 'purchase' AND NOT no_text
-  UNION ALL SELECT query_id, start_time, 'stg.t' || u || '.full_name', 'dim.m' || u || '.name', 'DIRECT' FROM elig WHERE event_type = 'signup' AND NOT no_text),
+  UNION ALL SELECT query_id, start_time, 'stg.t' || u || '.full_name', 'dim.m' || u || '.name', 'DIRECT' FROM elig WHERE event_type = 'signup' AND NOT no_text
+  UNION ALL SELECT query_id, start_time, replace(s, '{u}', CAST(u AS VARCHAR)), replace(t, '{u}', CAST(u AS VARCHAR)), kind FROM elig JOIN shape_edges USING (shape) WHERE NOT no_text),
 y AS (SELECT substr(md5(src || '->' || tgt), 1, 24) AS provenance_id, * FROM x),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provenance_id ORDER BY start_time, query_id) AS r FROM y) WHERE r = 1)"""
 )
@@ -69,14 +84,14 @@ def extract_edges(spark, d):
     return extract.first_of_each(_edges(spark, d)).select("provenance_id", "src", "tgt", "kind", "confidence_score", "query_id")
 
 
-@query(_EDGES + " SELECT CASE WHEN no_text THEN 'skipped' ELSE 'ok' END AS status, count(*) AS statements, CAST(sum(CASE WHEN no_text THEN 0 WHEN event_type = 'click' THEN 4 WHEN event_type = 'view' THEN 2 ELSE 1 END) AS BIGINT) AS records FROM elig GROUP BY 1")
+@query(_OK + _SHAPED + " SELECT CASE WHEN no_text THEN 'skipped' ELSE coalesce(status, 'ok') END AS status, count(*) AS statements, CAST(sum(CASE WHEN no_text THEN 0 WHEN event_type = 'click' THEN 4 WHEN event_type = 'view' THEN 2 ELSE coalesce(edges, 1) END) AS BIGINT) AS records FROM elig LEFT JOIN shape_results USING (shape) GROUP BY 1")
 def extract_stats(spark, d):
     """Statements by outcome, and the records they gave before any are merged."""
     x = extract.extract_log(_log(spark, d))
     return x.groupBy("status").agg(F.count(F.lit(1)).alias("statements"), F.sum(F.coalesce(F.size("edges"), F.lit(0)).cast("long")).alias("records"))
 
 
-@query(_OK + " SELECT query_id, 'no statement text' AS message FROM elig WHERE no_text ORDER BY query_id LIMIT 1000")
+@query(_OK + _SHAPED + " SELECT query_id, CASE WHEN no_text THEN 'no statement text' ELSE substr('no target or tables in: ' || replace(text, '{u}', CAST(u AS VARCHAR)), 1, 200) END AS message FROM elig LEFT JOIN shape_results USING (shape) WHERE no_text OR status = 'failed' ORDER BY query_id LIMIT 1000")
 def extract_errors(spark, d):
     """The first thousand statements without edges, with the reason."""
     x = extract.extract_log(_log(spark, d)).filter(F.col("status").isin("failed", "skipped"))
@@ -99,14 +114,14 @@ def table_provenance_rollup(spark, d):
     return log_stream.table_rollup(_edges(spark, d))
 
 
-@query(_OK + ", p AS (SELECT CASE event_type WHEN 'click' THEN 'src.c' || u WHEN 'view' THEN 'dim.d' || u ELSE 'stg.t' || u END AS source, CASE event_type WHEN 'click' THEN 'stg.t' || u WHEN 'view' THEN 'rpt.v' || u ELSE 'dim.m' || u END AS target FROM elig WHERE NOT no_text UNION ALL SELECT 'src.o' || u, 'stg.t' || u FROM elig WHERE event_type = 'click' AND NOT no_text) SELECT source, target, count(*) AS statements FROM p GROUP BY ALL")
+@query(_OK + _SHAPED + ", p AS (SELECT CASE event_type WHEN 'click' THEN 'src.c' || u WHEN 'view' THEN 'dim.d' || u ELSE 'stg.t' || u END AS source, CASE event_type WHEN 'click' THEN 'stg.t' || u WHEN 'view' THEN 'rpt.v' || u ELSE 'dim.m' || u END AS target FROM elig WHERE NOT no_text AND shape IS NULL UNION ALL SELECT replace(source, '{u}', CAST(u AS VARCHAR)), replace(target, '{u}', CAST(u AS VARCHAR)) FROM elig JOIN shape_tables USING (shape) WHERE NOT no_text UNION ALL SELECT 'src.o' || u, 'stg.t' || u FROM elig WHERE event_type = 'click' AND NOT no_text) SELECT source, target, count(*) AS statements FROM p GROUP BY ALL")
 def pattern_fallback_edges(spark, d):
     """Table edges from the texts' patterns alone, as for statements without column edges."""
     x = extract.extract_log(_log(spark, d)).filter(F.col("target").isNotNull())
     return x.select(F.explode("sources").alias("source"), "target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("statements"))
 
 
-@query(_OK + " SELECT query_id, CASE event_type WHEN 'click' THEN 'stg.t' || u WHEN 'view' THEN 'rpt.v' || u ELSE 'dim.m' || u END AS target FROM elig WHERE NOT no_text")
+@query(_OK + _SHAPED + " SELECT query_id, CASE WHEN shape IS NOT NULL THEN replace(target, '{u}', CAST(u AS VARCHAR)) WHEN event_type = 'click' THEN 'stg.t' || u WHEN event_type = 'view' THEN 'rpt.v' || u ELSE 'dim.m' || u END AS target FROM elig LEFT JOIN shape_results USING (shape) WHERE NOT no_text")
 def scalar_target_table(spark, d):
     return extract.extract_log(_log(spark, d)).filter("target is not null").select("query_id", "target")
 
@@ -138,8 +153,8 @@ SHAPES = [
     ("MERGE INTO t USING s ON t.id = s.id WHEN NOT MATCHED THEN INSERT (a, b) VALUES (s.x, s.y)", "ok", "db.s.x > db.t.a; db.s.y > db.t.b"),
     ("UPDATE t FROM s SET a = s.b WHERE t.id = s.id", "ok", "db.s.b > db.t.a"),
     ("UPDATE t SET a = b", "ok", "db.t.b > db.t.a"),
-    ("INSERT INTO t (a) SELECT q.x FROM (SELECT u.x FROM u) q", "fallback", "db.u.* > db.t.*"),
-    ("INSERT INTO t (a) WITH c AS (SELECT x FROM u) SELECT c.x FROM c", "fallback", "db.u.* > db.t.*"),
+    ("INSERT INTO t (a) SELECT q.x FROM (SELECT u.x FROM u) q", "ok", "db.u.x > db.t.a"),
+    ("INSERT INTO t (a) WITH c AS (SELECT x FROM u) SELECT c.x FROM c", "ok", "db.u.x > db.t.a"),
     ("INSERT INTO t SELECT * FROM u", "fallback", "db.u.* > db.t.*"),
     ("INSERT INTO t VALUES (1, 2)", "failed", ""),
     ("DELETE FROM t", "failed", ""),
@@ -175,6 +190,73 @@ def extract_star_expansion(spark, d):
     return extract.expand_stars(e, c.field.join(c.dataset.select("dataset_id", "name"), "dataset_id"))
 
 
+@query(
+    _OK
+    + f""", shape_conditions(shape, s, kind) AS ({_values([(k, *x.rsplit(" ", 1)) for k, c in CONDITIONS.items() for x in parts(c)])}), targets(shape, target) AS ({_values([(k, s[2]) for k, s in enumerate(LOGGED)])}), x AS (
+  SELECT query_id, replace(s, '{{u}}', CAST(u AS VARCHAR)) AS src, replace(target, '{{u}}', CAST(u AS VARCHAR)) || '.*' AS tgt, kind FROM elig JOIN shape_conditions USING (shape) JOIN targets USING (shape) WHERE NOT no_text
+  UNION ALL SELECT query_id, s || u || '.id', 'stg.t' || u || '.*', 'JOIN' FROM elig, (VALUES ('src.c'), ('src.o')) v(s) WHERE event_type = 'click' AND NOT no_text
+  UNION ALL SELECT query_id, 'stg.t' || u || '.id', 'dim.m' || u || '.*', 'JOIN' FROM elig WHERE event_type = 'purchase' AND NOT no_text)
+SELECT query_id, substr(md5(src || '->' || tgt), 1, 24) AS provenance_id, src, tgt, 'INDIRECT' AS transformation_type, kind AS transformation_subtype, CAST(CASE kind WHEN 'JOIN' THEN 0.80 ELSE 0.75 END AS DECIMAL(3, 2)) AS confidence_score FROM x"""
+)
+def extract_conditions(spark, d):
+    """Indirect edges: the columns that ON, WHERE and MERGE conditions of each statement read, those of nested queries too. A
+    qualifier that names none of the tables (m.id over dim.m7) gives none."""
+    return extract.condition_rows(extract.extract_log(_log(spark, d))).select("query_id", "provenance_id", "src", "tgt", "transformation_type", "transformation_subtype", "confidence_score")
+
+
+@query(_OK + f", u(shape, n_unresolved) AS ({_values(sorted(UNRESOLVED.items()))}) SELECT query_id, n_unresolved FROM elig JOIN u USING (shape) WHERE NOT no_text")
+def extract_unresolved(spark, d):
+    """Statements with columns that have no one owner among their tables, or no known place behind a star."""
+    return extract.extract_log(_log(spark, d)).filter("n_unresolved > 0").select("query_id", "n_unresolved")
+
+
+_ENDS = """, names AS (SELECT suppkey, name FROM ol_dataset), f AS (SELECT suppkey, name, field_name, ordinal_position AS o FROM ol_dataset_field JOIN ol_dataset USING (dataset_id)),
+ends AS (SELECT suppkey, name, arg_min(field_name, o) AS lo, arg_max(field_name, o) AS hi, max(o) AS width FROM f GROUP BY ALL),
+pair AS (SELECT a.suppkey AS k, a.name AS a, b.name AS b, a.lo, b.hi, a.width FROM ends a JOIN ends b ON b.suppkey = a.suppkey + 1)"""
+
+
+def _catalog_pairs(spark, d):
+    """(key, a, b, lo, hi, width): neighbouring tables of the catalog, the first column of one and the last of the other; and the catalog's columns."""
+    c = Frames(spark, d)
+    fields = c.field.join(c.dataset.select("dataset_id", "name", "suppkey"), "dataset_id").select("suppkey", "name", "field_name", "ordinal_position")
+    ends = fields.groupBy("suppkey", "name").agg(F.min_by("field_name", "ordinal_position").alias("lo"), F.max_by("field_name", "ordinal_position").alias("hi"), F.max("ordinal_position").alias("width"))
+    after = ends.select((F.col("suppkey") - 1).alias("suppkey"), F.col("name").alias("b"), "hi")
+    return ends.drop("hi").join(after, "suppkey").select(F.col("suppkey").alias("k"), F.col("name").alias("a"), "b", "lo", "hi", "width"), fields
+
+
+def _as_log(pairs, text):
+    return pairs.select(F.col("k").alias("query_id"), F.lit(None).cast("timestamp").alias("start_time"), F.lit("mart").alias("default_database"), text.alias("sql_text"))
+
+
+@query(
+    _ENDS
+    + """, wanted AS (SELECT k, a, b, lo AS field_name, 'a' AS col FROM pair UNION ALL SELECT k, a, b, hi, 'b' FROM pair),
+owned AS (SELECT k, w.field_name, col, min(name) AS name, count(*) AS n FROM wanted w JOIN f ON f.field_name = w.field_name AND f.name IN (w.a, w.b) GROUP BY ALL)
+SELECT k AS query_id, CASE WHEN n = 1 THEN name || '.' || field_name END AS src, 'mart.j' || k || '.' || col AS tgt, CASE WHEN n = 1 THEN 'resolved' ELSE 'unresolved' END AS state FROM owned"""
+)
+def extract_bare_columns(spark, d):
+    """Columns without qualifier over joins of catalog tables: each belongs to the one table that has it, or is counted as unresolved."""
+    pairs, fields = _catalog_pairs(spark, d)
+    text = F.format_string("INSERT INTO j%d (a, b) SELECT %s, %s FROM %s x JOIN %s y ON 1 = 1", "k", "lo", "hi", "a", "b")
+    x = extract.extract_log(_as_log(pairs, text), fields=fields)
+    got = extract.edge_rows(x).select("query_id", "src", "tgt")
+    every = pairs.select(F.col("k").alias("query_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("col")).select("query_id", F.format_string("mart.j%d.%s", "query_id", "col").alias("tgt"))
+    return every.join(got.filter(~F.col("tgt").endswith(".*")), ["query_id", "tgt"], "left").select("query_id", "src", "tgt", F.when(F.col("src").isNull(), "unresolved").otherwise("resolved").alias("state"))
+
+
+@query(
+    _ENDS
+    + """ SELECT k AS query_id, a || '.' || field_name AS src, 'mart.k' || k || '.c' || o AS tgt FROM pair JOIN f ON name = a
+UNION ALL SELECT k, b || '.' || hi, 'mart.k' || k || '.c' || (width + 1) FROM pair"""
+)
+def extract_star_alignment(spark, d):
+    """Stars over catalog tables: they take as many places of the target's list as their tables have columns, and what follows comes after."""
+    pairs, fields = _catalog_pairs(spark, d)
+    columns = F.array_join(F.transform(F.sequence(F.lit(1), F.col("width") + 1), lambda i: F.concat(F.lit("c"), i.cast("string"))), ", ")
+    text = F.concat(F.format_string("INSERT INTO k%d (", "k"), columns, F.format_string(") SELECT x.*, y.%s FROM %s x JOIN %s y ON 1 = 1", "hi", "a", "b"))
+    return extract.edge_rows(extract.extract_log(_as_log(pairs, text), fields=fields)).select("query_id", "src", "tgt")
+
+
 @query(_OK + " SELECT query_id, statement_type, start_time, no_text FROM elig")
 def log_statements_joined(spark, d):
     """Headers of the log with their texts, two tables joined by query and process, in order of their start."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import ids
 from lodeweave.functions.scalars import SCALED, SIZED, TYPE_NAMES, type_name
+from lodeweave.sources.statement_shapes import SHAPES
 
 #: Order in which sample fields take type codes; then an unknown code and null.
 CODES = [*TYPE_NAMES, "D", *SCALED, *SIZED, "ZZ", None]
@@ -107,8 +108,11 @@ class Frames:
 
 
 def log_of(e: DataFrame) -> DataFrame:
-    """Logged statements of the events, a batch or a stream: header (query_id, proc_id, statement_type, start_time, ...) and text in one row."""
-    kind = F.when(F.col("event_type") == "click", "Insert").when(F.col("event_type") == "view", "Create View").when(F.col("event_type") == "purchase", "Merge Into").when(F.col("event_type") == "signup", "Update").otherwise("Select")
+    """Logged statements of the events, a batch or a stream: header (query_id, proc_id, statement_type, start_time, ...) and text in one row.
+    Errors stand for statements with nested queries, of one shape after the other, and for plain queries."""
+    shape = F.when(F.col("event_type") == "error", F.col("event_id") % (len(SHAPES) + 1)).cast("int")
+    shaped = lambda k: F.get(F.array(*[F.lit(x[k]) for x in SHAPES]), shape)
+    kind = F.when(F.col("event_type") == "click", "Insert").when(F.col("event_type") == "view", "Create View").when(F.col("event_type") == "purchase", "Merge Into").when(F.col("event_type") == "signup", "Update").otherwise(F.coalesce(shaped(0), F.lit("Select")))
     u = F.concat(F.lit(""), (F.col("user_id") % 50).cast("string"))
     sql = (
         F.when(F.col("event_id") % 97 == 0, F.lit(None))
@@ -116,7 +120,7 @@ def log_of(e: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "view", F.concat(F.lit("CREATE VIEW rpt.v"), u, F.lit(" AS SELECT a.k AS k, a.v AS v FROM dim.d"), u, F.lit(" a")))
         .when(F.col("event_type") == "purchase", F.concat(F.lit("MERGE INTO dim.m"), u, F.lit(" USING stg.t"), u, F.lit(" s ON s.id = m.id WHEN MATCHED THEN UPDATE SET total = s.total")))
         .when(F.col("event_type") == "signup", F.concat(F.lit("UPDATE dim.m"), u, F.lit(" FROM stg.t"), u, F.lit(" s SET name = s.full_name")))
-        .otherwise("SELECT 1")
+        .otherwise(F.coalesce(F.replace(shaped(1), F.lit("{u}"), u), F.lit("SELECT 1")))
     )
     return e.select(
         F.col("event_id").alias("query_id"), F.lit(1).alias("proc_id"), kind.alias("statement_type"), F.col("ts").alias("start_time"), F.lit("stg").alias("default_database"),
@@ -125,6 +129,7 @@ def log_of(e: DataFrame) -> DataFrame:
 
 
 _CODES_SQL = ", ".join("NULL" if c is None else f"'{c}'" for c in CODES)
+_SHAPES_SQL = ", ".join(f"({k}, '{x[0]}')" for k, x in enumerate(SHAPES))
 _NAMES_SQL = ", ".join(f"('{k}', '{v}')" for k, v in TYPE_NAMES.items())
 SQL = f"""
 ol_namespace AS (
@@ -157,8 +162,8 @@ ol_column_provenance AS (
          min(kind) AS transformation_type, min(conf) AS confidence_score, min(active) AS is_active, s.name || '.P' || p1 AS src, t.name || '.P' || p2 AS tgt
   FROM line_pairs JOIN ol_dataset s ON s.suppkey = s1 JOIN ol_dataset t ON t.suppkey = s2 WHERE s2 IS NOT NULL GROUP BY s.name, p1, t.name, p2),
 query_log AS (
-  SELECT event_id AS query_id, 1 AS proc_id, CASE event_type WHEN 'click' THEN 'Insert' WHEN 'view' THEN 'Create View' WHEN 'purchase' THEN 'Merge Into' WHEN 'signup' THEN 'Update' ELSE 'Select' END AS statement_type,
+  SELECT event_id AS query_id, 1 AS proc_id, CASE event_type WHEN 'click' THEN 'Insert' WHEN 'view' THEN 'Create View' WHEN 'purchase' THEN 'Merge Into' WHEN 'signup' THEN 'Update' ELSE coalesce(shape_type, 'Select') END AS statement_type,
          ts AS start_time, 'stg' AS default_database, CASE WHEN event_id % 10 = 0 THEN 3807 ELSE 0 END AS error_code, CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS sql_row_no, event_type, user_id % 50 AS u,
-         event_id % 97 = 0 AS no_text
-  FROM events)
+         event_id % 97 = 0 AS no_text, shape
+  FROM events LEFT JOIN (VALUES {_SHAPES_SQL}) AS shapes(shape, shape_type) ON event_type = 'error' AND event_id % {len(SHAPES) + 1} = shape)
 """

@@ -22,15 +22,6 @@ def log_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) ->
     return log_of(events)
 
 
-def edge_stream(log: DataFrame) -> DataFrame:
-    """Edges of a stream of statements. An id that comes again within LATE is dropped; ids seen longer ago have left the state, so
-    the sink, which keeps each id once, drops those."""
-    edges = extract.edge_rows(extract.extract(extract.eligible(log)))
-    kind = edges.schema["start_time"].dataType.simpleString()  # event time must have a zone; the result goes back to its own type
-    timed = edges.withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", LATE)
-    return timed.dropDuplicatesWithinWatermark(["provenance_id"]).withColumn("start_time", F.col("start_time").cast(kind))
-
-
 def throughput(log: DataFrame, size: str = "1 hour") -> DataFrame:
     """Statements by event-time window; a window is closed, and its state dropped, LATE after it (append and update mode)."""
     kind = log.schema["start_time"].dataType.simpleString()
@@ -45,16 +36,20 @@ def table_rollup(edges: DataFrame) -> DataFrame:
     return one.select(ids.provenance_id(F.col("source_table"), F.col("target_table"), 16).alias("provenance_id"), *one.columns)
 
 
-def run_to_folder(stream: DataFrame, folder: str, *, checkpoint: str) -> None:
-    """Append what the stream has now to a folder of Parquet files; a rerun with the same checkpoint goes on from there."""
-    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_edges(log: DataFrame, folder: str, *, checkpoint: str) -> None:
+    """Write the edges of what the stream has now, a folder for each batch: a batch that is repeated writes its folder anew, and a rerun
+    with the same checkpoint goes on from there. A batch reads its texts as a table of statements is read."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        extract.first_of_each(extract.edge_rows(extract.extract_log(batch))).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    extract.eligible(log).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream = edge_stream(log_stream(spark, sf_dir))
-    run_to_folder(stream, f"{root}/edges", checkpoint=f"{root}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{root}/edges").dropDuplicates(["provenance_id"])
+    run_edges(log_stream(spark, sf_dir), f"{root}/edges", checkpoint=f"{root}/checkpoint")
+    return extract.first_of_each(spark.read.parquet(f"{root}/edges").drop("batch"))
 
 
 def throughput_available(spark: SparkSession, sf_dir: str) -> DataFrame:
