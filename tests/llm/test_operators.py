@@ -345,6 +345,38 @@ def test_pages_of_odd_rows(spark):
     assert sorted(r["main_text"] for r in out)[-2:] == ["deep", "open tags"]
 
 
+LONG = [f"Paragraph {k} goes on about the matter at hand for as long as such paragraphs do, with clauses, and ends in a full stop some way further down the line." for k in range(6)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><body><nav><a href=/>Home</a></nav>{}<footer>Copyright</footer></body></html>",
+        "<html><head><title>T</title><link rel=x><p></p><nav><a href=/>Home</a></nav>{}<footer>Copyright</footer></html>",
+        "<body><form id=aspnet><input type=hidden><nav><a href=/>Home</a></nav><div>{}</div><div class=footer>Copyright</div></form></body>",
+        "<body><nav><a href=/>Home</a><main>{}</main><footer>Copyright</footer></body>",
+        "<body><nav><a href=/>Home</a></nav><div class='site-content right-sidebar'>{}</div><div class=sidebar>Read more</div></body>",
+        "<body><div class='wrapper no-sidebar'>{}</div><aside>Aside of a few words</aside></body>",
+        "<body><div class='no-comments entry'>{}</div><div class='comments'><p>First!</p></div></body>",
+        "<body><div class='ad-free'>{}</div><div class='ad'>Buy now</div></body>",
+        "<body><article class='category-social'>{}</article><div class='social-links'><a href=x>Tweet</a></div></body>",
+        "<body><article id='market-share'>{}</article><div id='share-buttons'>Tell your friends</div></body>",
+        "<body><header class=site-header><a href=/>Home</a><article>{}</article></header><footer>Copyright</footer></body>",
+        "<body><div class='content'>{}</div><section class='comments'>" + "".join(f"<article class=comment><p>{p} says reader {k}</p></article>" for k, p in enumerate(LONG * 3)) + "</section></body>",
+    ],
+)
+def test_op6_hints_do_not_lose_pages(page):
+    """An open head, a form around a page, an open nav, and names of classes in which a word only looks like boilerplate."""
+    assert html_text.main_text(page.format("".join(f"<p>{p}</p>" for p in LONG))) == "\n\n".join(LONG)
+
+
+def test_op6_threshold_of_nearly_equal_values():
+    import numpy as np
+
+    values = np.nextafter(np.full(5, 150.0), [0.0, 0.0, 200.0, 200.0, 200.0])
+    assert np.isfinite(html_text.threshold(values)) and np.isfinite(html_text.threshold(np.array([1.0, np.nextafter(1.0, 2.0)])))
+
+
 # ---- 7
 
 
