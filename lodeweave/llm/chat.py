@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.shared import table
@@ -127,12 +127,10 @@ def format_chats(events: DataFrame, *, conv: str = "conv_id", message: str = "me
 def as_events(conversations: DataFrame) -> DataFrame:
     """The event log of a table of turns: assistants stream their text in deltas, others send whole messages. Rows of one
     turn are messages of their own, in order of role and text."""
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), 0)  # one pass over the text, however long
     pieces: Column = F.when(
-        F.col("role") == TRAINED_ROLE,
-        F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / DELTA_CHARS).cast("int"))), lambda k: F.struct(F.lit("delta").alias("kind"), F.substring(F.col("text"), k * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("piece"))),
+        (F.col("role") == TRAINED_ROLE) & (F.col("text") != ""), F.transform(cut, lambda x: F.struct(F.lit("delta").alias("kind"), x.alias("piece")))
     ).otherwise(F.array(F.struct(F.lit("message").alias("kind"), F.col("text").alias("piece"))))
-    from pyspark.sql import Window
-
     turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     return turns.select("conv_id", "seq", F.col("seq").alias("message"), "role", F.posexplode(pieces).alias("part", "p")).select("conv_id", "seq", "part", "message", F.col("p.kind").alias("kind"), "role", F.col("p.piece").alias("text"))

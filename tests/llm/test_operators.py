@@ -122,6 +122,19 @@ def test_chat_of_odd_rows(spark):
     assert chat.format_chats(chat.as_events(df.limit(0)), order=("seq", "part")).count() == 0
 
 
+def test_op2_very_long_turns(spark, tmp_path):
+    """20 million characters in a turn take seconds; pieces never cut a character in two."""
+    import time
+
+    text = "é😀 said </s> and [INST]\n" * 870_000
+    rows = [(1, 0, "user", "go"), (1, 1, "assistant", text), (1, 2, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    r = chat.op2_chat(spark, str(tmp_path)).filter("conv_id = 1").collect()[0]
+    assert time.time() - began < 60
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (3, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 # ---- 3
 
 
