@@ -127,9 +127,12 @@ def resolve_dataset(spark, d):
     return found.select("dataset_id", database_of(F.col("name")).alias("database"), table_of(F.col("name")).alias("table"))
 
 
-@query(" SELECT dataset_id, name FROM ol_dataset WHERE starts_with(name, 'CHINA.')")
+@query(" SELECT dataset_id, name FROM ol_dataset WHERE starts_with(name, (SELECT split_part(name, '.', 1) || '.' FROM ol_dataset GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))")
 def database_datasets(spark, d):
-    return Frames(spark, d).dataset.filter(F.col("name").startswith("CHINA.")).select("dataset_id", "name")
+    """Datasets of the database that has the most."""
+    datasets, db = Frames(spark, d).dataset, database_of(F.col("name"))
+    largest = datasets.groupBy(db.alias("db")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "db").first()["db"]
+    return datasets.filter(F.col("name").startswith(f"{largest}.")).select("dataset_id", "name")
 
 
 @query(""", n AS (SELECT suppkey, l_linenumber, count(*) AS row_count, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS perm FROM lineitem JOIN ol_dataset ON suppkey = l_suppkey GROUP BY ALL)

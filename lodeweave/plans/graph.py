@@ -12,10 +12,19 @@ from lodeweave.sources.catalog_views import Frames
 R = Registry()
 query, QUERIES, ORACLES = R.query, R.queries, R.oracles
 
+# The databases with the most datasets: which there are is the data's.
+_TOP = ", tops AS (SELECT db, row_number() OVER (ORDER BY n DESC, db) AS r FROM (SELECT split_part(name, '.', 1) AS db, count(*) AS n FROM ol_dataset GROUP BY 1)), top1 AS (SELECT db FROM tops WHERE r = 1)"
+_OWN = "(SELECT db || '.' FROM top1)"
 _ACT = ", act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y')"
 _DB = "split_part({}, '.', 1)"
 
 
+def _largest(spark, d, n=1):
+    """Names of the n databases with the most datasets."""
+    c = Frames(spark, d).dataset.groupBy(S.database_of(F.col("name")).alias("db")).agg(F.count(F.lit(1)).alias("n"))
+    return [r["db"] for r in c.orderBy(F.desc("n"), "db").limit(n).collect()]
+
+
 def _act(spark, d):
     return traverse.active(Frames(spark, d).edges)
 
@@ -102,9 +111,12 @@ def edge_table(spark, d):
     return _edge_table(spark, d)
 
 
-@query(_EDGE_TABLE + " SELECT * FROM t WHERE contains(lower(source_table), 'china') OR contains(lower(source_field), 'china') OR contains(lower(target_table), 'china') OR contains(lower(target_field), 'china') OR contains(lower(transformation_type), 'china')")
+_HAS = "contains(lower({}), (SELECT lower(db) FROM top1))"
+
+
+@query(_TOP + _EDGE_TABLE + f" SELECT * FROM t WHERE {' OR '.join(_HAS.format(c) for c in ('source_table', 'source_field', 'target_table', 'target_field', 'transformation_type'))}")
 def edge_table_filter(spark, d):
-    return tables.matching(_edge_table(spark, d), "China")
+    return tables.matching(_edge_table(spark, d), _largest(spark, d)[0].capitalize())
 
 
 @query(_EDGE_TABLE + " SELECT * FROM t ORDER BY coalesce(confidence_score, -1) DESC, provenance_id LIMIT 100")
@@ -154,9 +166,9 @@ def confidence_range(spark, d):
     return Frames(spark, d).edges.agg(F.min("confidence_score").alias("least"), F.max("confidence_score").alias("greatest"), F.count_if(~F.col("confidence_score").between(0, 1)).alias("outside"))
 
 
-@query(" SELECT count(*) AS row_count, count(*) FILTER (WHERE is_active = 'Y') AS active_rows, count(*) FILTER (WHERE contains(source_dataset, 'CHINA')) AS test_rows FROM ol_column_provenance")
+@query(_TOP + " SELECT count(*) AS row_count, count(*) FILTER (WHERE is_active = 'Y') AS active_rows, count(*) FILTER (WHERE contains(source_dataset, (SELECT db FROM top1))) AS test_rows FROM ol_column_provenance")
 def provenance_table_stats(spark, d):
-    return Frames(spark, d).edges.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("is_active") == "Y").alias("active_rows"), F.count_if(F.col("source_dataset").contains("CHINA")).alias("test_rows"))
+    return Frames(spark, d).edges.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("is_active") == "Y").alias("active_rows"), F.count_if(F.col("source_dataset").contains(_largest(spark, d)[0])).alias("test_rows"))
 
 
 @query(_ACT + " SELECT DISTINCT source_dataset, target_dataset FROM act")
@@ -166,50 +178,50 @@ def table_provenance(spark, d):
 
 # ---- database provenance
 
-_IN = "(starts_with(source_dataset, 'CHINA.') OR starts_with(target_dataset, 'CHINA.'))"
+_IN = f"(starts_with(source_dataset, {_OWN}) OR starts_with(target_dataset, {_OWN}))"
 
 
-@query(_ACT + f" SELECT provenance_id, src, tgt, transformation_type, 1 AS depth FROM act WHERE {_IN}")
+@query(_TOP + _ACT + f" SELECT provenance_id, src, tgt, transformation_type, 1 AS depth FROM act WHERE {_IN}")
 def database_provenance(spark, d):
     """Edges with an end in the database: what a recursion that is never entered returns."""
-    return graph.touching(_act(spark, d), "CHINA").select("provenance_id", "src", "tgt", "transformation_type", F.lit(1).alias("depth"))
+    return graph.touching(_act(spark, d), _largest(spark, d)[0]).select("provenance_id", "src", "tgt", "transformation_type", F.lit(1).alias("depth"))
 
 
-@query(_ACT + f""", n AS (SELECT s.name || '.' || field_name AS node, field_type, coalesce(nullable = 'Y', false) AS nullable, coalesce(source_type, 'TABLE') AS source_type, true AS own
-FROM ol_dataset s JOIN ol_dataset_field USING (dataset_id) WHERE starts_with(s.name, 'CHINA.')),
-x AS (SELECT DISTINCT node, ds FROM (SELECT src AS node, source_dataset AS ds FROM act WHERE {_IN} UNION ALL SELECT tgt, target_dataset FROM act WHERE {_IN}) WHERE NOT starts_with(ds, 'CHINA.'))
+@query(_TOP + _ACT + f""", n AS (SELECT s.name || '.' || field_name AS node, field_type, coalesce(nullable = 'Y', false) AS nullable, coalesce(source_type, 'TABLE') AS source_type, true AS own
+FROM ol_dataset s JOIN ol_dataset_field USING (dataset_id) WHERE starts_with(s.name, {_OWN})),
+x AS (SELECT DISTINCT node, ds FROM (SELECT src AS node, source_dataset AS ds FROM act WHERE {_IN} UNION ALL SELECT tgt, target_dataset FROM act WHERE {_IN}) WHERE NOT starts_with(ds, {_OWN}))
 SELECT * FROM n UNION ALL SELECT node, f.field_type, coalesce(f.nullable = 'Y', false), coalesce(s.source_type, 'TABLE'), false
 FROM x LEFT JOIN ol_dataset s ON s.name = ds LEFT JOIN ol_dataset_field f ON f.dataset_id = s.dataset_id AND f.field_name = substr(node, length(ds) + 2)""")
 def database_nodes(spark, d):
     """All fields of the database and the outer ends of its edges, with their types."""
     c = Frames(spark, d)
-    return graph.database_nodes(traverse.active(c.edges), c.dataset, c.field, "CHINA")
+    return graph.database_nodes(traverse.active(c.edges), c.dataset, c.field, _largest(spark, d)[0])
 
 
-@query(_ACT + """, sides AS (SELECT src AS here, tgt AS nxt, provenance_id FROM act UNION ALL SELECT tgt, src, provenance_id FROM act),
-grow AS (SELECT DISTINCT node, 0 AS depth FROM (SELECT src AS node FROM act WHERE starts_with(source_dataset, 'CHINA.') UNION ALL SELECT tgt FROM act WHERE starts_with(target_dataset, 'CHINA.'))
+@query(_TOP + _ACT + f""", sides AS (SELECT src AS here, tgt AS nxt, provenance_id FROM act UNION ALL SELECT tgt, src, provenance_id FROM act),
+grow AS (SELECT DISTINCT node, 0 AS depth FROM (SELECT src AS node FROM act WHERE starts_with(source_dataset, {_OWN}) UNION ALL SELECT tgt FROM act WHERE starts_with(target_dataset, {_OWN}))
   UNION SELECT s.nxt, g.depth + 1 FROM grow g JOIN sides s ON s.here = g.node WHERE g.depth < 3),
 near AS (SELECT node, min(depth) AS depth FROM grow GROUP BY node)
 SELECT provenance_id, CAST(min(depth) + 1 AS INTEGER) AS depth FROM near JOIN sides ON here = node WHERE depth < 3 GROUP BY provenance_id""")
 def database_provenance_expanded(spark, d):
     """Edges within three steps of the database, in both directions."""
-    return graph.expand_database(_act(spark, d), "CHINA", direction="both", max_depth=3)
+    return graph.expand_database(_act(spark, d), _largest(spark, d)[0], direction="both", max_depth=3)
 
 
 _PAGE = """, ranked AS (SELECT *, dense_rank() OVER (ORDER BY source_dataset) AS r FROM act {where}), total AS (SELECT count(DISTINCT source_dataset) AS n FROM act {where})
 SELECT provenance_id, src, tgt, n AS total_tables, CAST(ceil(n / {size}.0) AS BIGINT) AS total_pages, n > {page} * {size} AS has_next FROM ranked, total WHERE r > ({page} - 1) * {size} AND r <= {page} * {size}"""
 
 
-@query(_ACT + _PAGE.format(where="WHERE starts_with(source_dataset, 'CHINA.')", page=1, size=2))
+@query(_TOP + _ACT + _PAGE.format(where=f"WHERE starts_with(source_dataset, {_OWN})", page=1, size=2))
 def database_provenance_page(spark, d):
     """A page of tables of a database, with their edges."""
-    return graph.page_by_tables(_act(spark, d).filter(F.col("source_dataset").startswith("CHINA.")), page=1, size=2)
+    return graph.page_by_tables(_act(spark, d).filter(F.col("source_dataset").startswith(_largest(spark, d)[0] + ".")), page=1, size=2)
 
 
-@query(_ACT + _PAGE.format(where="WHERE split_part(source_dataset, '.', 1) IN ('CHINA', 'INDIA', 'JAPAN')", page=2, size=3))
+@query(_TOP + _ACT + _PAGE.format(where="WHERE split_part(source_dataset, '.', 1) IN (SELECT db FROM tops WHERE r <= 3)", page=2, size=3))
 def all_db_provenance_filtered(spark, d):
     """A page of tables of the chosen databases; no choice means all."""
-    return graph.page_by_tables(graph.of_databases(_act(spark, d), ["CHINA", "INDIA", "JAPAN"]), page=2, size=3)
+    return graph.page_by_tables(graph.of_databases(_act(spark, d), _largest(spark, d, 3)), page=2, size=3)
 
 
 @query(_ACT + """, t AS (SELECT DISTINCT source_dataset FROM act ORDER BY 1 LIMIT 4) SELECT DISTINCT src, tgt FROM act WHERE source_dataset IN (SELECT * FROM t)""")

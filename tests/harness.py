@@ -42,9 +42,11 @@ def oracle_rows(sql: str, sf_dir: str = SF_DIR) -> tuple[list[str], list[tuple]]
     return cols, cur.fetchall()
 
 
-def difference(df, sql: str, sf_dir: str = SF_DIR) -> str | None:
-    """None if a query and its SQL agree, else the first rows that differ."""
+def difference(df, sql: str, sf_dir: str = SF_DIR, *, may_be_empty: bool = False) -> str | None:
+    """None if a query and its SQL agree, else the first rows that differ. No rows at all are no agreement, unless that is said."""
     cols, want = oracle_rows(sql, sf_dir)
+    if not want and not may_be_empty:
+        return "the SQL gives no rows"
     if sorted(cols) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(cols)}"
     got, want = normal(df.columns, df.collect()), normal(cols, want)

@@ -8,9 +8,13 @@ from harness import SF_DIR, difference
 from lodeweave.plans import registry
 
 
+# A root that is missing gives nothing by design; the other two are later pages, which the smallest sample lacks.
+MAY_BE_EMPTY = {"provenance_missing_root", "list_datasets_page", "all_db_provenance_filtered"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, name):
-    assert difference(registry.QUERIES[name](spark, SF_DIR), registry.ORACLES[name]) is None
+    assert difference(registry.QUERIES[name](spark, SF_DIR), registry.ORACLES[name], may_be_empty=name in MAY_BE_EMPTY) is None
 
 
 def test_every_check_has_its_query():
