@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions.scalars import database_of, table_of
+from lodeweave.operators import components
 from lodeweave.operators.traverse import reach
 from lodeweave.sources.scratch import cut
 
@@ -77,19 +78,10 @@ def layer_rank(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataF
 
 
 def weak_component(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, node: everything connected to a root when directions are ignored, however far away. Neighbours of a level lie in
-    it or in a level next to it, so new nodes are those that the last two levels lack. Long chains take a round for each step."""
-    step = edges.select("src", "tgt").union(edges.select("tgt", "src")).distinct().toDF("at", "node")
-    level, n = cut(roots.select("root", F.col("root").alias("node")).distinct())
-    before, out, rounds = level.limit(0), level, 0
-    while n != 0:
-        found = step.join(level.withColumnRenamed("node", "at"), "at").select("root", "node").distinct()
-        last, before = before.unionByName(level), level
-        level, n = cut(found.join(last, ["root", "node"], "left_anti"), after=n)
-        out, rounds = out.unionByName(level), rounds + 1
-        if rounds % 20 == 0:
-            out, _ = cut(out)
-    return out.distinct()
+    """root, node: everything connected to a root when directions are ignored, however far away, and the root itself."""
+    component = components.weak_components(edges)
+    of_root = roots.select("root").distinct().join(component.withColumnRenamed("node", "root"), "root")
+    return of_root.join(component, "component").select("root", "node").union(roots.select("root", F.col("root").alias("node"))).distinct()
 
 
 def layered_edges(spark, nodes: int, layers: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions.scalars import database_of
-from lodeweave.operators import graph, traverse
+from lodeweave.operators import components, graph, traverse
 from lodeweave.sources.catalog_views import SQL, Frames
 from lodeweave.sources.scratch import cut
 
@@ -248,6 +248,26 @@ def weak_component(spark, d):
     return graph.weak_component(e, _hub(e)).agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
 
+@query(""", act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y'), near AS (SELECT src AS a, tgt AS b FROM act UNION SELECT tgt, src FROM act),
+comp(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM near GROUP BY a
+  UNION SELECT c.node, min(o.component) FROM recurring.comp c JOIN near ON a = c.node JOIN comp o ON o.node = b WHERE o.component < c.component GROUP BY c.node) SELECT node, component FROM comp""")
+def weak_components(spark, d):
+    """Every column with the least column that it is connected to when directions are ignored."""
+    return components.weak_components(traverse.active(Frames(spark, d).edges))
+
+
+@query(""", act AS (SELECT DISTINCT src, tgt FROM ol_column_provenance WHERE is_active = 'Y'), leads(a, b) AS (SELECT src, tgt FROM act UNION SELECT a, tgt FROM leads JOIN act ON src = b),
+knot AS (SELECT x.a AS node, min(x.b) AS component FROM leads x JOIN leads y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+member AS (SELECT node, least(node, coalesce(component, node)) AS component FROM (SELECT src AS node FROM act UNION SELECT tgt FROM act) LEFT JOIN knot USING (node)),
+step AS (SELECT DISTINCT s.component AS s, t.component AS t FROM act JOIN member s ON s.node = src JOIN member t ON t.node = tgt WHERE s.component <> t.component),
+lay(component, layer) USING KEY (component) AS (SELECT DISTINCT component, 0 FROM member
+  UNION SELECT t, max(l.layer) + 1 FROM lay l JOIN step ON s = l.component JOIN recurring.lay o ON o.component = t WHERE l.layer + 1 > o.layer GROUP BY t)
+SELECT node, component, layer FROM member JOIN lay USING (component)""")
+def component_layers(spark, d):
+    """Every column with its strong component and the longest path that leads to it, cycles counting as one node, without a bound on depth."""
+    return components.layers(traverse.active(Frames(spark, d).edges))
+
+
 @query("""SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT tgt) AS targets, min(src) AS first_source FROM (
   SELECT DISTINCT 'L' || (r // 100) || '.T.c' || (r % 100) AS src, 'L' || (r // 100 + 1) || '.T.c' || ((r % 100 + s) % 100) AS tgt FROM range(0, 900) t(r), (VALUES (0), (1)) v(s))""")
 def gen_layered_graph(spark, d):

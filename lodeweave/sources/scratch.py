@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a level that may pass through the driver as a literal relation; more are written.
 LOCAL_ROWS = 4_000
+_WRITTEN: dict[int, tuple[str, DataFrame]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,4 +39,15 @@ def cut(df: DataFrame, *, after: int | None = 0) -> tuple[DataFrame, int | None]
     path = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (path, out)
     return out, (out.count() if large else None)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames, if it did; nothing may read them any more."""
+    for df in frames:
+        path, _ = _WRITTEN.pop(id(df), (None, None))
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
