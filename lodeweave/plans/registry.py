@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodeweave.plans import catalog, etl, exports, extraction, graph, provenance, scalars
+from lodeweave.plans import catalog, etl, exports, extraction, graph, provenance, scalars, upkeep
 
-MODULES = (provenance, catalog, graph, scalars, etl, extraction, exports)
+MODULES = (provenance, catalog, graph, scalars, etl, extraction, exports, upkeep)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
