@@ -70,13 +70,17 @@ class Provenance:
         self.tables = tables
 
     def field(self, dataset: str, field: str, direction: str = "both", max_depth: int = 5) -> DataFrame:
-        return traverse.field_provenance(self.tables.edges, dataset, field, direction, max_depth)
+        return traverse.field_provenance(self.tables.edges, dataset, field, direction, max_depth, getattr(self.tables, "edges_by_target", None) if direction != "downstream" else None)
+
+    def _edges(self, way: str) -> DataFrame:
+        """Active edges, in buckets of the end that steps of the direction start from, where the tables have them."""
+        return traverse.active(self.tables.edges_by_target if way == "upstream" and hasattr(type(self.tables), "edges_by_target") else self.tables.edges)
 
     def table(self, dataset: str, direction: str = "both", max_depth: int = 3) -> DataFrame:
         """All fields of a table in one traversal for each direction."""
-        e = traverse.active(self.tables.edges)
         out = None
         for way in ("upstream", "downstream") if direction == "both" else (direction,):
+            e = self._edges(way)
             end, node = ("source_dataset", "src") if way == "downstream" else ("target_dataset", "tgt")
             roots = e.filter(F.col(end) == dataset).select(F.col(node).alias("root")).distinct()
             found = traverse.edges_of(traverse.walk(e, roots, direction=way, max_depth=max_depth)).withColumn("direction", F.lit(way))
@@ -101,7 +105,7 @@ class Provenance:
         return e.sparkSession.createDataFrame([(node,)], "root string")
 
     def _reach(self, node: str, way: str, max_depth: int) -> DataFrame:
-        e = traverse.active(self.tables.edges)
+        e = self._edges(way)
         return traverse.reach(e, self._root(e, node), direction=way, max_depth=max_depth)
 
 

@@ -44,9 +44,9 @@ def cross_database(edges: DataFrame) -> DataFrame:
     return edges.groupBy(s.alias("source_database"), t.alias("target_database")).agg(F.count(F.lit(1)).alias("edges"), F.first(s != t).alias("crosses"))
 
 
-def highlight(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
-    """root, node: each root with everything upstream and downstream of it."""
-    up, down = (reach(edges, roots, direction=d, max_depth=max_depth).select("root", "node") for d in ("upstream", "downstream"))
+def highlight(edges: DataFrame, roots: DataFrame, max_depth: int = 10, by_target: DataFrame | None = None) -> DataFrame:
+    """root, node: each root with everything upstream and downstream of it. ``by_target``: the same edges in buckets of their target."""
+    up, down = (reach(e, roots, direction=d, max_depth=max_depth).select("root", "node") for d, e in (("upstream", edges if by_target is None else by_target), ("downstream", edges)))
     return up.union(down).union(roots.select("root", F.col("root").alias("node"))).distinct()
 
 

@@ -4,7 +4,7 @@
 (never uses an edge again, so the edge that closes a cycle counts). ``reach`` finds nodes with their least depth by a
 breadth-first search that drops visited nodes, so diamonds don't multiply paths. In both, each level's plan is cut: a
 frontier counted to be small becomes a literal relation that Spark broadcasts, a larger one a written table that Spark
-joins as its size asks.
+joins as its size asks. Edges that lie in buckets of the end that a step starts from are not moved by any level.
 """
 
 from __future__ import annotations
@@ -67,11 +67,12 @@ def reach(edges: DataFrame, roots: DataFrame, *, direction: str = "downstream",
     return seen.filter("depth > 0")
 
 
-def field_provenance(edges: DataFrame, dataset: str | Column, field: str | Column, direction: str = "both", max_depth: int = 5) -> DataFrame:
-    """direction, root and distinct edges with depth of a field's provenance; the field's name in any case of letters."""
-    e = active(edges)
+def field_provenance(edges: DataFrame, dataset: str | Column, field: str | Column, direction: str = "both", max_depth: int = 5, by_target: DataFrame | None = None) -> DataFrame:
+    """direction, root and distinct edges with depth of a field's provenance; the field's name in any case of letters. ``by_target``: the
+    same edges in buckets of their target, for steps upstream."""
     out = None
     for way in ("upstream", "downstream") if direction == "both" else (direction,):
+        e = active(edges if way == "downstream" or by_target is None else by_target)
         d, f, node = ("source_dataset", "source_field", "src") if way == "downstream" else ("target_dataset", "target_field", "tgt")
         roots = e.filter((F.col(d) == dataset) & (F.upper(f) == F.upper(F.lit(field) if isinstance(field, str) else field))).select(F.col(node).alias("root")).distinct()
         found = edges_of(walk(e, roots, direction=way, max_depth=max_depth)).withColumn("direction", F.lit(way))

@@ -30,6 +30,11 @@ def query(oracle: str | None = None):
     return add
 
 
+def _active(spark: SparkSession, d: str, way: str = "downstream") -> DataFrame:
+    """Active edges, in buckets of the end that steps of the direction start from."""
+    return traverse.active(Frames(spark, d).toward(way))
+
+
 def busiest(edges: DataFrame, end: str) -> DataFrame:
     top = edges.groupBy(F.col(end).alias("root")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "root").limit(1)
     return cut(top.select("root"))[0]
@@ -51,7 +56,7 @@ _EDGES = "root, source_dataset, source_field, target_dataset, target_field, tran
 
 
 def _edge_set(spark: SparkSession, d: str, way: str, rule: str = "node") -> DataFrame:
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d, way)
     found = traverse.edges_of(traverse.walk(e, busiest(e, TOP[way][0]), direction=way, max_depth=DEPTH, rule=rule))
     return found.select("root", "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "depth")
 
@@ -76,9 +81,9 @@ def _hub(e: DataFrame) -> DataFrame:
 
 
 def _both(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     root = _hub(e)
-    return root, {w: traverse.edges_of(traverse.walk(e, root, direction=w, max_depth=DEPTH)) for w in ("upstream", "downstream")}
+    return root, {w: traverse.edges_of(traverse.walk(_active(spark, d, w), root, direction=w, max_depth=DEPTH)) for w in ("upstream", "downstream")}
 
 
 @query(_BOTH + f""" SELECT DISTINCT {_EDGES}, 'downstream' AS direction FROM walk_downstream UNION ALL SELECT DISTINCT {_EDGES}, 'upstream' FROM walk_upstream""")
@@ -101,7 +106,7 @@ _TABLE = "(SELECT source_dataset FROM act GROUP BY 1 ORDER BY count(*) DESC, 1 L
 @query(f", {_walk_sql('downstream', depth=3, anchor='(SELECT src FROM act WHERE source_dataset = ' + _TABLE + ')')} SELECT {_EDGES}, min(depth) AS depth FROM walk_downstream GROUP BY ALL")
 def provenance_table(spark, d):
     """All fields of the table with most edges in one traversal: each path carries its root."""
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     top = e.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_dataset").limit(1)
     roots = e.join(F.broadcast(top.select("source_dataset")), "source_dataset").select(F.col("src").alias("root")).distinct()
     found = traverse.edges_of(traverse.walk(e, roots, max_depth=3))
@@ -110,30 +115,30 @@ def provenance_table(spark, d):
 
 @query(f", {_walk_sql('downstream', rule='edge')} SELECT count(DISTINCT provenance_id) AS edges, count(*) AS row_count, max(depth) AS max_depth, count(DISTINCT tgt) AS targets FROM walk_downstream")
 def pattern_counts(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     w = traverse.walk(e, busiest(e, "src"), rule="edge", max_depth=DEPTH)
     return w.agg(F.count_distinct("provenance_id").alias("edges"), F.count(F.lit(1)).alias("row_count"), F.max("depth").alias("max_depth"), F.count_distinct("tgt").alias("targets"))
 
 
 @query(_BOTH.replace("NOT list_contains(w.path, e.tgt)", "NOT list_contains(w.path, e.provenance_id)").replace("NOT list_contains(w.path, e.src)", "NOT list_contains(w.path, e.provenance_id)").replace("list_append(w.path, e.tgt)", "list_append(w.path, e.provenance_id)").replace("list_append(w.path, e.src)", "list_append(w.path, e.provenance_id)").replace("[e.src, e.tgt]", "[e.provenance_id]").replace("[e.tgt, e.src]", "[e.provenance_id]") + " SELECT DISTINCT provenance_id FROM (SELECT provenance_id FROM walk_downstream UNION SELECT provenance_id FROM walk_upstream)")
 def pattern_bidirectional(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     root = _hub(e)
-    ways = [traverse.walk(e, root, direction=w, rule="edge", max_depth=DEPTH).select("provenance_id") for w in ("upstream", "downstream")]
+    ways = [traverse.walk(_active(spark, d, w), root, direction=w, rule="edge", max_depth=DEPTH).select("provenance_id") for w in ("upstream", "downstream")]
     return ways[0].union(ways[1]).distinct()
 
 
 @query(", " + _walk_sql("downstream", depth=3, anchor="(SELECT src FROM act)") + " SELECT depth, count(*) AS paths, count(DISTINCT provenance_id) AS edges FROM walk_downstream GROUP BY depth")
 def closure_max_depth(spark, d):
     """Every edge is an anchor: the closure to depth 3, summed by depth."""
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     w = traverse.walk(e, e.select(F.col("src").alias("root")).distinct(), max_depth=3)
     return w.groupBy("depth").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("provenance_id").alias("edges"))
 
 
 @query(", " + _walk_sql("downstream", anchor="('NOWHERE.T0.P0')") + f" SELECT {_EDGES}, depth FROM walk_downstream")
 def provenance_missing_root(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     roots = spark.createDataFrame([("NOWHERE.T0.P0",)], "root string")
     return traverse.edges_of(traverse.walk(e, roots)).select("root", "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "depth")
 
@@ -142,7 +147,7 @@ def _bench(way: str, depth: int):
     near = TOP[way][0]
 
     def run(spark, d):
-        e = traverse.active(Frames(spark, d).edges)
+        e = _active(spark, d, way)
         w = traverse.walk(e, busiest(e, near), direction=way, rule="edge", max_depth=depth)
         size = F.aggregate("path", F.lit(0), lambda a, x: a + F.length(x)) + (F.size("path") - 1) * 2
         return w.agg(F.count(F.lit(1)).alias("row_count"), F.max("depth").alias("max_depth"), F.round(F.avg(size), 4).alias("avg_path_chars"))
@@ -167,8 +172,7 @@ _UPDOWN = _DOWN + ", " + _UP.split("\n", 1)[1]
 
 
 def _reach(spark, d, way):
-    e = traverse.active(Frames(spark, d).edges)
-    return traverse.reach(e, _hub(e), direction=way)
+    return traverse.reach(_active(spark, d, way), _hub(_active(spark, d)), direction=way)
 
 
 @query(f", {_DOWN} SELECT * FROM least_down")
@@ -196,20 +200,20 @@ _HIGH = f", {_UPDOWN}, high AS (SELECT root, node FROM least_down UNION SELECT r
 
 @query(_HIGH + " SELECT root, node FROM high")
 def highlight_nodes(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
-    return graph.highlight(e, _hub(e))
+    e = _active(spark, d)
+    return graph.highlight(e, _hub(e), by_target=_active(spark, d, "upstream"))
 
 
 @query(_HIGH + " SELECT provenance_id, src, tgt FROM act WHERE src IN (SELECT node FROM high) AND tgt IN (SELECT node FROM high)")
 def highlight_edges(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
-    return graph.induced(e, graph.highlight(e, _hub(e))).select("provenance_id", "src", "tgt")
+    e = _active(spark, d)
+    return graph.induced(e, graph.highlight(e, _hub(e), by_target=_active(spark, d, "upstream"))).select("provenance_id", "src", "tgt")
 
 
 @query(_HIGH + " SELECT DISTINCT regexp_extract(node, '^(.*)\\.[^.]*$', 1) AS dataset FROM high")
 def selection_tables(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
-    return graph.highlight(e, _hub(e)).select(F.regexp_extract("node", r"^(.*)\.[^.]*$", 1).alias("dataset")).distinct()
+    e = _active(spark, d)
+    return graph.highlight(e, _hub(e), by_target=_active(spark, d, "upstream")).select(F.regexp_extract("node", r"^(.*)\.[^.]*$", 1).alias("dataset")).distinct()
 
 
 _IMPACT = f", {_DOWN}, imp AS (SELECT root, node, depth, split_part(node, '.', 1) AS database, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS impact_type, regexp_matches(split_part(node, '.', 2), '^T[0-9]*7$') AS critical FROM least_down)"
@@ -217,7 +221,7 @@ _CRITICAL = r"^T[0-9]*7$"
 
 
 def _impact(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     return graph.impact(e, _hub(e), critical=_CRITICAL)
 
 
@@ -244,7 +248,7 @@ def impact_by_database(spark, d):
 @query(""", act AS (SELECT * FROM ol_column_provenance WHERE is_active = 'Y'), both_ways AS (SELECT src, tgt FROM act UNION SELECT tgt, src FROM act),
 comp AS (SELECT n AS root, n AS node FROM """ + _BOTH_ROOT + """ AS t(n) UNION SELECT c.root, b.tgt FROM comp c JOIN both_ways b ON b.src = c.node) SELECT count(*) AS nodes, min(node) AS first_node, max(node) AS last_node FROM comp""")
 def weak_component(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     return graph.weak_component(e, _hub(e)).agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
 
@@ -253,7 +257,7 @@ comp(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM near
   UNION SELECT c.node, min(o.component) FROM recurring.comp c JOIN near ON a = c.node JOIN comp o ON o.node = b WHERE o.component < c.component GROUP BY c.node) SELECT node, component FROM comp""")
 def weak_components(spark, d):
     """Every column with the least column that it is connected to when directions are ignored."""
-    return components.weak_components(traverse.active(Frames(spark, d).edges))
+    return components.weak_components(_active(spark, d))
 
 
 @query(""", act AS (SELECT DISTINCT src, tgt FROM ol_column_provenance WHERE is_active = 'Y'), leads(a, b) AS (SELECT src, tgt FROM act UNION SELECT a, tgt FROM leads JOIN act ON src = b),
@@ -265,7 +269,7 @@ lay(component, layer) USING KEY (component) AS (SELECT DISTINCT component, 0 FRO
 SELECT node, component, layer FROM member JOIN lay USING (component)""")
 def component_layers(spark, d):
     """Every column with its strong component and the longest path that leads to it, cycles counting as one node, without a bound on depth."""
-    return components.layers(traverse.active(Frames(spark, d).edges))
+    return components.layers(_active(spark, d))
 
 
 @query("""SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT tgt) AS targets, min(src) AS first_source FROM (
@@ -313,13 +317,13 @@ UNION ALL SELECT 'single_db.FACT_' || t || '.field_0', 'single_db.FACT_' || t ||
 lay AS (SELECT n AS node, 0 AS layer FROM (SELECT src AS n FROM act GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) UNION SELECT e.tgt, l.layer + 1 FROM lay l JOIN act e ON e.src = l.node WHERE l.layer < 6)
 SELECT node, max(layer) AS layer FROM lay GROUP BY node""")
 def layer_rank(spark, d):
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     return graph.layer_rank(e, busiest(e, "src"), 6)
 
 
 @query(f""", {_walk_sql('downstream')} SELECT source_dataset AS source_table, source_field, target_dataset AS target_table, target_field, transformation_type, min(depth) AS depth FROM walk_downstream GROUP BY ALL""")
 def edge_table_depth(spark, d):
     """The table of the edges that a column feeds, each with its depth."""
-    e = traverse.active(Frames(spark, d).edges)
+    e = _active(spark, d)
     found = traverse.edges_of(traverse.walk(e, busiest(e, TOP["downstream"][0]), max_depth=DEPTH).drop("root"))
     return found.select(F.col("source_dataset").alias("source_table"), "source_field", F.col("target_dataset").alias("target_table"), "target_field", "transformation_type", "depth")

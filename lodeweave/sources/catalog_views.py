@@ -6,11 +6,15 @@ expressions for the checks.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import ids
 from lodeweave.functions.scalars import SCALED, SIZED, TYPE_NAMES, type_name
+from lodeweave.sources.scratch import shared_folder
 from lodeweave.sources.statement_shapes import SHAPES
 
 #: Order in which sample fields take type codes; then an unknown code and null.
@@ -82,8 +86,39 @@ class Frames:
 
     @property
     def edges(self) -> DataFrame:
-        """Column provenance: consecutive line items of an order. Kept by Spark's cache, as each traversal level reads it; dealt by id
-        into spark.sql.shuffle.partitions parts, since the kept plan's last exchange may have been merged into a few."""
+        """Column provenance: consecutive line items of an order. A table in buckets of the source, sorted in each, so what joins or counts
+        edges by their source leaves them where they are."""
+        return self._bucketed("src")
+
+    @property
+    def edges_by_target(self) -> DataFrame:
+        """The same edges in buckets of the target, for steps upstream."""
+        return self._bucketed("tgt")
+
+    def toward(self, direction: str) -> DataFrame:
+        return self.edges if direction == "downstream" else self.edges_by_target
+
+    def _bucketed(self, key: str) -> DataFrame:
+        """The table, which the first query of the session over this folder writes into the shared folder."""
+        name = f"edges_{key}_{hashlib.md5(self.dir.encode()).hexdigest()[:12]}"
+        if not self.spark.catalog.tableExists(name):
+            rows = self._edges() if key == "src" else self.edges
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
+    def release(self) -> None:
+        """Delete the bucketed tables of this folder; a later query writes them anew."""
+        for key in ("src", "tgt"):
+            name = f"edges_{key}_{hashlib.md5(self.dir.encode()).hexdigest()[:12]}"
+            if self.spark.catalog.tableExists(name):
+                path = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()["data_type"]
+                self.spark.sql(f"DROP TABLE {name}")
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _edges(self) -> DataFrame:
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
         cols = ["l_suppkey", "l_partkey"]
         li = self.table("lineitem").select("l_orderkey", "l_linenumber", *cols, "l_returnflag", "l_linestatus", "l_discount")
@@ -100,7 +135,7 @@ class Frames:
         out = out.withColumn("src", ids.node_id(F.col("source_dataset"), F.col("source_field"))).withColumn("tgt", ids.node_id(F.col("target_dataset"), F.col("target_field")))
         return out.select(
             ids.provenance_id(F.col("src"), F.col("tgt")).alias("provenance_id"), "source_dataset", "source_field", "target_dataset", "target_field", "transformation_type", "confidence_score", "is_active", "src", "tgt",
-        ).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "provenance_id").cache()
+        )
 
     @property
     def log(self) -> DataFrame:

@@ -212,3 +212,26 @@ def test_calls_of_the_catalog(spark):
     assert ("downstream", edge["provenance_id"]) in field and field <= table
     assert edge["provenance_id"] in {r["provenance_id"] for r in paths.database(edge["source_dataset"].split(".")[0]).collect()}
     assert [(r["src"], r["tgt"]) for r in api.statement_edges(spark, "INSERT INTO t (a) SELECT x FROM u", "db").collect()] == [("db.u.x", "db.t.a")]
+
+
+@pytest.mark.parametrize("way, key", [("downstream", "src"), ("upstream", "tgt")])
+def test_levels_of_a_walk_do_not_move_the_edges(spark, way, key):
+    """With a level too large to be broadcast, only the level is shuffled: the bucketed edges are read where they lie."""
+    from lodeweave.sources.catalog_views import Frames
+    from lodeweave.sources.scratch import cut
+
+    frames = Frames(spark, SF_DIR)
+    edges = traverse.active(frames.toward(way))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        level, _ = cut(edges.select(F.col(key).alias("at")), after=None)
+        joined = edges.join(level, F.col(key) == F.col("at"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(at" in plan and "Bucketed: true" in plan
+    frames.release()
+    assert frames.toward(way).count() > 0  # written anew
