@@ -4,8 +4,9 @@ A word that the training texts have often is scored by its log frequency in each
 to its character n-grams, longest first: the n-grams of the longest length of which any is known score it, by the
 mean of their log frequencies. A text is scored by the sum over its words; the softmax of the sums gives the score.
 
-The model is counted over a bounded sample of labelled texts; words and n-grams are kept by count up to a fixed
-number for each length, so the tables that tasks get do not grow with the input.
+The model is counted over a bounded sample of the labelled texts of each language, and the words and n-grams of each length
+that a language has most often are kept up to a number for each language. So the tables that tasks get do not grow with the
+input, and a language that few texts have is learned from all of them, whatever else there is.
 """
 
 from __future__ import annotations
@@ -15,16 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import hash_sample, place_of, table
+from lodeweave.llm.shared import Scratch, place_of, table
 from lodeweave.llm.textscan import mix
 
-SAMPLE = 12_000  # labelled texts to learn from, at most: those of least hash
+SAMPLE = 4_000  # labelled texts of a language to learn from, about, where it has more: those of least hash
 LONGEST = 4
-MOST_WORDS, MOST_GRAMS = 40_000, 40_000
-MIN_COUNT = 2
+MOST_WORDS, MOST_GRAMS = 20_000, 20_000  # of a language; n-grams: of each length
 UNKNOWN = "und"
 CHUNK_CHARS = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -87,19 +87,13 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
 
 
 class Table:
-    """Log frequencies by language of the most frequent keys, add-one smoothed; looked up by hash."""
-
-    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int, most: int):
-        known, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, counts, len(known))
-        keep = np.flatnonzero(total >= MIN_COUNT)
-        keep = np.sort(keep[np.lexsort((known[keep], -total[keep]))[:most]])
-        self.keys = known[keep]
-        place = np.full(len(known), -1)
-        place[keep] = np.arange(len(keep))
-        by, kept = np.zeros((len(keep), n_langs)), place[at] >= 0  # of the kept keys alone, however many languages there are
-        np.add.at(by, (place[at[kept]], langs[kept]), counts[kept])
-        self.logs = np.log((by + 0.5) / (np.bincount(langs, counts, n_langs) + 0.5 * (len(keep) + 1))).astype(np.float32)
+    """Log frequencies of keys by language, add-one smoothed; looked up by hash. ``totals``: of each language, all its keys."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+        self.keys, at = np.unique(keys, return_inverse=True)
+        by = np.zeros((len(self.keys), len(totals)))
+        np.add.at(by, (at, langs), counts)
+        self.logs = np.log((by + 0.5) / (totals + 0.5 * (len(self.keys) + 1))).astype(np.float32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is known, and its row."""
@@ -159,32 +153,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = w.hashes(w.starts[mine], w.ends[mine]) if n == 0 else w.grams(mine, n)[1]
                     keys, counts = np.unique(h, return_counts=True)
                     m = len(keys)
-                    yield pa.record_batch([pa.array(np.full(m, n, np.int32)), pa.array(keys.view(np.int64)), pa.array([lang] * m), pa.array(counts)], ["kind", "key", "lang", "n"])
+                    yield pa.record_batch([pa.array(np.full(m, n, np.int32)), pa.array(keys.view(np.int64)), pa.array([lang] * m, pa.string()), pa.array(counts, pa.int64())], ["kind", "key", "lang", "n"])
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
     t = pa.concat_tables([schema.empty_table(), *(pa.Table.from_batches([b]).cast(schema) for b in batches)])
     langs = sorted(set(t.column("lang").to_pylist()))
     number = np.searchsorted(np.array(langs), np.array(t.column("lang").to_pylist(), str)) if langs else np.zeros(0, np.int64)
-    kind, key, n = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    kind, key, n, total = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy(), t.column("total").to_numpy()
     tables = []
     for k in range(LONGEST + 1):
-        m = kind == k
-        tables.append(Table(key[m], number[m], n[m], len(langs), MOST_GRAMS if k else MOST_WORDS))
+        m, totals = kind == k, np.zeros(len(langs))
+        totals[number[m]] = total[m]
+        tables.append(Table(key[m], number[m], n[m], totals))
     yield pa.record_batch([pa.array([pickle.dumps((langs, tables))], pa.binary())], ["model"])
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` rows with a text and a language: those of least hash of ``key``."""
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """text, lang of about ``sample`` rows of each language, or all of one that has fewer: those of least hash ``key``. Rows that repeat a
+    text under one key count once."""
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(sample) / F.col("n"))
+    kept = rows.join(F.broadcast(counts), "lang").filter(F.pmod("key", F.lit(1 << 31)) < share * (1 << 31))  # one row for each language
+    return kept.groupBy("lang", "key", F.xxhash64("text").alias("of")).agg(F.first("text").alias("text")).select("text", "lang")
+
+
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample: int = SAMPLE, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+    """A model of the rows with a text and a language: of about ``sample`` of each language, and of ``most_words`` and ``most_grams`` keys of
+    each that it has most often, ties by hash. What one language keeps is counted in all. The number of languages is taken to be that
+    of names of languages: a few thousand at most."""
     key = F.xxhash64(text_col) if key is None else key
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = hash_sample(rows, F.col("key"), sample).select("text", "lang").mapInArrow(_count, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    counts = counts.filter(F.col("n") >= MIN_COUNT)
-    found = counts.repartition(1).mapInArrow(_build, "model binary").first()
+    counts = sampled(rows, sample).select("text", "lang").mapInArrow(_count, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    counts = Scratch(labelled.sparkSession).save(counts, narrow=True)
+    often = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key"))
+    kept = counts.withColumn("_rank", often).filter(F.col("_rank") <= F.when(F.col("kind") == 0, most_words).otherwise(most_grams)).select("kind", "key").distinct()
+    totals = counts.groupBy("kind", "lang").agg(F.sum("n").alias("total"))
+    model = counts.join(kept, ["kind", "key"]).join(F.broadcast(totals), ["kind", "lang"]).select("kind", "key", "lang", "n", "total")
+    found = model.repartition(1).mapInArrow(_build, "model binary").first()
     if found is None:  # nothing to learn from
         none = np.zeros(0, np.int64)
-        return Model([], *(lambda t: (t, [t] * LONGEST))(Table(none.view(np.uint64), none, none, 0, MOST_WORDS)))
+        return Model([], *(lambda t: (t, [t] * LONGEST))(Table(none.view(np.uint64), none, none, np.zeros(0))))
     langs, tables = pickle.loads(found["model"])
     return Model(langs, tables[0], tables[1:])
 
@@ -208,7 +218,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     no texts calls everything ``und``. A text's other columns are never looked at.
     """
     packed = pickle.dumps((model.langs, model.words, model.grams))
-    shared = docs.sparkSession.sparkContext.broadcast(packed)  # of bounded size: MOST_WORDS and MOST_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(packed)  # of bounded size: most_words and most_grams of each language
     own = docs.drop("lang_pred", "lang_score")
     at = place_of(own, text_col)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)

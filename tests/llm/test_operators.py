@@ -189,6 +189,21 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in out.collect())
 
 
+def test_rare_language_is_learned_beside_large_ones(spark):
+    """3,000 texts of two large languages, 4 of a rare one: bounds are those of each language, so the rare one keeps all its words."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n)] for lang, letters, n in (("big", "abcdefgh", 900), ("large", "ijklmnop", 900), ("rare", "qrstuvwx", 60))}
+    text = lambda lang: " ".join(rng.choice(vocabulary[lang]) for _ in range(30))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["big", "large"] * 1500 + ["rare"] * 4)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(labelled, key=F.xxhash64("doc_id"), sample=200, most_words=300, most_grams=300)
+    asked = [(lang, text(lang)) for lang in vocabulary for _ in range(50)]
+    got = language.identify(spark.createDataFrame(asked, "lang string, text string"), model).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_language_of_odd_rows(spark, odd):
     model = language.train(odd)
     got = language.identify(odd, model).collect()
