@@ -88,6 +88,14 @@ def first_of_each(edges: DataFrame) -> DataFrame:
     return edges.groupBy("provenance_id").agg(F.min_by(F.struct(*rest), F.struct("start_time", "query_id", "kind")).alias("r")).select("provenance_id", "r.*")
 
 
+def joined_texts(headers: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """``headers`` with segments (their number) and sql_text: the pieces of ``segments`` (keys, row_no, piece) in order. A text is put
+    together before the join, so a header meets one row; headers without segments fall out."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "piece"))), lambda x: x["piece"]), "")
+    texts = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("segments"), whole.alias("sql_text"))
+    return headers.join(texts, keys)
+
+
 def eligible(log: DataFrame, since: str | None = None, statements: tuple[str, ...] = STATEMENTS) -> DataFrame:
     """Statements to read: of the given types, without error, first text segment, after ``since``."""
     out = log.filter(F.col("statement_type").isin(*statements) & (F.col("error_code") == 0) & (F.col("sql_row_no") == 1))

@@ -183,11 +183,12 @@ def _entry(source: Column, database: Column, path: Column, ctes: Column) -> Colu
     return F.when(name != "", let(bare(name), of))
 
 
-def _read(texts: DataFrame, plain: Column) -> DataFrame:
+def _read(texts: DataFrame, plain: Column) -> tuple[DataFrame, int | None]:
     """One row for each SELECT of each statement: key, target, wanted (the target's columns, for the root), scope, branch, items,
-    entries, conds. ``texts``: key, db and what ``plain`` reads. A statement without any has one row with a null scope."""
+    entries, conds; and the number of statements, if it is not large. ``texts``: key, db and what ``plain`` reads. A statement without any
+    has one row with a null scope."""
     t = texts.select("key", "db", flattened(F.translate(plain, MARKS, "")).alias("f")).select("key", "db", F.col("f.text").alias("t"), F.col("f.scopes").alias("scopes"))
-    t, _ = cut(t)  # read by each kind of statement
+    t, n = cut(t)  # read by each kind of statement
     part = lambda pattern, k: F.regexp_extract("t", pattern, k)
     target = part(_ANY_TARGET, 1)
     makes = F.when(F.col("t").rlike(_INSERT), F.struct(part(_INSERT, 2).alias("cols"), part(_INSERT, 3).alias("body"))).when(F.col("t").rlike(_CREATE), F.struct(part(_CREATE, 2).alias("cols"), part(_CREATE, 3).alias("body")))
@@ -233,7 +234,7 @@ def _read(texts: DataFrame, plain: Column) -> DataFrame:
     on = F.transform(F.filter("entries", lambda e: e["on"] != ""), lambda e: F.struct(F.lit("JOIN").alias("kind"), e["on"].alias("expr")))
     rows = rows.withColumn("conds", F.concat("conds", on)).select("key", "target", "scope", "branch", "direct", "path", "named", "items", "entries", "conds")
     none = t.select("key", "target").withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns[2:]})
-    return rows.unionByName(none)
+    return rows.unionByName(none), n
 
 
 def _star(expr: Column) -> Column:
@@ -263,15 +264,15 @@ def _outputs(rows: DataFrame) -> DataFrame:
     return first.select("key", F.col("scope").alias("at"), names.alias("cols"))
 
 
-def _with_columns(rows: DataFrame, fields: DataFrame | None) -> DataFrame:
-    """``rows`` with no and cols (null: unknown) in each entry. Scopes with stars over other scopes take a round for each level."""
+def _with_columns(rows: DataFrame, fields: DataFrame | None, size: int | None) -> DataFrame:
+    """``rows``, about ``size``, with no and cols (null: unknown) in each entry. Scopes with stars over other scopes take a round for each level."""
     flat = rows.select("key", "scope", "branch", F.posexplode("entries").alias("no", "e"))
     if fields is not None:
         tables = fields.groupBy(F.lower("name").alias("table")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal_position", "field_name"))), lambda x: x["field_name"]).alias("cols"))
         flat = flat.join(tables, F.lower("e.name") == F.col("table"), "left").drop("table")
     else:
         flat = flat.withColumn("cols", F.lit(None).cast(_STRINGS))
-    flat, _ = cut(flat)
+    flat, _ = cut(flat, after=size)
     waiting = F.exists("items", lambda i: _star(i["expr"]))
     plain = rows.filter("branch = 0 and scope >= 0").filter(~waiting)
     known = plain.select("key", F.col("scope").alias("at"), F.transform("items", lambda i, k: F.coalesce(F.get(F.col("named"), k), i["target"])).alias("cols"))
@@ -321,7 +322,7 @@ def _resolved(ref: Column, entries: Column, outer: Column) -> Column:
     return F.when(parts == 1, let(single, of)).when(parts == 2, let(by_alias, of)).otherwise(whole)
 
 
-def _edges(rows: DataFrame) -> DataFrame:
+def _edges(rows: DataFrame, size: int | None) -> DataFrame:
     """key, target, at (scope), place (of the column there; null: all of the target), column (its name, for the root), kind, and the source:
     name and source_column of a table, or from_scope and from_place (null: all). Unresolved references have no source."""
     around = rows.filter("scope is not null").select("key", "scope", F.posexplode(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))).alias("far", "outer_scope"))
@@ -338,6 +339,7 @@ def _edges(rows: DataFrame) -> DataFrame:
     ))
     conds = F.transform("conds", lambda c: F.struct(F.lit(None).cast("int").alias("place"), F.lit("*").alias("column"), c["expr"].alias("expr"), F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("from"), F.lit(False).alias("open"), c["kind"].alias("kind")))
     r = r.select("key", "target", "scope", "entries", "outer", F.explode(F.concat(value, conds)).alias("x")).filter(~F.col("x.open"))
+    r, _ = cut(r, after=size)  # read for stars, for names and for scopes
     starred = r.filter("x.entry is not null").withColumn("e", F.get("entries", F.col("x.entry")))
     found = F.struct(F.col("e.name").alias("name"), F.col("e.scope").alias("scope"), F.col("x.from").alias("place"), F.get("e.cols", F.col("x.from")).alias("column"))
     named = r.filter("x.entry is null").select("*", F.explode(_refs(F.col("x.expr"))).alias("ref")).withColumn("found", _resolved(F.col("ref"), F.col("entries"), F.col("outer")))
@@ -385,9 +387,10 @@ def provenance(texts: DataFrame, plain: Column, fields: DataFrame | None = None)
     one owner; sources are the tables that are read. ``fields``: name (database.table), field_name and ordinal_position of the
     catalog, in any case of letters.
     """
-    rows, _ = cut(_read(texts, plain))
-    rows, _ = cut(_with_columns(rows, fields))
-    edges, _ = cut(_edges(rows))
+    found, n = _read(texts, plain)
+    rows, n = cut(found, after=None if n is None else 2 * n)  # a statement has a row or more, and a row an edge or more
+    rows, _ = cut(_with_columns(rows, fields, n), after=n)
+    edges, _ = cut(_edges(rows, n), after=None if n is None else 2 * n)
     found = _contracted(edges)
     value = ~F.col("kind").isin("JOIN", "FILTER")
     known = ~F.col("lost")

@@ -21,6 +21,11 @@ def checked_query(text: str) -> str:
     return text
 
 
+def accepted_query(text: Column) -> Column:
+    """Whether a text has MIN_QUERY characters at least when trimmed; null has not."""
+    return F.coalesce(F.length(F.trim(text)) >= MIN_QUERY, F.lit(False))
+
+
 def add_missing(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``known`` with the rows of ``new`` whose keys it lacks; of rows of ``new`` with one key, one."""
     return known.unionByName(new.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti"))
@@ -60,6 +65,15 @@ def page_of(offset: int, limit: int, total: int) -> tuple[int, int, int]:
     return offset // limit + 1, pages, (pages - 1) * limit
 
 
+def page_columns(offset: Column, limit: Column, total: Column, new_limit: Column) -> list[Column]:
+    """page, pages and last_offset as ``page_of`` has them, and resized_offset: where a page of ``new_limit`` rows begins that holds the
+    first row of this one."""
+    offset, limit, total, new_limit = (c.cast("long") for c in (offset, limit, total, new_limit))
+    down = lambda a, b: F.floor(a / b).cast("long")
+    pages = F.greatest(F.lit(1).cast("long"), F.ceil(total / limit).cast("long"))
+    return [(down(offset, limit) + 1).alias("page"), pages.alias("pages"), ((pages - 1) * limit).alias("last_offset"), (down(offset, new_limit) * new_limit).alias("resized_offset")]
+
+
 def resolve(datasets: DataFrame, wanted: str) -> DataFrame:
     return datasets.filter((F.col("dataset_id") == wanted) | (F.col("name") == wanted))
 

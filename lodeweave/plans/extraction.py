@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodeweave.operators import extract
+from lodeweave.operators import extract, ingest
 from lodeweave.operators.serve import add_missing, upsert
 from lodeweave.plans.base import Registry
 from lodeweave.sources.catalog_views import Frames
@@ -65,6 +65,19 @@ def log_fetch_full(spark, d):
     return _log(spark, d).select("query_id", "statement_type", "start_time")
 
 
+@query(" SELECT query_id, statement_type, start_time FROM query_log WHERE statement_type IN ('Insert', 'Merge Into', 'Create Table', 'Update') AND error_code = 0 AND sql_row_no = 1")
+def log_fetch_four_types(spark, d):
+    """The log without views, as the older extraction read it."""
+    return extract.eligible(Frames(spark, d).log, statements=("Insert", "Merge Into", "Create Table", "Update")).select("query_id", "statement_type", "start_time")
+
+
+@query("SELECT name, name <> 'no_such_log' AS accessible, CASE name WHEN 'no_such_log' THEN 'no access to the log' ELSE 'access confirmed' END AS message FROM (SELECT 'no_such_log' AS name UNION ALL (SELECT 'events' FROM events LIMIT 1))", views=False)
+def log_access_probe(spark, d):
+    """Whether the log, and one that is not there, can be read."""
+    found = [(name, *ingest.accessible(spark, f"{d}/{name}.parquet")) for name in ("events", "no_such_log")]
+    return spark.createDataFrame(found, "name string, accessible boolean, message string").withColumn("message", F.substring_index("message", " at ", 1))
+
+
 @query(_OK + " SELECT max(start_time) AS watermark, count(*) AS statements FROM elig")
 def log_watermark(spark, d):
     """Where the next incremental run starts."""
@@ -162,19 +175,23 @@ SHAPES = [
 
 
 def _shape_sql() -> str:
-    q = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {q(status)}, {q(edges)})" for k, (_, status, edges) in enumerate(SHAPES))
-    return f"SELECT CAST(k AS BIGINT) AS shape, status, edges FROM (VALUES {rows}) AS v(k, status, edges)"
+    rows = _values(list(enumerate_shapes()))
+    return f"SELECT CAST(k AS BIGINT) AS shape, n_name AS database, status, replace(edges, 'db.', n_name || '.') AS edges FROM nation, ({rows}) AS v(k, status, edges)"
+
+
+def enumerate_shapes():
+    return ((k, status_, edges) for k, (_, status_, edges) in enumerate(SHAPES))
 
 
 @query(_shape_sql(), views=False)
 def extract_statement_shapes(spark, d):
-    """Status and edges of statements of many shapes, against edges written by hand."""
-    log = spark.createDataFrame([(k, text, "db") for k, (text, _, _) in enumerate(SHAPES)], "query_id long, sql_text string, default_database string")
+    """Status and edges of statements of many shapes in each database, against edges written by hand."""
+    texts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("shape"), F.lit(text).alias("sql_text")) for k, (text, _, _) in enumerate(SHAPES)])).alias("s")
+    log = Frames(spark, d).table("nation").select("n_nationkey", F.col("n_name").alias("default_database"), texts).select("default_database", "s.*", (F.col("n_nationkey") * len(SHAPES) + F.col("s.shape")).alias("query_id"))
     x = extract.extract_log(log.withColumn("start_time", F.lit(None).cast("timestamp")))
     edge = F.concat("src", F.lit(" > "), "tgt")
     edges = extract.edge_rows(x).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(edge)), "; ").alias("edges"))
-    return x.select("query_id", "status").join(edges, "query_id", "left").select(F.col("query_id").alias("shape"), "status", F.coalesce("edges", F.lit("")).alias("edges"))
+    return x.join(edges.withColumnRenamed("edges", "listed"), "query_id", "left").select("shape", F.col("default_database").alias("database"), "status", F.coalesce("listed", F.lit("")).alias("edges"))
 
 
 @query(_OK + """, s AS (SELECT name, rank() OVER (ORDER BY name) AS r FROM ol_dataset), e AS (SELECT name AS source, CASE WHEN r % 3 = 0 THEN 'x' ELSE '*' END AS source_column FROM s UNION ALL SELECT 'none.t', '*')
@@ -265,6 +282,25 @@ def log_statements_joined(spark, d):
     return header.join(text, ["query_id", "proc_id"]).select("query_id", "statement_type", "start_time", F.col("sql_text").isNull().alias("no_text")).orderBy("start_time", "query_id")
 
 
+# The text table of the log: texts in segments of SEGMENT characters, those of another process of the same statement beside them.
+SEGMENT = 60
+
+
+@query(_OK + _SHAPED + f""", texts AS (SELECT query_id, query_id % 3 AS proc_id, no_text, CASE WHEN event_type = 'click' THEN 'INSERT INTO stg.t' || u || ' (id, full_name, total)  SELECT s.id, s.first || '' '' || s.last AS full_name, SUM(o.amount) FROM src.c' || u || ' s JOIN src.o' || u || ' o ON s.id = o.id GROUP BY s.id;'
+  WHEN event_type = 'view' THEN 'CREATE VIEW rpt.v' || u || ' AS SELECT a.k AS k, a.v AS v FROM dim.d' || u || ' a' WHEN event_type = 'purchase' THEN 'MERGE INTO dim.m' || u || ' USING stg.t' || u || ' s ON s.id = m.id WHEN MATCHED THEN UPDATE SET total = s.total'
+  WHEN event_type = 'signup' THEN 'UPDATE dim.m' || u || ' FROM stg.t' || u || ' s SET name = s.full_name' ELSE replace(text, '{{u}}', CAST(u AS VARCHAR)) END AS t FROM elig LEFT JOIN shape_results USING (shape))
+SELECT query_id, proc_id, CAST(ceil(length(t) / {SEGMENT}.0) AS BIGINT) AS segments, t AS sql_text FROM texts WHERE NOT no_text""")
+def log_segments_joined(spark, d):
+    """Headers of the log with their texts put together from the segments of the text table, by query and process: statements without
+    segments fall out, and those of another process of the same statement are not theirs."""
+    log = _log(spark, d)
+    header = log.select("query_id", (F.col("query_id") % 3).alias("proc_id"))
+    pieces = F.regexp_extract_all("sql_text", F.lit(f"(?s).{{1,{SEGMENT}}}"), 0)
+    stored = log.select("query_id", F.explode(F.array(F.struct((F.col("query_id") % 3).alias("proc_id"), F.col("sql_text").alias("sql_text")), F.struct((F.col("query_id") % 3 + 1).alias("proc_id"), F.lit("SELECT 'of another process'").alias("sql_text")))).alias("p"))
+    text = stored.select("query_id", "p.*").select("query_id", "proc_id", F.posexplode(pieces).alias("row_no", "piece"))
+    return extract.joined_texts(header, text, ["query_id", "proc_id"])
+
+
 @query(_OK + f""", w AS (SELECT statement_type, max(start_time) FILTER (WHERE start_time <= TIMESTAMP '{SINCE}') AS old, max(start_time) FILTER (WHERE start_time > TIMESTAMP '{SINCE}') AS new FROM elig GROUP BY 1)
 SELECT statement_type AS source_name, coalesce(new, old) AS watermark FROM w""")
 def log_watermark_upsert(spark, d):

@@ -272,44 +272,53 @@ def component_layers(spark, d):
     return components.layers(_active(spark, d))
 
 
-@query("""SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT tgt) AS targets, min(src) AS first_source FROM (
-  SELECT DISTINCT 'L' || (r // 100) || '.T.c' || (r % 100) AS src, 'L' || (r // 100 + 1) || '.T.c' || ((r % 100 + s) % 100) AS tgt FROM range(0, 900) t(r), (VALUES (0), (1)) v(s))""")
-def gen_layered_graph(spark, d):
-    g = graph.layered_edges(spark, 1000, 10)
-    return g.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("tgt").alias("targets"), F.min("src").alias("first_source"))
+# Generated graphs are as large as the sample's tables: as many columns as there are parts, as broad as there are suppliers.
+
 
+def _rows(spark: SparkSession, d: str, name: str) -> int:
+    return Frames(spark, d).table(name).count()
 
-ORACLES["gen_layered_graph"] = ORACLES["gen_layered_graph"].split(SQL.strip())[1]
+
+def gen_layered_graph(spark, d):
+    """Ten layers of columns, each feeding its counterpart and its neighbour in the next."""
+    g = graph.layered_edges(spark, _rows(spark, d, "part"), 10)
+    return g.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("tgt").alias("targets"), F.min("src").alias("first_source"))
 
 
-def _layers_sql(node: str, width: str, second: str, second_type: str, per: int, name: str) -> str:
-    """Edges of the nodes (layer, i): one for each of two hops, the second under a condition."""
-    full = f"'{name}_' || (({{0}}) * {per} + {{1}}) || '.col_' || ({{0}}) || '_' || {{1}}"
+def _layers_sql(sizes: str, nodes: str, width: str, second: str, second_type: str, name: str) -> str:
+    """Edges of the nodes (layer, i): one for each of two hops, the second under a condition. ``sizes``: nodes and per (columns in a layer)."""
+    full = f"'{name}_' || (({{0}}) * per + {{1}}) || '.col_' || ({{0}}) || '_' || {{1}}"
     kind = "CASE i % 4 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'DERIVED' WHEN 2 THEN 'AGGREGATED' ELSE 'JOINED' END"
-    return f"""WITH n AS ({node}), w AS (SELECT *, {width} AS width FROM n), h AS (SELECT layer, i, i % width AS j, {kind} AS transformation_type FROM w WHERE width > 0
-UNION ALL SELECT layer, i, (i + 1) % width, '{second_type}' FROM w WHERE width > 0 AND {second})
+    return f"""WITH sizes AS ({sizes}), n AS (SELECT r // per AS layer, r % per AS i, per, nodes FROM sizes, range(0, (SELECT {nodes} FROM sizes)) t(r)), w AS (SELECT *, {width} AS width FROM n),
+h AS (SELECT layer, i, per, i % width AS j, {kind} AS transformation_type FROM w WHERE width > 0 UNION ALL SELECT layer, i, per, (i + 1) % width, '{second_type}' FROM w WHERE width > 0 AND {second})
 SELECT {full.format('layer', 'i')} AS src, {full.format('layer + 1', 'j')} AS tgt, transformation_type FROM h"""
 
 
 def gen_square_graph(spark, d):
-    """A thousand columns in about as many layers as columns in a layer."""
-    return graph.square_edges(spark, 1000)
+    """As many columns as there are parts, in about as many layers as columns in a layer."""
+    return graph.square_edges(spark, _rows(spark, d, "part"))
 
 
 def gen_depth_breadth_graph(spark, d):
-    return graph.depth_breadth_edges(spark, 20, 15)
+    """Twenty layers, each as broad as there are suppliers."""
+    return graph.depth_breadth_edges(spark, 20, _rows(spark, d, "supplier"))
 
 
 def gen_single_database_graph(spark, d):
-    return graph.single_database_edges(spark, 498)
+    """A chain of tables of five columns, as many columns as there are parts."""
+    return graph.single_database_edges(spark, _rows(spark, d, "part"))
 
 
-QUERIES |= {f.__name__: f for f in (gen_square_graph, gen_depth_breadth_graph, gen_single_database_graph)}
+_SQUARE = "SELECT nodes, greatest(1, CAST(ceil(nodes / greatest(2, CAST(floor(sqrt(nodes)) AS BIGINT))) AS BIGINT)) AS per FROM (SELECT count(*) AS nodes FROM part)"
+_TABLES = "range(0, (SELECT greatest(0, CAST(ceil(count(*) / 5.0) AS BIGINT) - 1) FROM part)) r(t)"
+QUERIES |= {f.__name__: f for f in (gen_layered_graph, gen_square_graph, gen_depth_breadth_graph, gen_single_database_graph)}
 ORACLES |= {
-    "gen_square_graph": _layers_sql("SELECT r // 33 AS layer, r % 33 AS i FROM range(0, 1000) t(r)", "least(33, 1000 - (layer + 1) * 33)", "i % 3 = 0 AND width > 1", "DERIVED", 33, "benchmark_db.TABLE"),
-    "gen_depth_breadth_graph": _layers_sql("SELECT r // 15 AS layer, r % 15 AS i FROM range(0, 285) t(r)", "15", "i > 0 AND i % 2 = 0", "JOINED", 15, "layered_db.TBL"),
-    "gen_single_database_graph": """SELECT 'single_db.FACT_' || t || '.field_0' AS src, 'single_db.FACT_' || (t + 1) || '.field_0' AS tgt, CASE t % 3 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'DERIVED' ELSE 'AGGREGATED' END AS transformation_type FROM range(0, 99) r(t)
-UNION ALL SELECT 'single_db.FACT_' || t || '.field_0', 'single_db.FACT_' || t || '.field_1', 'DERIVED' FROM range(0, 99) r(t)""",
+    "gen_layered_graph": """WITH p AS (SELECT greatest(1, count(*) // 10) AS per FROM part) SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT tgt) AS targets, min(src) AS first_source FROM (
+  SELECT DISTINCT 'L' || (r // per) || '.T.c' || (r % per) AS src, 'L' || (r // per + 1) || '.T.c' || ((r % per + s) % per) AS tgt FROM p, range(0, (SELECT 9 * per FROM p)) t(r), (VALUES (0), (1)) v(s))""",
+    "gen_square_graph": _layers_sql(_SQUARE, "nodes", "least(per, nodes - (layer + 1) * per)", "i % 3 = 0 AND width > 1", "DERIVED", "benchmark_db.TABLE"),
+    "gen_depth_breadth_graph": _layers_sql("SELECT count(*) AS per, 20 * count(*) AS nodes FROM supplier", "19 * per", "per", "i > 0 AND i % 2 = 0", "JOINED", "layered_db.TBL"),
+    "gen_single_database_graph": f"""SELECT 'single_db.FACT_' || t || '.field_0' AS src, 'single_db.FACT_' || (t + 1) || '.field_0' AS tgt, CASE t % 3 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'DERIVED' ELSE 'AGGREGATED' END AS transformation_type FROM {_TABLES}
+UNION ALL SELECT 'single_db.FACT_' || t || '.field_0', 'single_db.FACT_' || t || '.field_1', 'DERIVED' FROM {_TABLES}""",
 }
 
 

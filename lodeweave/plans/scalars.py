@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import ids
 from lodeweave.functions import scalars as S
+from lodeweave.operators import serve
 from lodeweave.plans.base import Registry
 from lodeweave.sources import fixtures
 from lodeweave.sources.catalog_views import Frames
@@ -116,13 +117,52 @@ def scalar_clean_sql(spark, d):
     return Frames(spark, d).table("documents").select("doc_id", S.clean_sql(F.col("text")).alias("cleaned"))
 
 
+def _mappings(spark, d):
+    return fixtures.mappings(Frames(spark, d).table("nation").select(F.col("n_name").alias("database")))
+
+
 @query(fixtures.MAPPING_SQL, views=False)
 def fixture_provenance(spark, d):
-    """The source-to-report mappings, with their paths split and ids."""
-    return fixtures.mappings(spark, "demo")
+    """The source-to-report mappings of each database, with their paths and ids."""
+    return _mappings(spark, d)
 
 
 @query(f"SELECT transformation_type, split_part(source_path, '.', 2) AS source_table, count(*) AS edges FROM ({fixtures.MAPPING_SQL}) GROUP BY ALL", views=False)
 def fixture_breakdown(spark, d):
-    m = fixtures.mappings(spark, "demo")
-    return m.groupBy("transformation_type", F.split("source_path", r"\.")[1].alias("source_table")).agg(F.count(F.lit(1)).alias("edges"))
+    return _mappings(spark, d).groupBy("transformation_type", F.split("source_path", r"\.")[1].alias("source_table")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+_BUCKETS = "CASE WHEN split_part(source_dataset, '.', 1) = split_part(target_dataset, '.', 1) THEN 'one database' WHEN source_field = target_field THEN 'same field' WHEN transformation_type LIKE 'AGG%' THEN 'aggregates' WHEN source_dataset LIKE '%1' THEN 'from a first table' ELSE 'other' END"
+
+
+@query(f" SELECT {_BUCKETS} AS bucket, count(*) AS edges FROM ol_column_provenance GROUP BY 1 ORDER BY 1")
+def edge_buckets(spark, d):
+    """Edges by the first of several conditions that they meet."""
+    e, db = Frames(spark, d).edges, lambda c: F.substring_index(c, ".", 1)
+    bucket = F.when(db("source_dataset") == db("target_dataset"), "one database").when(F.col("source_field") == F.col("target_field"), "same field").when(F.col("transformation_type").like("AGG%"), "aggregates")
+    bucket = bucket.when(F.col("source_dataset").like("%1"), "from a first table").otherwise("other")
+    return e.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("edges")).orderBy("bucket")
+
+
+@query(" SELECT provenance_id, split_part(src, '.', 1) AS source_database, split_part(src, '.', 2) AS source_table, split_part(src, '.', 3) AS source_column, split_part(tgt, '.', 1) AS target_database, split_part(tgt, '.', 2) AS target_table, split_part(tgt, '.', 3) AS target_column FROM ol_column_provenance")
+def path_parts(spark, d):
+    """The paths of every edge, cut into database, table and column."""
+    part = lambda c, k, name: F.split(c, r"\.")[k].alias(name)
+    names = ("database", "table", "column")
+    return Frames(spark, d).edges.select("provenance_id", *[part(c, k, f"{side}_{n}") for c, side in (("src", "source"), ("tgt", "target")) for k, n in enumerate(names)])
+
+
+@query("SELECT n_nationkey, length(trim(substr('  ' || n_name, 1, CAST(n_nationkey % 5 AS INTEGER)))) >= 2 AS accepted FROM nation", views=False)
+def scalar_query_accepted(spark, d):
+    """Whether a text, with white space around it, is long enough to search for."""
+    text = F.substr(F.concat(F.lit("  "), F.col("n_name")), F.lit(1), (F.col("n_nationkey") % 5).cast("int"))
+    return Frames(spark, d).table("nation").select("n_nationkey", serve.accepted_query(text).alias("accepted"))
+
+
+@query("""SELECT o_orderkey, CAST(o // l + 1 AS BIGINT) AS page, CAST(greatest(1, ceil(t / CAST(l AS DOUBLE))) AS BIGINT) AS pages, CAST((greatest(1, ceil(t / CAST(l AS DOUBLE))) - 1) * l AS BIGINT) AS last_offset, CAST(o // (l + 7) * (l + 7) AS BIGINT) AS resized_offset
+FROM (SELECT o_orderkey, o_orderkey % 90 AS o, 5 + o_custkey % 20 AS l, o_custkey % 130 AS t FROM orders)""", views=False)
+def scalar_page_arithmetic(spark, d):
+    """Page, pages, offset of the last page, and the offset that keeps the first item when pages become larger."""
+    o = Frames(spark, d).table("orders")
+    page = serve.page_columns(F.col("o_orderkey") % 90, 5 + F.col("o_custkey") % 20, F.col("o_custkey") % 130, 12 + F.col("o_custkey") % 20)
+    return o.select("o_orderkey", *page)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave import api
 from lodeweave.functions.scalars import database_of, match_score, table_of
 from lodeweave.operators import constraints, extract, graph, trigrams
 from lodeweave.plans.base import Registry
@@ -151,3 +152,21 @@ def log_watermarks_stored(spark, d):
     merge_sink.run_incremental(spark, folder, log)
     kind = log.schema["start_time"].dataType.simpleString()
     return merge_sink.watermarks(spark, folder).select("source_name", F.col("watermark").cast(kind).alias("watermark"))
+
+
+# ---- the facade
+
+
+@query(_TOP + """, hit AS (SELECT * FROM ol_dataset WHERE contains(lower(name), 't1') OR contains(lower(coalesce(description, '')), 't1')), act AS (SELECT DISTINCT src, tgt FROM ol_column_provenance WHERE is_active = 'Y'),
+root AS (SELECT src AS node FROM act GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), down(node, depth) AS (SELECT tgt, 1 FROM act WHERE src IN (SELECT node FROM root) UNION SELECT tgt, depth + 1 FROM down JOIN act ON src = node WHERE depth < 3)
+SELECT 'namespaces' AS call, count(*) AS n FROM ol_namespace UNION ALL SELECT 'search', count(*) FROM (SELECT * FROM hit LIMIT 50) UNION ALL SELECT 'unified', count(*) + (SELECT count(DISTINCT split_part(name, '.', 1)) FROM hit) FROM (SELECT * FROM hit LIMIT 50)
+UNION ALL SELECT 'downstream', count(DISTINCT node) FROM down WHERE node NOT IN (SELECT node FROM root) UNION ALL SELECT 'statement', 2""")
+def facade_calls(spark, d):
+    """How many rows the engine's calls give: listing, search, traversal from the busiest column, edges of one statement."""
+    tables = Frames(spark, d)
+    root = tables.edges.filter("is_active = 'Y'").groupBy("src").agg(F.count_distinct("tgt").alias("n")).orderBy(F.desc("n"), "src").first()["src"]
+    calls = {
+        "namespaces": api.Catalog(tables).namespaces(), "search": api.Search(tables).datasets("t1"), "unified": api.Search(tables).unified("t1"),
+        "downstream": api.Provenance(tables).downstream(root, 3), "statement": api.statement_edges(spark, "INSERT INTO t (a, b) SELECT q.x, q.y FROM (SELECT x, y FROM u) q", "db"),
+    }
+    return reduce(DataFrame.unionByName, [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("call"), "n") for name, f in calls.items()])

@@ -88,16 +88,16 @@ MAPPINGS = [
 ]
 
 
-def mappings(spark: SparkSession, database: str) -> DataFrame:
-    """source_path, target_path, transformation_type, confidence_score, provenance_id of each mapping in ``database``."""
-    rows = spark.createDataFrame(MAPPINGS, "source string, target string, transformation_type string")
-    path = lambda side: F.concat_ws(".", F.lit(database), side)
-    m = rows.select(path("source").alias("source_path"), path("target").alias("target_path"), "transformation_type", F.lit(1).cast("decimal(3,2)").alias("confidence_score"))
+def mappings(databases: DataFrame) -> DataFrame:
+    """source_path, target_path, transformation_type, confidence_score, provenance_id of each mapping in each of ``databases`` (column database)."""
+    each = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("source", "target", "transformation_type"), m)]) for m in MAPPINGS])).alias("m")
+    path = lambda side: F.replace(F.concat(F.lit("{DATABASE}."), F.col(f"m.{side}")), F.lit("{DATABASE}"), F.col("database"))
+    m = databases.select("database", each).select(path("source").alias("source_path"), path("target").alias("target_path"), "m.transformation_type", F.lit(1).cast("decimal(3,2)").alias("confidence_score"))
     return m.withColumn("provenance_id", ids.provenance_id(F.col("source_path"), F.col("target_path")))
 
 
 MAPPING_SQL = (
-    "SELECT *, substr(md5(source_path || '->' || target_path), 1, 24) AS provenance_id FROM (SELECT 'demo.' || s AS source_path, 'demo.' || t AS target_path, kind AS transformation_type, CAST(1 AS DECIMAL(3, 2)) AS confidence_score FROM (VALUES "
+    "SELECT *, substr(md5(source_path || '->' || target_path), 1, 24) AS provenance_id FROM (SELECT n_name || '.' || s AS source_path, n_name || '.' || t AS target_path, kind AS transformation_type, CAST(1 AS DECIMAL(3, 2)) AS confidence_score FROM nation, (VALUES "
     + ", ".join(str(r) for r in MAPPINGS)
     + ") AS v(s, t, kind))"
 )
