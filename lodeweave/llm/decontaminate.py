@@ -15,6 +15,7 @@ from lodeweave.llm.shared import Scratch, free_name, join_counted, table
 
 WINDOW = 10
 MAX_SET = 100_000
+SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _HITS = "array<struct<start:int,len:int,h:bigint>>"
@@ -81,14 +82,17 @@ def _spans(hits: Column) -> Column:
 
 def _joined_hits(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
     """content, hits of each distinct text with hits, by a shuffled join: for benchmarks beyond MAX_SET. Windows are shuffled as
-    hashes; what meets a window of the benchmark is compared by its words, which stay with the text."""
+    hashes; what meets a window of the benchmark is compared by its words, which stay with the text. A window that very many
+    texts have is met in SALTS places: the benchmark's windows, which are far fewer than those of the texts, go to each."""
     texts = docs.select(F.unhex(F.sha2(text_col, 256)).alias("content"), F.col(text_col).alias("t")).groupBy("content").agg(F.first("t").alias("t"))
     words = texts.select("content", normal_words(F.col("t")).alias("w"))
     sizes = grams.select("len").distinct()
     at = words.crossJoin(F.broadcast(sizes)).filter(F.size("w") >= F.col("len"))  # at most `window` lengths, one row each
     hashes = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.xxhash64(F.slice("w", i + 1, F.col("len"))))
     at = at.select("content", "len", F.posexplode(hashes).alias("start", "h"))
-    found = at.join(grams, ["len", "h"]).groupBy("content").agg(F.collect_list(F.struct("start", F.col("len").cast("int").alias("len"), "h", "gram")).alias("found"))
+    at = at.withColumn("salt", F.pmod(F.xxhash64("content", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    spread = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = at.join(spread, ["len", "h", "salt"]).groupBy("content").agg(F.collect_list(F.struct("start", F.col("len").cast("int").alias("len"), "h", "gram")).alias("found"))
     same = F.filter("found", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["len"]), " ") == x["gram"])
     hits = F.transform(same, lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), x["h"].alias("h")))
     return words.join(found, "content").select("content", hits.alias("hits"))
