@@ -36,6 +36,7 @@ _JOINS = r"(?i)\s+(?:NATURAL\s+)?(?:(?:INNER|CROSS|(?:LEFT|RIGHT|FULL)(?:\s+OUTE
 _ENDS = "WHERE|GROUP|ORDER|HAVING|QUALIFY|SAMPLE|WINDOW|LIMIT"
 _STOP = f"{_ENDS}|ON|USING|SET|WHEN|AND|OR|AS|UNION|MINUS|EXCEPT|INTERSECT|WITH|FROM|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|NATURAL|THEN|ELSE|END|BETWEEN|LIKE|IS|IN|NOT"
 _SOURCE = rf"(?is)^[\s(]*{_NAME}(?:\s+(?:AS\s+)?(?!(?:{_STOP})\b)\"?(\w+)\"?)?\s*(?:\([^()]*\))?[\s)]*(?:(?:ON|USING)\b(.*))?$"
+_AFTER = rf"(?i)\b(?:FROM|JOIN|USING)[\s(]+{_TARGET}"
 _DERIVED = rf"(?i){_OPEN}(\d+){_CLOSE}\s+(?:AS\s+)?(?!(?:{_STOP})\b)\"?\w+\"?\s*\(([^()]*)\)"
 # Words that may stand before a column in an expression, so that what follows them is no alias.
 _BEFORE = "AND|OR|NOT|IS|IN|LIKE|BETWEEN|THEN|ELSE|WHEN|CASE|BY|FROM|OVER|AS|DISTINCT|MOD|INTERVAL|ESCAPE|ANY|ALL|DATE|TIME|TIMESTAMP|EXISTS"
@@ -185,7 +186,7 @@ def _entry(source: Column, database: Column, path: Column, ctes: Column) -> Colu
 
 def _read(texts: DataFrame, plain: Column) -> tuple[DataFrame, int | None]:
     """One row for each SELECT of each statement: key, target, wanted (the target's columns, for the root), scope, branch, items,
-    entries, conds; and the number of statements, if it is not large. ``texts``: key, db and what ``plain`` reads. A statement without any
+    entries, conds, named_tables; and the number of statements, if it is not large. ``texts``: key, db and what ``plain`` reads. A statement without any
     has one row with a null scope."""
     t = texts.select("key", "db", flattened(F.translate(plain, MARKS, "")).alias("f")).select("key", "db", F.col("f.text").alias("t"), F.col("f.scopes").alias("scopes"))
     t, n = cut(t)  # read by each kind of statement
@@ -233,8 +234,12 @@ def _read(texts: DataFrame, plain: Column) -> tuple[DataFrame, int | None]:
     rows = rows.withColumn("entries", entries)
     on = F.transform(F.filter("entries", lambda e: e["on"] != ""), lambda e: F.struct(F.lit("JOIN").alias("kind"), e["on"].alias("expr")))
     rows = rows.withColumn("conds", F.concat("conds", on)).select("key", "target", "scope", "branch", "direct", "path", "named", "items", "entries", "conds")
-    none = t.select("key", "target").withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns[2:]})
-    return rows.unionByName(none), n
+    # What stands after FROM, JOIN and USING, for texts that are cut off or that nothing else can be read from.
+    shadowed = F.transform("ctes", lambda c: c["name"])
+    after = F.filter(F.transform(F.regexp_extract_all(whole, F.lit(_AFTER), 1), bare), lambda x: ~F.array_contains(shadowed, F.lower(x)) & ~x.rlike(_NO_COLUMN))
+    none = t.select("key", "target", F.array_distinct(F.transform(after, lambda x: full(x, F.col("db")))).alias("named_tables"))
+    none = none.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns[2:]})
+    return rows.withColumn("named_tables", F.lit(None).cast(_STRINGS)).unionByName(none), n
 
 
 def _star(expr: Column) -> Column:
@@ -384,7 +389,7 @@ def provenance(texts: DataFrame, plain: Column, fields: DataFrame | None = None)
 
     edges: source, source_column, target_column and kind of what flows into the target; conditions: the columns that ON, WHERE and
     MERGE conditions read, kinds JOIN and FILTER, for the whole target (*). n_unresolved counts references of items without
-    one owner; sources are the tables that are read. ``fields``: name (database.table), field_name and ordinal_position of the
+    one owner; sources are the tables that are read, or, where none can be placed, those that the text names after FROM, JOIN and USING. ``fields``: name (database.table), field_name and ordinal_position of the
     catalog, in any case of letters.
     """
     found, n = _read(texts, plain)
@@ -399,7 +404,8 @@ def provenance(texts: DataFrame, plain: Column, fields: DataFrame | None = None)
     lost = edges.filter(value & (F.col("lost") | ((F.col("at") == ROOT) & F.col("column").isNull()))).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n_unresolved"))
     read = F.filter("entries", lambda e: e["name"].isNotNull())
     read = F.transform(F.when(F.col("direct"), F.filter(read, lambda e: e["no"] < F.size("entries") - 1)).otherwise(read), lambda e: e["name"])
-    tables = rows.groupBy("key", "target").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce(read, _none(_STRINGS))))).alias("sources"))
+    tables = rows.groupBy("key", "target").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce(read, _none(_STRINGS))))).alias("found"), F.first("named_tables", ignorenulls=True).alias("named"))
+    tables = tables.select("key", "target", F.when(F.size("found") > 0, F.col("found")).otherwise(F.coalesce("named", _none(_STRINGS))).alias("sources"))
     kind = "array<struct<source:string,source_column:string,target_column:string,kind:string>>"
     out = tables.join(own, "key", "left").join(lost, "key", "left")
     return out.select("key", "target", *(F.coalesce(c, _none(kind)).alias(c) for c in ("edges", "conditions")), F.coalesce("n_unresolved", F.lit(0)).alias("n_unresolved"), "sources")

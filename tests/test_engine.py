@@ -235,3 +235,21 @@ def test_levels_of_a_walk_do_not_move_the_edges(spark, way, key):
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(at" in plan and "Bucketed: true" in plan
     frames.release()
     assert frames.toward(way).count() > 0  # written anew
+
+
+def test_odd_texts_of_statements_are_read_without_an_error(spark):
+    """Very long literals, lists and comments, deep nesting, brackets that do not match, and texts that are no statements."""
+    deep = "INSERT INTO t (a) SELECT x FROM " + "(SELECT x FROM " * 12 + "u" + ") q" * 12
+    texts = {
+        "INSERT INTO t (a) SELECT '" + "x" * 100_000 + "' || u.c FROM u u": ("ok", {"u.c>a"}),
+        "INSERT INTO t (a) SELECT u.c FROM u WHERE u.k IN (" + ", ".join(f"'v{i}'" for i in range(5000)) + ")": ("ok", {"u.c>a"}),
+        "/* " + "c" * 50_000 + " */ INSERT INTO t (a) SELECT u.x FROM u -- " + "d" * 50_000: ("ok", {"u.x>a"}),
+        "INSERT INTO t (a) SELECT " + "(" * 100 + "u.x" + ")" * 100 + " FROM u": ("ok", {"u.x>a"}),
+        deep: ("ok", {"u.x>a"}),
+        "(" * 500: ("failed", set()), "SELECT " * 500: ("failed", set()), ")(": ("failed", set()),
+        "INSERT INTO t (a) SELECT x FROM (SELECT y FROM u": ("fallback", set()),
+        "INSERT INTO t (a) SELECT q.x FROM (SELECT y FROM u) q": ("fallback", set()),
+    }
+    log = spark.createDataFrame([(k, t, "d") for k, t in enumerate(texts)], "query_id long, sql_text string, default_database string")
+    got = {r["sql_text"]: (r["status"], {f"{e['source'].removeprefix('d.')}.{e['source_column']}>{e['target_column']}" for e in r["edges"]}) for r in extract.extract_log(log).collect()}
+    assert {t[:60]: r for t, r in got.items()} == {t[:60]: r for t, r in texts.items()}
