@@ -39,15 +39,36 @@ def extract_log(log: DataFrame, *, text_col: str = "sql_text", database_col: str
     the catalog's columns (name, field_name, ordinal_position), for stars and for columns without qualifier. Logs repeat their
     statements: each distinct text of a database is read once and joined back by its digest.
     """
+    keyed = _keyed(log, text_col, database_col)
+    out = keyed.join(_read_once(keyed, text_col, database_col, fields), "_text", "left")
+    none = out.schema["edges"].dataType.simpleString()
+    lists = {c: F.coalesce(c, F.array().cast(none)) for c in ("edges", "conditions")}
+    return out.withColumns(lists | {"n_unresolved": F.coalesce("n_unresolved", F.lit(0)), "status": _status()}).drop("_text")
+
+
+def extract_earliest(log: DataFrame, *, text_col: str = "sql_text", database_col: str = "default_database", fields: DataFrame | None = None) -> DataFrame:
+    """The rows of ``extract_log`` for the earliest statement (start_time, then query_id) of each distinct text: query_id, start_time, target,
+    edges, conditions, n_unresolved, sources and status. Enough for the first statement of every edge: the log is only counted down to
+    its distinct texts, and none of its rows is joined or repeated for each edge. Statements without text have no row."""
+    keyed = _keyed(log, text_col, database_col).filter("_text is not null")
+    earliest = keyed.groupBy("_text").agg(F.min(F.struct("start_time", "query_id")).alias("_first")).select("_text", "_first.*")
+    return earliest.join(_read_once(keyed, text_col, database_col, fields), "_text").withColumn("status", _status()).drop("_text")
+
+
+def _keyed(log: DataFrame, text_col: str, database_col: str) -> DataFrame:
+    """``log`` with the digest of its text and database in _text, null for a null text."""
     key = F.md5(F.concat_ws("\n", F.coalesce(F.col(database_col), F.lit("")), F.col(text_col)))
-    keyed = log.withColumn("_text", F.when(F.col(text_col).isNotNull(), key))
+    return log.withColumn("_text", F.when(F.col(text_col).isNotNull(), key))
+
+
+def _read_once(keyed: DataFrame, text_col: str, database_col: str, fields: DataFrame | None) -> DataFrame:
+    """_text and what ``scopes`` finds in it, a row for each distinct text."""
     texts = keyed.filter("_text is not null").groupBy(F.col("_text").alias("key")).agg(F.first(text_col).alias("sql"), F.first(database_col).alias("db"))
-    found = scopes.provenance(texts, plain_text(F.col("sql")), fields).withColumnRenamed("key", "_text")
-    out = keyed.join(found, "_text", "left")
-    none = found.schema["edges"].dataType.simpleString()
-    status = F.when(F.col("_text").isNull(), "skipped").when(F.size("edges") > 0, "ok").when(F.col("target").isNotNull() & (F.size("sources") > 0), "fallback").otherwise("failed")
-    lists = {c: F.coalesce(c, F.array().cast(none)) for c in ("edges", "conditions")}
-    return out.withColumns(lists | {"n_unresolved": F.coalesce("n_unresolved", F.lit(0)), "status": status}).drop("_text")
+    return scopes.provenance(texts, plain_text(F.col("sql")), fields).withColumnRenamed("key", "_text")
+
+
+def _status() -> Column:
+    return F.when(F.col("_text").isNull(), "skipped").when(F.size("edges") > 0, "ok").when(F.col("target").isNotNull() & (F.size("sources") > 0), "fallback").otherwise("failed")
 
 
 #: A log of unlike statements is read in the same way.

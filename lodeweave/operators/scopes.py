@@ -274,21 +274,21 @@ def _with_columns(rows: DataFrame, fields: DataFrame | None, size: int | None) -
     flat = rows.select("key", "scope", "branch", F.posexplode("entries").alias("no", "e"))
     if fields is not None:
         tables = fields.groupBy(F.lower("name").alias("table")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal_position", "field_name"))), lambda x: x["field_name"]).alias("cols"))
-        flat = flat.join(tables, F.lower("e.name") == F.col("table"), "left").drop("table")
+        flat, _ = cut(flat.join(tables, F.lower("e.name") == F.col("table"), "left").drop("table"), after=size)  # read by each round
     else:
         flat = flat.withColumn("cols", F.lit(None).cast(_STRINGS))
-    flat, _ = cut(flat, after=size)
     waiting = F.exists("items", lambda i: _star(i["expr"]))
     plain = rows.filter("branch = 0 and scope >= 0").filter(~waiting)
     known = plain.select("key", F.col("scope").alias("at"), F.transform("items", lambda i, k: F.coalesce(F.get(F.col("named"), k), i["target"])).alias("cols"))
-    nested = rows.filter("scope is not null").filter(waiting).filter(F.exists("entries", lambda e: e["scope"].isNotNull())).limit(1).count()
+    over = waiting & F.exists("entries", lambda e: e["scope"].isNotNull())
+    nested, scopes = rows.filter("scope is not null").agg(F.coalesce(F.bool_or(over), F.lit(False)), F.count_if(F.expr("branch = 0 and scope >= 0"))).first()
     known, before = cut(known) if nested else (known, None)
     while True:
-        found = flat.join(known.withColumnRenamed("cols", "own"), (flat["key"] == known["key"]) & (F.col("e.scope") == F.col("at")), "left").drop(known["key"], "at")
+        found = flat.join(known.withColumnsRenamed({"cols": "own", "key": "k"}), (F.col("key") == F.col("k")) & (F.col("e.scope") == F.col("at")), "left").drop("k", "at")
         entry = F.struct("no", F.col("e.key").alias("key"), F.col("e.name").alias("name"), F.col("e.scope").alias("scope"), F.coalesce("own", "cols").alias("cols"))
         grouped = found.groupBy("key", "scope", "branch").agg(F.array_sort(F.collect_list(entry), lambda a, b: a["no"] - b["no"]).alias("entries"))
         out = rows.drop("entries").join(grouped, ["key", "scope", "branch"], "left").withColumn("entries", F.coalesce("entries", _none(grouped.schema["entries"].dataType.simpleString())))
-        if not nested:
+        if not nested or before == scopes:  # no star is left to be read, or all scopes are known
             return out
         new, n = cut(_outputs(out))
         n = new.count() if n is None else n
@@ -327,7 +327,7 @@ def _resolved(ref: Column, entries: Column, outer: Column) -> Column:
     return F.when(parts == 1, let(single, of)).when(parts == 2, let(by_alias, of)).otherwise(whole)
 
 
-def _edges(rows: DataFrame, size: int | None) -> DataFrame:
+def _edges(rows: DataFrame) -> DataFrame:
     """key, target, at (scope), place (of the column there; null: all of the target), column (its name, for the root), kind, and the source:
     name and source_column of a table, or from_scope and from_place (null: all). Unresolved references have no source."""
     around = rows.filter("scope is not null").select("key", "scope", F.posexplode(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))).alias("far", "outer_scope"))
@@ -344,14 +344,12 @@ def _edges(rows: DataFrame, size: int | None) -> DataFrame:
     ))
     conds = F.transform("conds", lambda c: F.struct(F.lit(None).cast("int").alias("place"), F.lit("*").alias("column"), c["expr"].alias("expr"), F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("from"), F.lit(False).alias("open"), c["kind"].alias("kind")))
     r = r.select("key", "target", "scope", "entries", "outer", F.explode(F.concat(value, conds)).alias("x")).filter(~F.col("x.open"))
-    r, _ = cut(r, after=size)  # read for stars, for names and for scopes
-    starred = r.filter("x.entry is not null").withColumn("e", F.get("entries", F.col("x.entry")))
-    found = F.struct(F.col("e.name").alias("name"), F.col("e.scope").alias("scope"), F.col("x.from").alias("place"), F.get("e.cols", F.col("x.from")).alias("column"))
-    named = r.filter("x.entry is null").select("*", F.explode(_refs(F.col("x.expr"))).alias("ref")).withColumn("found", _resolved(F.col("ref"), F.col("entries"), F.col("outer")))
-    numbers = F.regexp_extract_all("x.expr", F.lit(rf"{_OPEN}(\d+){_CLOSE}"), 1)
-    nested = r.filter("x.entry is null").select("*", F.explode(numbers).alias("n")).withColumn("found", F.struct(F.lit(None).cast("string").alias("name"), F.col("n").cast("int").alias("scope"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("column")))
-    cols = ["key", "target", "scope", "x", "found"]
-    both = starred.withColumn("found", found).select(*cols).unionByName(named.select(*cols)).unionByName(nested.select(*cols))
+    source = lambda name, scope, place, column: F.struct(name.alias("name"), scope.cast("int").alias("scope"), place.cast("int").alias("place"), column.alias("column"))
+    nothing, x = F.lit(None).cast("string"), F.col("x")
+    starred = let(F.get("entries", x["entry"]), lambda e: F.array(source(e["name"], e["scope"], x["from"], F.get(e["cols"], x["from"]))))
+    named = F.transform(_refs(x["expr"]), lambda ref: _resolved(ref, F.col("entries"), F.col("outer")))
+    nested = F.transform(F.regexp_extract_all(x["expr"], F.lit(rf"{_OPEN}(\d+){_CLOSE}"), 1), lambda n: source(nothing, n, nothing, nothing))
+    both = r.select("key", "target", "scope", "x", F.explode(F.when(x["entry"].isNotNull(), starred).otherwise(F.concat(named, nested))).alias("found"))
     cond = F.col("x.kind").isin("JOIN", "FILTER")
     return both.select(
         "key", "target", F.when(cond, ROOT).otherwise(F.col("scope")).alias("at"), "x.place", "x.column", "x.kind",
@@ -376,10 +374,10 @@ def _contracted(edges: DataFrame) -> DataFrame:
     inner = edges.filter((F.col("at") >= 0) & ~F.col("kind").isin("JOIN", "FILTER")).select("key", F.col("at").alias("i_at"), F.col("place").alias("i_place"), F.col("kind").alias("i_kind"), "name", "source_column", F.col("from_scope").alias("i_scope"), F.col("from_place").alias("i_from"), "lost")
     while n != 0:
         step = level.drop("name", "source_column", "lost").join(inner, "key").filter((F.col("from_scope") == F.col("i_at")) & (F.col("from_place").isNull() | (F.col("from_place") == F.col("i_place"))))
-        new = step.select("key", "target", "at", "place", "column", _worse(F.col("kind"), F.col("i_kind")).alias("kind"), "name", "source_column", F.col("i_scope").alias("from_scope"), F.col("i_from").alias("from_place"), "lost").distinct()
-        new, _ = cut(new, after=n)
+        new = step.select("key", "target", "at", "place", "column", _worse(F.col("kind"), F.col("i_kind")).alias("kind"), "name", "source_column", F.col("i_scope").alias("from_scope"), F.col("i_from").alias("from_place"), "lost")
+        new, n = cut(new.subtract(seen), after=n)  # those from tables are never in ``seen``
         out = out.unionByName(new.filter("from_scope is null"))
-        level, n = cut(new.filter("from_scope is not null").subtract(seen), after=n)
+        level = new.filter("from_scope is not null")
         seen = seen.unionByName(level)
     return out
 
@@ -395,7 +393,7 @@ def provenance(texts: DataFrame, plain: Column, fields: DataFrame | None = None)
     found, n = _read(texts, plain)
     rows, n = cut(found, after=None if n is None else 2 * n)  # a statement has a row or more, and a row an edge or more
     rows, _ = cut(_with_columns(rows, fields, n), after=n)
-    edges, _ = cut(_edges(rows, n), after=None if n is None else 2 * n)
+    edges, _ = cut(_edges(rows), after=None if n is None else 2 * n)
     found = _contracted(edges)
     value = ~F.col("kind").isin("JOIN", "FILTER")
     known = ~F.col("lost")

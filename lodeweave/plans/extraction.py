@@ -55,6 +55,10 @@ def _edges(spark, d):
     return extract.edge_rows(extract.extract_log(_log(spark, d)))
 
 
+def _first_edges(spark, d):
+    return extract.first_of_each(extract.edge_rows(extract.extract_earliest(_log(spark, d))))
+
+
 @query(_OK + f" SELECT query_id, statement_type, start_time FROM elig WHERE start_time > TIMESTAMP '{SINCE}'")
 def log_fetch_since(spark, d):
     return extract.eligible(Frames(spark, d).log, SINCE).select("query_id", "statement_type", "start_time")
@@ -94,7 +98,7 @@ def log_validate(spark, d):
 @query(_EDGES + f" SELECT provenance_id, src, tgt, kind, {_CONF} AS confidence_score, query_id FROM firsts")
 def extract_edges(spark, d):
     """Column edges of the log, each from its earliest statement."""
-    return extract.first_of_each(_edges(spark, d)).select("provenance_id", "src", "tgt", "kind", "confidence_score", "query_id")
+    return _first_edges(spark, d).select("provenance_id", "src", "tgt", "kind", "confidence_score", "query_id")
 
 
 @query(_OK + _SHAPED + " SELECT CASE WHEN no_text THEN 'skipped' ELSE coalesce(status, 'ok') END AS status, count(*) AS statements, CAST(sum(CASE WHEN no_text THEN 0 WHEN event_type = 'click' THEN 4 WHEN event_type = 'view' THEN 2 ELSE coalesce(edges, 1) END) AS BIGINT) AS records FROM elig LEFT JOIN shape_results USING (shape) GROUP BY 1")
@@ -115,7 +119,7 @@ def extract_errors(spark, d):
 @query(_EDGES + " SELECT provenance_id, CASE WHEN substr(provenance_id, 1, 1) < '8' THEN 'known' ELSE 'new' END AS state FROM firsts")
 def provenance_sink_dedup(spark, d):
     """The sink after a run: edges that it has stay, the others are added once."""
-    found = extract.first_of_each(_edges(spark, d))
+    found = _first_edges(spark, d)
     known = found.filter(F.substring("provenance_id", 1, 1) < "8").select("provenance_id", F.lit("known").alias("state"))
     return add_missing(known, found.select("provenance_id", F.lit("new").alias("state")), ["provenance_id"])
 

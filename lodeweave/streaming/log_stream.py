@@ -41,7 +41,7 @@ def run_edges(log: DataFrame, folder: str, *, checkpoint: str) -> None:
     with the same checkpoint goes on from there. A batch reads its texts as a table of statements is read."""
 
     def write(batch: DataFrame, n: int) -> None:
-        extract.first_of_each(extract.edge_rows(extract.extract_log(batch))).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        extract.first_of_each(extract.edge_rows(extract.extract_earliest(batch))).write.mode("overwrite").parquet(f"{folder}/batch={n}")
 
     extract.eligible(log).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

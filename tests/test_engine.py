@@ -143,6 +143,29 @@ def test_statement_texts_are_read_once_and_like_the_stream_reads_them(spark):
     assert once == each and once[3][-1] == "skipped" and once[1] != once[2]
 
 
+def test_first_edges_come_from_the_earliest_statement_of_each_text(spark):
+    """Repeated texts, ties and nulls of times, an edge that two texts give, a text without edges, no text; and no rows at all."""
+    nested = "INSERT INTO t (a, b) SELECT * FROM (SELECT * FROM (SELECT u.x, u.y FROM u) p) q"
+    rows = [
+        (7, 3, "INSERT INTO t (a) SELECT x FROM u", "d"), (6, 3, "INSERT INTO t (a) SELECT x FROM u", "d"), (5, 4, "INSERT INTO t (a) SELECT x FROM u", "d"), (1, 4, "INSERT INTO t (a) SELECT u.x FROM u", "d"),
+        (2, 1, "INSERT INTO t (a) SELECT x FROM u", "e"), (3, None, "INSERT INTO t (b) SELECT y || z FROM u", "d"), (4, 0, "INSERT INTO t (b) SELECT y || z FROM u", "d"), (8, 9, nested, "d"), (9, 8, nested, "d"),
+        (10, 1, None, "d"), (11, 1, "SELECT 1", "d"), (12, 1, "INSERT INTO t SELECT * FROM v", None), (13, 0, "INSERT INTO t (a) SELECT q.* FROM (SELECT * FROM v) q", "d"),
+    ]
+    log = spark.createDataFrame(rows, "query_id long, n int, sql_text string, default_database string").withColumn("start_time", F.timestamp_seconds("n"))
+    for some in (log, log.filter("false")):
+        all_rows, few = (sorted(map(tuple, extract.first_of_each(extract.edge_rows(f(some))).collect())) for f in (extract.extract_log, extract.extract_earliest))
+        assert few == all_rows
+    first = {(r["src"], r["tgt"]): r["query_id"] for r in extract.first_of_each(extract.edge_rows(extract.extract_earliest(log))).collect()}
+    assert first[("d.u.x", "d.t.a")] == 6 and first[("e.u.x", "e.t.a")] == 2 and first[("d.u.z", "d.t.b")] == 3 and first[("d.u.y", "d.t.b")] == 3
+
+
+def test_edges_through_three_levels_of_stars_beside_a_star_of_an_unknown_table(spark):
+    texts = ["INSERT INTO t (a, b) SELECT * FROM (SELECT * FROM (SELECT u.x, u.y FROM u) p) q", "INSERT INTO t (a) SELECT q.* FROM (SELECT * FROM v) q"]
+    log = spark.createDataFrame([(k, x, "d") for k, x in enumerate(texts)], "query_id long, sql_text string, default_database string")
+    got = {r["query_id"]: (r["status"], sorted((e["source"], e["source_column"], e["target_column"]) for e in r["edges"])) for r in extract.extract_log(log).collect()}
+    assert got[0] == ("ok", [("d.u", "x", "a"), ("d.u", "y", "b")]) and got[1] == ("fallback", [])
+
+
 def test_entry_imports_without_the_training_operators():
     import subprocess
     import sys
