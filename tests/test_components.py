@@ -64,3 +64,27 @@ def test_long_chains_take_few_rounds(spark):
     found, rounds = components.star_rounds(chain)
     row = found.selectExpr("count(*) AS n", "count(DISTINCT component) AS c", "min(node) = min(component) AS least").first()
     assert (row["n"], row["c"], row["least"]) == (n + 1, 1, True) and rounds < 25
+
+
+def test_rounds_leave_less_and_less_to_move(spark, monkeypatch):
+    """All that the rounds write of a chain's links is a few times the chain; each round leaves a share of the one before."""
+    sizes, cut = [], components.cut
+
+    def counted(df, **kw):
+        out, n = cut(df, **kw)
+        if set(df.columns) == {"u", "v"}:
+            sizes.append(out.count())
+        return out, n
+
+    monkeypatch.setattr(components, "cut", counted)
+    chain = spark.range(20_000).selectExpr("lpad(id, 6, '0') AS src", "lpad(id + 1, 6, '0') AS tgt")
+    components.star_rounds(chain)[0].count()
+    assert sum(sizes) < 3 * 20_000
+
+
+def test_nodes_of_equal_hashes_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(components, "_hashed", lambda node, salt: F.xxhash64(F.lit(salt), F.substring(node, 1, 1) if salt < 2 else F.col(node) if isinstance(node, str) else node))
+    df = spark.createDataFrame([("a1", "b1"), ("a2", "c2"), ("d", "d")], "src string, tgt string")
+    assert {r["node"]: r["component"] for r in components.weak_components(df).collect()} == {"a1": "a1", "b1": "a1", "a2": "a2", "c2": "a2", "d": "d"}
