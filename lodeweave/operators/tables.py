@@ -29,10 +29,12 @@ def large_graph(nodes: DataFrame, depth: int) -> DataFrame:
 
 
 def edge_table(edges: DataFrame, datasets: DataFrame) -> DataFrame:
-    """One row for each edge with the registered names of both tables; unregistered tables keep the edge's own name."""
-    names = datasets.select("name")
-    out = edges.join(names.withColumnRenamed("name", "s_name"), F.col("source_dataset") == F.col("s_name"), "left").join(names.withColumnRenamed("name", "t_name"), F.col("target_dataset") == F.col("t_name"), "left")
-    return out.select("provenance_id", F.coalesce("s_name", "source_dataset").alias("source_table"), "source_field", F.coalesce("t_name", "target_dataset").alias("target_table"), "target_field", "transformation_type", "confidence_score")
+    """One row for each edge with the registered names of both tables, which are those that it has itself. Filters on them are
+    applied to the edges before they are joined."""
+    out = edges.select("provenance_id", F.col("source_dataset").alias("source_table"), "source_field", F.col("target_dataset").alias("target_table"), "target_field", "transformation_type", "confidence_score")
+    for c in ("source_table", "target_table"):
+        out = out.join(datasets.select(F.col("name").alias(c)), c, "left")
+    return out.select("provenance_id", "source_table", "source_field", "target_table", "target_field", "transformation_type", "confidence_score")
 
 
 def matching(table: DataFrame, text: str) -> DataFrame:

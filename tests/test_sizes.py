@@ -52,3 +52,10 @@ def test_edges_are_moved_twice_and_stored_without_what_their_ends_tell(spark):
     stored = spark.table(f"edges_src_{hashlib.md5(SF_DIR.encode()).hexdigest()[:12]}")
     assert "provenance_id" not in stored.columns and stored.filter("source_dataset is not null or target_field is not null").count() == 0
     assert rows.filter("source_dataset || '.' || source_field <> src or target_dataset || '.' || target_field <> tgt or source_dataset is null").count() == 0
+
+
+def test_filters_of_the_edge_table_come_before_its_joins(spark):
+    """Rows that the filter leaves out are in no exchange: the filter stands below both joins."""
+    lines = registry.QUERIES["edge_table_filter"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: [len(x) - len(x.lstrip(" :+-")) for x in lines if word in x]
+    assert min(depth("Contains(lower(")) > sorted(depth("Join LeftOuter"))[1]
