@@ -59,3 +59,21 @@ def test_filters_of_the_edge_table_come_before_its_joins(spark):
     lines = registry.QUERIES["edge_table_filter"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     depth = lambda word: [len(x) - len(x.lstrip(" :+-")) for x in lines if word in x]
     assert min(depth("Contains(lower(")) > sorted(depth("Join LeftOuter"))[1]
+
+
+def test_an_expansion_moves_levels_and_not_the_edges(spark):
+    from lodeweave.operators import graph, traverse
+
+    frames, kept = Frames(spark, SF_DIR), {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        way = registry.QUERIES["database_provenance_expanded"](spark, SF_DIR)
+        moved = [x for x in plan(way).splitlines() if "Exchange hashpartitioning" in x]
+        assert plan(way).count("Bucketed: true") >= 2 and not [x for x in moved if "(src" in x or "(tgt" in x]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    same = graph.expand_database(traverse.active(frames.edges), "NATION_18", max_depth=2)
+    two = graph.expand_database(traverse.active(frames.edges), "NATION_18", max_depth=2, by_target=traverse.active(frames.edges_by_target))
+    assert sorted(same.collect()) == sorted(two.collect()) and graph.expand_database(frames.edges, "NATION_18", max_depth=0).count() == 0
