@@ -77,3 +77,12 @@ def test_an_expansion_moves_levels_and_not_the_edges(spark):
     same = graph.expand_database(traverse.active(frames.edges), "NATION_18", max_depth=2)
     two = graph.expand_database(traverse.active(frames.edges), "NATION_18", max_depth=2, by_target=traverse.active(frames.edges_by_target))
     assert sorted(same.collect()) == sorted(two.collect()) and graph.expand_database(frames.edges, "NATION_18", max_depth=0).count() == 0
+
+
+def test_a_closure_carries_no_names_of_tables(spark, monkeypatch):
+    from lodeweave.operators import traverse
+
+    columns, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df, **kw: columns.append(set(df.columns)) or cut(df, **kw))
+    registry.QUERIES["closure_max_depth"](spark, SF_DIR)
+    assert len(columns) == 4 and not set.union(*columns) & {"source_dataset", "target_field", "transformation_type"}
