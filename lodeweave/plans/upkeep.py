@@ -102,8 +102,8 @@ def graph_search_indexed(spark, d):
     """Every column whose full name has the text, with its score; the best ten of them are those of graph_search."""
     c, folder = Frames(spark, d), _scratch(spark, "trigrams")
     n = c.field.join(c.dataset.select("dataset_id", "name"), "dataset_id").select("field_id", "field_name", "name", F.concat_ws(".", "name", "field_name").alias("full_name"))
-    trigrams.build(n, "field_id", ["full_name"], folder)
-    found = trigrams.search(n, "field_id", ["full_name"], folder, "p12")
+    trigrams.build_parts({"name": c.dataset.select("name"), "field_name": c.column_names}, folder)
+    found = trigrams.search_parts(n, ["name", "field_name"], folder, "p12")
     score = F.greatest(match_score(F.col("field_name"), "p12"), match_score(table_of(F.col("name")), "p12") * 0.7, match_score(F.col("full_name"), "p12") * 0.9)
     return found.select("field_id", F.round(score, 4).alias("score"))
 

@@ -86,3 +86,20 @@ def test_a_closure_carries_no_names_of_tables(spark, monkeypatch):
     monkeypatch.setattr(traverse, "cut", lambda df, **kw: columns.append(set(df.columns)) or cut(df, **kw))
     registry.QUERIES["closure_max_depth"](spark, SF_DIR)
     assert len(columns) == 4 and not set.union(*columns) & {"source_dataset", "target_field", "transformation_type"}
+
+
+def test_a_search_over_joined_parts_indexes_values_and_not_texts(spark, monkeypatch, tmp_path):
+    from lodeweave.operators import trigrams
+
+    rows = [("A.T1", "Id_one"), ("A.T1", "two"), ("B.one", "P1"), ("B.one", "one"), (None, "Lone"), ("C.T9", None), ("C.T9", "P"), (None, None)]
+    texts = spark.createDataFrame(rows, "name string, field_name string")
+    folder = str(tmp_path / "parts")
+    trigrams.build_parts({c: texts.select(c) for c in texts.columns}, folder)
+    for sought in ("one", "ONE.", "t1.id_", "ne.p1", "b.one.one", "t9.p", ".p", "p1", "e", "nowhere", "A.T1.two", "x.y"):
+        want = [r for r in rows if sought.lower() in ".".join(x for x in r if x is not None).lower()]
+        assert sorted(map(repr, map(tuple, trigrams.search_parts(texts, ["name", "field_name"], folder, sought).collect()))) == sorted(map(repr, want)), sought
+    indexed, build = [], trigrams.build
+    monkeypatch.setattr(trigrams, "build", lambda texts, *rest: indexed.append(texts.count()) or build(texts, *rest))
+    frames = Frames(spark, SF_DIR)
+    registry.QUERIES["graph_search_indexed"](spark, SF_DIR).count()
+    assert sum(indexed) == frames.dataset.count() + frames.field.select("field_name").distinct().count() < frames.field.count()
