@@ -103,3 +103,16 @@ def test_a_search_over_joined_parts_indexes_values_and_not_texts(spark, monkeypa
     frames = Frames(spark, SF_DIR)
     registry.QUERIES["graph_search_indexed"](spark, SF_DIR).count()
     assert sum(indexed) == frames.dataset.count() + frames.field.select("field_name").distinct().count() < frames.field.count()
+
+
+def test_a_repeated_load_moves_keys_and_adds_no_null_key_again(spark, monkeypatch, tmp_path, odd_tables):
+    from lodeweave.operators import ingest
+
+    moved, cut = [], ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df, **kw: moved.append(df.columns) or cut(df, **kw))
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "provenance_id string, v int")
+    load = lambda df, **how: ingest.populate(spark, str(tmp_path / "c"), {"column_provenance": df}, provenance_only=True, **how).first()["row_count"]
+    assert load(rows.filter("v = 1")) == 1 and load(rows, skip_clear=True, dry_run=True) == 2
+    assert load(rows, skip_clear=True) == 2 and load(rows, skip_clear=True) == 0 and load(rows.union(rows), skip_clear=True) == 0
+    assert moved == [["provenance_id"]] * 4 and load(rows.union(rows)) == 3
+    assert difference(registry.QUERIES["populate_modes"](spark, odd_tables), registry.ORACLES["populate_modes"], odd_tables) is None
