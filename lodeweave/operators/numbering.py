@@ -27,6 +27,15 @@ def _dealt(df: DataFrame, order: list[str | Column], parts: int) -> DataFrame:
     return rows.withColumn("_cell", F.shiftright("_at", _PLACE)).withColumn("_own", own).drop("_at")
 
 
+def running(df: DataFrame, name: str, key: str, amount: str, *, cell: int = CELL) -> DataFrame:
+    """``df`` (``key`` a whole number, distinct and not null) with ``name``: the sum of ``amount`` over all lesser keys, by cells as in ``numbered``."""
+    place = df.withColumn("_cell", F.floor(F.col(key) / cell))
+    sums = place.groupBy("_cell").agg(F.sum(amount).alias("_n"))
+    own = F.sum(amount).over(Window.partitionBy("_cell").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    found = place.withColumn("_own", F.coalesce(own, F.lit(0))).join(_before(sums, "_cell"), F.col("_cell") == F.col("_of"))
+    return found.withColumn(name, F.col("_first") + F.col("_own")).drop("_cell", "_of", "_own", "_first")
+
+
 def numbered(df: DataFrame, name: str, key: str, then: list[str | Column] | None = None, *, unique: bool = False, cell: int = CELL, most: int = MOST_ROWS) -> DataFrame:
     """``df`` with ``name``: 1, 2, 3, ... by the whole number ``key``, null first, then by ``then``.
 

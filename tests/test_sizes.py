@@ -116,3 +116,42 @@ def test_a_repeated_load_moves_keys_and_adds_no_null_key_again(spark, monkeypatc
     assert load(rows, skip_clear=True) == 2 and load(rows, skip_clear=True) == 0 and load(rows.union(rows), skip_clear=True) == 0
     assert moved == [["provenance_id"]] * 4 and load(rows.union(rows)) == 3
     assert difference(registry.QUERIES["populate_modes"](spark, odd_tables), registry.ORACLES["populate_modes"], odd_tables) is None
+
+
+@pytest.fixture(scope="module", params=["numbered over 7", "repeated"])
+def odd_sales(request, spark, tmp_path_factory):
+    """The smallest tables with lines numbered over 7, or with orders and customers that repeat; and orders of no customer."""
+    folder, over = str(tmp_path_factory.mktemp("sales")), request.param != "repeated"
+    lost = lambda x: x.withColumn("o_custkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey")))
+    odd = {
+        "lineitem": lambda x: x.withColumn("l_linenumber", F.when(F.col("l_orderkey") % 5 == 0, F.col("l_linenumber") + (9 if over else 0)).otherwise(F.col("l_linenumber")).cast("int")),
+        "orders": lambda x: lost(x if over else x.union(x.filter("o_orderkey % 4 = 0"))), "customer": lambda x: x if over else x.union(x.filter("c_custkey % 3 = 0")),
+    }
+    for path in glob.glob(f"{SF_DIR}/*.parquet"):
+        name = os.path.basename(path)[:-8]
+        if name not in odd:
+            shutil.copy(path, folder)
+            continue
+        odd[name](spark.read.parquet(path)).coalesce(1).write.parquet(f"{folder}/written-{name}")
+        os.rename(glob.glob(f"{folder}/written-{name}/*.parquet")[0], f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["etl_fact_daily", "etl_rpt_monthly", "etl_fact_sales", "etl_stg_sales"])
+def test_sums_of_odd_sales(spark, odd_sales, name):
+    assert difference(registry.QUERIES[name](spark, odd_sales), registry.ORACLES[name], odd_sales) is None
+
+
+def test_sums_move_no_numbered_sales_and_numbers_are_given_where_orders_meet_lines(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        moved = lambda name: [x.split("hashpartitioning(")[1].split("), ")[0] for x in plan(registry.QUERIES[name](spark, SF_DIR)).splitlines() if "Exchange hashpartitioning" in x]
+        sales, daily, monthly = moved("etl_fact_sales"), moved("etl_fact_daily"), moved("etl_rpt_monthly")
+        wide = [x for x in plan(registry.QUERIES["etl_fact_sales"](spark, SF_DIR)).splitlines() if "Window [row_number()" in x and "transaction_id" in x]
+        assert wide and all("[o_orderkey" in x for x in wide) and not [x for x in sales if x.startswith("transaction_id")]
+        assert not [x for x in daily if x.startswith("date_sk")] and not [x for x in monthly if "product_sk" in x]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
