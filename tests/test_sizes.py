@@ -155,3 +155,15 @@ def test_sums_move_no_numbered_sales_and_numbers_are_given_where_orders_meet_lin
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_parts_of_fields_grow_with_the_line_items(spark, monkeypatch):
+    from lodeweave.sources import catalog_views
+
+    monkeypatch.setattr(catalog_views, "BUCKET_ROWS", 200)
+    rows = registry.QUERIES["catalog_fields"](spark, SF_DIR)
+    parts = -(-Frames(spark, SF_DIR).table("lineitem").count() // 200)
+    moved = [x for x in plan(rows).splitlines() if "Exchange hashpartitioning" in x]
+    assert parts > 8 and sum(f", {parts})" in x for x in moved) >= 4, moved
+    assert not [x for x in moved if "field_id" in x and f", {parts})" not in x]
+    assert difference(rows, registry.ORACLES["catalog_fields"]) is None
