@@ -88,3 +88,40 @@ def test_nodes_of_equal_hashes_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(components, "_hashed", lambda node, salt: F.xxhash64(F.lit(salt), F.substring(node, 1, 1) if salt < 2 else F.col(node) if isinstance(node, str) else node))
     df = spark.createDataFrame([("a1", "b1"), ("a2", "c2"), ("d", "d")], "src string, tgt string")
     assert {r["node"]: r["component"] for r in components.weak_components(df).collect()} == {"a1": "a1", "b1": "a1", "a2": "a2", "c2": "a2", "d": "d"}
+
+
+@pytest.mark.parametrize("name", ["cycle with tails", "two cycles and a bridge"])
+def test_layers_of_written_levels(spark, monkeypatch, name):
+    """The same where every level is written, in buckets of its nodes or not."""
+    from lodeweave.sources import scratch
+
+    monkeypatch.setattr(scratch, "LOCAL_ROWS", 0)
+    edges = CASES[name]
+    df = spark.createDataFrame(edges, "src string, tgt string")
+    assert {r["node"]: (r["component"], r["layer"]) for r in components.layers(df, parts=3).collect()} == {n: x[1:] for n, x in plain(edges).items()}
+
+
+def test_peeling_moves_levels_and_not_the_edges(spark, monkeypatch):
+    """Edges in buckets are in no exchange but that of what they lose, and no number is stored for nodes that one edge leads to."""
+    parts, plans, stored, cut = 8, [], [], components.cut
+    edges = spark.range(30_000).selectExpr("lpad(id, 6, '0') AS src", "lpad(id + IF(id % 3 = 2, 40000, 10000), 6, '0') AS tgt").repartition(parts, "src")
+    edges, _ = cut(edges, by="src", parts=parts, after=None)
+
+    def planned(df, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out, n = cut(df, **kw)
+        if kw.get("by") == "node":
+            stored.append(out.filter("degree is not null").count())
+        return out, n
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    monkeypatch.setattr(components, "cut", planned)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = components.layers(edges, distinct=True, parts=parts)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert stored == [0] and found.filter("layer > 0").count() == 30_000
+    assert all(p.count("Bucketed: true") >= 2 and p.count("Exchange hashpartitioning") <= 2 for p in plans[1:]), plans[1]
