@@ -36,7 +36,7 @@ def extract_log(log: DataFrame, *, text_col: str = "sql_text", database_col: str
 
     status: ok (column edges), fallback (tables only), failed (no target or no tables), skipped (no text). A null text is skipped.
     conditions are the columns that ON, WHERE and MERGE conditions read. Unresolved columns have no edge and are counted in n_unresolved. ``fields``:
-    the catalog's columns (name, field_name, ordinal_position), for stars and for columns without qualifier. Logs repeat their
+    the catalog's columns (name, field_name, ordinal_position), or its tables with their lists (name, cols), for stars and for columns without qualifier. Logs repeat their
     statements: each distinct text of a database is read once and joined back by its digest.
     """
     keyed = _keyed(log, text_col, database_col)

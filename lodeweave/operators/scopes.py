@@ -246,13 +246,18 @@ def _star(expr: Column) -> Column:
     return expr.rlike(r"^(?:[\w$\"]+\.)*\*$")
 
 
+def _covers(star: Column, entry: Column) -> Column:
+    """Whether a star stands for the columns of an entry."""
+    qualifier = F.lower(last(F.substring_index(bare(star), ".*", 1)))
+    return (bare(star) == "*") | (entry["key"] == qualifier) | (F.lower(last(entry["name"])) == qualifier)
+
+
 def _widened(known: DataFrame) -> Column:
     """Array of struct(target, expr, entry, place, open) of ``known``'s items, stars replaced by the columns of their entries. open: a
     star over a source with unknown columns."""
 
     def of(item: Column) -> Column:
-        qualifier = F.lower(last(F.substring_index(bare(item["expr"]), ".*", 1)))
-        met = F.filter(F.col("entries"), lambda e: (bare(item["expr"]) == "*") | (e["key"] == qualifier) | (F.lower(last(e["name"])) == qualifier))
+        met = F.filter(F.col("entries"), lambda e: _covers(item["expr"], e))
         one = lambda target, expr, entry, place, is_open: F.struct(target.alias("target"), expr.alias("expr"), entry.alias("entry"), place.alias("place"), F.lit(is_open).alias("open"))
         nothing, no_entry = F.lit(None).cast("string"), F.lit(None).cast("int")
         columns = lambda e: F.transform(e["cols"], lambda c, k: one(c, nothing, e["no"], k, False))
@@ -271,16 +276,22 @@ def _outputs(rows: DataFrame) -> DataFrame:
 
 def _with_columns(rows: DataFrame, fields: DataFrame | None, size: int | None) -> DataFrame:
     """``rows``, about ``size``, with no and cols (null: unknown) in each entry. Scopes with stars over other scopes take a round for each level."""
-    flat = rows.select("key", "scope", "branch", F.posexplode("entries").alias("no", "e"))
-    if fields is not None:
-        tables = fields.groupBy(F.lower("name").alias("table")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal_position", "field_name"))), lambda x: x["field_name"]).alias("cols"))
-        flat, _ = cut(flat.join(tables, F.lower("e.name") == F.col("table"), "left").drop("table"), after=size)  # read by each round
+    exprs = lambda items: F.transform(items, lambda i: i["expr"])
+    if fields is None:
+        flat = rows.select("key", "scope", "branch", F.posexplode("entries").alias("no", "e")).withColumn("cols", F.lit(None).cast(_STRINGS))
     else:
-        flat = flat.withColumn("cols", F.lit(None).cast(_STRINGS))
+        # A table behind no star is only asked whether it has the columns that its SELECT names, so no others go on with it.
+        named = F.flatten(F.transform(F.concat(exprs("items"), exprs("conds")), lambda x: F.transform(_refs(x), lambda ref: F.lower(last(ref)))))
+        flat = rows.select("key", "scope", "branch", F.filter(exprs("items"), _star).alias("stars"), F.array_distinct(named).alias("named"), "entries")
+        flat = flat.select("key", "scope", "branch", "stars", "named", F.posexplode("entries").alias("no", "e"))
+        kept = F.when(F.exists("stars", lambda x: _covers(x, F.col("e"))), F.col("cols")).otherwise(F.filter("cols", lambda c: F.array_contains("named", F.lower(c))))
+        tables = fields.select(F.lower("name").alias("table"), "cols") if "cols" in fields.columns else fields.groupBy(F.lower("name").alias("table")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal_position", "field_name"))), lambda x: x["field_name"]).alias("cols"))
+        flat = flat.join(tables, F.lower("e.name") == F.col("table"), "left").select("key", "scope", "branch", "no", "e", kept.alias("cols"))
+        flat, _ = cut(flat, after=size)  # read by each round
     waiting = F.exists("items", lambda i: _star(i["expr"]))
     plain = rows.filter("branch = 0 and scope >= 0").filter(~waiting)
     known = plain.select("key", F.col("scope").alias("at"), F.transform("items", lambda i, k: F.coalesce(F.get(F.col("named"), k), i["target"])).alias("cols"))
-    over = waiting & F.exists("entries", lambda e: e["scope"].isNotNull())
+    over = waiting & (F.exists("entries", lambda e: e["scope"].isNotNull()) | (F.lit(fields is not None) & (F.col("scope") >= 0)))  # a scope's star over a table of the catalog too
     nested, scopes = rows.filter("scope is not null").agg(F.coalesce(F.bool_or(over), F.lit(False)), F.count_if(F.expr("branch = 0 and scope >= 0"))).first()
     known, before = cut(known) if nested else (known, None)
     while True:
@@ -388,12 +399,12 @@ def provenance(texts: DataFrame, plain: Column, fields: DataFrame | None = None)
     edges: source, source_column, target_column and kind of what flows into the target; conditions: the columns that ON, WHERE and
     MERGE conditions read, kinds JOIN and FILTER, for the whole target (*). n_unresolved counts references of items without
     one owner; sources are the tables that are read, or, where none can be placed, those that the text names after FROM, JOIN and USING. ``fields``: name (database.table), field_name and ordinal_position of the
-    catalog, in any case of letters.
+    catalog, in any case of letters; or name, once, and cols, the table's columns in their order.
     """
     found, n = _read(texts, plain)
     rows, n = cut(found, after=None if n is None else 2 * n)  # a statement has a row or more, and a row an edge or more
     rows, _ = cut(_with_columns(rows, fields, n), after=n)
-    edges, _ = cut(_edges(rows), after=None if n is None else 2 * n)
+    edges, _ = cut(_edges(rows), after=None if n is None or fields is not None else 2 * n)  # a star gives as many as its table has columns
     found = _contracted(edges)
     value = ~F.col("kind").isin("JOIN", "FILTER")
     known = ~F.col("lost")

@@ -167,3 +167,11 @@ def test_parts_of_fields_grow_with_the_line_items(spark, monkeypatch):
     assert parts > 8 and sum(f", {parts})" in x for x in moved) >= 4, moved
     assert not [x for x in moved if "field_id" in x and f", {parts})" not in x]
     assert difference(rows, registry.ORACLES["catalog_fields"]) is None
+
+
+def test_catalog_pairs_are_read_from_written_tables(spark):
+    from lodeweave.plans import extraction
+
+    pairs, tables = extraction._catalog_pairs(spark, SF_DIR)
+    assert "lineitem" not in plan(pairs) + plan(tables) and tables.columns == ["name", "cols"]
+    assert tables.selectExpr("sum(size(cols))").first()[0] == Frames(spark, SF_DIR).field.count()
