@@ -344,23 +344,29 @@ def _edges(rows: DataFrame) -> DataFrame:
     around = rows.filter("scope is not null").select("key", "scope", F.posexplode(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))).alias("far", "outer_scope"))
     entries = rows.filter("branch = 0 and scope is not null").select("key", F.col("scope").alias("outer_scope"), F.col("entries").alias("outer"))
     outer = around.distinct().join(entries, ["key", "outer_scope"]).groupBy("key", "scope").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("far", "outer")), lambda a, b: a["far"] - b["far"]), lambda x: x["outer"])).alias("outer"))
-    r = rows.filter("scope is not null").withColumn("wide", _widened(rows)).join(outer, ["key", "scope"], "left")
-    r = r.withColumn("outer", F.coalesce("outer", _none(rows.schema["entries"].dataType.simpleString())))
+    r = rows.filter("scope is not null").join(outer, ["key", "scope"], "left")
+    r = r.withColumn("outer", F.coalesce("outer", _none(rows.schema["entries"].dataType.simpleString()))).withColumn("wide", _widened(rows))
     # Behind an open star the places of a list are unknown; names still tell the target's columns where it has no list.
-    opened = F.coalesce(F.array_position(F.transform("wide", lambda w: w["open"]), True), F.lit(0))
+    first_open = F.coalesce(F.array_position(F.transform("wide", lambda w: w["open"]), True), F.lit(0))
     by_name = F.col("direct") | (F.size("named") == 0)
-    value = F.transform("wide", lambda w, k: F.struct(
+    value = let(first_open, lambda opened: F.transform("wide", lambda w, k: F.struct(
         F.when((opened == 0) | (k < opened - 1), k).alias("place"), F.when(by_name, w["target"]).when((opened == 0) | (k < opened - 1), F.coalesce(F.get(F.col("named"), k), w["target"])).alias("column"),
         w["expr"].alias("expr"), w["entry"].alias("entry"), w["place"].alias("from"), w["open"].alias("open"), F.when(w["expr"].isNull(), "DIRECT").otherwise(_kind(w["expr"])).alias("kind"),
-    ))
+    )))
     conds = F.transform("conds", lambda c: F.struct(F.lit(None).cast("int").alias("place"), F.lit("*").alias("column"), c["expr"].alias("expr"), F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("from"), F.lit(False).alias("open"), c["kind"].alias("kind")))
-    r = r.select("key", "target", "scope", "entries", "outer", F.explode(F.concat(value, conds)).alias("x")).filter(~F.col("x.open"))
     source = lambda name, scope, place, column: F.struct(name.alias("name"), scope.cast("int").alias("scope"), place.cast("int").alias("place"), column.alias("column"))
-    nothing, x = F.lit(None).cast("string"), F.col("x")
-    starred = let(F.get("entries", x["entry"]), lambda e: F.array(source(e["name"], e["scope"], x["from"], F.get(e["cols"], x["from"]))))
-    named = F.transform(_refs(x["expr"]), lambda ref: _resolved(ref, F.col("entries"), F.col("outer")))
-    nested = F.transform(F.regexp_extract_all(x["expr"], F.lit(rf"{_OPEN}(\d+){_CLOSE}"), 1), lambda n: source(nothing, n, nothing, nothing))
-    both = r.select("key", "target", "scope", "x", F.explode(F.when(x["entry"].isNotNull(), starred).otherwise(F.concat(named, nested))).alias("found"))
+    nothing = F.lit(None).cast("string")
+
+    def found(x: Column) -> Column:
+        """An item with what it reads; entries, with the columns of whole tables, stay in the statement's row and are not repeated for each item."""
+        starred = let(F.get("entries", x["entry"]), lambda e: F.array(source(e["name"], e["scope"], x["from"], F.get(e["cols"], x["from"]))))
+        named = F.transform(_refs(x["expr"]), lambda ref: _resolved(ref, F.col("entries"), F.col("outer")))
+        nested = F.transform(F.regexp_extract_all(x["expr"], F.lit(rf"{_OPEN}(\d+){_CLOSE}"), 1), lambda n: source(nothing, n, nothing, nothing))
+        read = F.when(x["entry"].isNotNull(), starred).otherwise(F.concat(named, nested))
+        return F.struct(x["place"].alias("place"), x["column"].alias("column"), x["kind"].alias("kind"), read.alias("read"))
+
+    items = F.transform(F.filter(F.concat(value, conds), lambda x: ~x["open"]), found)
+    both = r.select("key", "target", "scope", F.explode(items).alias("x")).select("key", "target", "scope", "x", F.explode("x.read").alias("found"))
     cond = F.col("x.kind").isin("JOIN", "FILTER")
     return both.select(
         "key", "target", F.when(cond, ROOT).otherwise(F.col("scope")).alias("at"), "x.place", "x.column", "x.kind",

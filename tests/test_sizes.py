@@ -169,6 +169,41 @@ def test_parts_of_fields_grow_with_the_line_items(spark, monkeypatch):
     assert difference(rows, registry.ORACLES["catalog_fields"]) is None
 
 
+CATALOG = {"db.U": ["X", "y", "k"], "db.v": ["y", "z"]}
+PLACED = {
+    "INSERT INTO t (a, b) SELECT x, z FROM u JOIN v ON u.k = v.y": {"db.U.X>db.t.a", "db.v.z>db.t.b"},
+    "INSERT INTO t (a, b) SELECT y, Z FROM u, v": {"db.v.Z>db.t.b"},
+    "INSERT INTO t (a, b, c, d) SELECT u.*, z FROM u JOIN v ON 1 = 1": {"db.u.X>db.t.a", "db.u.y>db.t.b", "db.u.k>db.t.c", "db.v.z>db.t.d"},
+    "INSERT INTO t (a, b, c) SELECT z, w.* FROM u JOIN v w ON 1 = 1": {"db.v.z>db.t.a", "db.v.y>db.t.b", "db.v.z>db.t.c"},
+    "INSERT INTO t (a, b, c, d) SELECT n.*, p.z, u.k FROM none n, v p, u": set(),
+    "INSERT INTO t (a) SELECT (SELECT MAX(z) FROM v WHERE v.y = u.y) FROM u": {"db.v.z>db.t.a"},
+    "INSERT INTO t (a, b) SELECT q.y, q.k FROM (SELECT * FROM u) q": {"db.u.y>db.t.a", "db.u.k>db.t.b"},
+}
+
+
+def test_lists_of_columns_go_on_only_where_a_star_reads_them(spark, monkeypatch):
+    """Edges are the same by a catalog's rows and by its lists; a table's list stays whole behind a star, and no item of a list carries it."""
+    from lodeweave.operators import extract, scopes
+
+    log = spark.createDataFrame([(k, None, "db", text) for k, text in enumerate(PLACED)], "query_id long, start_time timestamp, default_database string, sql_text string")
+    lists = spark.createDataFrame(list(CATALOG.items()), "name string, cols array<string>")
+    each = spark.createDataFrame([(t, c, k) for t, cols in CATALOG.items() for k, c in enumerate(cols)], "name string, field_name string, ordinal_position int")
+    kept, carried, cut, edges = [], [], scopes.cut, scopes._edges
+    monkeypatch.setattr(scopes, "cut", lambda df, **kw: (kept.append(df.collect()) if {"no", "cols"} <= set(df.columns) else None) or cut(df, **kw))
+    monkeypatch.setattr(scopes, "_edges", lambda rows: carried.append(plan(edges(rows))) or edges(rows))
+    found = {}
+    for fields in (lists, each):
+        rows = extract.extract_log(log, fields=fields).select("sql_text", "edges").collect()
+        for r in rows:
+            found.setdefault(r["sql_text"], []).append({f"{e['source']}.{e['source_column']}>db.t.{e['target_column']}" for e in r["edges"]})
+    lower = lambda x: {y.lower() for y in x}
+    assert {k: [lower(x) for x in v] for k, v in found.items()} == {k: [lower(v)] * 2 for k, v in PLACED.items()}
+    sizes = sorted(len(r["cols"]) for r in kept[0] if r["cols"] is not None)
+    assert sizes == sorted([3, 2, 1, 2, 3, 1, 0, 2, 1, 1, 2, 0, 3]), sizes
+    generated = [x.split("Generate explode(")[1] for x in carried[0].splitlines() if "Generate explode(" in x]
+    assert generated and not [x for x in generated if "entries#" in x.rsplit("], false, [", 1)[0].rsplit(", [", 1)[-1]]
+
+
 def test_catalog_pairs_are_read_from_written_tables(spark):
     from lodeweave.plans import extraction
 
